@@ -56,6 +56,17 @@ def _fold_rules() -> tuple[str, str, dict[str, str]]:
     return src, dst, longer
 
 
+def _ranges(chars: dict[str, str], gap: int = 48) -> str:
+    """Character class of the few ranges that cover all characters."""
+    spans: list[list[int]] = []
+    for point in sorted(map(ord, chars)):
+        if spans and point - spans[-1][1] <= gap:
+            spans[-1][1] = point
+        else:
+            spans.append([point, point])
+    return "[" + "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in spans) + "]"
+
+
 def replace_each(text: Column, found: Column, table: Column) -> Column:
     """Replace every string of the array `found` in `text` by its entry in the map `table`."""
     return F.aggregate(
@@ -67,11 +78,11 @@ def fold_accents(c: Column | str) -> Column:
     """Accents off, compatibility forms spelled out; null becomes ''."""
     src, dst, longer = _fold_rules()
     text = F.coalesce(col(c), F.lit(""))
+    # A class of many single characters is slow to match, so a coarse test by ranges goes first.
     cls = "[" + "".join(re.escape(k) for k in longer) + "]"
     table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
-    text = F.when(
-        text.rlike(cls), replace_each(text, F.regexp_extract_all(text, F.lit(f"({cls})"), F.lit(1)), table)
-    ).otherwise(text)
+    spelled_out = replace_each(text, F.regexp_extract_all(text, F.lit(f"({cls})"), F.lit(1)), table)
+    text = F.when(text.rlike(_ranges(longer)), spelled_out).otherwise(text)
     return F.regexp_replace(F.translate(text, src, dst), r"\p{Mn}+", "")
 
 
@@ -97,7 +108,7 @@ def query_key(c: Column | str) -> Column:
 def slug(c: Column | str, max_len: int = 80, fold: bool = True) -> Column:
     text = F.lower(fold_accents(c) if fold else trim_ws(F.coalesce(col(c), F.lit(""))))
     body = F.regexp_replace(F.regexp_replace(text, "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    return F.substring(F.when(body == "", F.lit("item")).otherwise(body), 1, max_len)
+    return F.coalesce(F.nullif(F.substring(body, 1, max_len), F.lit("")), F.lit("item"))
 
 
 def trim_name_tail(c: Column | str) -> Column:
