@@ -68,18 +68,19 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
+def _number(v: Column) -> Column:
+    """Value of a number, of a text that reads as one, or of a boolean; null otherwise."""
+    kind, text = _kind(v), F.try_variant_get(v, "$", "string")
+    plain = kind.isin("BIGINT", "DOUBLE", "FLOAT", "STRING") | kind.startswith("DECIMAL")
+    return F.when(plain, text.try_cast("double")).when(kind == "BOOLEAN", (text == "true").cast("double"))
+
+
 def _is_number(v: Column) -> Column:
-    """A number, or a text that reads as one."""
-    kind = _kind(v)
-    text = F.try_variant_get(v, "$", "string")
-    return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL") | (
-        (kind == "STRING") & text.try_cast("double").isNotNull()
-    )
+    return _number(v).isNotNull()
 
 
 def _is_int(v: Column) -> Column:
-    number = F.try_variant_get(v, "$", "string").try_cast("double")
-    return _is_number(v) & (number == F.floor(number))
+    return F.coalesce(_number(v) == F.floor(_number(v)), F.lit(False))
 
 
 def _fits(v: Column, f: Field) -> Column:
@@ -113,7 +114,7 @@ def _field_errors(value: Column, fields: tuple[Field, ...]) -> list[Column]:
         if f.allowed:
             out.append(F.when((_kind(v) == "STRING") & ~text.isin(*f.allowed), F.lit(f"{f.name}:not_allowed")))
         if f.low is not None:
-            number = text.try_cast("double")
+            number = _number(v)
             inside = (number >= f.low) & (number <= f.high) & ~F.isnan(number)
             out.append(F.when(_is_number(v) & ~inside, F.lit(f"{f.name}:out_of_range")))
         if f.kind == "evidence":
@@ -154,8 +155,9 @@ def valid_records(checked: DataFrame, contract: str, keep: list[str]) -> DataFra
             spans = F.try_variant_get("_parsed", "$.evidence", f"array<{SPAN_TYPE}>")
             columns.append(F.coalesce(spans, F.array().cast(f"array<{SPAN_TYPE}>")).alias(f.name))
         else:
-            text = F.try_variant_get("_parsed", f"$.{f.name}", "string")
-            columns.append((text.try_cast(_SPARK_TYPES[f.kind]) if f.kind != "int" else text.try_cast("double").cast("int")).alias(f.name))
+            v = _raw(F.col("_parsed"), f.name)
+            value = F.try_variant_get(v, "$", "string") if f.kind in ("string", "quote") else _number(v)
+            columns.append(value.cast(_SPARK_TYPES[f.kind]).alias(f.name))
     return good.select(*keep, *columns)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from civiclink.functions.ids import draw_key
 
-RANGES = 256
+MAX_RANGES = 256
 
 
 def _cols(names: str | list[str]) -> list[str]:
@@ -85,8 +85,9 @@ def _range_of(order: str, cuts: list[float]) -> Column:
     return pick(0, len(cuts))
 
 
-def with_ranges(df: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
+def with_ranges(df: DataFrame, order: str, ranges: int | None = None) -> DataFrame:
     """Add _range: consecutive ranges of a numeric or time order column, roughly equal in size."""
+    ranges = ranges or min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kind = df.schema[order].dataType.typeName()
     key = F.col(order)
     if kind in ("timestamp", "timestamp_ntz"):
@@ -100,7 +101,7 @@ def with_ranges(df: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
 
 
 def prefix_sums(
-    df: DataFrame, order: str, sums: dict[str, str], descending: bool = False, ranges: int = RANGES
+    df: DataFrame, order: str, sums: dict[str, str], descending: bool = False, ranges: int | None = None
 ) -> DataFrame:
     """Running totals over a whole table: {output: input}. The order column must be unique."""
     ranged = with_ranges(df, order, ranges)
@@ -119,7 +120,7 @@ def prefix_sums(
     return out.drop("_range", *[f"_o_{o}" for o in sums])
 
 
-def number_rows(df: DataFrame, order: str, name: str = "source_row_number", ranges: int = RANGES) -> DataFrame:
+def number_rows(df: DataFrame, order: str, name: str = "source_row_number", ranges: int | None = None) -> DataFrame:
     """1-based row number over a whole table in the order of a unique column."""
     return prefix_sums(df.withColumn("_one", F.lit(1).cast("long")), order, {name: "_one"}, ranges=ranges).drop("_one")
 
@@ -139,7 +140,7 @@ def number_scanned_rows(df: DataFrame, name: str = "source_row_number") -> DataF
     return out.withColumn(name, F.col("_offset") + row + 1).drop("_id", "_part", "_offset")
 
 
-def exact_median(df: DataFrame, value: str, name: str = "median", ranges: int = RANGES) -> DataFrame:
+def exact_median(df: DataFrame, value: str, name: str = "median", ranges: int | None = None) -> DataFrame:
     """Exact median as a one-row frame. Equal values are counted first, so a value that fills a
     third of the table is one row, and the distinct values are ranked range by range."""
     sizes = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))

@@ -1,6 +1,6 @@
 """Queries over the given tables, one module per family."""
 
-from civiclink.plans import linking, places, text_functions  # noqa: F401
+from civiclink.plans import linking, places, provenance, text_functions  # noqa: F401
 from civiclink.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
