@@ -99,16 +99,30 @@ view(
 # Findings and decisions of the same customer.
 view(
     "findings",
-    """SELECT o_orderkey AS finding_id, lpad(CAST(o_custkey AS STRING), 7, '0') AS ibge_municipality_code,
-       CAST(o_orderdate AS DATE) AS publication_date, o_orderpriority AS severity_text,
+    """SELECT o_orderkey AS finding_id, lpad(CAST(o_custkey AS STRING), 7, '0') AS ibge_municipality_code, o_orderstatus || 'B' AS uf,
+       CAST(o_orderdate AS DATE) AS publication_date, o_orderstatus AS name_1, substr(o_orderpriority, 1, 1) AS keyword_1,
        CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'high' WHEN '2' THEN 'high' WHEN '3' THEN 'medium' ELSE 'low' END AS severity_level
   FROM {orders}""",
 )
 view(
     "decisions",
     """SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS decision_id,
-       lpad(CAST(o_custkey AS STRING), 7, '0') AS ibge_municipality_code, CAST(l_shipdate AS DATE) AS decision_date,
+       lpad(CAST(o_custkey AS STRING), 7, '0') AS ibge_municipality_code, l_linestatus || 'B' AS uf, CAST(l_shipdate AS DATE) AS decision_date,
        CASE l_returnflag WHEN 'R' THEN 'adverse' WHEN 'A' THEN 'neutral' ELSE 'non_punishment' END AS outcome_label,
-       CASE l_linestatus WHEN 'F' THEN 'federal' ELSE 'state' END AS court, l_discount AS discount, l_quantity AS quantity
+       CASE WHEN l_tax < 0.04 THEN 'federal' ELSE 'state' END AS court_level,
+       CASE WHEN l_discount < 0.03 THEN 'first_instance' WHEN l_discount < 0.07 THEN 'appeal' ELSE 'final' END AS legal_stage,
+       CASE WHEN l_suppkey % 2 = 0 THEN 'merits' ELSE 'procedural' END AS decision_type,
+       l_linestatus AS name_1, CAST(l_linenumber AS STRING) AS keyword_1, CAST(l_quantity AS BIGINT) AS quantity
   FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
 )
+
+# Pairs within 90 days with a score between 0 and 0.99; the Spark side builds them by its operator.
+view(
+    "links",
+    """SELECT f.finding_id, f.ibge_municipality_code, f.uf AS finding_uf, f.publication_date, f.severity_level, d.decision_id, d.uf AS decision_uf,
+       d.decision_date, d.outcome_label, d.court_level, d.legal_stage, d.decision_type, datediff('day', f.publication_date, d.decision_date) AS days_after,
+       CASE WHEN f.name_1 = d.name_1 THEN 1 ELSE 0 END AS shared_names, CASE WHEN f.keyword_1 = d.keyword_1 THEN 1 ELSE 0 END AS shared_keywords,
+       d.court_level <> 'state' OR f.uf = d.uf AS jurisdiction_ok, CAST(f.finding_id % 50 + d.quantity AS DOUBLE) / 100 AS score
+  FROM {findings} f JOIN {decisions} d ON f.ibge_municipality_code = d.ibge_municipality_code
+   AND d.decision_date >= f.publication_date AND d.decision_date < f.publication_date + INTERVAL 90 DAY""",
+)
