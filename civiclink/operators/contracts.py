@@ -23,7 +23,7 @@ class Field:
     high: float | None = None
 
 
-def _text(*names: str) -> tuple[Field, ...]:
+def _texts(*names: str) -> tuple[Field, ...]:
     return tuple(Field(n, "string") for n in names)
 
 
@@ -34,24 +34,24 @@ CONTRACTS: dict[str, tuple[Field, ...]] = {
         Field("page", "int", False), Field("start_char", "int", False), Field("end_char", "int", False),
     ),
     "AuditFindingCard": (
-        *_text("finding_id", "audit_report_id", "municipality", "state", "finding_type"),
+        *_texts("finding_id", "audit_report_id", "municipality", "state", "finding_type"),
         Field("severity_level", "string", allowed=("low", "medium", "high")),
-        *_text("summary"),
+        *_texts("summary"),
         Field("amount_brl", "double", False),
         Field("confidence", "double", low=0.0, high=1.0),
         EVIDENCE,
     ),
     "MatchScore": (
-        *_text("finding_id", "decision_id"),
+        *_texts("finding_id", "decision_id"),
         Field("score", "double", low=0.0, high=1.0),
         Field("label", "string", allowed=("direct", "probable", "weak", "none")),
-        *_text("rationale"),
+        *_texts("rationale"),
         EVIDENCE,
     ),
     "DecisionOutcome": (
-        *_text("decision_id", "case_id", "court", "decision_date"),
+        *_texts("decision_id", "case_id", "court", "decision_date"),
         Field("outcome_label", "string", allowed=("adverse", "neutral", "non_punishment", "unknown")),
-        *_text("outcome_summary"),
+        *_texts("outcome_summary"),
         Field("confidence", "double", low=0.0, high=1.0),
         EVIDENCE,
     ),
@@ -60,105 +60,125 @@ _SPARK_TYPES = {"string": "string", "quote": "string", "int": "int", "double": "
 SPAN_TYPE = "struct<" + ",".join(f"{f.name}:{_SPARK_TYPES[f.kind]}" for f in CONTRACTS["EvidenceSpan"]) + ">"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once. A chain of select steps would not do: a filter on
+    the outcome is pushed below them and every use would compute the value again."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _raw(value: Column, name: str) -> Column:
     return F.try_variant_get(value, f"$.{name}", "variant")
 
 
-def _kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
+def _text(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "string")
 
 
-def _number(v: Column) -> Column:
+def _number(kind: Column, text: Column) -> Column:
     """Value of a number, of a text that reads as one, or of a boolean; null otherwise."""
-    kind, text = _kind(v), F.try_variant_get(v, "$", "string")
     plain = kind.isin("BIGINT", "DOUBLE", "FLOAT", "STRING") | kind.startswith("DECIMAL")
     return F.when(plain, text.try_cast("double")).when(kind == "BOOLEAN", (text == "true").cast("double"))
 
 
-def _is_number(v: Column) -> Column:
-    return _number(v).isNotNull()
+def _scalar_errors(f: Field, kind: Column, text: Column) -> list[Column]:
+    """One reason code or null per rule of a text or number field."""
+    absent = kind.isNull() | (kind == "VOID")
+    number = _number(kind, text)
+    if f.kind in ("string", "quote"):
+        fits = kind == "STRING"
+    elif f.kind == "int":
+        fits = F.coalesce(number == F.floor(number), F.lit(False))
+    else:
+        fits = number.isNotNull()
+    rules = [("type", ~absent & ~fits)]
+    if f.required:
+        rules.insert(0, ("missing", absent))
+    if f.kind == "quote":
+        rules.append(("too_short", (kind == "STRING") & (F.length(text) < 1)))
+    if f.allowed:
+        rules.append(("not_allowed", (kind == "STRING") & ~text.isin(*f.allowed)))
+    if f.low is not None:
+        inside = (number >= f.low) & (number <= f.high) & ~F.isnan(number)
+        rules.append(("out_of_range", number.isNotNull() & ~inside))
+    return [F.when(broken, F.lit(f"{f.name}:{reason}")) for reason, broken in rules]
+
+
+def _pick(fields: tuple[Field, ...], kind: str) -> list[Field]:
+    return [f for f in fields if (f.kind == "evidence") == (kind == "evidence")]
+
+
+def _facts(v: Column, fields: list[Field]) -> Column:
+    """JSON kind and text of every field as one struct: k_x, t_x."""
+    raw = F.struct(*[_raw(v, f.name).alias(f.name) for f in fields])
+    return _let(
+        raw,
+        lambda r: F.struct(
+            *[F.schema_of_variant(r[f.name]).alias(f"k_{f.name}") for f in fields],
+            *[_text(r[f.name]).alias(f"t_{f.name}") for f in fields],
+        ),
+    )
 
 
-def _is_int(v: Column) -> Column:
-    return F.coalesce(_number(v) == F.floor(_number(v)), F.lit(False))
+def _scalars(fields: tuple[Field, ...]) -> list[Field]:
+    return [f for f in fields if f.kind != "evidence"]
 
 
-def _fits(v: Column, f: Field) -> Column:
-    if f.kind in ("string", "quote"):
-        return _kind(v) == "STRING"
-    if f.kind == "int":
-        return _is_int(v)
-    if f.kind == "double":
-        return _is_number(v)
-    return _kind(v).startswith("ARRAY")
-
-
-def _is_null(v: Column) -> Column:
-    return v.isNull() | F.is_variant_null(v)
-
-
-def _field_errors(value: Column, fields: tuple[Field, ...]) -> list[Column]:
-    """One reason code or null per rule of every field."""
-    out = []
-    for f in fields:
-        v = _raw(value, f.name)
-        if f.required:
-            out.append(F.when(_is_null(v), F.lit(f"{f.name}:missing")))
-        elif f.kind == "evidence":
-            # A list has a default but may not be null.
-            out.append(F.when(v.isNotNull() & F.is_variant_null(v), F.lit(f"{f.name}:type")))
-        out.append(F.when(~_is_null(v) & ~_fits(v, f), F.lit(f"{f.name}:type")))
-        text = F.try_variant_get(v, "$", "string")
-        if f.kind == "quote":
-            out.append(F.when((_kind(v) == "STRING") & (F.length(text) < 1), F.lit(f"{f.name}:too_short")))
-        if f.allowed:
-            out.append(F.when((_kind(v) == "STRING") & ~text.isin(*f.allowed), F.lit(f"{f.name}:not_allowed")))
-        if f.low is not None:
-            number = _number(v)
-            inside = (number >= f.low) & (number <= f.high) & ~F.isnan(number)
-            out.append(F.when(_is_number(v) & ~inside, F.lit(f"{f.name}:out_of_range")))
-        if f.kind == "evidence":
-            spans = F.try_variant_get(v, "$", "array<variant>")
-            bad = F.exists(spans, lambda s: F.size(span_errors(s)) > 0)
-            out.append(F.when(_kind(v).startswith("ARRAY") & bad, F.lit(f"{f.name}:invalid_span")))
-    return out
-
-
-def span_errors(span: Column) -> Column:
-    not_object = F.when(~F.coalesce(_kind(span).startswith("OBJECT"), F.lit(False)), F.lit("record:not_an_object"))
-    return F.array_compact(F.array(not_object, *_field_errors(span, CONTRACTS["EvidenceSpan"])))
-
-
-def errors(value: Column, contract: str) -> Column:
-    """Reason codes of a parsed record; empty when it is valid."""
-    if contract == "EvidenceSpan":
-        return span_errors(value)
-    not_object = F.when(~F.coalesce(_kind(value).startswith("OBJECT"), F.lit(False)), F.lit("record:not_an_object"))
-    return F.array_compact(F.array(not_object, *_field_errors(value, CONTRACTS[contract])))
+def _codes(facts: Column, fields: list[Field]) -> list[Column]:
+    return [e for f in fields for e in _scalar_errors(f, facts[f"k_{f.name}"], facts[f"t_{f.name}"])]
+
+
+def _typed(facts: Column, f: Field) -> Column:
+    kind, text = facts[f"k_{f.name}"], facts[f"t_{f.name}"]
+    value = text if f.kind in ("string", "quote") else _number(kind, text)
+    return value.cast(_SPARK_TYPES[f.kind]).alias(f.name)
+
+
+def _examined(record: Column, fields: tuple[Field, ...]) -> Column:
+    """struct(errors, record) of a parsed record."""
+    spans = _scalars(CONTRACTS["EvidenceSpan"])
+    scalars, has_list = _scalars(fields), len(_scalars(fields)) < len(fields)
+    listed = _raw(record, EVIDENCE.name)
+    parts = [_facts(record, scalars).alias("facts")]
+    if has_list:
+        members = F.try_variant_get(listed, "$", "array<variant>")
+        parts += [listed.isNotNull().alias("given"), F.transform(members, lambda s: _facts(s, spans)).alias("spans")]
+
+    def outcome(x: Column) -> Column:
+        codes = _codes(x["facts"], scalars)
+        typed = [_typed(x["facts"], f) for f in scalars]
+        if has_list:
+            broken = F.exists(x["spans"], lambda s: F.coalesce(*_codes(s, spans)).isNotNull())
+            # A list may be left out, but it may not be null.
+            codes.append(F.when(x["given"] & x["spans"].isNull(), F.lit("evidence:type")))
+            codes.append(F.when(broken, F.lit("evidence:invalid_span")))
+            good = F.transform(x["spans"], lambda s: F.struct(*[_typed(s, f) for f in spans]))
+            typed.append(F.coalesce(good, F.array().cast(f"array<{SPAN_TYPE}>")).alias(EVIDENCE.name))
+        return F.struct(F.array_compact(F.array(*codes)).alias("errors"), F.struct(*typed).alias("record"))
+
+    return _let(F.struct(*parts), outcome)
 
 
 def check(df: DataFrame, contract: str, payload: str = "payload") -> DataFrame:
-    """Add _parsed (variant, null when the text is not JSON) and _errors."""
-    parsed = df.withColumn("_parsed", F.try_parse_json(payload))
-    reasons = F.when(F.col("_parsed").isNull(), F.array(F.lit("record:not_json"))).otherwise(
-        errors(F.col("_parsed"), contract)
-    )
-    return parsed.withColumn("_errors", reasons)
+    """Add _errors, the reason codes of each record, and _record, its typed fields."""
+    fields = CONTRACTS[contract]
+    is_object = F.ltrim(payload).startswith("{")
+
+    def outcome(p: Column) -> Column:
+        whole = F.when(p.isNull(), F.array(F.lit("record:not_json"))).when(
+            ~is_object, F.array(F.lit("record:not_an_object"))
+        )
+        return _let(
+            _examined(p, fields), lambda x: F.struct(F.coalesce(whole, x["errors"]).alias("errors"), x["record"].alias("record"))
+        )
+
+    out = df.withColumn("_c", _let(F.try_parse_json(payload), outcome))
+    return out.withColumns({"_errors": F.col("_c.errors"), "_record": F.col("_c.record")}).drop("_c")
 
 
 def valid_records(checked: DataFrame, contract: str, keep: list[str]) -> DataFrame:
     """Typed columns of the records without errors."""
-    good = checked.where(F.size("_errors") == 0)
-    columns = []
-    for f in CONTRACTS[contract]:
-        if f.kind == "evidence":
-            spans = F.try_variant_get("_parsed", "$.evidence", f"array<{SPAN_TYPE}>")
-            columns.append(F.coalesce(spans, F.array().cast(f"array<{SPAN_TYPE}>")).alias(f.name))
-        else:
-            v = _raw(F.col("_parsed"), f.name)
-            value = F.try_variant_get(v, "$", "string") if f.kind in ("string", "quote") else _number(v)
-            columns.append(value.cast(_SPARK_TYPES[f.kind]).alias(f.name))
-    return good.select(*keep, *columns)
+    names = [F.col(f"_record.{f.name}") for f in CONTRACTS[contract]]
+    return checked.where(F.size("_errors") == 0).select(*keep, *names)
 
 
 def quarantine(checked: DataFrame, module: str, schema_version: str, model: str, keep: list[str], payload: str = "payload") -> DataFrame:
