@@ -7,11 +7,12 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from civiclink.functions.text import col, collapse_ws, replace_each
+from civiclink.functions.text import col, collapse_ws, let, text_map
 
 _HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
 _ANCHOR = r"(?is)<a\s[^>]*>.*?(?:</a\s*>|(?=<a\s)|\z)"
-_HREF = r"""(?is)^<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+_HREF = r"""(?is)^<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+_NAMED = {f"&{name};": chr(point) for name, point in name2codepoint.items() if name != "amp"}
 
 
 def visible(html: Column | str) -> Column:
@@ -21,18 +22,18 @@ def visible(html: Column | str) -> Column:
 
 def unescape(c: Column | str) -> Column:
     """Named and numeric character references as characters, &amp; last."""
-    text = col(c)
-    table = F.create_map(*[F.lit(x) for n, p in name2codepoint.items() if n != "amp" for x in (f"&{n};", chr(p))])
-    found = F.regexp_extract_all(text, F.lit(r"(&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});)"), F.lit(1))
-
-    def plain(acc: Column, ref: Column) -> Column:
+    def one(acc: Column, ref: Column) -> Column:
         digits = F.regexp_extract(ref, "^&#[xX]?([0-9A-Fa-f]+);$", 1)
         point = F.when(ref.rlike("^&#[xX]"), digits).when(ref.startswith("&#"), F.conv(digits, 10, 16))
         char = F.decode(F.unhex(F.lpad(point, 8, "0")), "UTF-32")
-        return F.replace(acc, ref, F.coalesce(F.element_at(table, ref), char, ref))
+        return F.replace(acc, ref, F.coalesce(F.element_at(text_map(_NAMED), ref), char, ref))
+
+    def decoded(text: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(r"(&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});)"), F.lit(1))
+        plain = F.aggregate(F.array_distinct(found), text, one)
+        return F.when(text.contains("&"), F.replace(plain, F.lit("&amp;"), F.lit("&"))).otherwise(text)
 
-    decoded = F.aggregate(F.array_distinct(found), text, plain)
-    return F.when(text.contains("&"), F.replace(decoded, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+    return let(col(c), decoded)
 
 
 def plain_text(markup: Column | str) -> Column:
@@ -47,9 +48,8 @@ def anchor_tags(html: Column | str) -> Column:
 
 def href(anchor: Column | str) -> Column:
     """Link target of an anchor element, null when it has none."""
-    a = col(anchor)
-    value = F.concat(*[F.regexp_extract(a, _HREF, n) for n in (1, 2, 3)])
-    return F.when(a.rlike(_HREF), unescape(value))
+    quoted = F.nullif(F.regexp_extract(col(anchor), _HREF, 1), F.lit(""))
+    return unescape(F.regexp_replace(quoted, "^[\"']|[\"']$", ""))
 
 
 def api_paths(script: Column | str) -> Column:

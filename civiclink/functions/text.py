@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -19,6 +20,21 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once per row.
+
+    Naming the value in a select step does not help: a filter on the outcome is pushed below the
+    step, and there every use of the name becomes another copy of the expression.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
+def text_map(pairs: dict[str, str]) -> Column:
+    """Constant map, passed to the JVM as one expression."""
+    quoted = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in pairs.items()) + ")")
+
+
 def trim_ws(c: Column | str) -> Column:
     return F.regexp_replace(col(c), f"(?U)^{SPACE}+|{SPACE}+$", "")
 
@@ -77,12 +93,14 @@ def replace_each(text: Column, found: Column, table: Column) -> Column:
 def fold_accents(c: Column | str) -> Column:
     """Accents off, compatibility forms spelled out; null becomes ''."""
     src, dst, longer = _fold_rules()
-    text = F.coalesce(col(c), F.lit(""))
     # A class of many single characters is slow to match, so a coarse test by ranges goes first.
     cls = "[" + "".join(re.escape(k) for k in longer) + "]"
-    table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
-    spelled_out = replace_each(text, F.regexp_extract_all(text, F.lit(f"({cls})"), F.lit(1)), table)
-    text = F.when(text.rlike(_ranges(longer)), spelled_out).otherwise(text)
+
+    def spell_out(text: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(f"({cls})"), F.lit(1))
+        return F.when(text.rlike(_ranges(longer)), replace_each(text, found, text_map(longer))).otherwise(text)
+
+    text = let(F.coalesce(col(c), F.lit("")), spell_out)
     return F.regexp_replace(F.translate(text, src, dst), r"\p{Mn}+", "")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from civiclink.functions.text import col, trim_ws
+from civiclink.functions.text import col, let, trim_ws
 
 # scheme, authority, path, query, fragment
 _URI = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -40,33 +40,44 @@ def drop_fragment(url: Column | str) -> Column:
 
 def _without_dots(p: Column) -> Column:
     """Resolve './' and '../' steps of an absolute path."""
-    here = F.regexp_replace(F.regexp_replace(p, r"/(?:\./)+", "/"), r"/\.$", "/")
-    ups = F.size(F.split(here, r"/\.\.(?=/|$)", -1)) - 1
-    step = lambda acc, _: F.regexp_replace(
-        F.regexp_replace(acc, r"^(/\.\.)+(?=/|$)", ""), r"/(?!\.\.(?:/|$))[^/]*/\.\.(?:/|$)", "/"
-    )
-    flat = F.aggregate(F.sequence(F.lit(1), F.greatest(ups, F.lit(1))), here, step)
-    return F.when(here.rlike(r"/\.\.(?:/|$)"), F.regexp_replace(flat, r"^(/\.\.)+(?=/|$)", "")).otherwise(here)
+    def flat(here: Column) -> Column:
+        ups = F.size(F.split(here, r"/\.\.(?=/|$)", -1)) - 1
+        step = lambda acc, _: F.regexp_replace(
+            F.regexp_replace(acc, r"^(/\.\.)+(?=/|$)", ""), r"/(?!\.\.(?:/|$))[^/]*/\.\.(?:/|$)", "/"
+        )
+        done = F.aggregate(F.sequence(F.lit(1), F.greatest(ups, F.lit(1))), here, step)
+        return F.when(here.rlike(r"/\.\.(?:/|$)"), F.regexp_replace(done, r"^(/\.\.)+(?=/|$)", "")).otherwise(here)
+
+    return let(F.regexp_replace(F.regexp_replace(p, r"/(?:\./)+", "/"), r"/\.$", "/"), flat)
 
 
 def resolve(base: Column | str, href: Column | str) -> Column:
     """Absolute form of a link found on the page `base`."""
     b, h = col(base), col(href)
-    own_scheme, own_host, own_path = _piece(h, 1), _piece(h, 2), _piece(h, 3)
-    own_query, own_frag = _piece(h, 4), _piece(h, 5)
-    root = F.concat(_piece(b, 1), F.lit(":"), _piece(b, 2))
-    base_path = _piece(b, 3)
-    folder = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(base_path, r"[^/]*$", ""), "^/", ""))
-    return (
-        F.when(h == "", b)
-        .when(own_scheme != "", h)
-        .when(own_host != "", F.concat(_piece(b, 1), F.lit(":"), h))
-        .when(own_path.startswith("/"), F.concat(root, _without_dots(own_path), own_query, own_frag))
-        .when(own_path != "", F.concat(root, _without_dots(F.concat(folder, own_path)), own_query, own_frag))
-        .when(own_query != "", F.concat(root, base_path, own_query, own_frag))
-        .otherwise(F.concat(drop_fragment(b), own_frag))
+    names = ("scheme", "host", "path", "query", "frag")
+    pieces = F.struct(
+        b.alias("base"),
+        h.alias("href"),
+        *[_piece(h, n).alias(name) for n, name in enumerate(names, 1)],
+        *[_piece(b, n).alias("b_" + name) for n, name in enumerate(names[:3], 1)],
     )
 
+    def joined(p: Column) -> Column:
+        root = F.concat(p["b_scheme"], F.lit(":"), p["b_host"])
+        folder = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(p["b_path"], r"[^/]*$", ""), "^/", ""))
+        tail = F.concat(p["query"], p["frag"])
+        whole = F.when(p["path"].startswith("/"), p["path"]).otherwise(F.concat(folder, p["path"]))
+        return (
+            F.when(p["href"] == "", p["base"])
+            .when(p["scheme"] != "", p["href"])
+            .when(p["host"] != "", F.concat(p["b_scheme"], F.lit(":"), p["href"]))
+            .when(p["path"] != "", F.concat(root, _without_dots(whole), tail))
+            .when(p["query"] != "", F.concat(root, p["b_path"], tail))
+            .otherwise(F.concat(drop_fragment(p["base"]), p["frag"]))
+        )
+
+    return let(pieces, joined)
+
 
 def page_link(base: Column | str, href: Column | str) -> Column:
     """Link target without its fragment."""

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civiclink.functions.text import let
+
 
 @dataclass(frozen=True)
 class Field:
@@ -60,12 +62,6 @@ _SPARK_TYPES = {"string": "string", "quote": "string", "int": "int", "double": "
 SPAN_TYPE = "struct<" + ",".join(f"{f.name}:{_SPARK_TYPES[f.kind]}" for f in CONTRACTS["EvidenceSpan"]) + ">"
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with the value computed once. A chain of select steps would not do: a filter on
-    the outcome is pushed below them and every use would compute the value again."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _raw(value: Column, name: str) -> Column:
     return F.try_variant_get(value, f"$.{name}", "variant")
 
@@ -110,7 +106,7 @@ def _pick(fields: tuple[Field, ...], kind: str) -> list[Field]:
 def _facts(v: Column, fields: list[Field]) -> Column:
     """JSON kind and text of every field as one struct: k_x, t_x."""
     raw = F.struct(*[_raw(v, f.name).alias(f.name) for f in fields])
-    return _let(
+    return let(
         raw,
         lambda r: F.struct(
             *[F.schema_of_variant(r[f.name]).alias(f"k_{f.name}") for f in fields],
@@ -155,7 +151,7 @@ def _examined(record: Column, fields: tuple[Field, ...]) -> Column:
             typed.append(F.coalesce(good, F.array().cast(f"array<{SPAN_TYPE}>")).alias(EVIDENCE.name))
         return F.struct(F.array_compact(F.array(*codes)).alias("errors"), F.struct(*typed).alias("record"))
 
-    return _let(F.struct(*parts), outcome)
+    return let(F.struct(*parts), outcome)
 
 
 def check(df: DataFrame, contract: str, payload: str = "payload") -> DataFrame:
@@ -167,11 +163,11 @@ def check(df: DataFrame, contract: str, payload: str = "payload") -> DataFrame:
         whole = F.when(p.isNull(), F.array(F.lit("record:not_json"))).when(
             ~is_object, F.array(F.lit("record:not_an_object"))
         )
-        return _let(
+        return let(
             _examined(p, fields), lambda x: F.struct(F.coalesce(whole, x["errors"]).alias("errors"), x["record"].alias("record"))
         )
 
-    out = df.withColumn("_c", _let(F.try_parse_json(payload), outcome))
+    out = df.withColumn("_c", let(F.try_parse_json(payload), outcome))
     return out.withColumns({"_errors": F.col("_c.errors"), "_record": F.col("_c.record")}).drop("_c")
 
 

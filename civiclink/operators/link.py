@@ -111,9 +111,9 @@ def place_values(lottery: DataFrame, audits: DataFrame) -> DataFrame:
     right, _ = linkable_audits(audits)
     left = linkable_selection(lottery)
     mine = _values(left, LOTTERY_LISTS)
-    theirs = _values(right, AUDIT_LISTS, {DATES: iso_text("publication_date")})
-    linked = theirs.join(left.select(*KEYS).distinct(), KEYS, "left_semi")
-    return mine.unionByName(linked).drop("_occ")
+    linked = right.join(left.select(*KEYS).distinct(), KEYS, "left_semi")
+    theirs = _values(linked, AUDIT_LISTS, {DATES: iso_text("publication_date")})
+    return mine.unionByName(theirs).drop("_occ")
 
 
 def link_wide(lottery: DataFrame, audits: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:

@@ -155,9 +155,8 @@ def _numbered(hits: Column, phase: int) -> Column:
 def pdf_links(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> DataFrame:
     """PDF addresses in order: anchors first, then addresses quoted anywhere in the page text."""
     linked = anchors(pages, key, url, html)
-    target = F.lower(trim_ws("href"))
-    api = target.contains("/api/") & (target.contains("download") | target.contains("arquivo") | target.contains("pdf"))
-    by_anchor = linked.where(target.endswith(".pdf") | api).select(
+    wanted = r"(?s)\.pdf\z|^(?=.*/api/).*(?:download|arquivo|pdf)"
+    by_anchor = linked.where(F.lower(trim_ws("href")).rlike(wanted)).select(
         key, F.lit(0).alias("phase"), "pos", resolve("page_url", trim_ws("href")).alias("link")
     )
     quoted = r"(?i){q}(/api/[^\"']*(?:download|arquivo|pdf)[^\"']*){q}"
@@ -172,8 +171,7 @@ def pdf_links(pages: DataFrame, key: str, url: str = "url", html: str = "html")
 def detail_pdf_links(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> DataFrame:
     """Narrow rule for detail pages: addresses ending in .pdf, or API downloads."""
     full = anchors(pages, key, url, html).withColumn("link", resolve("page_url", trim_ws("href")))
-    low = F.lower("link")
-    keep = low.endswith(".pdf") | (low.contains("/api/") & low.contains("download"))
+    keep = F.lower("link").rlike(r"(?s)\.pdf\z|^(?=.*/api/).*download")
     return keep_first(full.where(keep), [key, "link"], "pos").select(key, "link", "pos")
 
 

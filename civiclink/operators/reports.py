@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from civiclink.functions.ids import candidate_id
 from civiclink.functions.jsonx import filled_text, nested_items, parse
 from civiclink.functions.markup import api_paths
-from civiclink.functions.text import collapse_ws, query_key, trim_ws
+from civiclink.functions.text import collapse_ws, let, query_key, trim_ws
 from civiclink.functions.urls import resolve
 from civiclink.operators.pages import anchors, detail_pdf_links
 from civiclink.operators.rows import keep_last
@@ -27,7 +27,9 @@ def search_phrases(places: DataFrame, name: str = "municipality_name", uf: str =
 def title_confidence(name: Column | str, title: Column | str) -> Column:
     """high when the place key occurs in the title key, else medium."""
     key = query_key(name)
-    return F.when((key != "") & F.contains(query_key(title), key), "high").otherwise("medium")
+    both = F.struct(key.alias("name"), query_key(title).alias("title"))
+    named = lambda k: F.when((k["name"] != "") & F.contains(k["title"], k["name"]), "high").otherwise("medium")
+    return let(both, named)
 
 
 def search_items(answers: DataFrame, payload: str = "payload") -> DataFrame:
