@@ -96,7 +96,8 @@ def with_ranges(df: DataFrame, order: str, ranges: int | None = None) -> DataFra
         key = F.unix_date(key)
     keyed = df.withColumn("_key", key)
     probs = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(keyed.approxQuantile("_key", probs, 0.5 / ranges)))
+    found = keyed.agg(F.percentile_approx("_key", probs, 8 * ranges)).first()[0] if probs else None
+    cuts = sorted(set(found or []))
     return keyed.withColumn("_range", _range_of("_key", cuts)).drop("_key")
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from civiclink.functions.similarity import ratio_udf, weighted_ratio_udf
 from civiclink.functions.text import match_key
 from civiclink.operators import ladder, profile
+from civiclink.operators.gates import no_manual_gate
 from civiclink.plans import sqltext as q
 from civiclink.plans import views  # noqa: F401
 from civiclink.plans.registry import query, view
@@ -196,3 +197,13 @@ def _(t):
 def _(t):
     rows, ref, extra = _inputs(t)
     return profile.top_unmatched(ladder.match_by_lookup(rows, ref, **extra))
+
+
+@query(
+    "manual_gate",
+    LADDER_SQL + """SELECT 'manual_needed' AS gate, CAST(n AS DOUBLE) AS value, CAST(0 AS DOUBLE) AS bound, n = 0 AS ok
+  FROM (SELECT count(*) FILTER (WHERE match_method = 'manual_needed') AS n FROM answer)""",
+)
+def _(t):
+    rows, ref, extra = _inputs(t)
+    return no_manual_gate(profile.crosswalk_summary(ladder.match_by_lookup(rows, ref, **extra)))

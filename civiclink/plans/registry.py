@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -16,6 +17,7 @@ TABLES = (
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 VIEWS: dict[str, str] = {}
+_SCHEMAS: dict[str, StructType] = {}
 
 
 def view(name: str, sql: str) -> None:
@@ -30,7 +32,11 @@ def _needs(sql: str) -> list[str]:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Given table or derived view as a DataFrame."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        # The schema is read from the files once per process and declared afterwards.
+        path = f"{sf_dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = spark.read.parquet(path).schema
+        return spark.read.schema(_SCHEMAS[path]).parquet(path)
     sql = VIEWS[name]
     used = {n: table(spark, sf_dir, n) for n in dict.fromkeys(_needs(sql))}
     return spark.sql(sql, **used)
