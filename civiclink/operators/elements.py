@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 KINDS = ("td", "th", "li", "p", "div", "span", "a")
+PAGES_OUT = 256
 CARD_CLASSES = {"accordion", "card", "cards"}
 _TOKEN = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|([^<]+|<)")
 _ATTRIBUTE = r"(?:^|\s){}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
@@ -29,7 +30,7 @@ _ENDS = {
     "tr": ({"tr"}, {"table"}),
     **{b: ({"p"}, {"div", "td", "th", "li", "table", "body"}) for b in _BLOCKS},
 }
-SCHEMA = "kind string, ord int, row int, card boolean, href string, text string"
+SCHEMA = "kind string, ord int, row int, card boolean, href string, text string, row_text string"
 
 
 def _value(pattern: re.Pattern, attributes: str) -> str | None:
@@ -94,28 +95,35 @@ def walk(page: str, kinds: frozenset[str]) -> Iterator[tuple]:
 def page_elements(
     pages: DataFrame, keep: list[str], html: str = "html", kinds: tuple[str, ...] = KINDS, containing: str | None = None
 ) -> DataFrame:
-    """One row per element with the `keep` columns of its page. With `containing`, a pattern, only
-    elements whose text has it come back, and for table cells all cells of such a row."""
+    """One row per element with the `keep` columns of its page; table cells also carry the text of
+    their whole row. With `containing`, a pattern, only elements whose text has it come back."""
     wanted, needle = frozenset(kinds), re.compile(containing) if containing else None
 
     def chosen(page: str) -> list[tuple]:
         elements = list(walk(page, wanted))
-        if needle is None:
-            return elements
-        hits = [bool(needle.search(e[5])) for e in elements]
-        rows = {e[2] for e, hit in zip(elements, hits) if hit and e[0] in ("td", "th")}
-        return [e for e, hit in zip(elements, hits) if hit or (e[0] in ("td", "th") and e[2] in rows)]
+        rows: dict[int, list[str]] = {}
+        for kind, _, row, _, _, text in elements:
+            if kind in ("td", "th") and row:
+                rows.setdefault(row, []).append(text)
+        joined = {row: " | ".join(cells) for row, cells in rows.items()}
+        return [
+            (*e, joined.get(e[2]) if e[0] in ("td", "th") else None)
+            for e in elements
+            if needle is None or needle.search(e[5])
+        ]
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [*keep, "kind", "ord", "row", "card", "href", "text"]
+        names = [*keep, "kind", "ord", "row", "card", "href", "text", "row_text"]
         for frame in frames:
-            out = [
-                (*ident, *element)
-                for *ident, page in frame[[*keep, html]].itertuples(index=False, name=None)
-                if page
-                for element in chosen(page)
-            ]
-            yield pd.DataFrame(out, columns=names)
+            # A few pages at a time, so that a batch of large pages stays small on its way out.
+            for at in range(0, len(frame), PAGES_OUT):
+                out = [
+                    (*ident, *element)
+                    for *ident, page in frame[[*keep, html]].iloc[at:at + PAGES_OUT].itertuples(index=False, name=None)
+                    if page
+                    for element in chosen(page)
+                ]
+                yield pd.DataFrame(out, columns=names)
 
     source = pages.select(*keep, html)
     ident = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)

@@ -17,13 +17,14 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civiclink.functions.similarity import NameBlock
 from civiclink.functions.text import join_notes, match_key, pad_code, trim_ws, upper_key
 from civiclink.operators.rows import top_per_key
-from civiclink.operators.skew import salted_join
+from civiclink.operators.skew import hot_among, key_counts, salted_join
+from civiclink.sources.scratch import cut_lineage
 
 STRICT_DEFAULT = 92.0
 RELAXED_SCORE, RELAXED_MARGIN, RELAXED_EDITS = 85.0, 10.0, 2
@@ -44,8 +45,8 @@ def _latest(df: DataFrame, keys: dict, value: dict, order: str) -> DataFrame:
 
 
 def distinct_names(rows: DataFrame) -> DataFrame:
-    """Distinct non-null (uf, name) of the rows."""
-    return _keyed(rows).select("_uf", "_name").dropna().distinct()
+    """Distinct non-null (uf, name) of the rows with the number of rows, _n."""
+    return key_counts(_keyed(rows), ["_uf", "_name"])
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -135,6 +136,7 @@ def lookup_ladder(
     return names.select(
         "_uf",
         "_name",
+        "_n",
         "name_norm",
         "alias_applied",
         F.coalesce("ov_code", "ex_code", "no_code").alias("ibge_municipality_code"),
@@ -233,7 +235,9 @@ def fuzzy_decisions(candidates: DataFrame, threshold: float = STRICT_DEFAULT) ->
 def _resolve_names(
     rows: DataFrame, reference: DataFrame, threshold: float, aliases: DataFrame | None, overrides: DataFrame | None
 ) -> tuple[DataFrame, DataFrame]:
-    looked_up = lookup_ladder(rows, reference, aliases, overrides)
+    # The names feed the fuzzy step, its join back and the hot-key list; stored once, the rows are
+    # read for them once.
+    looked_up = cut_lineage(lookup_ladder(rows, reference, aliases, overrides))
     open_names = looked_up.where(F.col("match_method").isNull()).select(F.col("_uf").alias("uf"), "name_norm")
     candidates = fuzzy_candidates(open_names, reference)
     decided = fuzzy_decisions(candidates, threshold).select(
@@ -250,6 +254,7 @@ def _resolve_names(
     names = looked_up.join(decided, ["_uf", "name_norm"], "left").select(
         "_uf",
         "_name",
+        "_n",
         "name_norm",
         "alias_applied",
         F.when(open_, F.when(accepted, F.col("code")))
@@ -271,10 +276,15 @@ def _resolve_names(
     return names, candidates
 
 
+def _spread(rows: DataFrame) -> Column:
+    return F.struct(*[F.col(c) for c in rows.columns])
+
+
 def _attach(rows: DataFrame, names: DataFrame) -> DataFrame:
-    keyed = _keyed(rows)
-    spread = F.struct(*[F.col(c) for c in rows.columns])
-    joined = salted_join(keyed, names.drop("name_norm"), ["_uf", "_name"], spread, "left")
+    keys = ["_uf", "_name"]
+    joined = salted_join(
+        _keyed(rows), names.drop("name_norm", "_n"), keys, _spread(rows), "left", unique_right=True, hot_left=hot_among(names, keys)
+    )
     added = ("alias_applied", "ibge_municipality_code", "match_method", "match_score", "matched_name_official", "match_notes")
     kept = [c for c in rows.columns if c not in (*added, "uf", "municipality_name_clean")]
     return joined.select(
@@ -294,7 +304,7 @@ def match_by_lookup(
     rows: DataFrame, reference: DataFrame, aliases: DataFrame | None = None, overrides: DataFrame | None = None
 ) -> DataFrame:
     """Rows with the answer of the lookup steps alone; the rest is unmatched."""
-    return _attach(rows, lookup_ladder(rows, reference, aliases, overrides))
+    return _attach(rows, cut_lineage(lookup_ladder(rows, reference, aliases, overrides)))
 
 
 def match_places(
@@ -318,8 +328,8 @@ def review_candidates(
 ) -> DataFrame:
     """Up to five suggestions for every row the ladder leaves to manual review."""
     names, candidates = _resolve_names(rows, reference, threshold, aliases, overrides)
-    manual = names.where(F.col("match_method") == "manual_needed").select("_uf", "_name", "name_norm")
-    suggested = manual.join(candidates.withColumnRenamed("uf", "_uf"), ["_uf", "name_norm"]).select(
+    names = names.where(F.col("match_method") == "manual_needed").select("_uf", "_name", "_n", "name_norm")
+    suggested = names.join(candidates.withColumnRenamed("uf", "_uf"), ["_uf", "name_norm"]).select(
         "_uf",
         "_name",
         F.col("code").alias("suggested_ibge_code"),
@@ -327,9 +337,8 @@ def review_candidates(
         "score",
         "rank",
     )
-    spread = F.struct(*[F.col(c) for c in rows.columns])
-    added = ("suggested_ibge_code", "suggested_name_official", "score", "rank")
+    keys, added = ["_uf", "_name"], ("suggested_ibge_code", "suggested_name_official", "score", "rank")
     kept = [c for c in rows.columns if c not in (*added, "uf", "municipality_name_clean")]
-    return salted_join(_keyed(rows), suggested, ["_uf", "_name"], spread).select(
-        *kept, F.col("_name").alias("municipality_name_clean"), F.col("_uf").alias("uf"), *added
-    )
+    # At most five right rows per key, so only the left side can be hot.
+    joined = salted_join(_keyed(rows), suggested, keys, _spread(rows), unique_right=True, hot_left=hot_among(names, keys))
+    return joined.select(*kept, F.col("_name").alias("municipality_name_clean"), F.col("_uf").alias("uf"), *added)

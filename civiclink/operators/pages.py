@@ -6,7 +6,6 @@ Input is a page table with a key column, `url` and `html`.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from civiclink.functions import markup
@@ -58,35 +57,27 @@ def round_links(pages: DataFrame, key: str, hint: str = ROUND_HINT, url: str = "
     )
 
 
-def _hit(text: Column) -> tuple[Column, Column]:
-    return F.regexp_extract(text, PLACE, 1), F.regexp_extract(text, PLACE, 2)
-
-
 def place_hits(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """Every name/state hit in cells, list items and text blocks, with its place in the page."""
+    """Every name/state hit in cells, list items and text blocks, with its place in the page: the
+    first hit of a cell or list item, all hits of a text block. Pages are walked once."""
     found = page_elements(pages, [key], html, ("td", "th", "li", "p", "div", "span"), _PLACE_TAIL)
-    row = W.partitionBy(key, "row").orderBy("ord").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    name, uf = _hit(F.col("text"))
-    cells = found.where(F.col("kind").isin("td", "th") & (F.col("row") > 0)).withColumn(
-        "snippet", F.array_join(F.collect_list("text").over(row), " | ")
-    )
-    first = lambda df, phase, method, snippet: df.select(
-        key, F.struct(F.lit(phase).alias("phase"), "ord", F.lit(0).alias("hit")).alias("position"),
-        name.alias("municipality_name_raw"), uf.alias("uf"), clip(snippet, SNIPPET).alias("source_snippet"),
-        F.lit(method).alias("parse_method"), F.lit("high").alias("confidence"),
+    cell, item = F.col("kind").isin("td", "th"), F.col("kind") == "li"
+    found = found.where(~cell | (F.col("row") > 0))
+    hits = F.regexp_extract_all("text", F.lit(PLACE), F.lit(0))
+    single = F.when(cell | item, F.slice(hits, 1, 1)).otherwise(hits)
+    method = F.when(cell, "table").when(item, "li").otherwise("regex")
+    phase = F.when(cell, 0).when(item, 1).otherwise(2)
+    each = found.select(
+        key, "ord", method.alias("parse_method"), phase.alias("phase"),
+        F.when(cell | item, "high").otherwise("medium").alias("confidence"),
+        clip(F.coalesce("row_text", "text"), SNIPPET).alias("source_snippet"),
+        F.posexplode(single).alias("hit", "_hit"),
     )
-    tables = first(cells, 0, "table", "snippet")
-    items = first(found.where(F.col("kind") == "li"), 1, "li", "text")
-    blocks = found.where(F.col("kind").isin("p", "div", "span")).select(
-        key, "ord", "text", F.posexplode(F.regexp_extract_all("text", F.lit(PLACE), F.lit(0))).alias("hit", "_hit")
+    named = each.select(
+        key, F.struct("phase", "ord", "hit").alias("position"), F.regexp_extract("_hit", PLACE, 1).alias("municipality_name_raw"),
+        F.regexp_extract("_hit", PLACE, 2).alias("uf"), "source_snippet", "parse_method", "confidence",
     )
-    name, uf = _hit(F.col("_hit"))
-    texts = blocks.select(
-        key, F.struct(F.lit(2).alias("phase"), "ord", "hit").alias("position"), name.alias("municipality_name_raw"),
-        uf.alias("uf"), clip("text", SNIPPET).alias("source_snippet"), F.lit("regex").alias("parse_method"),
-        F.lit("medium").alias("confidence"),
-    )
-    return tables.unionByName(items).unionByName(texts).where(F.col("uf").isin(STATES))
+    return named.where(F.col("uf").isin(STATES))
 
 
 def page_places(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
@@ -154,25 +145,32 @@ def _numbered(hits: Column, phase: int) -> Column:
 
 def pdf_links(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> DataFrame:
     """PDF addresses in order: anchors first, then addresses quoted anywhere in the page text."""
-    linked = anchors(pages, key, url, html)
-    wanted = r"(?s)\.pdf\z|^(?=.*/api/).*(?:download|arquivo|pdf)"
-    by_anchor = linked.where(F.lower(trim_ws("href")).rlike(wanted)).select(
-        key, F.lit(0).alias("phase"), "pos", resolve("page_url", trim_ws("href")).alias("link")
-    )
     quoted = r"(?i){q}(/api/[^\"']*(?:download|arquivo|pdf)[^\"']*){q}"
     patterns = [(r"(?i)(https?://[^\"'\s>]+\.pdf)"), quoted.format(q='"'), quoted.format(q="'")]
-    hits = F.concat(*[_numbered(F.regexp_extract_all(html, F.lit(p), F.lit(1)), n) for n, p in enumerate(patterns, 1)])
-    in_text = pages.select(key, F.col(url).alias("page_url"), F.explode(hits).alias("h")).select(
-        key, "h.phase", "h.pos", resolve("page_url", "h.hit").alias("link")
-    )
-    return keep_first(by_anchor.unionByName(in_text), [key, "link"], ["phase", "pos"])
+    sources = [F.transform(markup.anchor_tags(html), lambda a: trim_ws(markup.href(a)))]
+    sources += [F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in patterns]
+    hits = F.concat(*[_numbered(found, n) for n, found in enumerate(sources)])
+    wanted = r"(?s)\.pdf\z|^(?=.*/api/).*(?:download|arquivo|pdf)"
+    each = pages.select(key, F.col(url).alias("page_url"), F.explode(hits).alias("h")).select(key, "page_url", "h.*")
+    chosen = each.where((F.col("phase") > 0) | F.lower("hit").rlike(wanted))
+    links = chosen.select(key, "phase", "pos", resolve("page_url", "hit").alias("link"))
+    return keep_first(links, [key, "link"], ["phase", "pos"])
+
+
+# Links of a detail page that count as its report: .pdf targets and API downloads.
+REPORT_LINK = r"(?s)\.pdf\z|^(?=.*/api/).*download"
 
 
 def detail_pdf_links(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> DataFrame:
     """Narrow rule for detail pages: addresses ending in .pdf, or API downloads."""
     full = anchors(pages, key, url, html).withColumn("link", resolve("page_url", trim_ws("href")))
-    keep = F.lower("link").rlike(r"(?s)\.pdf\z|^(?=.*/api/).*download")
-    return keep_first(full.where(keep), [key, "link"], "pos").select(key, "link", "pos")
+    return keep_first(full.where(F.lower("link").rlike(REPORT_LINK)), [key, "link"], "pos").select(key, "link", "pos")
+
+
+def first_report_link(html: Column | str, url: Column | str) -> Column:
+    """First link of a page under the narrow rule, within the row."""
+    links = F.transform(markup.anchor_tags(html), lambda a: resolve(url, trim_ws(markup.href(a))))
+    return F.try_element_at(F.filter(links, lambda u: F.lower(u).rlike(REPORT_LINK)), F.lit(1))
 
 
 def script_paths(pages: DataFrame, key: str, html: str = "html") -> DataFrame:

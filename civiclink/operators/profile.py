@@ -14,27 +14,27 @@ def share(part: Column, whole: Column) -> Column:
 
 
 def crosswalk_summary(matched: DataFrame) -> DataFrame:
-    """Counts per method, alias hits, coverage and distinct names of a ladder output."""
+    """Counts per method, alias hits, coverage and distinct names of a ladder output, in one pass:
+    rows are counted per name first, so the distinct names need no second look at the table."""
     method = F.col("match_method")
     coded = F.col("ibge_municipality_code").isNotNull()
-    names = matched.select("uf", "municipality_name_clean").distinct().agg(F.count(F.lit(1))).scalar()
-    out = matched.agg(
-        F.count(F.lit(1)).alias("total_rows_input"),
-        F.count_if(method == "override").alias("matched_override"),
-        F.count_if(method == "exact").alias("matched_exact"),
-        F.count_if(method == "normalized_exact").alias("matched_normalized_exact"),
-        F.count_if(method.isin("fuzzy_strict", "fuzzy_relaxed")).alias("matched_fuzzy"),
-        F.count_if(method == "fuzzy_relaxed").alias("matched_fuzzy_relaxed"),
-        F.count_if(coded & F.col("match_notes").contains("alias_applied:")).alias("matched_alias_applied"),
-        F.count_if(method == "manual_needed").alias("manual_needed"),
-        F.count_if(method == "unmatched").alias("unmatched"),
-        F.count_if(coded).alias("_coded"),
-    )
-    return out.select(
-        *[c for c in out.columns if c != "_coded"],
-        share(F.col("_coded"), F.col("total_rows_input")).alias("coverage_rate"),
-        names.alias("unique_municipalities"),
+    counts = {
+        "total_rows_input": F.lit(True),
+        "matched_override": method == "override",
+        "matched_exact": method == "exact",
+        "matched_normalized_exact": method == "normalized_exact",
+        "matched_fuzzy": method.isin("fuzzy_strict", "fuzzy_relaxed"),
+        "matched_fuzzy_relaxed": method == "fuzzy_relaxed",
+        "matched_alias_applied": coded & F.col("match_notes").contains("alias_applied:"),
+        "manual_needed": method == "manual_needed",
+        "unmatched": method == "unmatched",
+        "_coded": coded,
+    }
+    per_name = matched.groupBy("uf", "municipality_name_clean").agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+    out = per_name.agg(
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counts], F.count(F.lit(1)).alias("unique_municipalities")
     )
+    return out.withColumn("coverage_rate", share(F.col("_coded"), F.col("total_rows_input"))).drop("_coded")
 
 
 def top_unmatched(matched: DataFrame, n: int = 30) -> DataFrame:

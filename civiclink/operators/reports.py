@@ -10,7 +10,7 @@ from civiclink.functions.jsonx import filled_text, nested_items, parse
 from civiclink.functions.markup import api_paths
 from civiclink.functions.text import collapse_ws, let, query_key, trim_ws
 from civiclink.functions.urls import resolve
-from civiclink.operators.pages import anchors, detail_pdf_links
+from civiclink.operators.pages import anchors, first_report_link
 from civiclink.operators.rows import keep_last
 from civiclink.operators.skew import salted_join
 
@@ -102,17 +102,13 @@ def candidates_from_pages(pages: DataFrame, key: str, strategy: str, discovered_
 def fill_missing_pdf(candidates: DataFrame, detail_pages: DataFrame, base_url: str, **skew) -> DataFrame:
     """PDF of candidates without one from their detail page: its first PDF link, else the first
     API path that looks like a download. `detail_pages` has one row per landing_url."""
-    linked = detail_pdf_links(detail_pages, "landing_url", "landing_url").groupBy("landing_url").agg(
-        F.min_by("link", "pos").alias("_linked")
-    )
     looks_right = lambda p: F.lower(p).rlike(r"download|arquivo|\.pdf")
     first_path = F.try_element_at(F.filter(api_paths("html"), looks_right), F.lit(1))
-    quoted = detail_pages.select("landing_url", first_path.alias("_path")).select(
-        "landing_url", resolve(F.lit(base_url), "_path").alias("_quoted")
+    details = detail_pages.select(
+        "landing_url", first_report_link("html", "landing_url").alias("_linked"), resolve(F.lit(base_url), first_path).alias("_quoted")
     )
-    details = quoted.join(linked, "landing_url", "left")
     spread = F.struct("candidate_id", "query_terms_used")
-    out = salted_join(candidates, details, ["landing_url"], spread, "left", **skew)
+    out = salted_join(candidates, details, ["landing_url"], spread, "left", unique_right=True, **skew)
     lacks = F.coalesce(F.col("pdf_url"), F.lit("")) == ""
     note = F.when(lacks & F.col("_linked").isNotNull(), "pdf_from_detail").when(
         lacks & F.col("_quoted").isNotNull(), "pdf_api_candidate"

@@ -1,9 +1,10 @@
-"""Joins that survive a hot key.
+"""Joins that survive hot keys on either side.
 
-A key that holds more than `share` of the left rows is hot; there can be at most 1/share of
-them, so the list of hot keys is small by construction and safe to broadcast. Rows of a hot
-key get a salt from their row identity, the right side repeats its hot rows once per salt,
-and the join runs on (key, salt). Cold keys all take salt 0.
+A key is hot when it holds more than `share` of the rows of a side; there can be at most 1/share
+such keys per side, so the list of hot keys is small by construction and safe to broadcast. Rows
+of a key that is hot on the left get a left salt and meet copies of the right rows; rows of a key
+that is hot on the right get a right salt and meet copies of the left rows. Every pair meets in
+exactly one (left salt, right salt) cell. Cold keys stay in cell (0, 0).
 """
 
 from __future__ import annotations
@@ -12,17 +13,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 0.005
+HOT_ROWS = 100_000
 SALTS = 64
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, floor: int = 100_000) -> DataFrame:
-    """Keys with more than max(floor, share of all rows) rows: at most 1/share of them."""
-    keyed = df.dropna(subset=keys)
-    counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = keyed.agg(F.count(F.lit(1))).scalar()
+def hot_among(counts: DataFrame, keys: list[str], share: float = HOT_SHARE, floor: int = HOT_ROWS) -> DataFrame:
+    """Keys of a (keys, _n) table with more than max(floor, share of all rows) rows."""
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
     return counts.where((F.col("_n") > floor) & (F.col("_n") > total * share)).select(*keys)
 
 
+def key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, floor: int = HOT_ROWS) -> DataFrame:
+    """Hot keys of a frame, at most 1/share of them. Only the key columns are read."""
+    return hot_among(key_counts(df, keys), keys, share, floor)
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -30,19 +39,40 @@ def salted_join(
     spread_by: Column,
     how: str = "inner",
     share: float = HOT_SHARE,
-    floor: int = 100_000,
+    floor: int = HOT_ROWS,
     salts: int = SALTS,
+    unique_right: bool = False,
+    hot_left: DataFrame | None = None,
 ) -> DataFrame:
-    """Equi-join (`inner` or `left`) with hot keys of the left side spread over `salts` tasks."""
+    """Equi-join (`inner` or `left`) with hot keys spread over several tasks.
+
+    `spread_by` tells left rows apart. With `unique_right` the right side has one row per key and
+    cannot be hot; `hot_left` passes hot keys that are already known.
+    """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
-    hot = F.broadcast(hot_keys(left, keys, share, floor).withColumn("_hot", F.lit(True)))
-    # Null keys match nothing, so they are spread like hot ones.
-    loose = F.col("_hot")
+    flag = lambda df, name: df.select(*keys, F.lit(True).alias(name))
+    marks = flag(hot_keys(left, keys, share, floor) if hot_left is None else hot_left, "_hot_l")
+    if unique_right:
+        marks = marks.withColumn("_hot_r", F.lit(False))
+    else:
+        marks = marks.join(flag(hot_keys(right, keys, share, floor), "_hot_r"), keys, "full")
+    marks = F.broadcast(marks)
+    no_key = F.lit(False)
     for k in keys:
-        loose = loose | F.col(k).isNull()
-    salt = F.when(loose, F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(0)
-    slots = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    l = left.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
-    r = right.join(hot, keys, "left").withColumn("_salt", F.explode(slots)).drop("_hot")
-    return l.join(r, [*keys, "_salt"], how).drop("_salt")
+        no_key = no_key | F.col(k).isNull()
+    own = lambda hot, row: F.when(hot, F.pmod(F.xxhash64(row), F.lit(salts)).cast("int")).otherwise(0)
+    every = lambda hot: F.explode(
+        F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    )
+    hot_l, hot_r = (F.coalesce(F.col(c), F.lit(False)) for c in ("_hot_l", "_hot_r"))
+    # Null keys match nothing; on the left they are spread like hot ones.
+    l = left.join(marks, keys, "left").withColumn("_a", own(hot_l | no_key, spread_by))
+    r = right.join(marks, keys, "left").withColumn("_a", every(hot_l))
+    if unique_right:
+        return l.drop("_hot_l", "_hot_r").join(r.drop("_hot_l", "_hot_r"), [*keys, "_a"], how).drop("_a")
+    l = l.withColumn("_copied", hot_r).withColumn("_b", every(hot_r)).drop("_hot_l", "_hot_r")
+    r = r.withColumn("_b", own(hot_r, F.struct(*right.columns))).drop("_hot_l", "_hot_r").withColumn("_met", F.lit(True))
+    out = l.join(r, [*keys, "_a", "_b"], how)
+    # A key that is hot on the right has a match for every left row, so copies without one go.
+    return out.where(~F.col("_copied") | F.col("_met").isNotNull()).drop("_a", "_b", "_copied", "_met")

@@ -177,7 +177,7 @@ _UNIT = "CASE WHEN c_nationkey % 4 = 0 THEN c_name ELSE '  ' || c_name || ' /' |
 )
 def _(t):
     c, n = t("customer"), t("nation")
-    units = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).withColumn("u", F.expr(_UNIT))
+    units = c.join(n, c.c_nationkey == n.n_nationkey).withColumn("u", F.expr(_UNIT))
     return units.select("c_custkey", audits.unit_state("u").alias("uf"), audits.unit_place("u").alias("place"))
 
 

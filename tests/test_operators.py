@@ -39,15 +39,24 @@ def test_exact_median(spark, values, want):
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_salted_join_equals_plain_join(spark, how):
+@pytest.mark.parametrize("right_hot", ["hot", "k1", "only_right"])
+def test_salted_join_equals_plain_join(spark, how, right_hot):
     left = spark.createDataFrame([(i, "hot" if i < 80 else f"k{i % 7}" if i < 95 else None) for i in range(100)], "i int, k string")
-    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), (None, 4)], "k string, r int")
+    many = [(right_hot, n) for n in range(40)]
+    right = spark.createDataFrame([*many, ("k3", 3), ("k4", 4), (None, 4)], "k string, r int")
     got = skew.salted_join(left, right, ["k"], F.col("i"), how, share=0.1, floor=10, salts=5)
     want = left.join(right, "k", how)
     assert sorted(map(str, got.select("i", "k", "r").collect())) == sorted(map(str, want.select("i", "k", "r").collect()))
     assert skew.hot_keys(left, ["k"], 0.1, 10).collect()[0].k == "hot"
 
 
+def test_salted_join_with_unique_right(spark):
+    left = spark.createDataFrame([(i, "hot" if i < 80 else None if i > 95 else "x") for i in range(100)], "i int, k string")
+    right = spark.createDataFrame([("hot", 1), ("y", 2)], "k string, r int")
+    got = skew.salted_join(left, right, ["k"], F.col("i"), "left", share=0.1, floor=10, salts=5, unique_right=True)
+    assert got.count() == 100 and got.where("r = 1").count() == 80
+
+
 def test_samples(spark):
     df = ints(spark, range(50))
     first = [r.v for r in rows.seeded_sample(df, ["v"], 5, 1).collect()]
