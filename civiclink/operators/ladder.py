@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from civiclink.functions.similarity import NameBlock
 from civiclink.functions.text import join_notes, match_key, pad_code, trim_ws, upper_key
 from civiclink.operators.rows import top_per_key
-from civiclink.operators.skew import hot_among, key_counts, salted_join
+from civiclink.operators.skew import key_counts, salted_join
 from civiclink.sources.scratch import cut_lineage
 
 STRICT_DEFAULT = 92.0
@@ -46,7 +46,7 @@ def _latest(df: DataFrame, keys: dict, value: dict, order: str) -> DataFrame:
 
 def distinct_names(rows: DataFrame) -> DataFrame:
     """Distinct non-null (uf, name) of the rows with the number of rows, _n."""
-    return key_counts(_keyed(rows), ["_uf", "_name"])
+    return key_counts(_keyed(rows), ["_uf", "_name"]).dropna(subset=["_uf", "_name"])
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -233,13 +233,21 @@ def fuzzy_decisions(candidates: DataFrame, threshold: float = STRICT_DEFAULT) ->
 
 
 def _resolve_names(
-    rows: DataFrame, reference: DataFrame, threshold: float, aliases: DataFrame | None, overrides: DataFrame | None
-) -> tuple[DataFrame, DataFrame]:
+    rows: DataFrame,
+    reference: DataFrame,
+    threshold: float,
+    aliases: DataFrame | None,
+    overrides: DataFrame | None,
+    reuse_candidates: bool = False,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Answers per name, fuzzy candidates, and the stored (name, number of rows) table."""
     # The names feed the fuzzy step, its join back and the hot-key list; stored once, the rows are
     # read for them once.
     looked_up = cut_lineage(lookup_ladder(rows, reference, aliases, overrides))
     open_names = looked_up.where(F.col("match_method").isNull()).select(F.col("_uf").alias("uf"), "name_norm")
     candidates = fuzzy_candidates(open_names, reference)
+    if reuse_candidates:
+        candidates = cut_lineage(candidates)
     decided = fuzzy_decisions(candidates, threshold).select(
         F.col("uf").alias("_uf"),
         "name_norm",
@@ -273,17 +281,16 @@ def _resolve_names(
         .otherwise(F.col("match_notes"))
         .alias("match_notes"),
     )
-    return names, candidates
+    return names, candidates, looked_up.select("_uf", "_name", "_n")
 
 
 def _spread(rows: DataFrame) -> Column:
     return F.struct(*[F.col(c) for c in rows.columns])
 
 
-def _attach(rows: DataFrame, names: DataFrame) -> DataFrame:
-    keys = ["_uf", "_name"]
+def _attach(rows: DataFrame, names: DataFrame, counts: DataFrame) -> DataFrame:
     joined = salted_join(
-        _keyed(rows), names.drop("name_norm", "_n"), keys, _spread(rows), "left", unique_right=True, hot_left=hot_among(names, keys)
+        _keyed(rows), names.drop("name_norm", "_n"), ["_uf", "_name"], _spread(rows), "left", unique_right=True, left_counts=counts
     )
     added = ("alias_applied", "ibge_municipality_code", "match_method", "match_score", "matched_name_official", "match_notes")
     kept = [c for c in rows.columns if c not in (*added, "uf", "municipality_name_clean")]
@@ -304,7 +311,8 @@ def match_by_lookup(
     rows: DataFrame, reference: DataFrame, aliases: DataFrame | None = None, overrides: DataFrame | None = None
 ) -> DataFrame:
     """Rows with the answer of the lookup steps alone; the rest is unmatched."""
-    return _attach(rows, cut_lineage(lookup_ladder(rows, reference, aliases, overrides)))
+    names = cut_lineage(lookup_ladder(rows, reference, aliases, overrides))
+    return _attach(rows, names, names.select("_uf", "_name", "_n"))
 
 
 def match_places(
@@ -315,8 +323,8 @@ def match_places(
     overrides: DataFrame | None = None,
 ) -> DataFrame:
     """Rows with code, method, score, official name and notes after the whole ladder."""
-    names, _ = _resolve_names(rows, reference, threshold, aliases, overrides)
-    return _attach(rows, names)
+    names, _, counts = _resolve_names(rows, reference, threshold, aliases, overrides)
+    return _attach(rows, names, counts)
 
 
 def review_candidates(
@@ -327,8 +335,8 @@ def review_candidates(
     overrides: DataFrame | None = None,
 ) -> DataFrame:
     """Up to five suggestions for every row the ladder leaves to manual review."""
-    names, candidates = _resolve_names(rows, reference, threshold, aliases, overrides)
-    names = names.where(F.col("match_method") == "manual_needed").select("_uf", "_name", "_n", "name_norm")
+    names, candidates, counts = _resolve_names(rows, reference, threshold, aliases, overrides, reuse_candidates=True)
+    names = names.where(F.col("match_method") == "manual_needed").select("_uf", "_name", "name_norm")
     suggested = names.join(candidates.withColumnRenamed("uf", "_uf"), ["_uf", "name_norm"]).select(
         "_uf",
         "_name",
@@ -340,5 +348,5 @@ def review_candidates(
     keys, added = ["_uf", "_name"], ("suggested_ibge_code", "suggested_name_official", "score", "rank")
     kept = [c for c in rows.columns if c not in (*added, "uf", "municipality_name_clean")]
     # At most five right rows per key, so only the left side can be hot.
-    joined = salted_join(_keyed(rows), suggested, keys, _spread(rows), unique_right=True, hot_left=hot_among(names, keys))
+    joined = salted_join(_keyed(rows), suggested, keys, _spread(rows), unique_right=True, left_counts=counts)
     return joined.select(*kept, F.col("_name").alias("municipality_name_clean"), F.col("_uf").alias("uf"), *added)

@@ -1,35 +1,37 @@
 """Joins that survive hot keys on either side.
 
 A key is hot when it holds more than `share` of the rows of a side; there can be at most 1/share
-such keys per side, so the list of hot keys is small by construction and safe to broadcast. Rows
-of a key that is hot on the left get a left salt and meet copies of the right rows; rows of a key
-that is hot on the right get a right salt and meet copies of the left rows. Every pair meets in
-exactly one (left salt, right salt) cell. Cold keys stay in cell (0, 0).
+such keys per side. They are found by one count over the key columns and come to the driver as a
+list of at most 1/share rows. Without hot keys the join is a plain equi-join. Otherwise rows of a
+key that is hot on the left get a left salt and meet copies of the right rows, and the other way
+round for the right; every pair meets in exactly one (left salt, right salt) cell, and cold keys
+stay in cell (0, 0).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 HOT_SHARE = 0.005
 HOT_ROWS = 100_000
 SALTS = 64
 
 
-def hot_among(counts: DataFrame, keys: list[str], share: float = HOT_SHARE, floor: int = HOT_ROWS) -> DataFrame:
-    """Keys of a (keys, _n) table with more than max(floor, share of all rows) rows."""
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
-    return counts.where((F.col("_n") > floor) & (F.col("_n") > total * share)).select(*keys)
-
-
 def key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    """Rows per key, null keys included; duplicates collapse in the map tasks."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, floor: int = HOT_ROWS) -> DataFrame:
-    """Hot keys of a frame, at most 1/share of them. Only the key columns are read."""
-    return hot_among(key_counts(df, keys), keys, share, floor)
+def hot_keys(counts: DataFrame, share: float = HOT_SHARE, floor: int = HOT_ROWS) -> list[Row]:
+    """Keys of a (keys, _n) table with more than max(floor, share of all rows) rows."""
+    most = round(1 / share) if share else 1000
+    top = counts.where(F.col("_n") > floor).orderBy(F.col("_n").desc()).limit(most).collect()
+    if not top:
+        return []
+    total = counts.agg(F.sum("_n")).first()[0]
+    return [r for r in top if r["_n"] > total * share]
 
 
 def salted_join(
@@ -42,22 +44,27 @@ def salted_join(
     floor: int = HOT_ROWS,
     salts: int = SALTS,
     unique_right: bool = False,
-    hot_left: DataFrame | None = None,
+    left_counts: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join (`inner` or `left`) with hot keys spread over several tasks.
 
-    `spread_by` tells left rows apart. With `unique_right` the right side has one row per key and
-    cannot be hot; `hot_left` passes hot keys that are already known.
+    `spread_by` tells left rows apart. With `unique_right` the right side has few rows per key and
+    cannot be hot; `left_counts` passes a (keys, _n) table that is already there.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
-    flag = lambda df, name: df.select(*keys, F.lit(True).alias(name))
-    marks = flag(hot_keys(left, keys, share, floor) if hot_left is None else hot_left, "_hot_l")
-    if unique_right:
-        marks = marks.withColumn("_hot_r", F.lit(False))
-    else:
-        marks = marks.join(flag(hot_keys(right, keys, share, floor), "_hot_r"), keys, "full")
-    marks = F.broadcast(marks)
+    found_l = hot_keys(key_counts(left, keys) if left_counts is None else left_counts, share, floor)
+    found_r = [] if unique_right else hot_keys(key_counts(right, keys), share, floor)
+    if not found_l and not found_r:
+        return left.join(right, keys, how)
+    flags: dict[tuple, list[bool]] = {}
+    for side, found in enumerate((found_l, found_r)):
+        for r in found:
+            key = tuple(r[k] for k in keys)
+            if None not in key:
+                flags.setdefault(key, [False, False])[side] = True
+    schema = StructType([*(left.schema[k] for k in keys), StructField("_hot_l", BooleanType()), StructField("_hot_r", BooleanType())])
+    marks = F.broadcast(left.sparkSession.createDataFrame([(*k, *f) for k, f in flags.items()], schema))
     no_key = F.lit(False)
     for k in keys:
         no_key = no_key | F.col(k).isNull()
@@ -68,10 +75,8 @@ def salted_join(
     hot_l, hot_r = (F.coalesce(F.col(c), F.lit(False)) for c in ("_hot_l", "_hot_r"))
     # Null keys match nothing; on the left they are spread like hot ones.
     l = left.join(marks, keys, "left").withColumn("_a", own(hot_l | no_key, spread_by))
-    r = right.join(marks, keys, "left").withColumn("_a", every(hot_l))
-    if unique_right:
-        return l.drop("_hot_l", "_hot_r").join(r.drop("_hot_l", "_hot_r"), [*keys, "_a"], how).drop("_a")
     l = l.withColumn("_copied", hot_r).withColumn("_b", every(hot_r)).drop("_hot_l", "_hot_r")
+    r = right.join(marks, keys, "left").withColumn("_a", every(hot_l))
     r = r.withColumn("_b", own(hot_r, F.struct(*right.columns))).drop("_hot_l", "_hot_r").withColumn("_met", F.lit(True))
     out = l.join(r, [*keys, "_a", "_b"], how)
     # A key that is hot on the right has a match for every left row, so copies without one go.
