@@ -192,7 +192,10 @@ def fuzzy_candidates(names: DataFrame, reference: DataFrame) -> DataFrame:
         .withColumn("_chunk", F.pmod(F.xxhash64("candidate"), F.lit(chunks)))
         .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     )
+    # Scoring costs far more than its few bytes suggest, so the number of tasks is set here:
+    # adaptive execution merges partitions by bytes and would leave too few.
     by = ["uf", "_salt", "_chunk"]
+    wanted, blocks = wanted.repartition(salts, *by), blocks.repartition(salts, *by)
     scored = wanted.groupBy(*by).cogroup(blocks.groupBy(*by)).applyInPandas(_score_block, _CANDIDATE)
     return top_per_key(scored, ["uf", "name_norm"], [F.col("score").desc(), F.col("ref_pos")], SUGGESTIONS)
 
