@@ -19,6 +19,8 @@ from pyspark.sql.types import DoubleType
 TOKEN_WEIGHT = 0.95
 PARTIAL_WEIGHT, FAR_PARTIAL_WEIGHT = 0.9, 0.6
 PARTIAL_FROM, FAR_FROM = 1.5, 8.0
+# Scores closer than this count as equal.
+NOISE = 1e-8
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -167,10 +169,10 @@ class NameBlock:
         scored: list[tuple[float, int]] = []
         floor = -1.0
         for row in np.argsort(-bounds, kind="stable"):
-            if bounds[row] < floor:
+            if bounds[row] < floor - NOISE:
                 break
             score = weighted_ratio(query, self.names[row])
-            if score < floor:
+            if score < floor - NOISE:
                 continue
             scored.append((score, int(row)))
             scored.sort(reverse=True)
@@ -180,7 +182,7 @@ class NameBlock:
                 if places >= k:
                     floor = value
                     break
-        return [pair for pair in scored if pair[0] >= floor]
+        return [pair for pair in scored if pair[0] >= floor - NOISE]
 
 
 def _repeats(text: str) -> bool:

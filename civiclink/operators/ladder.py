@@ -160,7 +160,8 @@ def _score_block(names: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
     uf, codes, officials = names["uf"].iat[0], block["code"].tolist(), block["official"].tolist()
     out = []
     for name in names["name_norm"]:
-        hits = [(-s, pos, row) for s, row in scorer.best(name, weight, SUGGESTIONS) for pos in places[row]]
+        # Rounded, so that scores equal up to floating-point noise tie and keep reference order.
+        hits = [(-round(s, 9), pos, row) for s, row in scorer.best(name, weight, SUGGESTIONS) for pos in places[row]]
         for minus, pos, row in sorted(hits)[:SUGGESTIONS]:
             out.append((uf, name, -minus, pos, scorer.names[row], codes[row], officials[row]))
     return pd.DataFrame(out, columns=columns)
@@ -212,6 +213,7 @@ def fuzzy_decisions(candidates: DataFrame, threshold: float = STRICT_DEFAULT) ->
     )
     margin = F.col("best_score") - F.col("second_score")
     edits = F.levenshtein("name_norm", "candidate")
+    two = lambda c: F.format_number(c, 2)  # noqa: E731  (half-even, as in the notes of earlier runs)
     strict = F.col("best_score") >= threshold
     relaxed = (F.col("best_score") >= RELAXED_SCORE) & (margin >= RELAXED_MARGIN) & (edits <= RELAXED_EDITS)
     return (
@@ -223,11 +225,12 @@ def fuzzy_decisions(candidates: DataFrame, threshold: float = STRICT_DEFAULT) ->
         )
         .withColumn(
             "note",
-            F.when(strict, F.format_string("fuzzy_strict:score=%.2f", "best_score"))
+            F.when(strict, F.concat(F.lit("fuzzy_strict:score="), two("best_score")))
             .when(
                 relaxed,
-                F.format_string(
-                    "fuzzy_relaxed:score=%.2f,margin=%.2f,edit_distance=%d", "best_score", "margin", "edit_distance"
+                F.concat(
+                    F.lit("fuzzy_relaxed:score="), two("best_score"), F.lit(",margin="), two("margin"),
+                    F.lit(",edit_distance="), F.col("edit_distance").cast("string"),
                 ),
             )
             .otherwise("below_threshold_or_low_margin_or_edit_distance"),

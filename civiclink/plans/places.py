@@ -51,12 +51,6 @@ def _(t):
     return ladder.match_by_lookup(rows, ref, **extra)
 
 
-@query("place_ladder_full")
-def _(t):
-    rows, ref, extra = _inputs(t)
-    return ladder.match_places(rows, ref, **extra)
-
-
 @query(
     "alias_step",
     LADDER_SQL + "SELECT DISTINCT uf, municipality_name_clean, norm AS name_norm, alias_applied FROM answer",
@@ -100,10 +94,8 @@ view(
     """SELECT seq, municipality_name_clean AS dirty, p_name AS official FROM {dirty_places} JOIN {part} ON seq = p_partkey""",
 )
 
-# The weighted score in SQL, over the distinct pairs of the table above.
-SCORE_SQL = f"""WITH keyed AS (SELECT seq, {q.match_key('dirty')} AS a, {q.match_key('official')} AS b FROM {{name_pairs}}),
-pairs AS (SELECT DISTINCT a, b FROM keyed),
-tok AS (SELECT a, b, list_sort(string_split(a, ' ')) AS ta, list_sort(string_split(b, ' ')) AS tb FROM pairs),
+# The weighted score in SQL for a table pairs(a, b).
+SCORES = f"""tok AS (SELECT a, b, list_sort(string_split(a, ' ')) AS ta, list_sort(string_split(b, ' ')) AS tb FROM pairs),
 sets AS (SELECT a, b, array_to_string(ta, ' ') AS sa, array_to_string(tb, ' ') AS sb,
   array_to_string(list_sort(list_distinct(list_filter(ta, lambda x: list_contains(tb, x)))), ' ') AS sect,
   array_to_string(list_sort(list_distinct(list_filter(ta, lambda x: NOT list_contains(tb, x)))), ' ') AS da,
@@ -135,7 +127,8 @@ final AS (SELECT a, b, plain, CASE WHEN spread < 1.5 THEN greatest(plain, 0.95 *
 
 @query(
     "name_similarity",
-    SCORE_SQL + """SELECT seq, levenshtein(k.a, k.b) AS edit_distance, CAST(round(plain, 6) AS DOUBLE) AS ratio, CAST(round(weighted, 6) AS DOUBLE) AS weighted_ratio
+    f"""WITH keyed AS (SELECT seq, {q.match_key('dirty')} AS a, {q.match_key('official')} AS b FROM {{name_pairs}}),
+pairs AS (SELECT DISTINCT a, b FROM keyed), """ + SCORES + """SELECT seq, levenshtein(k.a, k.b) AS edit_distance, CAST(round(plain, 6) AS DOUBLE) AS ratio, CAST(round(weighted, 6) AS DOUBLE) AS weighted_ratio
   FROM keyed k JOIN final f ON k.a = f.a AND k.b = f.b""",
 )
 def _(t):
@@ -149,24 +142,70 @@ def _(t):
     return keyed.join(scored, ["a", "b"]).drop("a", "b")
 
 
-@query("fuzzy_top_candidates")
-def _(t):
+# The fuzzy step in SQL: every open name against every reference name of its state.
+FUZZY_SQL = LADDER_SQL.rstrip() + f""",
+open_ AS (SELECT DISTINCT uf, norm FROM answer WHERE match_method = 'unmatched'),
+pairs AS (SELECT DISTINCT norm AS a, municipality_name_norm AS b FROM open_ JOIN {{ref_places}} p USING (uf)),
+{SCORES.rstrip()},
+firsts AS (SELECT uf AS fuf, municipality_name_norm AS fname, arg_min(ibge_municipality_code, ref_pos) AS code, arg_min(municipality_name_official, ref_pos) AS official FROM {{ref_places}} GROUP BY 1, 2),
+cand AS (SELECT * FROM (SELECT o.uf, o.norm AS name_norm, round(weighted, 6) AS score, ref_pos, b AS candidate, code, official,
+    row_number() OVER (PARTITION BY o.uf, o.norm ORDER BY round(weighted, 6) DESC, ref_pos) AS rank
+  FROM open_ o JOIN {{ref_places}} p ON p.uf = o.uf JOIN final ON a = o.norm AND b = municipality_name_norm JOIN firsts ON fuf = o.uf AND fname = b) WHERE rank <= 5),
+best AS (SELECT uf, name_norm, max(score) FILTER (WHERE rank = 1) AS best_score, coalesce(max(score) FILTER (WHERE rank = 2), 0) AS second_score,
+  max(candidate) FILTER (WHERE rank = 1) AS candidate, max(code) FILTER (WHERE rank = 1) AS code, max(official) FILTER (WHERE rank = 1) AS official FROM cand GROUP BY 1, 2),
+ruled AS (SELECT *, round(best_score - second_score, 6) AS margin, levenshtein(name_norm, candidate) AS edit_distance, CASE WHEN best_score >= 92 THEN 'fuzzy_strict'
+  WHEN best_score >= 85 AND best_score - second_score >= 10 AND levenshtein(name_norm, candidate) <= 2 THEN 'fuzzy_relaxed' ELSE 'manual_needed' END AS method FROM best),
+noted AS (SELECT *, CASE method WHEN 'fuzzy_strict' THEN printf('fuzzy_strict:score=%.2f', best_score)
+  WHEN 'fuzzy_relaxed' THEN printf('fuzzy_relaxed:score=%.2f,margin=%.2f,edit_distance=%d', best_score, margin, edit_distance)
+  ELSE 'below_threshold_or_low_margin_or_edit_distance' END AS note FROM ruled) """
+
+
+def _open_names(t):
     rows, ref, extra = _inputs(t)
     names = ladder.lookup_ladder(rows, ref, **extra).where(F.col("match_method").isNull())
-    return ladder.fuzzy_candidates(names.select(F.col("_uf").alias("uf"), "name_norm"), ref)
+    return names.select(F.col("_uf").alias("uf"), "name_norm"), ref
+
+
+@query("fuzzy_top_candidates", FUZZY_SQL + "SELECT uf, name_norm, score, ref_pos, candidate, code, official, rank FROM cand")
+def _(t):
+    return ladder.fuzzy_candidates(*_open_names(t)).withColumn("score", F.round("score", 6))
+
 
+@query(
+    "fuzzy_margins",
+    FUZZY_SQL + "SELECT uf, name_norm, best_score, second_score, margin, edit_distance, candidate, code, official, method AS match_method, note FROM noted",
+)
+def _(t):
+    out = ladder.fuzzy_decisions(ladder.fuzzy_candidates(*_open_names(t)))
+    rounded = {c: F.round(c, 6) for c in ("best_score", "second_score", "margin")}
+    return out.withColumns({**rounded, "edit_distance": F.col("edit_distance").cast("long")})
 
-@query("fuzzy_margins")
+
+@query(
+    "manual_review_candidates",
+    FUZZY_SQL + """SELECT seq, municipality_name_clean, w.uf, c.code AS suggested_ibge_code, c.official AS suggested_name_official, c.score, c.rank
+  FROM answer w JOIN noted n ON w.uf = n.uf AND w.norm = n.name_norm JOIN cand c ON c.uf = n.uf AND c.name_norm = n.name_norm
+  WHERE match_method = 'unmatched' AND method = 'manual_needed'""",
+)
 def _(t):
     rows, ref, extra = _inputs(t)
-    names = ladder.lookup_ladder(rows, ref, **extra).where(F.col("match_method").isNull())
-    return ladder.fuzzy_decisions(ladder.fuzzy_candidates(names.select(F.col("_uf").alias("uf"), "name_norm"), ref))
+    return ladder.review_candidates(rows, ref, **extra).withColumn("score", F.round("score", 6))
 
 
-@query("manual_review_candidates")
+@query(
+    "place_ladder_full",
+    FUZZY_SQL + """SELECT seq, w.uf, municipality_name_clean, alias_applied,
+  CASE WHEN match_method <> 'unmatched' THEN ibge_municipality_code WHEN method LIKE 'fuzzy%' THEN n.code END AS ibge_municipality_code,
+  CASE WHEN match_method <> 'unmatched' THEN match_method ELSE coalesce(method, 'unmatched') END AS match_method,
+  round(CASE WHEN match_method <> 'unmatched' THEN 1 ELSE coalesce(best_score / 100, 0) END, 6) AS match_score,
+  CASE WHEN match_method <> 'unmatched' THEN matched_name_official WHEN method LIKE 'fuzzy%' THEN n.official END AS matched_name_official,
+  CASE WHEN match_method <> 'unmatched' THEN match_notes WHEN method IS NULL THEN 'no_reference_for_uf'
+    WHEN match_notes = '' THEN note ELSE match_notes || '; ' || note END AS match_notes
+  FROM answer w LEFT JOIN noted n ON w.uf = n.uf AND w.norm = n.name_norm""",
+)
 def _(t):
     rows, ref, extra = _inputs(t)
-    return ladder.review_candidates(rows, ref, **extra)
+    return ladder.match_places(rows, ref, **extra).withColumn("match_score", F.round("match_score", 6))
 
 
 _COUNTS = ", ".join(
