@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from civiclink.functions.text import trim_ws
+from civiclink.functions.text import let, trim_ws
 
 # Where a place record keeps its state, in order of preference.
 STATE_PATHS = (
@@ -33,6 +33,14 @@ def kind(v: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(v), r"^\w+", 0)
 
 
+def is_object(v: Column) -> Column:
+    return F.schema_of_variant(v).startswith("OBJECT")
+
+
+def is_array(v: Column) -> Column:
+    return F.schema_of_variant(v).startswith("ARRAY")
+
+
 def at(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "variant")
 
@@ -43,8 +51,7 @@ def as_text(v: Column) -> Column:
 
 def members(v: Column) -> Column:
     """Members of a JSON array as array<variant>, an empty array for anything else."""
-    listed = F.when(kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>"))
-    return F.coalesce(listed, F.array().cast("array<variant>"))
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
 
 
 def place_state(v: Column) -> Column:
@@ -69,28 +76,30 @@ def filled_text(v: Column, *keys: str) -> Column:
     return F.coalesce(*[one(k) for k in keys])
 
 
-def nested_items(root: Column, depth: int = 6) -> Column:
+def nested_items(root: Column, depth: int = 32) -> Column:
     """Item objects of a nested search answer as array<variant>.
 
     Objects inside a list count as items. An object outside a list is opened along the container
-    keys, and is an item itself when it has an id or a title.
+    keys, and is an item itself when it has an id or a title. Levels without nodes cost nothing.
     """
     none = F.array().cast("array<variant>")
 
     def open_level(acc: Column, _: Column) -> Column:
-        nodes = acc["nodes"]
-        objects = F.filter(nodes, lambda n: kind(n) == "OBJECT")
+        return F.when(F.size(acc["nodes"]) == 0, acc).otherwise(let(parts(acc["nodes"]), lambda p: merge(acc, p)))
+
+    def parts(nodes: Column) -> Column:
+        """Objects among the nodes, and the members of the arrays among them."""
         inside = F.flatten(F.transform(nodes, members))
+        return F.struct(F.filter(nodes, is_object).alias("objects"), inside.alias("inside"))
+
+    def merge(acc: Column, p: Column) -> Column:
+        objects, inside = p["objects"], p["inside"]
         named = F.filter(
             objects, lambda n: reduce(lambda a, b: a | b, [at(n, f"$.{k}").isNotNull() for k in ITEM_KEYS])
         )
         held = F.flatten(F.transform(objects, lambda n: F.array_compact(F.array(*[at(n, f"$.{k}") for k in CONTAINERS]))))
-        listed = F.filter(inside, lambda n: kind(n) == "OBJECT")
-        lists = F.filter(inside, lambda n: kind(n) == "ARRAY")
-        step = F.struct(
-            F.concat(acc["found"], listed, named).alias("found"), F.concat(lists, held).alias("nodes")
-        )
-        return F.when(F.size(nodes) == 0, acc).otherwise(step)
+        listed, lists = F.filter(inside, is_object), F.filter(inside, is_array)
+        return F.struct(F.concat(acc["found"], listed, named).alias("found"), F.concat(lists, held).alias("nodes"))
 
     start = F.struct(none.alias("found"), F.array_compact(F.array(root)).alias("nodes"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, open_level, lambda acc: acc["found"])
