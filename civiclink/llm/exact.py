@@ -134,7 +134,8 @@ def exact_duplicates(
     )
     suspects = rows.where("again")
     rank = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")
-    groups = suspects.groupBy("sha").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    # One row per suspected text, stored: the join then deals out both sides itself and can split a hot text.
+    groups = stored(suspects.groupBy("sha").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("group_size")))
     again = suspects.join(groups, "sha").select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), F.col("sha").alias("text_sha256")
     )

@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiclink.llm.common import read
+from civiclink.llm.common import BLANKS, read
+from civiclink.llm.decontaminate import contamination
 from civiclink.llm.exact import exact_duplicates
+from civiclink.llm.langid import language_table
+from civiclink.llm.licenses import license_scan
+from civiclink.llm.lines import line_dedup
+from civiclink.llm.mixing import mixed
+from civiclink.llm.secrets import secrets
 from civiclink.llm.sharding import shard_table
 from civiclink.llm.simhash import near_duplicates
+from civiclink.llm.tokens import Rollup, count_bytes, count_tokens
+from civiclink.sources.scratch import shared_folder
 
 SHARDS = 24
+RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k"
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,20 +34,110 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10)
+    return found.drop("items")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(read(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_table(read(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_table(read(spark, sf_dir, "documents"), SHARDS)
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stands for a repository, every source for an owner."""
+    return secrets(read(spark, sf_dir, "documents")).drop("found")
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read(spark, sf_dir, "documents")).drop("found")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixed(read(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0), share=1.5, limit=2.0, shards=SHARDS)
+    listed = F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards")
+    return found.select("doc_id", "size", "source_size", "target", "taken", "copies", listed)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four commits: all documents, the same batch once more (which changes nothing), a takedown of
+    documents labelled toxic, and new counts for documents of low quality after their white space was cleaned."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    rollup = Rollup(spark, shared_folder(spark, "tokens"), docs.schema["doc_id"].dataType.simpleString())
+    counted = lambda rows: count_tokens(rows, TOKENIZER, RANKS_FILE).unionByName(count_bytes(rows))
+    rollup.commit("load", counted(docs))
+    rollup.commit("load", counted(docs))
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    rollup.commit("takedown", deletes=toxic)
+    poor = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
+    cleaned = docs.join(poor, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", BLANKS, " "))
+    rollup.commit("cleaned", revised=counted(cleaned))
+    return rollup.totals()
+
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+s AS (SELECT item, w, least(10, len(w)) AS n FROM i WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item, n, array_to_string(w[p:p + n - 1], ' ') AS k FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM s)),
+dw AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM iw))),
+hits AS (SELECT doc_id, item, p, dw.n FROM dw JOIN iw ON dw.k = iw.k AND dw.n = iw.n),
+covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+def _spans_sql(kind: int, pattern: str, group: int, least: int) -> str:
+    """Matches of one kind: the text between two matches gives the distance from one to the next."""
+    value = f"regexp_extract_all(t, '{pattern}', {group})"
+    return f"""SELECT doc_id, {kind} AS kind, v AS value, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m) AS BIGINT) AS start, length(m) AS n FROM
+  (SELECT doc_id, unnest(list_slice(string_split_regex(t, '{pattern}'), 1, -2)) AS gap, unnest(regexp_extract_all(t, '{pattern}', 0)) AS m, unnest({value}) AS v,
+    unnest(range(len({value}))) AS i FROM t WHERE regexp_matches(t, '{pattern}')) QUALIFY length(v) >= {least}"""
+
+
+_ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+OP7_SQL = f"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+base AS ({_spans_sql(0, _ASSIGN, 2, 12)} UNION ALL {_spans_sql(1, "AKIA[A-Z0-9]{14,}", 0, 0)} UNION ALL {_spans_sql(2, "[0-9a-f]{16,}", 0, 0)}),
+more AS ({_spans_sql(3, "[A-Za-z0-9+/_=-]{20,}", 0, 0)}),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM more m WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = m.doc_id AND b.start < m.start + m.n AND m.start < b.start + b.n)),
+owned AS (SELECT value, count(DISTINCT doc_id) AS repos, count(DISTINCT coalesce('=' || source, '')) AS owners FROM spans JOIN t USING (doc_id) GROUP BY value),
+chars AS (SELECT value, c, count(*) AS k FROM (SELECT value, unnest(string_split(value, '')) AS c FROM owned) GROUP BY 1, 2),
+bits AS (SELECT value, log2(sum(k)) - sum(k * log2(k)) / sum(k) AS entropy FROM chars GROUP BY value),
+judged AS (SELECT spans.*, owners, CASE WHEN owners >= 3 AND repos >= 3 THEN 'copied' WHEN entropy >= 3 THEN 'live' ELSE 'weak' END AS verdict,
+  CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'generic' END || ':' || start || ':' || (start + n) AS label
+  FROM spans JOIN owned USING (value) JOIN bits USING (value)),
+kept AS (SELECT * FROM judged WHERE kind < 3 OR (verdict = 'live' AND owners = 1)),
+g AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+  string_agg(label, ',' ORDER BY start, kind, n) FILTER (WHERE kind < 3) AS base, string_agg(label, ',' ORDER BY start, kind, n) AS spans,
+  count(*) FILTER (WHERE kind = 3) AS n_generic, count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'copied') AS n_copied FROM kept GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_generic, 0) AS n_generic, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM t LEFT JOIN g USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_simhash": op1_simhash,
-    "op2_exact_dedup": op2_exact_dedup,
-    "op6_sharding": op6_sharding,
-}
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_exact_dedup, op3_decontamination, op4_line_dedup, op5_language_id, op6_sharding,
+        op7_secrets, op8_licenses, op9_mixing, op10_token_counts,
+    )
+}
 
-ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_decontamination": OP3_SQL, "op7_secrets": OP7_SQL}
