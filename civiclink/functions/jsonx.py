@@ -76,30 +76,49 @@ def filled_text(v: Column, *keys: str) -> Column:
     return F.coalesce(*[one(k) for k in keys])
 
 
-def nested_items(root: Column, depth: int = 32) -> Column:
-    """Item objects of a nested search answer as array<variant>.
+def nesting(payload: Column) -> Column:
+    """Upper bound of the nesting depth of a JSON text: its opening brackets."""
+    return F.length(F.regexp_replace(payload, r"[^\[{]", ""))
+
+
+def nested_items(root: Column, depth: Column) -> Column:
+    """Item objects of a nested search answer as array<variant>, in reading order.
 
     Objects inside a list count as items. An object outside a list is opened along the container
-    keys, and is an item itself when it has an id or a title. Levels without nodes cost nothing.
+    keys, and is an item itself, behind what it holds, when it has an id or a title. Each node carries its
+    path; the paths sort as the answer reads. `depth` is an upper bound of the nesting; levels without
+    nodes cost nothing.
     """
-    none = F.array().cast("array<variant>")
+    node = "array<struct<path:string,v:variant>>"
+    none = F.array().cast(node)
+    one = lambda path, v: F.struct(path.alias("path"), v.alias("v"))
 
     def open_level(acc: Column, _: Column) -> Column:
         return F.when(F.size(acc["nodes"]) == 0, acc).otherwise(let(parts(acc["nodes"]), lambda p: merge(acc, p)))
 
+    def listed(n: Column) -> Column:
+        return F.transform(members(n["v"]), lambda m, i: one(F.concat(n["path"], F.lpad(i.cast("string"), 10, "0")), m))
+
     def parts(nodes: Column) -> Column:
         """Objects among the nodes, and the members of the arrays among them."""
-        inside = F.flatten(F.transform(nodes, members))
-        return F.struct(F.filter(nodes, is_object).alias("objects"), inside.alias("inside"))
+        inside = F.flatten(F.transform(nodes, listed))
+        return F.struct(F.filter(nodes, lambda n: is_object(n["v"])).alias("objects"), inside.alias("inside"))
+
+    def held(n: Column) -> Column:
+        each = [one(F.concat(n["path"], F.lit(f"{i}")), at(n["v"], f"$.{k}")) for i, k in enumerate(CONTAINERS)]
+        return F.filter(F.array(*each), lambda x: x["v"].isNotNull())
 
     def merge(acc: Column, p: Column) -> Column:
         objects, inside = p["objects"], p["inside"]
-        named = F.filter(
-            objects, lambda n: reduce(lambda a, b: a | b, [at(n, f"$.{k}").isNotNull() for k in ITEM_KEYS])
-        )
-        held = F.flatten(F.transform(objects, lambda n: F.array_compact(F.array(*[at(n, f"$.{k}") for k in CONTAINERS]))))
-        listed, lists = F.filter(inside, is_object), F.filter(inside, is_array)
-        return F.struct(F.concat(acc["found"], listed, named).alias("found"), F.concat(lists, held).alias("nodes"))
-
-    start = F.struct(none.alias("found"), F.array_compact(F.array(root)).alias("nodes"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, open_level, lambda acc: acc["found"])
+        named = F.filter(objects, lambda n: reduce(lambda a, b: a | b, [at(n["v"], f"$.{k}").isNotNull() for k in ITEM_KEYS]))
+        itself = F.transform(named, lambda n: one(F.concat(n["path"], F.lit("~")), n["v"]))
+        items, lists = F.filter(inside, lambda n: is_object(n["v"])), F.filter(inside, lambda n: is_array(n["v"]))
+        deeper = F.concat(lists, F.flatten(F.transform(objects, held)))
+        return F.struct(F.concat(acc["found"], items, itself).alias("found"), deeper.alias("nodes"))
+
+    first = F.filter(F.array(one(F.lit(""), root)), lambda n: n["v"].isNotNull())
+    start = F.struct(none.alias("found"), first.alias("nodes"))
+    levels = F.sequence(F.lit(0), F.coalesce(depth, F.lit(0)))
+    found = F.aggregate(levels, start, open_level, lambda acc: acc["found"])
+    by_path = F.array_sort(found, lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0))
+    return F.transform(by_path, lambda n: n["v"])

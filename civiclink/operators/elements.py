@@ -97,6 +97,28 @@ def page_elements(
 ) -> DataFrame:
     """One row per element with the `keep` columns of its page; table cells also carry the text of
     their whole row. With `containing`, a pattern, only elements whose text has it come back."""
+    chosen = _chooser(kinds, containing)
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [*keep, "kind", "ord", "row", "card", "href", "text", "row_text"]
+        for frame in frames:
+            # A few pages at a time, so that a batch of large pages stays small on its way out.
+            for at in range(0, len(frame), PAGES_OUT):
+                out = [
+                    (*ident, *element)
+                    for *ident, page in frame[[*keep, html]].iloc[at:at + PAGES_OUT].itertuples(index=False, name=None)
+                    if page
+                    for element in chosen(page)
+                ]
+                yield pd.DataFrame(out, columns=names)
+
+    source = pages.select(*keep, html)
+    ident = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
+    return source.mapInPandas(batches, f"{ident}, {SCHEMA}")
+
+
+def _chooser(kinds: tuple[str, ...], containing: str | None):
+    """Page -> its wanted elements with the text of their table row."""
     wanted, needle = frozenset(kinds), re.compile(containing) if containing else None
 
     def chosen(page: str) -> list[tuple]:
@@ -112,19 +134,23 @@ def page_elements(
             if needle is None or needle.search(e[5])
         ]
 
+    return chosen
+
+
+def with_elements(
+    pages: DataFrame, keep: list[str], html: str = "html", kinds: tuple[str, ...] = KINDS, containing: str | None = None
+) -> DataFrame:
+    """One row per page, pages without elements included: the `keep` columns and `elements`, an array
+    of (kind, row, text)."""
+    chosen = _chooser(kinds, containing)
+
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [*keep, "kind", "ord", "row", "card", "href", "text", "row_text"]
         for frame in frames:
-            # A few pages at a time, so that a batch of large pages stays small on its way out.
             for at in range(0, len(frame), PAGES_OUT):
-                out = [
-                    (*ident, *element)
-                    for *ident, page in frame[[*keep, html]].iloc[at:at + PAGES_OUT].itertuples(index=False, name=None)
-                    if page
-                    for element in chosen(page)
-                ]
-                yield pd.DataFrame(out, columns=names)
+                part = frame.iloc[at:at + PAGES_OUT]
+                found = [[{"kind": e[0], "row": e[2], "text": e[5]} for e in chosen(page)] if page else [] for page in part[html]]
+                yield part[keep].assign(elements=found)
 
     source = pages.select(*keep, html)
     ident = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInPandas(batches, f"{ident}, {SCHEMA}")
+    return source.mapInPandas(batches, f"{ident}, elements array<struct<kind:string,row:int,text:string>>")

@@ -11,28 +11,31 @@ from pyspark.sql import functions as F
 from civiclink.functions import markup
 from civiclink.functions.filetypes import RESOURCE_EXTENSIONS, resource_type
 from civiclink.functions.ids import round_id
-from civiclink.functions.text import clip, collapse_ws, trim_name_tail, trim_ws
+from civiclink.functions.text import clip, collapse_ws, let, trim_name_tail, trim_ws
 from civiclink.functions.urls import extension, page_link, resolve
-from civiclink.operators.elements import page_elements
+from civiclink.operators.elements import page_elements, with_elements
 from civiclink.operators.rows import keep_first
 
 # The states, the name/state pattern, and the word every round link carries.
-STATES = (
-    "AC AL AP AM BA CE DF ES GO MA MT MS MG PA PB PR PE PI RJ RN RS RO RR SC SP SE TO".split()
-)
+STATES = [
+    "AC", "AL", "AP", "AM", "BA", "CE", "DF", "ES", "GO", "MA", "MT", "MS", "MG", "PA",
+    "PB", "PR", "PE", "PI", "RJ", "RN", "RS", "RO", "RR", "SC", "SP", "SE", "TO",
+]
 ROUND_HINT = "sorteio"
 _NAME = r"A-Za-zÀ-ÿ0-9\s'`´\-\."
 # A name starts at the beginning of a run of name characters or where the last hit ended, which
 # finds the same hits as trying every position and stays linear on long texts.
 PLACE = rf"(?:(?<![{_NAME}])|\G)([{_NAME}]+?)\s*(?:/|-)\s*([A-Z]{{2}})(?![\p{{L}}\p{{N}}_])"
 _PLACE_TAIL = r"[/-]\s*[A-Z]{2}(?!\w)"
+PLACE_KINDS = ("td", "th", "li", "p", "div", "span")
 SNIPPET = 400
 
 
-def anchors(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> DataFrame:
-    """(key, page_url, pos, href, text, link) of every anchor with a link target."""
-    tags = pages.select(key, F.col(url).alias("page_url"), F.posexplode(markup.anchor_tags(html)).alias("pos", "_tag"))
-    out = tags.select(key, "page_url", "pos", markup.href("_tag").alias("href"), markup.plain_text("_tag").alias("text"))
+def anchors(pages: DataFrame, key: str, url: str = "url", html: str = "html", keep: list[str] | None = None) -> DataFrame:
+    """(key, kept columns, page_url, pos, href, text, link) of every anchor with a link target."""
+    keys = [key, *(keep or [])]
+    tags = pages.select(*keys, F.col(url).alias("page_url"), F.posexplode(markup.anchor_tags(html)).alias("pos", "_tag"))
+    out = tags.select(*keys, "page_url", "pos", markup.href("_tag").alias("href"), markup.plain_text("_tag").alias("text"))
     return out.where(F.col("href").isNotNull()).withColumn("link", page_link("page_url", "href"))
 
 
@@ -60,7 +63,7 @@ def round_links(pages: DataFrame, key: str, hint: str = ROUND_HINT, url: str = "
 def place_hits(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """Every name/state hit in cells, list items and text blocks, with its place in the page: the
     first hit of a cell or list item, all hits of a text block. Pages are walked once."""
-    found = page_elements(pages, [key], html, ("td", "th", "li", "p", "div", "span"), _PLACE_TAIL)
+    found = page_elements(pages, [key], html, PLACE_KINDS, _PLACE_TAIL)
     cell, item = F.col("kind").isin("td", "th"), F.col("kind") == "li"
     found = found.where(~cell | (F.col("row") > 0))
     hits = F.regexp_extract_all("text", F.lit(PLACE), F.lit(0))
@@ -99,28 +102,64 @@ def round_places(places: DataFrame, key: str) -> DataFrame:
 
 
 def resource_links(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> DataFrame:
-    """Links to documents and tables, first per address."""
-    links = anchors(pages, key, url, html).withColumn("ext", extension("link"))
-    return keep_first(links.where(F.col("ext").isin(*RESOURCE_EXTENSIONS)), [key, "link"], "pos").select(
-        key, "link", "ext", "pos"
+    """Links to documents and tables, first per address; a page never leaves its row until the end."""
+    rows = pages.select(key, F.explode(_resources(html, url)).alias("_r"))
+    return rows.select(key, "_r.link", "_r.ext", "_r.pos")
+
+
+def _first_each(links: Column) -> Column:
+    """First of the structs with each `link`."""
+    return let(
+        links,
+        lambda all_: let(
+            F.transform(all_, lambda x: x["link"]),
+            lambda names: F.filter(all_, lambda x, i: F.array_position(names, x["link"]) == i + 1),
+        ),
     )
 
 
-def page_status(pages: DataFrame, places: DataFrame, resources: DataFrame, key: str) -> DataFrame:
-    """Parse status of every page: parsed, needs_pdf_parse or no_municipalities_extracted."""
-    found = places.groupBy(key).agg(F.count(F.lit(1)).alias("parsed_municipalities_count"))
-    linked = resources.groupBy(key).agg(F.min_by("ext", "pos").alias("_ext"))
-    out = pages.select(key).join(found, key, "left").join(linked, key, "left")
-    parsed, linked_only = F.col("parsed_municipalities_count").isNotNull(), F.col("_ext").isNotNull()
+def _resources(html: Column | str, url: Column | str) -> Column:
+    """(pos, link, ext) of the document links of a page, within the row."""
+    link = lambda a: page_link(F.col(url) if isinstance(url, str) else url, markup.href(a))
+    every = F.transform(markup.anchor_tags(html), lambda a, i: F.struct(i.alias("pos"), link(a).alias("link")))
+    typed = F.transform(every, lambda x: F.struct(x["pos"].alias("pos"), x["link"].alias("link"), extension(x["link"]).alias("ext")))
+    return _first_each(F.filter(typed, lambda x: x["ext"].isin(*RESOURCE_EXTENSIONS)))
+
+
+def _distinct_places(elements: Column) -> Column:
+    """Distinct (lower-case name, state, method) of the hits of a page, within the row."""
+    cell = lambda e: e["kind"].isin("td", "th")
+    single = lambda e: cell(e) | (e["kind"] == "li")
+
+    def hits(e: Column) -> Column:
+        found = F.regexp_extract_all(e["text"], F.lit(PLACE), F.lit(0))
+        method = F.when(cell(e), "table").when(e["kind"] == "li", "li").otherwise("regex").alias("method")
+        name = lambda h: F.lower(trim_name_tail(F.regexp_extract(h, PLACE, 1))).alias("name")
+        state = lambda h: F.regexp_extract(h, PLACE, 2).alias("uf")
+        return F.transform(F.when(single(e), F.slice(found, 1, 1)).otherwise(found), lambda h: F.struct(name(h), state(h), method))
+
+    every = F.flatten(F.transform(F.filter(elements, lambda e: ~cell(e) | (e["row"] > 0)), hits))
+    return F.array_distinct(F.filter(every, lambda p: p["uf"].isin(*STATES) & (p["name"] != "")))
+
+
+def page_status(pages: DataFrame, key: str, url: str = "url", html: str = "html", keep: list[str] | None = None) -> DataFrame:
+    """Parse status of every page: parsed, needs_pdf_parse or no_municipalities_extracted. Places and
+    resource links are found in one walk over the table, without a join."""
+    keys = [key, *(keep or [])]
+    first = F.try_element_at(_resources(html, url), F.lit(1))["ext"].alias("_ext")
+    walked = with_elements(pages.select(*keys, html, first), [*keys, "_ext"], html, PLACE_KINDS, _PLACE_TAIL)
+    out = walked.withColumn("parsed_municipalities_count", F.size(_distinct_places(F.col("elements"))).cast("long"))
+    parsed, linked_only = F.col("parsed_municipalities_count") > 0, F.col("_ext").isNotNull()
+    # States and reasons.
     return out.select(
-        key,
+        *keys,
         F.when(parsed, "parsed").when(linked_only, "needs_pdf_parse").otherwise("no_municipalities_extracted").alias("parse_status"),
         F.when(parsed, "")
         .when(linked_only, "round_links_to_external_resource_no_html_list")
         .otherwise("html_parsed_but_no_confident_matches")
         .alias("parse_reason"),
         F.when(~parsed & linked_only, resource_type("_ext")).otherwise("html").alias("primary_resource_type"),
-        F.coalesce("parsed_municipalities_count", F.lit(0)).alias("parsed_municipalities_count"),
+        "parsed_municipalities_count",
     )
 
 
@@ -144,17 +183,19 @@ def _numbered(hits: Column, phase: int) -> Column:
 
 
 def pdf_links(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> DataFrame:
-    """PDF addresses in order: anchors first, then addresses quoted anywhere in the page text."""
+    """PDF addresses in order: anchors first, then addresses quoted anywhere in the page text.
+    Chosen, resolved and freed of repeats within the row."""
+    # Which addresses count.
     quoted = r"(?i){q}(/api/[^\"']*(?:download|arquivo|pdf)[^\"']*){q}"
     patterns = [(r"(?i)(https?://[^\"'\s>]+\.pdf)"), quoted.format(q='"'), quoted.format(q="'")]
     sources = [F.transform(markup.anchor_tags(html), lambda a: trim_ws(markup.href(a)))]
     sources += [F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in patterns]
     hits = F.concat(*[_numbered(found, n) for n, found in enumerate(sources)])
     wanted = r"(?s)\.pdf\z|^(?=.*/api/).*(?:download|arquivo|pdf)"
-    each = pages.select(key, F.col(url).alias("page_url"), F.explode(hits).alias("h")).select(key, "page_url", "h.*")
-    chosen = each.where((F.col("phase") > 0) | F.lower("hit").rlike(wanted))
-    links = chosen.select(key, "phase", "pos", resolve("page_url", "hit").alias("link"))
-    return keep_first(links, [key, "link"], ["phase", "pos"])
+    chosen = F.filter(hits, lambda h: (h["phase"] > 0) | F.lower(h["hit"]).rlike(wanted))
+    full = lambda h: F.struct(h["phase"].alias("phase"), h["pos"].alias("pos"), resolve(F.col(url), h["hit"]).alias("link"))
+    rows = pages.select(key, F.explode(_first_each(F.transform(chosen, full))).alias("_h"))
+    return rows.select(key, "_h.phase", "_h.pos", "_h.link")
 
 
 # Links of a detail page that count as its report: .pdf targets and API downloads.
@@ -163,8 +204,9 @@ REPORT_LINK = r"(?s)\.pdf\z|^(?=.*/api/).*download"
 
 def detail_pdf_links(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> DataFrame:
     """Narrow rule for detail pages: addresses ending in .pdf, or API downloads."""
-    full = anchors(pages, key, url, html).withColumn("link", resolve("page_url", trim_ws("href")))
-    return keep_first(full.where(F.lower("link").rlike(REPORT_LINK)), [key, "link"], "pos").select(key, "link", "pos")
+    full = lambda a, i: F.struct(i.alias("pos"), resolve(F.col(url), trim_ws(markup.href(a))).alias("link"))
+    links = F.filter(F.transform(markup.anchor_tags(html), full), lambda x: F.lower(x["link"]).rlike(REPORT_LINK))
+    return pages.select(key, F.explode(_first_each(links)).alias("_l")).select(key, "_l.link", "_l.pos")
 
 
 def first_report_link(html: Column | str, url: Column | str) -> Column:

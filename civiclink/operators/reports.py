@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civiclink.functions.ids import candidate_id
-from civiclink.functions.jsonx import filled_text, nested_items, parse
+from civiclink.functions.jsonx import filled_text, nested_items, nesting, parse
 from civiclink.functions.markup import api_paths
 from civiclink.functions.text import collapse_ws, let, query_key, trim_ws
 from civiclink.functions.urls import resolve
@@ -35,7 +35,8 @@ def title_confidence(name: Column | str, title: Column | str) -> Column:
 def search_items(answers: DataFrame, payload: str = "payload") -> DataFrame:
     """One row per item object of every search answer, with the other columns of the answer."""
     others = [c for c in answers.columns if c != payload]
-    return answers.select(*others, F.posexplode(nested_items(parse(payload))).alias("item_order", "item"))
+    items = nested_items(parse(payload), nesting(F.col(payload)))
+    return answers.select(*others, F.posexplode(items).alias("item_order", "item"))
 
 
 def candidates_from_items(items: DataFrame, base_url: str, strategy: str, discovered_at_utc: str) -> DataFrame:
@@ -43,6 +44,7 @@ def candidates_from_items(items: DataFrame, base_url: str, strategy: str, discov
     item, base = F.col("item"), F.lit(base_url)
     keep = [c for c in items.columns if c not in ("item", *CONTEXT)]
     # Two steps: the texts are read from the item once, the rules then work on plain columns.
+    # The keys of an item.
     texts = items.select(
         *keep,
         *CONTEXT,
@@ -76,7 +78,7 @@ def candidates_from_pages(pages: DataFrame, key: str, strategy: str, discovered_
     The state test is a two-letter substring and lets many unrelated links pass.
     """
     context = [c for c in CONTEXT if c in pages.columns]
-    links = anchors(pages, key).join(pages.select(key, *context), key)
+    links = anchors(pages, key, keep=context)
     full = resolve("page_url", collapse_ws("href"))
     text = collapse_ws("text")
     found = links.withColumn("landing_url", full).withColumn("_key", query_key(F.concat_ws(" ", text, full)))
@@ -108,7 +110,7 @@ def fill_missing_pdf(candidates: DataFrame, detail_pages: DataFrame, base_url: s
         "landing_url", first_report_link("html", "landing_url").alias("_linked"), resolve(F.lit(base_url), first_path).alias("_quoted")
     )
     spread = F.struct("candidate_id", "query_terms_used")
-    out = salted_join(candidates, details, ["landing_url"], spread, "left", unique_right=True, **skew)
+    out = salted_join(candidates, details, ["landing_url"], spread, "left", **skew)
     lacks = F.coalesce(F.col("pdf_url"), F.lit("")) == ""
     note = F.when(lacks & F.col("_linked").isNotNull(), "pdf_from_detail").when(
         lacks & F.col("_quoted").isNotNull(), "pdf_api_candidate"

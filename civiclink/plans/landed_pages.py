@@ -93,9 +93,8 @@ def _(t):
     return pages.resource_links(_place_pages(t), "page_id").drop("pos")
 
 
-def _status(t):
-    src = _place_pages(t, _SPARSE)
-    return src, pages.page_status(src, pages.page_places(src, "page_id"), pages.resource_links(src, "page_id"), "page_id")
+def _status(t, keep=()):
+    return pages.page_status(_place_pages(t, _SPARSE), "page_id", keep=list(keep))
 
 
 _STATUS = f"""(SELECT g.page_id, CASE WHEN n > 0 THEN 'parsed' WHEN ext IS NOT NULL THEN 'needs_pdf_parse' ELSE 'no_municipalities_extracted' END AS parse_status,
@@ -107,7 +106,7 @@ _STATUS = f"""(SELECT g.page_id, CASE WHEN n > 0 THEN 'parsed' WHEN ext IS NOT N
 
 @query("page_parse_status", f"SELECT * FROM {_STATUS}")
 def _(t):
-    return _status(t)[1]
+    return _status(t)
 
 
 _ROUNDS = f"""(SELECT 'round_' || substr(sha256('Sorteio ' || CAST(page_id AS VARCHAR) || '|https://x.org/r/' || CAST(page_id AS VARCHAR)), 1, 12) AS round_id,
@@ -119,9 +118,8 @@ _METRICS = f"""(SELECT *, round_download_failures / greatest(rounds_discovered,
 
 
 def _rounds(t):
-    src, status = _status(t)
     label = F.concat(F.lit("Sorteio "), F.col("page_id").cast("string"))
-    return src.join(status, "page_id").select(
+    return _status(t, ["url"]).select(
         round_id(label, "url").alias("round_id"), label.alias("round_label"), F.col("url").alias("round_url"),
         (F.col("page_id") % 7 != 0).alias("download_ok"), "parse_status", "parsed_municipalities_count",
         "primary_resource_type", F.lit(None).cast("string").alias("error_message"),
@@ -229,6 +227,18 @@ def _(t):
     return reports.search_items(_answers(t)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("items"))
 
 
+# An answer that is an item itself, holds another one, and a third 60 levels down.
+@query(
+    "nested_item_order",
+    """SELECT doc_id, i AS item_order, CASE i WHEN 0 THEN 'inner ' || source WHEN 1 THEN 'deep ' || lang ELSE 'outer' END AS title FROM {documents}, (VALUES (0), (1), (2)) AS n(i)""",
+)
+def _(t):
+    payload = F.expr("""'{"id":1,"titulo":"outer","data":' || repeat('{"data":', 60) || '{"id":1,"titulo":"deep ' || lang || '"}' || repeat('}', 60)
+      || ',"items":[{"id":1,"titulo":"inner ' || source || '"}]}'""")
+    items = reports.search_items(t("documents").select("doc_id", payload.alias("payload")))
+    return items.select("doc_id", "item_order", F.try_variant_get("item", "$.titulo", "string").alias("title"))
+
+
 def _candidates(t):
     return reports.candidates_from_items(reports.search_items(_answers(t)), "https://z.org", "eaud_api", "2026-01-01T00:00:00Z")
 
