@@ -14,8 +14,6 @@ fuzzy scores.
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,13 +21,13 @@ from pyspark.sql import functions as F
 from civiclink.functions.similarity import NameBlock
 from civiclink.functions.text import join_notes, match_key, pad_code, trim_ws, upper_key
 from civiclink.operators.rows import top_per_key
-from civiclink.operators.skew import key_counts, salted_join
-from civiclink.sources.scratch import cut_lineage
+from civiclink.operators.skew import key_counts
 
 STRICT_DEFAULT = 92.0
 RELAXED_SCORE, RELAXED_MARGIN, RELAXED_EDITS = 85.0, 10.0, 2
 SUGGESTIONS = 5
-BLOCK_NAMES = 4096
+# Reference names and open names of one scoring cell.
+BLOCK_NAMES, CELL_NAMES = 4096, 512
 
 _CANDIDATE = (
     "uf string, name_norm string, score double, ref_pos long, candidate string, code string, official string"
@@ -170,18 +168,12 @@ def _score_block(names: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
 def fuzzy_candidates(names: DataFrame, reference: DataFrame) -> DataFrame:
     """Best five reference names of the same state for every distinct (uf, name_norm), ranked.
 
-    Names of a state are spread over salts and reference names over chunks, so no task holds
-    more than a bounded share of a state, and only five rows per name and chunk leave a task.
+    Each state is cut as its own size needs: its open names over salts, its reference names over
+    chunks, both from one count per state that is joined in the plan. A cell holds about CELL_NAMES
+    open names and BLOCK_NAMES reference names, and only five rows per name leave it.
     """
-    spark = reference.sparkSession
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = max(1, math.ceil(reference.count() / BLOCK_NAMES))
-    wanted = (
-        names.select("uf", "name_norm")
-        .distinct()
-        .withColumn("_salt", F.pmod(F.xxhash64("name_norm"), F.lit(salts)))
-        .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
-    )
+    parts = lambda n, size: F.greatest(F.ceil(n / size), F.lit(1)).cast("long")
+    opened = names.select("uf", "name_norm").distinct()
     places = top_per_key(reference, ["uf", "municipality_name_norm"], [F.col("ref_pos")], SUGGESTIONS, "_place")
     blocks = (
         places.groupBy("uf", F.col("municipality_name_norm").alias("candidate"))
@@ -190,21 +182,40 @@ def fuzzy_candidates(names: DataFrame, reference: DataFrame) -> DataFrame:
             F.array_sort(F.collect_list("ref_pos")).alias("positions"),
         )
         .select("uf", "candidate", "_f.code", F.col("_f.municipality_name_official").alias("official"), "positions")
-        .withColumn("_chunk", F.pmod(F.xxhash64("candidate"), F.lit(chunks)))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    )
+    salts = opened.groupBy("uf").agg(parts(F.count(F.lit(1)), CELL_NAMES).alias("_salts"))
+    chunks = blocks.groupBy("uf").agg(parts(F.count(F.lit(1)), BLOCK_NAMES).alias("_chunks"))
+    sizes = salts.join(chunks, "uf")
+    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    wanted = opened.join(sizes, "uf").select(
+        "uf", "name_norm", F.pmod(F.xxhash64("name_norm"), F.col("_salts")).alias("_salt"), up_to("_chunks").alias("_chunk")
+    )
+    blocks = blocks.join(sizes, "uf").select(
+        "uf", "candidate", "code", "official", "positions",
+        F.pmod(F.xxhash64("candidate"), F.col("_chunks")).alias("_chunk"), up_to("_salts").alias("_salt"),
     )
     # Scoring costs far more than its few bytes suggest, so the number of tasks is set here:
     # adaptive execution merges partitions by bytes and would leave too few.
     by = ["uf", "_salt", "_chunk"]
-    wanted, blocks = wanted.repartition(salts, *by), blocks.repartition(salts, *by)
+    tasks = int(reference.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted, blocks = wanted.repartition(tasks, *by), blocks.repartition(tasks, *by)
     scored = wanted.groupBy(*by).cogroup(blocks.groupBy(*by)).applyInPandas(_score_block, _CANDIDATE)
     return top_per_key(scored, ["uf", "name_norm"], [F.col("score").desc(), F.col("ref_pos")], SUGGESTIONS)
 
 
 def fuzzy_decisions(candidates: DataFrame, threshold: float = STRICT_DEFAULT) -> DataFrame:
     """One row per name: method, score, code and note by the strict and the relaxed rule."""
-    at = lambda n, c: F.max(F.when(F.col("rank") == n, F.col(c)))
-    best = candidates.groupBy("uf", "name_norm").agg(
+    return _decided(candidates, threshold).drop("hits")
+
+
+def _decided(candidates: DataFrame, threshold: float) -> DataFrame:
+    """fuzzy_decisions with `hits`, the ranked candidates of the name (five at most)."""
+    at = lambda n, c: F.try_element_at("hits", F.lit(n))[c]
+    hits = F.array_sort(F.collect_list(F.struct("rank", "score", "candidate", "code", "official"))).alias("hits")
+    best = candidates.groupBy("uf", "name_norm").agg(hits).select(
+        "uf",
+        "name_norm",
+        "hits",
         at(1, "score").alias("best_score"),
         F.coalesce(at(2, "score"), F.lit(0.0)).alias("second_score"),
         at(1, "candidate").alias("candidate"),
@@ -244,17 +255,11 @@ def _resolve_names(
     threshold: float,
     aliases: DataFrame | None,
     overrides: DataFrame | None,
-    reuse_candidates: bool = False,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Answers per name, fuzzy candidates, and the stored (name, number of rows) table."""
-    # The names feed the fuzzy step, its join back and the hot-key list; stored once, the rows are
-    # read for them once.
-    looked_up = cut_lineage(lookup_ladder(rows, reference, aliases, overrides))
+) -> DataFrame:
+    """Answers per name, with the fuzzy candidates of open names in `hits`."""
+    looked_up = lookup_ladder(rows, reference, aliases, overrides)
     open_names = looked_up.where(F.col("match_method").isNull()).select(F.col("_uf").alias("uf"), "name_norm")
-    candidates = fuzzy_candidates(open_names, reference)
-    if reuse_candidates:
-        candidates = cut_lineage(candidates)
-    decided = fuzzy_decisions(candidates, threshold).select(
+    decided = _decided(fuzzy_candidates(open_names, reference), threshold).select(
         F.col("uf").alias("_uf"),
         "name_norm",
         F.col("match_method").alias("fz_method"),
@@ -262,14 +267,15 @@ def _resolve_names(
         "code",
         "official",
         "note",
+        "hits",
     )
     open_ = F.col("match_method").isNull()
     accepted = F.col("fz_method") != "manual_needed"
-    names = looked_up.join(decided, ["_uf", "name_norm"], "left").select(
+    return looked_up.join(decided, ["_uf", "name_norm"], "left").select(
         "_uf",
         "_name",
-        "_n",
         "name_norm",
+        "hits",
         "alias_applied",
         F.when(open_, F.when(accepted, F.col("code")))
         .otherwise(F.col("ibge_municipality_code"))
@@ -287,17 +293,11 @@ def _resolve_names(
         .otherwise(F.col("match_notes"))
         .alias("match_notes"),
     )
-    return names, candidates, looked_up.select("_uf", "_name", "_n")
 
 
-def _spread(rows: DataFrame) -> Column:
-    return F.struct(*[F.col(c) for c in rows.columns])
-
-
-def _attach(rows: DataFrame, names: DataFrame, counts: DataFrame) -> DataFrame:
-    joined = salted_join(
-        _keyed(rows), names.drop("name_norm", "_n"), ["_uf", "_name"], _spread(rows), "left", unique_right=True, left_counts=counts
-    )
+def _attach(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Answers joined back to the rows. Adaptive execution splits a name that fills a partition."""
+    joined = _keyed(rows).join(names.drop("name_norm", "_n", "hits"), ["_uf", "_name"], "left")
     added = ("alias_applied", "ibge_municipality_code", "match_method", "match_score", "matched_name_official", "match_notes")
     kept = [c for c in rows.columns if c not in (*added, "uf", "municipality_name_clean")]
     return joined.select(
@@ -317,8 +317,7 @@ def match_by_lookup(
     rows: DataFrame, reference: DataFrame, aliases: DataFrame | None = None, overrides: DataFrame | None = None
 ) -> DataFrame:
     """Rows with the answer of the lookup steps alone; the rest is unmatched."""
-    names = cut_lineage(lookup_ladder(rows, reference, aliases, overrides))
-    return _attach(rows, names, names.select("_uf", "_name", "_n"))
+    return _attach(rows, lookup_ladder(rows, reference, aliases, overrides))
 
 
 def match_places(
@@ -329,8 +328,7 @@ def match_places(
     overrides: DataFrame | None = None,
 ) -> DataFrame:
     """Rows with code, method, score, official name and notes after the whole ladder."""
-    names, _, counts = _resolve_names(rows, reference, threshold, aliases, overrides)
-    return _attach(rows, names, counts)
+    return _attach(rows, _resolve_names(rows, reference, threshold, aliases, overrides))
 
 
 def review_candidates(
@@ -341,18 +339,17 @@ def review_candidates(
     overrides: DataFrame | None = None,
 ) -> DataFrame:
     """Up to five suggestions for every row the ladder leaves to manual review."""
-    names, candidates, counts = _resolve_names(rows, reference, threshold, aliases, overrides, reuse_candidates=True)
-    names = names.where(F.col("match_method") == "manual_needed").select("_uf", "_name", "name_norm")
-    suggested = names.join(candidates.withColumnRenamed("uf", "_uf"), ["_uf", "name_norm"]).select(
+    names = _resolve_names(rows, reference, threshold, aliases, overrides)
+    names = names.where(F.col("match_method") == "manual_needed").select("_uf", "_name", F.explode("hits").alias("_h"))
+    suggested = names.select(
         "_uf",
         "_name",
-        F.col("code").alias("suggested_ibge_code"),
-        F.col("official").alias("suggested_name_official"),
-        "score",
-        "rank",
+        F.col("_h.code").alias("suggested_ibge_code"),
+        F.col("_h.official").alias("suggested_name_official"),
+        F.col("_h.score").alias("score"),
+        F.col("_h.rank").alias("rank"),
     )
-    keys, added = ["_uf", "_name"], ("suggested_ibge_code", "suggested_name_official", "score", "rank")
+    added = ("suggested_ibge_code", "suggested_name_official", "score", "rank")
     kept = [c for c in rows.columns if c not in (*added, "uf", "municipality_name_clean")]
-    # At most five right rows per key, so only the left side can be hot.
-    joined = salted_join(_keyed(rows), suggested, keys, _spread(rows), unique_right=True, left_counts=counts)
+    joined = _keyed(rows).join(suggested, ["_uf", "_name"])
     return joined.select(*kept, F.col("_name").alias("municipality_name_clean"), F.col("_uf").alias("uf"), *added)

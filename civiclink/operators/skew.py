@@ -1,21 +1,20 @@
-"""Joins that survive hot keys on either side.
+"""Joins with hot keys.
 
-A key is hot when it holds more than `share` of the rows of a side; there can be at most 1/share
-such keys per side. They are found by one count over the key columns and come to the driver as a
-list of at most 1/share rows. Without hot keys the join is a plain equi-join. Otherwise rows of a
-key that is hot on the left get a left salt and meet copies of the right rows, and the other way
-round for the right; every pair meets in exactly one (left salt, right salt) cell, and cold keys
-stay in cell (0, 0).
+By default a join is a plain equi-join: adaptive execution splits a partition that is too large, by
+bytes and not by share, and each table is read once. Keys a caller knows to be hot can be named;
+rows of a key that is hot on the left then get a left salt and meet copies of the right rows, and the other way
+round for the right; every pair meets in exactly one (left salt, right salt) cell, and other keys
+stay in cell (0, 0). Named keys travel as a list, so there should be few.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-HOT_SHARE = 0.005
-HOT_ROWS = 100_000
 SALTS = 64
 
 
@@ -24,60 +23,42 @@ def key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def hot_keys(counts: DataFrame, share: float = HOT_SHARE, floor: int = HOT_ROWS) -> list[Row]:
-    """Keys of a (keys, _n) table with more than max(floor, share of all rows) rows."""
-    most = round(1 / share) if share else 1000
-    top = counts.where(F.col("_n") > floor).orderBy(F.col("_n").desc()).limit(most).collect()
-    if not top:
-        return []
-    total = counts.agg(F.sum("_n")).first()[0]
-    return [r for r in top if r["_n"] > total * share]
-
-
 def salted_join(
     left: DataFrame,
     right: DataFrame,
     keys: list[str],
     spread_by: Column,
     how: str = "inner",
-    share: float = HOT_SHARE,
-    floor: int = HOT_ROWS,
+    hot_left: Iterable[tuple] = (),
+    hot_right: Iterable[tuple] = (),
     salts: int = SALTS,
-    unique_right: bool = False,
-    left_counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Equi-join (`inner` or `left`) with hot keys spread over several tasks.
-
-    `spread_by` tells left rows apart. With `unique_right` the right side has few rows per key and
-    cannot be hot; `left_counts` passes a (keys, _n) table that is already there.
-    """
+    """Equi-join (`inner` or `left`). `spread_by` identifies a left row, such as its id."""
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
-    found_l = hot_keys(key_counts(left, keys) if left_counts is None else left_counts, share, floor)
-    found_r = [] if unique_right else hot_keys(key_counts(right, keys), share, floor)
-    if not found_l and not found_r:
-        return left.join(right, keys, how)
     flags: dict[tuple, list[bool]] = {}
-    for side, found in enumerate((found_l, found_r)):
-        for r in found:
-            key = tuple(r[k] for k in keys)
-            if None not in key:
-                flags.setdefault(key, [False, False])[side] = True
+    for side, found in enumerate((hot_left, hot_right)):
+        for key in found:
+            flags.setdefault(tuple(key), [False, False])[side] = True
+    if not flags:
+        return left.join(right, keys, how)
     schema = StructType([*(left.schema[k] for k in keys), StructField("_hot_l", BooleanType()), StructField("_hot_r", BooleanType())])
-    marks = F.broadcast(left.sparkSession.createDataFrame([(*k, *f) for k, f in flags.items()], schema))
-    no_key = F.lit(False)
-    for k in keys:
-        no_key = no_key | F.col(k).isNull()
+    marks = left.sparkSession.createDataFrame([(*k, *f) for k, f in flags.items()], schema)
     own = lambda hot, row: F.when(hot, F.pmod(F.xxhash64(row), F.lit(salts)).cast("int")).otherwise(0)
     every = lambda hot: F.explode(
         F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     )
     hot_l, hot_r = (F.coalesce(F.col(c), F.lit(False)) for c in ("_hot_l", "_hot_r"))
-    # Null keys match nothing; on the left they are spread like hot ones.
-    l = left.join(marks, keys, "left").withColumn("_a", own(hot_l | no_key, spread_by))
+    l = left.join(marks, keys, "left").withColumn("_a", own(hot_l, spread_by))
     l = l.withColumn("_copied", hot_r).withColumn("_b", every(hot_r)).drop("_hot_l", "_hot_r")
     r = right.join(marks, keys, "left").withColumn("_a", every(hot_l))
     r = r.withColumn("_b", own(hot_r, F.struct(*right.columns))).drop("_hot_l", "_hot_r").withColumn("_met", F.lit(True))
     out = l.join(r, [*keys, "_a", "_b"], how)
-    # A key that is hot on the right has a match for every left row, so copies without one go.
-    return out.where(~F.col("_copied") | F.col("_met").isNotNull()).drop("_a", "_b", "_copied", "_met")
+    if how == "left":
+        # A left row of a key that is hot on the right stands in every cell: without a match anywhere it
+        # stays once, in cell 0; with a match its copies without one go.
+        some = right.join(marks.where("_hot_r"), keys, "left_semi").select(*keys).distinct().withColumn("_some", F.lit(True))
+        out = out.join(some, keys, "left")
+        keep = ~F.col("_copied") | F.col("_met").isNotNull() | (F.col("_some").isNull() & (F.col("_b") == 0))
+        out = out.where(keep).drop("_some")
+    return out.drop("_a", "_b", "_copied", "_met")

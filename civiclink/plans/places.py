@@ -192,17 +192,17 @@ def _(t):
     return ladder.review_candidates(rows, ref, **extra).withColumn("score", F.round("score", 6))
 
 
-@query(
-    "place_ladder_full",
-    FUZZY_SQL + """SELECT seq, w.uf, municipality_name_clean, alias_applied,
+WHOLE_SQL = FUZZY_SQL + """, laddered AS (SELECT seq, w.uf, municipality_name_clean, alias_applied,
   CASE WHEN match_method <> 'unmatched' THEN ibge_municipality_code WHEN method LIKE 'fuzzy%' THEN n.code END AS ibge_municipality_code,
   CASE WHEN match_method <> 'unmatched' THEN match_method ELSE coalesce(method, 'unmatched') END AS match_method,
   round(CASE WHEN match_method <> 'unmatched' THEN 1 ELSE coalesce(best_score / 100, 0) END, 6) AS match_score,
   CASE WHEN match_method <> 'unmatched' THEN matched_name_official WHEN method LIKE 'fuzzy%' THEN n.official END AS matched_name_official,
   CASE WHEN match_method <> 'unmatched' THEN match_notes WHEN method IS NULL THEN 'no_reference_for_uf'
     WHEN match_notes = '' THEN note ELSE match_notes || '; ' || note END AS match_notes
-  FROM answer w LEFT JOIN noted n ON w.uf = n.uf AND w.norm = n.name_norm""",
-)
+  FROM answer w LEFT JOIN noted n ON w.uf = n.uf AND w.norm = n.name_norm) """
+
+
+@query("place_ladder_full", WHOLE_SQL + "SELECT * FROM laddered")
 def _(t):
     rows, ref, extra = _inputs(t)
     return ladder.match_places(rows, ref, **extra).withColumn("match_score", F.round("match_score", 6))
@@ -217,32 +217,32 @@ _COUNTS = ", ".join(
 
 @query(
     "crosswalk_summary",
-    LADDER_SQL + f"""SELECT count(*) AS total_rows_input, {_COUNTS},
+    WHOLE_SQL + f"""SELECT count(*) AS total_rows_input, {_COUNTS},
   count(*) FILTER (WHERE match_method LIKE 'fuzzy%') AS matched_fuzzy,
   count(*) FILTER (WHERE ibge_municipality_code IS NOT NULL AND match_notes LIKE '%alias_applied:%') AS matched_alias_applied,
   count(ibge_municipality_code) / greatest(count(*), 1) AS coverage_rate,
-  count(DISTINCT (uf, municipality_name_clean)) AS unique_municipalities FROM answer""",
+  count(DISTINCT (uf, municipality_name_clean)) AS unique_municipalities FROM laddered""",
 )
 def _(t):
     rows, ref, extra = _inputs(t)
-    return profile.crosswalk_summary(ladder.match_by_lookup(rows, ref, **extra))
+    return profile.crosswalk_summary(ladder.match_places(rows, ref, **extra))
 
 
 @query(
     "top_unmatched_names",
-    LADDER_SQL + """SELECT municipality_name_clean, uf, count(*) AS count FROM answer WHERE match_method IN ('manual_needed', 'unmatched')
+    WHOLE_SQL + """SELECT municipality_name_clean, uf, count(*) AS count FROM laddered WHERE match_method IN ('manual_needed', 'unmatched')
   GROUP BY 1, 2 ORDER BY count DESC, municipality_name_clean, uf LIMIT 30""",
 )
 def _(t):
     rows, ref, extra = _inputs(t)
-    return profile.top_unmatched(ladder.match_by_lookup(rows, ref, **extra))
+    return profile.top_unmatched(ladder.match_places(rows, ref, **extra))
 
 
 @query(
     "manual_gate",
-    LADDER_SQL + """SELECT 'manual_needed' AS gate, CAST(n AS DOUBLE) AS value, CAST(0 AS DOUBLE) AS bound, n = 0 AS ok
-  FROM (SELECT count(*) FILTER (WHERE match_method = 'manual_needed') AS n FROM answer)""",
+    WHOLE_SQL + """SELECT 'manual_needed' AS gate, CAST(n AS DOUBLE) AS value, CAST(0 AS DOUBLE) AS bound, n = 0 AS ok
+  FROM (SELECT count(*) FILTER (WHERE match_method = 'manual_needed') AS n FROM laddered)""",
 )
 def _(t):
     rows, ref, extra = _inputs(t)
-    return no_manual_gate(profile.crosswalk_summary(ladder.match_by_lookup(rows, ref, **extra)))
+    return no_manual_gate(profile.crosswalk_summary(ladder.match_places(rows, ref, **extra)))

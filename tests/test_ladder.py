@@ -87,11 +87,12 @@ def test_candidates_equal_brute_force(spark):
     asked = spark.createDataFrame([("SP", q) for q in queries], "uf string, name_norm string")
     got = {}
     for chunk in (2, 4096):
-        ladder.BLOCK_NAMES, old = chunk, ladder.BLOCK_NAMES
+        old = ladder.BLOCK_NAMES, ladder.CELL_NAMES
+        ladder.BLOCK_NAMES, ladder.CELL_NAMES = chunk, chunk
         try:
             found = ladder.fuzzy_candidates(asked, ref).collect()
         finally:
-            ladder.BLOCK_NAMES = old
+            ladder.BLOCK_NAMES, ladder.CELL_NAMES = old
         for r in found:
             got.setdefault((chunk, r.name_norm), []).append((r["rank"], r.ref_pos, round(r.score, 9)))
     for q in queries:
