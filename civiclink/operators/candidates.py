@@ -7,12 +7,13 @@ decisions  decision_id, ibge_municipality_code, uf, decision_date, names, keywor
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from civiclink.operators.rows import top_per_key
 from civiclink.operators.skew import salted_join
 
 WINDOW_DAYS = 365
+BUCKETS = 4
 HIGH, MEDIUM = 0.85, 0.65
 PLACE = "ibge_municipality_code"
 
@@ -26,23 +27,30 @@ def temporal_class(published: Column, decided: Column, window_days: int = WINDOW
 def pairs_in_window(findings: DataFrame, decisions: DataFrame, window_days: int = WINDOW_DAYS, **skew) -> DataFrame:
     """Pairs of one place with the decision in [publication, publication + window).
 
-    Time is cut into buckets as long as the window, so a finding meets the decisions of two
-    buckets only instead of all decisions of its place; a busy (place, bucket) is salted.
+    Time is cut into buckets of a part of the window, so a finding meets the decisions of a few
+    small (place, bucket) cells instead of all decisions of its place.
     """
     day = lambda c: F.unix_date(F.col(c).cast("date"))
-    first = F.floor(day("publication_date") / window_days)
+    width = max(1, window_days // BUCKETS)
+    bucket = lambda d: F.floor(d / width)
+    first, last = bucket(day("publication_date")), bucket(day("publication_date") + window_days - 1)
     left = findings.withColumnsRenamed({"uf": "finding_uf", "names": "finding_names", "keywords": "finding_keywords"})
-    left = left.withColumn("_bucket", F.explode(F.array(first, first + 1)))
+    left = left.withColumn("_bucket", F.explode(F.sequence(first, last)))
     right = decisions.withColumnsRenamed({"uf": "decision_uf", "names": "decision_names", "keywords": "decision_keywords"})
-    right = right.withColumn("_bucket", F.floor(day("decision_date") / window_days))
+    right = right.withColumn("_bucket", bucket(day("decision_date")))
     met = salted_join(left, right, [PLACE, "_bucket"], F.col("finding_id"), **skew)
     days = F.datediff("decision_date", "publication_date")
     return met.where((days >= 0) & (days < window_days)).drop("_bucket").withColumn("days_after", days)
 
 
-def candidate_pairs(findings: DataFrame, decisions: DataFrame, window_days: int = WINDOW_DAYS, **skew) -> DataFrame:
-    """Pairs in the window with their overlap features."""
-    pairs = pairs_in_window(findings, decisions, window_days, **skew)
+def candidate_pairs(
+    findings: DataFrame, decisions: DataFrame, window_days: int = WINDOW_DAYS, horizon_days: int | None = None, **skew
+) -> DataFrame:
+    """Pairs in the window with their overlap features. With a horizon, later pairs up to it are kept
+    as well, and temporal_class tells them from those of the default window."""
+    pairs = pairs_in_window(findings, decisions, horizon_days or window_days, **skew)
+    if horizon_days:
+        pairs = pairs.withColumn("temporal_class", temporal_class(F.col("publication_date"), F.col("decision_date"), window_days))
     overlap = lambda what: F.size(F.array_intersect(f"finding_{what}", f"decision_{what}"))
     state_court = F.col("court_level") == "state"
     out = pairs.withColumns(
@@ -55,14 +63,14 @@ def candidate_pairs(findings: DataFrame, decisions: DataFrame, window_days: int
     return out.drop("finding_names", "decision_names", "finding_keywords", "decision_keywords")
 
 
-def ranked_pairs(pairs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """The k pairs per finding with the most overlap, and all remaining pairs: nothing is lost."""
+def ranked_pairs(pairs: DataFrame, k: int) -> DataFrame:
+    """All pairs with their rank per finding, by overlap, and whether they are among the first k."""
     order = [
         F.col("jurisdiction_ok").desc(), F.col("shared_names").desc(), F.col("shared_keywords").desc(),
         F.col("days_after"), F.col("decision_id"),
     ]
-    kept = top_per_key(pairs, ["finding_id"], order, k)
-    return kept, pairs.join(kept.select("finding_id", "decision_id"), ["finding_id", "decision_id"], "left_anti")
+    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("finding_id").orderBy(*order)))
+    return ranked.withColumn("kept", F.col("rank") <= k)
 
 
 def band(score: Column, core_evidence: Column) -> Column:
@@ -92,9 +100,12 @@ def without_exclusions(links: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def link_edges(links: DataFrame) -> DataFrame:
-    """Many-to-many edges; an edge scored more than once keeps its best score."""
-    return links.groupBy("finding_id", "decision_id").agg(
-        F.max("score").alias("score"), F.max_by("band", "score").alias("band"), F.max_by("outcome_label", "score").alias("outcome_label")
+    """Many-to-many edges; an edge scored more than once keeps its best row. Of equal scores the better
+    band wins, then the last outcome label in text order."""
+    level = F.array_position(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("band")).alias("level")
+    best = F.max(F.struct("score", level, "outcome_label", "band")).alias("_b")
+    return links.groupBy("finding_id", "decision_id").agg(best).select(
+        "finding_id", "decision_id", "_b.score", "_b.band", "_b.outcome_label"
     )
 
 

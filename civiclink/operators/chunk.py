@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 WINDOW, OVERLAP = 5, 1
 HEADING_CHARS = 80
@@ -19,22 +22,23 @@ def is_heading(line: Column) -> Column:
     return (F.length(text) >= 3) & (F.length(text) <= HEADING_CHARS) & (marked | capitals)
 
 
-def document_lines(docs: DataFrame, key: str, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """Lines with character offset, page, paragraph and section number. A paragraph is a line that
-    is not blank together with the blank lines behind it; a section starts at a heading."""
-    lines = docs.select(key, *(keep or []), F.posexplode(F.split(text, "\n", -1)).alias("line", "line_text"))
-    before = W.partitionBy(key).orderBy("line").rowsBetween(W.unboundedPreceding, -1)
-    upto = W.partitionBy(key).orderBy("line").rowsBetween(W.unboundedPreceding, 0)
-    breaks = F.length("line_text") - F.length(F.replace("line_text", F.lit(PAGE_BREAK), F.lit("")))
-    filled = F.when(F.trim("line_text") != "", 1).otherwise(0)
-    return lines.withColumns(
-        {
-            "start_char": F.coalesce(F.sum(F.length("line_text") + 1).over(before), F.lit(0)),
-            "page": F.coalesce(F.sum(breaks).over(before), F.lit(0)) + 1,
-            "paragraph": F.greatest(F.sum(filled).over(upto) - 1, F.lit(0)),
-            "section": F.sum(is_heading(F.col("line_text")).cast("int")).over(upto),
-        }
-    )
+def _spans(lines: list[dict], window: int, step: int) -> Iterator[tuple[int, int, int]]:
+    """(chunk index, first line, line behind the last) of a document. A paragraph is a line that is not
+    blank together with the blank lines behind it; a section starts at a heading."""
+    if any(x["heading"] for x in lines):
+        start, section = 0, int(lines[0]["heading"])
+        for i, x in enumerate(lines[1:], 1):
+            if x["heading"]:
+                yield section, start, i
+                start, section = i, section + 1
+        yield section, start, len(lines)
+        return
+    starts = [i for i, x in enumerate(lines) if x["filled"]]
+    begins = [0, *starts[1:]]  # blank lines at the top belong to the first paragraph
+    last = max(-(-(len(begins) - (window - step)) // step) - 1, 0)
+    for n in range(last + 1):
+        end = n * step + window
+        yield n, begins[n * step], begins[end] if end < len(begins) else len(lines)
 
 
 def chunk_documents(
@@ -42,31 +46,43 @@ def chunk_documents(
 ) -> DataFrame:
     """Sections where a document has headings, else windows of paragraphs with overlap.
 
-    The text moves once: running totals, window membership and the final grouping all use the
-    document key as their partitioning. Every chunk is an exact stretch of its document.
+    A document is cut within its row: the expressions mark its lines, one pass inside the task adds up
+    positions, and nothing is shuffled. Every chunk is an exact stretch of its document.
     """
     if not 0 <= overlap < window:
         raise ValueError("overlap must be smaller than the window")
-    step, keep = window - overlap, keep or []
-    whole = W.partitionBy(key)
-    lines = document_lines(docs, key, keep, text).withColumns(
-        {"_sections": F.max("section").over(whole), "_paragraphs": F.max("paragraph").over(whole) + 1}
-    )
-    p = F.col("paragraph")
-    last_window = F.greatest(F.ceil((F.col("_paragraphs") - overlap) / step) - 1, F.lit(0))
-    first = F.greatest(F.ceil((p - (window - 1)) / step), F.lit(0))
-    windows = F.sequence(F.least(first, last_window), F.least(F.floor(p / step), last_window))
-    by_heading = F.col("_sections") > 0
-    member = F.when(by_heading, F.array(F.col("section").cast("long"))).otherwise(windows)
-    placed = lines.withColumn("chunk_index", F.explode(member)).withColumn(
-        "chunk_rule", F.when(by_heading, "heading").otherwise("window")
+    keep = keep or []
+    breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit(PAGE_BREAK), F.lit("")))
+    facts = F.transform(
+        F.split(text, "\n", -1),
+        lambda x: F.struct(
+            F.length(x).alias("length"), breaks(x).alias("breaks"), (F.trim(x) != "").alias("filled"), is_heading(x).alias("heading")
+        ),
     )
-    grouped = placed.groupBy(key, *keep, "chunk_index", "chunk_rule").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("line", "line_text"))), lambda x: x["line_text"]), "\n"
-        ).alias("chunk_text"),
-        F.min("start_char").alias("start_char"),
-        F.min("page").alias("page_start"),
-        F.max("page").alias("page_end"),
-    )
-    return grouped.withColumn("end_char", F.col("start_char") + F.length("chunk_text"))
+    rows = docs.where(F.col(text).isNotNull()).select(key, *keep, F.col(text).alias("_text"), facts.alias("_lines"))
+    kept = [key, *keep]
+    chunk = {"chunk_index": pa.int64(), "chunk_rule": pa.string(), "start_char": pa.int64(), "end_char": pa.int64(), "page_start": pa.int64(), "page_end": pa.int64(), "chunk_text": pa.string()}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for body, lines in zip(batch.column("_text").to_pylist(), batch.column("_lines").to_pylist()):
+                at, page, starts, pages = 0, 1, [], []
+                for x in lines:
+                    starts.append(at)
+                    pages.append(page)
+                    at, page = at + x["length"] + 1, page + x["breaks"]
+                rule = "heading" if any(x["heading"] for x in lines) else "window"
+                mine = []
+                for n, a, b in _spans(lines, window, window - overlap):
+                    end = starts[b - 1] + lines[b - 1]["length"]
+                    values = (n, rule, starts[a], end, pages[a], pages[b - 1], body[starts[a] : end])
+                    mine.append(dict(zip(chunk, values)))
+                found.append(mine)
+            column = pa.array(found, pa.list_(pa.struct(chunk)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), column], [*kept, "_chunks"])
+
+    kind = {"chunk_rule": StringType(), "chunk_text": StringType()}
+    fields = StructType([StructField(n, kind.get(n, LongType())) for n in chunk])
+    schema = StructType([*(rows.schema[c] for c in kept), StructField("_chunks", ArrayType(fields))])
+    return rows.mapInArrow(cut, schema).select(*kept, F.explode("_chunks").alias("_c")).select(*kept, "_c.*")

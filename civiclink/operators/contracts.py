@@ -58,7 +58,8 @@ CONTRACTS: dict[str, tuple[Field, ...]] = {
         EVIDENCE,
     ),
 }
-_SPARK_TYPES = {"string": "string", "quote": "string", "int": "int", "double": "double"}
+_SPARK_TYPES = {"string": "string", "quote": "string", "int": "bigint", "double": "double"}
+WHOLE = 2.0**63
 SPAN_TYPE = "struct<" + ",".join(f"{f.name}:{_SPARK_TYPES[f.kind]}" for f in CONTRACTS["EvidenceSpan"]) + ">"
 
 
@@ -83,7 +84,7 @@ def _scalar_errors(f: Field, kind: Column, text: Column) -> list[Column]:
     if f.kind in ("string", "quote"):
         fits = kind == "STRING"
     elif f.kind == "int":
-        fits = F.coalesce(number == F.floor(number), F.lit(False))
+        fits = F.coalesce(~F.isnan(number) & (F.abs(number) < WHOLE) & (number == F.rint(number)), F.lit(False))
     else:
         fits = number.isNotNull()
     rules = [("type", ~absent & ~fits)]
@@ -126,7 +127,7 @@ def _codes(facts: Column, fields: list[Field]) -> list[Column]:
 def _typed(facts: Column, f: Field) -> Column:
     kind, text = facts[f"k_{f.name}"], facts[f"t_{f.name}"]
     value = text if f.kind in ("string", "quote") else _number(kind, text)
-    return value.cast(_SPARK_TYPES[f.kind]).alias(f.name)
+    return value.try_cast(_SPARK_TYPES[f.kind]).alias(f.name)
 
 
 def _examined(record: Column, fields: tuple[Field, ...]) -> Column:

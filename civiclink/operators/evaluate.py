@@ -115,6 +115,22 @@ def error_rates(df: DataFrame, by: list[str], error: str) -> DataFrame:
     )
 
 
+def shift_dates(rows: DataFrame, date: str, shift_days: int = 30) -> DataFrame:
+    return rows.withColumn("shifted_date", F.date_add(date, shift_days))
+
+
+def abstention(rows: DataFrame, abstained: str, correct: str, by: list[str] | None = None) -> DataFrame:
+    """Share of records without an answer, and precision and recall of the others."""
+    given = ~F.col(abstained)
+    out = rows.groupBy(*(by or [])).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(abstained).alias("abstained"), F.count_if(given & F.col(correct)).alias("correct")
+    )
+    answered = F.col("n") - F.col("abstained")
+    return out.withColumns(
+        {"abstention_rate": _ratio(F.col("abstained"), F.col("n")), "precision": _ratio(F.col("correct"), answered), "recall": _ratio(F.col("correct"), F.col("n"))}
+    )
+
+
 def stress_variants(docs: DataFrame, key: str, text: str = "text", date: str | None = None, shift_days: int = 30) -> DataFrame:
     """Each text in damaged forms: cut in half, headings removed, words abbreviated, noise; and a
     shifted date where the table has one."""
@@ -129,4 +145,4 @@ def stress_variants(docs: DataFrame, key: str, text: str = "text", date: str | N
     }
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), v.alias("variant_text")) for n, v in variants.items()]))
     out = docs.select(key, *([date] if date else []), rows.alias("_v")).select(key, *([date] if date else []), "_v.*")
-    return out.withColumn("shifted_date", F.date_add(date, shift_days)) if date else out
+    return shift_dates(out, date, shift_days) if date else out

@@ -81,12 +81,13 @@ def first_exposure(findings: DataFrame) -> DataFrame:
     return findings.groupBy(PLACE).agg(F.min(F.year("publication_date")).alias("first_exposure"))
 
 
-def panel(
-    places: DataFrame, first_year: int, last_year: int, exposure: DataFrame, outcomes: DataFrame, controls: DataFrame | None = None, span: int = 3
-) -> DataFrame:
-    """Every place in every year with exposure, event time, outcomes (0 where none) and controls."""
-    years = F.explode(F.sequence(F.lit(first_year), F.lit(last_year)))
-    grid = places.select(PLACE).distinct().withColumn("year", years).join(exposure, PLACE, "left")
+def panel(places: DataFrame, exposure: DataFrame, outcomes: DataFrame, controls: DataFrame | None = None, span: int = 3) -> DataFrame:
+    """Every place in every year with exposure, event time, outcomes (0 where none) and controls. The
+    years run from the first to the last one of the outcomes and first exposures."""
+    seen = outcomes.select("year").unionByName(exposure.select(F.col("first_exposure").alias("year")))
+    bounds = {"_lo": seen.agg(F.min("year")).scalar(), "_hi": seen.agg(F.max("year")).scalar()}
+    grid = places.select(PLACE).distinct().withColumns(bounds).withColumn("year", F.explode(F.sequence("_lo", "_hi")))
+    grid = grid.drop(*bounds).join(exposure, PLACE, "left")
     out = grid.join(outcomes, [PLACE, "year"], "left")
     measured = [c for c in outcomes.columns if c not in (PLACE, "year")]
     event_time = F.col("year") - F.col("first_exposure")

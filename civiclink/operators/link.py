@@ -19,17 +19,13 @@ from civiclink.operators.skew import salted_join
 
 KEYS = ["ibge_municipality_code", "uf"]
 RULE = "ibge_exact"
+# Column names of the linked tables.
 AUDIT_COLUMNS = [
     "municipality_name_raw", "municipality_name_clean", "id_da_tarefa", "id_da_auditoria", "titulo_do_relatorio",
     "publication_date", "data_de_publicacao", "grupoatividade", "linhaacao", "tiposervico", "fef",
     "edicao_programa_sorteio_fef",
 ]
-LONG_COLUMNS = [
-    *KEYS, "municipality_name_raw", "idtarefa", "idauditoria", "titulo", "publication_date", "grupoatividade",
-    "linhaacao", "tiposervico", "fef", "edicao_programa_sorteio_fef", "eaud_relatorio_url", "eaud_relatorios_ui",
-    "link_rule_used", "pdf_url", "pdf_sha256",
-]
-# Wide list column -> column of the selection table or of the audit table.
+# Wide list column -> column of the selection table or of the audit table.
 LOTTERY_LISTS = {"lottery_round_ids": "round_id", "lottery_round_labels": "round_label"}
 AUDIT_LISTS = {
     "audit_task_id": "id_da_tarefa", "audit_title": "titulo_do_relatorio", "audit_audit_id": "id_da_auditoria",
@@ -37,8 +33,6 @@ AUDIT_LISTS = {
     "edition_program_sorteio_fef": "edicao_programa_sorteio_fef",
 }
 DATES = "audit_publication_date"
-# A place with more list values than this gets several rows, numbered by list_part.
-LIST_LIMIT = 1_000_000
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -116,27 +110,22 @@ def place_values(lottery: DataFrame, audits: DataFrame) -> DataFrame:
     return mine.unionByName(theirs).drop("_occ")
 
 
-def link_wide(lottery: DataFrame, audits: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """One row per place with ordered lists of distinct values.
+def link_wide(lottery: DataFrame, audits: DataFrame) -> DataFrame:
+    """One row per place with ordered lists of distinct values, at every size.
 
-    A place whose lists would outgrow `list_limit` values is split by position: list_part numbers
-    its rows and the lists continue from part to part, so no task ever collects more than a
-    bounded list. The date list keeps repeated dates. The fan-out of selections against audits
+    This is the view for people and exports, and a list is as long as its place has values. Work that
+    has to scale with one place reads `place_values`, which has the same values as rows with their
+    position. The date list keeps repeated dates. The fan-out of selections against audits
     would repeat the whole list once per selection; `repeat_dates` gives that form.
     """
     left = linkable_selection(lottery)
     right, _ = linkable_audits(audits)
     values = place_values(lottery, audits)
-    giants = values.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > list_limit).drop("_n")
-    part = F.when(F.col("_giant"), F.floor(F.col("seq") / list_limit)).otherwise(F.lit(0)).cast("long")
-    parted = values.join(giants.withColumn("_giant", F.lit(True)), KEYS, "left").withColumn("list_part", part)
     fields = [*LOTTERY_LISTS, *AUDIT_LISTS, DATES]
-    lists = parted.groupBy(*KEYS, "list_part").agg(
+    lists = values.groupBy(*KEYS).agg(
         *[F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct("seq", "value")))).alias(f) for f in fields]
     )
-    lists = lists.select(
-        *KEYS, "list_part", *[F.transform(f, lambda x: x["value"]).alias(f) for f in fields]
-    )
+    lists = lists.select(*KEYS, *[F.transform(f, lambda x: x["value"]).alias(f) for f in fields])
     places = left.groupBy(*KEYS).agg(
         first_non_null("municipality_name_clean", "seq").alias("municipality_name"),
         first_non_null(F.nullif(trim_ws("round_label"), F.lit("")), "seq").alias("first_lottery_round"),
@@ -156,7 +145,6 @@ def link_wide(lottery: DataFrame, audits: DataFrame, list_limit: int = LIST_LIMI
         *[F.coalesce(f, empty).alias(f) for f in AUDIT_LISTS if f != "audit_task_id"],
         F.lit(RULE).alias("link_rule_used"),
         "lottery_rows",
-        F.coalesce("list_part", F.lit(0)).alias("list_part"),
     )
 
 

@@ -217,8 +217,27 @@ def _(t):
 
 @query(
     "link_keys_present",
-    "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS uf FROM {orders} WHERE o_orderstatus <> 'P' AND length(trim(o_orderpriority)) > 0",
+    """SELECT o_orderkey AS seq, o_orderstatus AS uf, lpad(CAST(o_custkey AS VARCHAR), 7, '0') AS ibge_municipality_code
+  FROM {orders} WHERE o_orderstatus <> 'P' AND o_custkey % 5 <> 0""",
 )
 def _(t):
-    rows = t("orders").select("o_orderkey", F.expr("nullif(o_orderstatus, 'P')").alias("uf"), "o_orderpriority")
-    return rows.dropna(subset=["uf"]).where(F.trim("o_orderpriority") != "").drop("o_orderpriority")
+    rows = t("orders").select(
+        F.col("o_orderkey").alias("seq"), F.expr("' ' || lower(nullif(o_orderstatus, 'P')) || ' '").alias("uf"),
+        F.expr("CASE WHEN o_custkey % 5 <> 0 THEN CAST(o_custkey AS STRING) END").alias("ibge_municipality_code"),
+    )
+    return link.linkable_audits(rows)[0].select("seq", "uf", "ibge_municipality_code")
+
+
+# The first date of the table fixes the form of all; the others become null.
+@query(
+    "dates_by_first_form",
+    """SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 4 <> 0 OR o_orderkey = (SELECT min(o_orderkey) FROM {orders}) THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM {orders}""",
+)
+def _(t):
+    form = F.when((F.col("o_orderkey") % 4 != 0) | (F.col("o_orderkey") == F.col("lo")), "yyyy-MM-dd").otherwise("dd/MM/yyyy")
+    o = t("orders")
+    o = o.withColumn("lo", o.agg(F.min("o_orderkey")).scalar())
+    iso = F.when(form == "yyyy-MM-dd", F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
+    raw = o.select(F.col("o_orderkey").alias("seq"), iso.alias("DataPublicacao"))
+    out, _ = audits.prepare_audits(raw, "2026-01-01T00:00:00Z", order="seq")
+    return out.select("seq", F.date_format("publication_date", "yyyy-MM-dd").alias("day"))

@@ -24,11 +24,27 @@ member AS (SELECT doc_id, line, tx, start_char, section AS chunk_index, 'heading
 @query(
     "document_chunks",
     "WITH " + _LINES.replace("#{1,6}", "#+") + """SELECT doc_id, chunk_index, chunk_rule, min(start_char) AS start_char, min(start_char) + length(string_agg(tx, chr(10) ORDER BY line)) AS end_char,
-  md5(string_agg(tx, chr(10) ORDER BY line)) AS digest FROM member GROUP BY 1, 2, 3""",
+  md5(string_agg(tx, chr(10) ORDER BY line)) AS digest, CAST(1 AS BIGINT) AS page_start, CAST(1 AS BIGINT) AS page_end, any_value(lang) AS lang FROM member JOIN {documents} USING (doc_id) GROUP BY 1, 2, 3""",
 )
 def _(t):
     out = chunk.chunk_documents(t("documents"), "doc_id", ["lang"])
-    return out.select("doc_id", "chunk_index", "chunk_rule", "start_char", "end_char", F.md5("chunk_text").alias("digest"))
+    return out.select(
+        "doc_id", "chunk_index", "chunk_rule", "start_char", "end_char", F.md5("chunk_text").alias("digest"), "page_start", "page_end", "lang"
+    )
+
+
+# Each order as a report of three pages with its date.
+@query(
+    "report_chunks_with_pages",
+    """SELECT o_orderkey, chunk_index, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(CASE chunk_index WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE 2 END AS BIGINT) AS page_start,
+  CAST(CASE chunk_index WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS BIGINT) AS page_end FROM {orders}, (VALUES (0), (1), (2)) AS n(chunk_index)""",
+)
+def _(t):
+    parts = ["intro", "# ", "a\f", "b", "# end", "c\f"]
+    lines = [F.lit(p) if p != "# " else F.concat(F.lit(p), "o_orderpriority") for p in parts]
+    body = F.concat_ws("\n", *lines, "o_orderstatus")
+    out = chunk.chunk_documents(t("orders").withColumn("body", body), "o_orderkey", ["o_orderdate"], "body")
+    return out.select("o_orderkey", "chunk_index", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "page_start", "page_end")
 
 
 @query(
@@ -73,9 +89,28 @@ def _(t):
     """SELECT finding_id, decision_id, row_number() OVER (PARTITION BY finding_id ORDER BY jurisdiction_ok DESC, shared_names DESC, shared_keywords DESC, days_after, decision_id) <= 3 AS kept FROM {links}""",
 )
 def _(t):
-    kept, rest = candidates.ranked_pairs(candidates.candidate_pairs(*_sides(t), window_days=90), 3)
-    pick = lambda df, flag: df.select("finding_id", "decision_id", F.lit(flag).alias("kept"))
-    return pick(kept, True).unionByName(pick(rest, False))
+    return candidates.ranked_pairs(candidates.candidate_pairs(*_sides(t), window_days=90), 3).select("finding_id", "decision_id", "kept")
+
+
+# Every pair twice: both rows of a repeated pair are ranked and stay.
+@query(
+    "repeated_pairs_ranked",
+    """WITH two AS (SELECT * FROM {links} UNION ALL SELECT * FROM {links}) SELECT finding_id, decision_id, row_number() OVER
+  (PARTITION BY finding_id ORDER BY jurisdiction_ok DESC, shared_names DESC, shared_keywords DESC, days_after, decision_id) <= 3 AS kept FROM two""",
+)
+def _(t):
+    pairs = candidates.candidate_pairs(*_sides(t), window_days=90)
+    return candidates.ranked_pairs(pairs.unionByName(pairs), 3).select("finding_id", "decision_id", "kept")
+
+
+@query(
+    "candidate_pairs_long_tail",
+    """SELECT temporal_class, count(*) AS n FROM (SELECT finding_id, CASE WHEN datediff('day', publication_date, decision_date) < 60 THEN 'default' ELSE 'long_tail' END AS temporal_class
+  FROM {links}) GROUP BY 1""",
+)
+def _(t):
+    pairs = candidates.candidate_pairs(*_sides(t), window_days=60, horizon_days=90)
+    return pairs.groupBy("temporal_class").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -123,6 +158,18 @@ def _(t):
     return candidates.finding_summary(edges).withColumn("weighted_adverse", F.round("weighted_adverse", 9))
 
 
+# Each link again with the same score, a lower band and another outcome.
+@query(
+    "edges_with_equal_scores",
+    f"""WITH two AS (SELECT finding_id, decision_id, score, band, outcome_label FROM {_GRADED} UNION ALL SELECT finding_id, decision_id, score, 'low', 'neutral' FROM {_GRADED})
+  SELECT finding_id, decision_id, score, band, outcome_label FROM (SELECT *, row_number() OVER (PARTITION BY finding_id, decision_id ORDER BY score DESC,
+    CASE band WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, outcome_label DESC) AS r FROM two) WHERE r = 1""",
+)
+def _(t):
+    once = _graded(t).select("finding_id", "decision_id", "score", "band", "outcome_label")
+    return candidates.link_edges(once.unionByName(once.withColumns({"band": F.lit("low"), "outcome_label": F.lit("neutral")})))
+
+
 @query(
     "score_profile",
     "SELECT court_level, year(decision_date) AS year, count(*) AS links, min(score) AS min_score, max(score) AS max_score, round(avg(score), 9) AS mean_score, "
@@ -192,7 +239,9 @@ def _(t):
 _OUT = "(SELECT ibge_municipality_code, year(decision_date) AS year, count(*) FILTER (WHERE outcome_label = 'adverse') AS adverse_count FROM {links} GROUP BY 1, 2)"
 _PANEL = f"""(SELECT c.code AS ibge_municipality_code, y.year, first_exposure, coalesce(y.year >= first_exposure, false) AS exposed, y.year - first_exposure AS event_time,
   greatest(least(y.year - first_exposure, 3), -3) AS event_bin, coalesce(adverse_count, 0) AS adverse_count, c_acctbal AS balance
-  FROM (SELECT lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS code, c_acctbal FROM {{customer}}) c CROSS JOIN range(1994, 2003) AS y(year)
+  FROM (SELECT lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS code, c_acctbal FROM {{customer}}) c CROSS JOIN
+  (SELECT unnest(range(lo, hi + 1)) AS year FROM (SELECT min(y) AS lo, max(y) AS hi FROM (SELECT year(decision_date) AS y FROM {{links}}
+    UNION ALL SELECT min(year(publication_date)) FROM {{findings}} GROUP BY ibge_municipality_code))) AS y
   LEFT JOIN (SELECT ibge_municipality_code AS k, min(year(publication_date)) AS first_exposure FROM {{findings}} GROUP BY 1) e ON c.code = e.k
   LEFT JOIN {_OUT} o ON c.code = o.ibge_municipality_code AND y.year = o.year)"""
 
@@ -201,7 +250,7 @@ def _panel(t):
     places = t("customer").select(F.lpad(F.col("c_custkey").cast("string"), 7, "0").alias("ibge_municipality_code"), F.col("c_acctbal").alias("balance"))
     adverse = F.count_if(F.col("outcome_label") == "adverse").alias("adverse_count")
     outcomes = _links(t).groupBy("ibge_municipality_code", F.year("decision_date").alias("year")).agg(adverse)
-    return indices.panel(places, 1994, 2002, indices.first_exposure(t("findings")), outcomes, places)
+    return indices.panel(places, indices.first_exposure(t("findings")), outcomes, places)
 
 
 @query("place_year_panel", f"SELECT * FROM {_PANEL}")
@@ -307,6 +356,16 @@ def _(t):
     return out.select("items", "observed", F.round("expected", 9).alias("expected"), F.round("kappa", 9).alias("kappa"))
 
 
+@query(
+    "abstention_rates",
+    f"""SELECT lang, n, abstained, correct, abstained / n AS abstention_rate, CASE WHEN n > abstained THEN correct / (n - abstained) ELSE 0 END AS precision, correct / n AS recall FROM
+  (SELECT lang, count(*) AS n, count(*) FILTER (WHERE confidence < 0.3) AS abstained, count(*) FILTER (WHERE confidence >= 0.3 AND gold = predicted) AS correct FROM {_GOLD} GROUP BY 1)""",
+)
+def _(t):
+    src = _gold(t).withColumns({"gave_up": F.col("confidence") < 0.3, "right": F.col("gold") == F.col("predicted")})
+    return evaluate.abstention(src, "gave_up", "right", ["lang"])
+
+
 @query(
     "span_overlaps",
     """SELECT doc_id, CASE WHEN n_chars + 50 > 0 THEN greatest(least(n_chars, n_chars // 2 + 60) - greatest(n_chars // 3, 0), 0) / (greatest(n_chars, n_chars // 2 + 60) - least(n_chars // 3, 0)) END AS overlap FROM {documents}""",
@@ -363,8 +422,8 @@ def _(t):
     "SELECT DISTINCT o_orderkey, strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') AS shifted FROM {orders}",
 )
 def _(t):
-    out = evaluate.stress_variants(t("orders").withColumn("d", F.to_date("o_orderdate")), "o_orderkey", "o_orderpriority", "d")
-    return out.where(F.col("variant") == "original").select("o_orderkey", F.date_format("shifted_date", "yyyy-MM-dd").alias("shifted"))
+    out = evaluate.shift_dates(t("orders").withColumn("d", F.to_date("o_orderdate")), "d")
+    return out.select("o_orderkey", F.date_format("shifted_date", "yyyy-MM-dd").alias("shifted"))
 
 
 # --- model responses --------------------------------------------------------------------------
@@ -419,7 +478,7 @@ def _card_payload(t):
 
 @query(
     "finding_cards_valid",
-    "SELECT CAST(finding_id AS VARCHAR) AS finding_id, severity_level, CAST(12.5 AS DOUBLE) AS amount_brl, CAST(1 AS DOUBLE) AS confidence, name_1 AS quote, 3 AS page FROM {findings} WHERE keyword_1 <> '5'",
+    "SELECT CAST(finding_id AS VARCHAR) AS finding_id, severity_level, CAST(12.5 AS DOUBLE) AS amount_brl, CAST(1 AS DOUBLE) AS confidence, name_1 AS quote, CAST(3 AS BIGINT) AS page FROM {findings} WHERE keyword_1 <> '5'",
 )
 def _(t):
     good = contracts.valid_records(contracts.check(_card_payload(t), "AuditFindingCard"), "AuditFindingCard", [])
@@ -447,3 +506,19 @@ def _(t):
     span = F.to_json(F.struct(F.col("item_id").cast("string").alias("source_doc_id"), F.col("text").alias("quote"), F.lit(0).alias("start_char")))
     good = contracts.valid_records(contracts.check(t("benchmark").select("item_id", span.alias("payload")), "EvidenceSpan"), "EvidenceSpan", ["item_id"])
     return good.select("item_id", "source_doc_id", F.length("quote").alias("n"))
+
+
+# Pages that are large, not a number, not whole, or text: one bad record never stops the others.
+_PAGE = """CASE item_id % 6 WHEN 0 THEN '3000000000' WHEN 1 THEN '"NaN"' WHEN 2 THEN '2.5' WHEN 3 THEN '"7"' WHEN 4 THEN '1e30' ELSE 'null' END"""
+
+
+@query(
+    "evidence_pages_checked",
+    """SELECT item_id, CASE item_id % 6 WHEN 0 THEN CAST(3000000000 AS BIGINT) WHEN 3 THEN 7 END AS page,
+  CASE WHEN item_id % 6 IN (1, 2, 4) THEN 'page:type' ELSE '' END AS reasons FROM {benchmark}""",
+)
+def _(t):
+    span = F.expr(f"""'{{"source_doc_id":"d","quote":"q","page":' || {_PAGE} || '}}'""")
+    checked = contracts.check(t("benchmark").select("item_id", span.alias("payload")), "EvidenceSpan")
+    reasons = F.array_join("_errors", ",")
+    return checked.select("item_id", F.when(reasons == "", F.col("_record.page")).alias("page"), reasons.alias("reasons"))
