@@ -16,6 +16,28 @@ def day_first(c: Column | str) -> Column:
     )
 
 
+# Forms a date column may have, most exact pattern first: test, Spark format.
+FORMS = [
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "d/M/yyyy H:mm"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "d/M/yyyy H:mm:ss"),
+    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
+    (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
+]
+
+
+def like_first(c: Column | str, first: Column) -> Column:
+    """Date texts as timestamps in the form of `first`, the first text of the column; texts of
+    any other form are null. Without a first text the form is dd/mm/yyyy."""
+    text, model = trim_ws(col(c).cast("string")), F.coalesce(trim_ws(first), F.lit("01/01/2000"))
+    each = [F.when(model.rlike(p) & text.rlike(p), F.try_to_timestamp(text, F.lit(f))) for p, f in FORMS]
+    return F.coalesce(*each)
+
+
 def any_date(c: Column | str) -> Column:
     """A timestamp column as it is, ISO text parsed, anything else null."""
     return col(c).try_cast("timestamp")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 # Whitespace as Python's str.strip and \s see it: Unicode spaces plus the four separators.
 SPACE = r"[\s\x1c-\x1f]"
 # Bullet and dash characters that lists put before a name.
+# Fixed value.
 LEADING_MARKS = r"(?U)^(?:" + SPACE + r"|[-–—•*])+"
 
 
@@ -45,63 +46,27 @@ def collapse_ws(c: Column | str) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _fold_rules() -> tuple[str, str, dict[str, str]]:
-    """Compatibility folding of Latin, Greek, Cyrillic and letter-like blocks, derived from
-    the Unicode database: one-to-one pairs for translate, longer results as a map."""
-    blocks = ((0xA0, 0x530), (0x1E00, 0x2000), (0x2000, 0x2190), (0xFB00, 0xFB07), (0xFF01, 0xFF5F))
-    plain: list[tuple[str, str]] = []
-    gone: list[str] = []
-    longer: dict[str, str] = {}
-    for lo, hi in blocks:
-        for ch in map(chr, range(lo, hi)):
-            if unicodedata.category(ch) in ("Mn", "Cn"):
-                continue
-            parts = unicodedata.normalize("NFKD", ch)
-            base = "".join(p for p in parts if unicodedata.category(p) != "Mn")
-            if base == ch:
-                continue
-            if len(base) == 1:
-                plain.append((ch, base))
-            elif base:
-                longer[ch] = base
-            else:
-                gone.append(ch)
-    # translate drops source characters that have no counterpart, so those go last.
-    src = "".join(a for a, _ in plain) + "".join(gone)
-    dst = "".join(b for _, b in plain)
-    return src, dst, longer
-
-
-def _ranges(chars: dict[str, str], gap: int = 48) -> str:
-    """Character class of the few ranges that cover all characters."""
+def _marks() -> str:
+    """Character class of all combining characters, from the Unicode database."""
     spans: list[list[int]] = []
-    for point in sorted(map(ord, chars)):
-        if spans and point - spans[-1][1] <= gap:
-            spans[-1][1] = point
-        else:
-            spans.append([point, point])
-    return "[" + "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in spans) + "]"
-
-
-def replace_each(text: Column, found: Column, table: Column) -> Column:
-    """Replace every string of the array `found` in `text` by its entry in the map `table`."""
-    return F.aggregate(
-        F.array_distinct(found), text, lambda acc, hit: F.replace(acc, hit, F.element_at(table, hit))
-    )
+    for point in range(0x300, 0x110000):
+        if unicodedata.combining(chr(point)):
+            if spans and point == spans[-1][1] + 1:
+                spans[-1][1] = point
+            else:
+                spans.append([point, point])
+    return "[" + "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in spans) + "]+"
 
 
 def fold_accents(c: Column | str) -> Column:
-    """Accents off, compatibility forms spelled out; null becomes ''."""
-    src, dst, longer = _fold_rules()
-    # A class of many single characters is slow to match, so a coarse test by ranges goes first.
-    cls = "[" + "".join(re.escape(k) for k in longer) + "]"
+    """Compatibility decomposition without combining characters; null becomes ''. The JVM's Unicode
+    library, which Spark ships for its collations, does the decomposition; plain ASCII is left as it is."""
 
-    def spell_out(text: Column) -> Column:
-        found = F.regexp_extract_all(text, F.lit(f"({cls})"), F.lit(1))
-        return F.when(text.rlike(_ranges(longer)), replace_each(text, found, text_map(longer))).otherwise(text)
+    def folded(text: Column) -> Column:
+        apart = F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(True))
+        return F.when(text.rlike(r"[^\x00-\x7f]"), F.regexp_replace(apart, _marks(), "")).otherwise(text)
 
-    text = let(F.coalesce(col(c), F.lit("")), spell_out)
-    return F.regexp_replace(F.translate(text, src, dst), r"\p{Mn}+", "")
+    return let(F.coalesce(col(c), F.lit("")), folded)
 
 
 def _words_only(c: Column) -> Column:

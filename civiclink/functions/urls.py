@@ -108,12 +108,14 @@ def download_urls(task: Column | str, audit: Column | str, host: Column) -> Colu
     entry = lambda word, i: F.struct(
         F.concat(F.lit(word), i).alias("strategy"), _format(REPORT_DOWNLOAD, host, i).alias("url")
     )
+    # The strategy words.
     second = F.when((a != "") & (a != t), entry("download_idauditoria:", a))
     return F.array_compact(F.array(entry("download_idtarefa:", t), second))
 
 
 def landing_urls(task: Column | str, host: Column) -> Column:
     t = col(task).cast("string")
+    # The strategy words.
     return F.array(
         F.struct(F.lit("landing_relatorio").alias("strategy"), _format(REPORT_PAGE, host, t).alias("url")),
         F.struct(

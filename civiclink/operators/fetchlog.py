@@ -15,6 +15,7 @@ MIN_BYTES = 10_000
 TRANSIENT = (408, 425, 429, 500, 502, 503, 504)
 HOSTS = ("eaud", "ecgu")
 
+# Header spellings.
 PROBE_ALIASES = {
     "idtarefa": ["idtarefa", "id_tarefa", "id_da_tarefa"],
     "publication_date": ["publication_date", "data_publicacao", "data_de_publicacao"],

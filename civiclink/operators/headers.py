@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 
 def folded_header(name: str) -> str:
-    """snake_case with accents folded and symbols dropped: 'Edição / FEF' -> 'edicao_fef'."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", (name or "").lower()) if unicodedata.category(c) != "Mn")
+    """snake_case with accents folded and symbols dropped: 'Edição / FEF' -> 'edicao_fef'. Upper case
+    comes first, which spells letters such as ß out."""
+    plain = unicodedata.normalize("NFKD", (name or "").upper())
+    plain = "".join(c for c in plain if not unicodedata.combining(c)).lower()
     words = (re.sub(r"[^a-z0-9_]", "", w) for w in re.split(r"[^\w]+", plain))
     return "_".join(w for w in words if w).strip("_")
 

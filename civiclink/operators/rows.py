@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from civiclink.functions.ids import draw_key
 
-MAX_RANGES = 256
+RANGE_ROWS = 10_000_000
 
 
 def _cols(names: str | list[str]) -> list[str]:
@@ -86,8 +86,8 @@ def _range_of(order: str, cuts: list[float]) -> Column:
 
 
 def with_ranges(df: DataFrame, order: str, ranges: int | None = None) -> DataFrame:
-    """Add _range: consecutive ranges of a numeric or time order column, roughly equal in size."""
-    ranges = ranges or min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Add _range: consecutive ranges of a numeric or time order column, of about RANGE_ROWS rows
+    each, whatever the size of the table; at least one per shuffle partition."""
     kind = df.schema[order].dataType.typeName()
     key = F.col(order)
     if kind in ("timestamp", "timestamp_ntz"):
@@ -95,6 +95,9 @@ def with_ranges(df: DataFrame, order: str, ranges: int | None = None) -> DataFra
     elif kind == "date":
         key = F.unix_date(key)
     keyed = df.withColumn("_key", key)
+    if ranges is None:
+        fewest = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranges = max(fewest, -(-keyed.count() // RANGE_ROWS))
     probs = [i / ranges for i in range(1, ranges)]
     found = keyed.agg(F.percentile_approx("_key", probs, 8 * ranges)).first()[0] if probs else None
     cuts = sorted(set(found or []))
@@ -115,7 +118,7 @@ def prefix_sums(
     )
     by_value = F.col(order).desc() if descending else F.col(order).asc()
     inside = W.partitionBy("_range").orderBy(by_value).rowsBetween(W.unboundedPreceding, 0)
-    out = ranged.join(F.broadcast(offsets), "_range")
+    out = ranged.join(offsets, "_range")
     for o, i in sums.items():
         out = out.withColumn(o, F.sum(i).over(inside) + F.col(f"_o_{o}"))
     return out.drop("_range", *[f"_o_{o}" for o in sums])
@@ -127,18 +130,20 @@ def number_rows(df: DataFrame, order: str, name: str = "source_row_number", rang
 
 
 def number_scanned_rows(df: DataFrame, name: str = "source_row_number") -> DataFrame:
-    """1-based row number in scan order for a frame read straight from files.
+    """1-based row number over a frame read straight from files: files in name order, rows in file order.
 
-    Spark's increasing id holds (partition, row in partition); the sizes of the partitions, one
-    row each, turn it into consecutive numbers without moving the data.
+    A scan reads a file in splits, and splits of several files per task. Spark's increasing id gives
+    the order inside a split; the splits, one row each, are put in order by file and start, and turn it
+    into consecutive numbers without moving the data.
     """
-    tagged = df.withColumn("_id", F.monotonically_increasing_id())
-    part, row = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = tagged.groupBy(part.alias("_part")).agg((F.max(row) + 1).alias("_size"))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    out = tagged.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    return out.withColumn(name, F.col("_offset") + row + 1).drop("_id", "_part", "_offset")
+    tagged = df.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id")
+    )
+    splits = tagged.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    before = W.orderBy("_file", "_start").rowsBetween(W.unboundedPreceding, -1)
+    offsets = splits.select("_file", "_start", (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
+    out = tagged.join(offsets, ["_file", "_start"])
+    return out.withColumn(name, F.col("_offset") + F.col("_id") + 1).drop("_file", "_start", "_id", "_offset")
 
 
 def exact_median(df: DataFrame, value: str, name: str = "median", ranges: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from civiclink.operators.headers import add_missing, attach_constants, need_colu
 from civiclink.plans import views  # noqa: F401
 from civiclink.plans.places import LADDER_SQL, _OUT
 from civiclink.plans.registry import query
-from civiclink.sources import csv_files, provenance, tables
+from civiclink.sources import csv_files, landed, provenance, tables
 from civiclink.sources.scratch import shared_folder
 
 
@@ -103,16 +103,60 @@ def _(t):
     return back.groupBy("n", "keys").agg(F.count(F.lit(1)).cast("int").alias("copies"))
 
 
-@query("landed_file_manifest", "SELECT 'parquet' AS item_type, 'ok' AS status, true AS has_checksum, true AS has_size UNION ALL SELECT 'absent', 'failed', false, false")
+# One text file per nation with the names of its customers, and one file each that is not there.
+@query(
+    "landed_file_manifest",
+    """SELECT CAST(c_nationkey AS VARCHAR) AS notes, 'names' AS item_type, 'ok' AS status, sha256(string_agg(c_name || chr(10), '' ORDER BY c_name)) AS sha256,
+    CAST(sum(length(c_name) + 1) AS BIGINT) AS size_bytes FROM {customer} GROUP BY 1
+  UNION ALL SELECT DISTINCT CAST(c_nationkey AS VARCHAR), 'absent', 'failed', '', CAST(0 AS BIGINT) FROM {customer}""",
+)
 def _(t):
-    src = t("orders")
-    path = tables.write_parquet(src.coalesce(1), _folder(src, "landed"))
-    facts = provenance.file_facts(src.sparkSession, path).where(F.col("local_path").endswith(".parquet"))
-    here = facts.select("local_path", F.lit("parquet").alias("item_type"), F.lit("ok").alias("status"))
-    gone = facts.select(F.concat("local_path", F.lit(".gone")).alias("local_path"), F.lit("absent").alias("item_type"), F.lit("failed").alias("status"))
-    wanted = here.unionByName(gone).withColumns({"source_url": F.lit("generated"), "notes": F.lit("")})
+    src = t("customer").select("c_nationkey", "c_name")
+    path = _folder(src, "landed")
+    src.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_name").write.partitionBy("c_nationkey").text(path)
+    facts = provenance.file_facts(src.sparkSession, path).where(F.col("local_path").endswith(".txt"))
+    nation = F.regexp_extract("local_path", "c_nationkey=([0-9]+)", 1).alias("notes")
+    here = facts.select("local_path", F.lit("names").alias("item_type"), F.lit("ok").alias("status"), nation)
+    gone = here.select(F.concat("local_path", F.lit(".gone")).alias("local_path"), F.lit("absent").alias("item_type"), F.lit("failed").alias("status"), "notes")
+    wanted = here.unionByName(gone).withColumn("source_url", F.lit("generated"))
     out = provenance.manifest_rows(wanted, facts, "2026-01-01T00:00:00Z")
-    return out.select("item_type", "status", (F.length("sha256") == 64).alias("has_checksum"), (F.col("size_bytes") > 0).alias("has_size"))
+    return out.select("notes", "item_type", "status", "sha256", "size_bytes")
+
+
+# One JSON file per nation, read back whole.
+@query(
+    "json_files_read_whole",
+    """SELECT CAST(c_nationkey AS VARCHAR) AS nation, count(*) AS items, CAST(sum(c_custkey) AS BIGINT) AS ids FROM {customer} GROUP BY 1""",
+)
+def _(t):
+    src = t("customer")
+    path = _folder(src, "json")
+    item = F.format_string('{"id":%d,"titulo":"%s"}', "c_custkey", "c_name")
+    rows = src.groupBy("c_nationkey").agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(item)), ","), F.lit("]")).alias("value"))
+    rows.write.partitionBy("c_nationkey").text(path)
+    found = landed.place_items(landed.read_json_texts(src.sparkSession, f"{path}/*/*.txt"), "path")
+    nation = F.regexp_extract("path", "c_nationkey=([0-9]+)", 1).alias("nation")
+    number = F.try_variant_get("item", "$.id", "long")
+    return found.groupBy(nation).agg(F.count(F.lit(1)).alias("items"), F.sum(number).alias("ids"))
+
+
+# The curated tables do not exist yet and are seeded with their first entry.
+@query(
+    "seeded_curated_tables",
+    """SELECT c_custkey, c_custkey % 3 = 0 AS alias_applied, CASE WHEN c_custkey % 3 = 1 THEN '2904001' END AS ibge_municipality_code,
+  CASE WHEN c_custkey % 3 = 1 THEN 'override' ELSE 'unmatched' END AS match_method FROM {customer}""",
+)
+def _(t):
+    rows = t("customer").select(
+        "c_custkey", F.expr("CASE c_custkey % 3 WHEN 0 THEN 'TO' WHEN 1 THEN 'BA' ELSE 'SP' END").alias("uf"),
+        F.expr("CASE c_custkey % 3 WHEN 0 THEN 'São Valério da Natividade' WHEN 1 THEN '- Boninau' ELSE 'x ' || c_name END").alias("municipality_name_clean"),
+    )
+    spark, base = rows.sparkSession, _folder(rows, "seeded")
+    tables.seed_if_missing(spark, f"{base}/aliases", f"{base}/overrides")
+    tables.seed_if_missing(spark, f"{base}/aliases", f"{base}/overrides")
+    aliases, overrides = csv_files.read_aliases(spark, f"{base}/aliases"), csv_files.read_overrides(spark, f"{base}/overrides")
+    out = ladder.match_by_lookup(rows, t("ref_places"), aliases, overrides)
+    return out.select("c_custkey", "alias_applied", "ibge_municipality_code", "match_method")
 
 
 @query("columns_selected_and_added", "SELECT o_orderkey AS chave, o_orderstatus AS status, CAST(NULL AS VARCHAR) AS nota, 'x' AS fonte FROM {orders}")

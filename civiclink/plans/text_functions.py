@@ -1,5 +1,7 @@
 """Scalar functions over whole tables and whole texts."""
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from civiclink.functions import dates, filetypes, ids, text, urls
@@ -25,6 +27,20 @@ def _(t):
     return t("documents").select(*_digest("doc_id", text.fold_accents("text")))
 
 
+# Characters from all over the code space, one per customer, with what is left of each.
+_ODD = ["①", "㎡", "𝐀", "ｱ", "ﷺ", "가", "कु", "ß", "ﬁ", "Ǆ", "…", "ẛ̣"]
+_PLAIN = ["".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)) for x in _ODD]
+
+
+def _one_of(values):
+    return "CASE c_custkey % 12 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+@query("compatibility_characters_folded", f"SELECT c_custkey, c_name || {_one_of(_PLAIN)} AS folded FROM {{customer}}")
+def _(t):
+    return t("customer").select("c_custkey", text.fold_accents(F.expr(f"c_name || {_one_of(_ODD)}")).alias("folded"))
+
+
 @query(
     "slugs",
     f"SELECT doc_id, {q.slug('text')} AS folded, {q.slug('text', False)} AS plain FROM {{documents}}",

@@ -26,6 +26,8 @@ class Dialect:
     encoding: str
     multiline: bool
     header: tuple[str, ...]
+    # Files of a folder by their header, when there is more than one header.
+    groups: tuple[tuple[tuple[str, ...], tuple[str, ...]], ...] = ()
 
 
 def sniff_delimiter(sample: str) -> str:
@@ -43,7 +45,9 @@ def _cells(line: str, delimiter: str) -> list[str]:
 def detect_dialect(spark: SparkSession, path: str) -> Dialect:
     """Delimiter from the first lines; encoding and line breaks inside quotes from one scan."""
     lines = spark.read.text(path)
-    sample = "\n".join(r.value for r in lines.limit(SAMPLE_LINES).collect())[:SAMPLE_CHARS]
+    # How much of the table is looked at for the delimiter. Lines are cut before they travel.
+    short = lines.select(F.substring("value", 1, SAMPLE_CHARS).alias("value"))
+    sample = "\n".join(r.value for r in short.limit(SAMPLE_LINES).collect())[:SAMPLE_CHARS]
     quotes = F.regexp_count(F.regexp_replace("value", r"\\.", ""), F.lit('"'))
     # The first conversion keeps the bytes as read, so invalid UTF-8 is still visible.
     checks = lines.agg(
@@ -51,16 +55,37 @@ def detect_dialect(spark: SparkSession, path: str) -> Dialect:
     ).first()
     encoding = "UTF-8" if checks.utf8 is not False else "ISO-8859-1"
     delimiter = sniff_delimiter(sample)
-    first = spark.read.option("encoding", encoding).csv(path, sep="\x00", quote="", header=False).limit(1).collect()
-    head = (first[0][0] or "").lstrip("﻿") if first else ""
+    heads = _first_lines(spark, path, encoding)
+    head = heads[0][1] if heads else ""
     if len(_cells(head, delimiter)) == 1 and ";" in sample:
         delimiter = ";"
-    return Dialect(delimiter, encoding, bool(checks.open_quote), tuple(_cells(head, delimiter)))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, line in heads:
+        groups.setdefault(tuple(_cells(line, delimiter)), []).append(file)
+    several = tuple((h, tuple(files)) for h, files in groups.items()) if len(groups) > 1 else ()
+    return Dialect(delimiter, encoding, bool(checks.open_quote), tuple(_cells(head, delimiter)), several)
 
 
-def read_csv(spark: SparkSession, path: str, dialect: Dialect | None = None) -> tuple[DataFrame, Dialect]:
-    """Every column as text. Rows with too many cells are dropped, short rows are filled with null."""
+def _first_lines(spark: SparkSession, path: str, encoding: str) -> list[tuple[str, str]]:
+    """(file, first line) of every file that has one, in file name order."""
+    raw = spark.read.option("encoding", encoding).csv(path, sep="\x00", quote="", header=False, schema="line string")
+    at = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "line")
+    firsts = at.where("start = 0").withColumn("n", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("line", "n").alias("line"))
+    return [(r.file, (r.line or "").lstrip("\ufeff")) for r in firsts.orderBy("file").collect()]
+
+
+def read_csv(spark: SparkSession, path: str | list[str], dialect: Dialect | None = None) -> tuple[DataFrame, Dialect]:
+    """Every column as text. Rows with too many cells are dropped, short rows are filled with null.
+
+    Files of one folder may have different headers: each is read by its own, and columns are
+    brought together by name."""
     d = dialect or detect_dialect(spark, path)
+    if d.groups:
+        out = None
+        for header, files in d.groups:
+            part, _ = read_csv(spark, list(files), Dialect(d.delimiter, d.encoding, d.multiline, header))
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        return out, d
     names = [n if n else f"unnamed_{i}" for i, n in enumerate(d.header)]
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, "_overflow"])
     raw = (

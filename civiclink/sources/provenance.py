@@ -7,17 +7,23 @@ from pyspark.sql import functions as F
 
 from civiclink.functions.text import col
 
+LARGEST = 1 << 30
+
 
 def checksum(content: Column | str) -> Column:
     return F.sha2(col(content), 256)
 
 
-def file_facts(spark: SparkSession, pattern: str) -> DataFrame:
-    """local_path, sha256 and size of every file; each file is read by one task, none by the driver."""
+def file_facts(spark: SparkSession, pattern: str, largest: int = LARGEST) -> DataFrame:
+    """local_path, sha256 and size of every file; each file is read by one task, none by the driver.
+
+    A cell holds at most 2 GB, so a file above `largest` bytes has a null checksum; its content is
+    not read, and callers see which files are left."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(pattern)
-    return files.select(
-        F.col("path").alias("local_path"), checksum("content").alias("sha256"), F.col("length").alias("size_bytes")
-    )
+    facts = [F.col("path").alias("local_path"), F.col("length").alias("size_bytes")]
+    small = files.where(F.col("length") <= largest).select(*facts, checksum("content").alias("sha256"))
+    large = files.where(F.col("length") > largest).select(*facts, F.lit(None).cast("string").alias("sha256"))
+    return small.unionByName(large).select("local_path", "sha256", "size_bytes")
 
 
 def manifest_rows(wanted: DataFrame, facts: DataFrame, created_at_utc: str) -> DataFrame:

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, CalendarIntervalType, DataType, MapType, NullType, StructType
 
 # Empty tables keep their columns, so later steps need no special case.
 ROUNDS = (
@@ -65,17 +64,28 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 
 def write_with_fallback(df: DataFrame, path: str) -> str:
-    """Parquet, or CSV beside it when the columns do not fit parquet; the path that was written."""
-    try:
+    """Parquet, or CSV beside it when the columns do not fit parquet; the path that was written.
+    The schema decides before anything runs."""
+    if all(fits_parquet(f.dataType) for f in df.schema.fields):
         return write_parquet(df, path)
-    except (PySparkException, AnalysisException):
-        stem = path[: -len(".parquet")] if path.endswith(".parquet") else path
-        flat = [
-            F.to_json(c).alias(c) if df.schema[c].dataType.typeName() in ("array", "map", "struct", "variant") else F.col(c)
-            for c in df.columns
-        ]
-        text = df.select(*[f.cast("string") for f in flat])
-        return write_csv(text.toDF(*df.columns), stem + ".csv")
+    stem = path[: -len(".parquet")] if path.endswith(".parquet") else path
+    flat = [
+        F.to_json(c).alias(c) if df.schema[c].dataType.typeName() in ("array", "map", "struct", "variant") else F.col(c)
+        for c in df.columns
+    ]
+    text = df.select(*[f.cast("string") for f in flat])
+    return write_csv(text.toDF(*df.columns), stem + ".csv")
+
+
+def fits_parquet(kind: DataType) -> bool:
+    """Whether parquet can store a column of this type."""
+    if isinstance(kind, ArrayType):
+        return fits_parquet(kind.elementType)
+    if isinstance(kind, MapType):
+        return fits_parquet(kind.keyType) and fits_parquet(kind.valueType)
+    if isinstance(kind, StructType):
+        return bool(kind.fields) and all(fits_parquet(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (CalendarIntervalType, NullType))
 
 
 def empty(spark: SparkSession, schema: StructType | str) -> DataFrame:

@@ -24,6 +24,9 @@ def changed(record, **fields):
 CASES = [
     ("EvidenceSpan", changed(SPAN, page=3, start_char=1.0, end_char="7"), []),
     ("EvidenceSpan", changed(SPAN, quote=""), ["quote:too_short"]),
+    ("EvidenceSpan", changed(SPAN, page=3_000_000_000, start_char=-(2**40)), []),
+    ("EvidenceSpan", changed(SPAN, page="NaN", end_char="Infinity"), ["page:type", "end_char:type"]),
+    ("EvidenceSpan", changed(SPAN, page=1e30), ["page:type"]),
     ("EvidenceSpan", changed(SPAN, source_doc_id=5, page=1.5), ["source_doc_id:type", "page:type"]),
     ("AuditFindingCard", changed(CARD), []),
     ("AuditFindingCard", changed(CARD, evidence=WITHOUT, amount_brl=None), []),
@@ -67,11 +70,8 @@ def test_typed_record_and_softening(spark):
 CSV = "Id da Tarefa{s}UF{s}Município{s}Data de Publicação{s}Título do Relatório\n1001{s}CE{s}Itapajé{s}06/03/2026{s}\"Relat{s}ório \\\"A\\\"\"\n1002{s}SP{s}NA\n1003{s}a{s}b{s}c{s}d{s}e\n0034{s}RJ{s}None{s}{s}x\n"
 
 
-@pytest.mark.parametrize("sep", [";", ",", "\t", "|"])
-@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "latin-1"])
+@pytest.mark.parametrize("sep, encoding", [(";", "utf-8"), (",", "utf-8"), ("\t", "utf-8"), ("|", "utf-8"), (";", "utf-8-sig"), (";", "latin-1")])
 def test_csv_dialects(spark, tmp_path, sep, encoding):
-    if encoding != "utf-8" and sep != ";":
-        pytest.skip("one delimiter is enough per encoding")
     path = tmp_path / "a.csv"
     path.write_bytes(CSV.replace("{s}", sep).encode(encoding))
     df, dialect = csv_files.read_csv(spark, str(path))
@@ -89,6 +89,17 @@ def test_csv_line_break_in_quotes(spark, tmp_path):
     assert dialect.multiline and [r.b for r in df.collect()] == ["x\ny", "z"]
 
 
+def test_csv_files_with_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id;uf\n1;SP\n2;BA\n")
+    (tmp_path / "b.csv").write_text("uf;id\nCE;3\n")
+    (tmp_path / "c.csv").write_text("id;uf;nota\n4;RJ;x\n")
+    (tmp_path / "d.csv").write_text("id;uf\n5;MG\n")
+    df, dialect = csv_files.read_csv(spark, str(tmp_path))
+    assert len(dialect.groups) == 3
+    assert sorted(tuple(r) for r in df.select("id", "uf", F.coalesce("nota", F.lit("-"))).collect()) == [
+        ("1", "SP", "-"), ("2", "BA", "-"), ("3", "CE", "-"), ("4", "RJ", "x"), ("5", "MG", "-")]
+
+
 def test_curated_tables(spark, tmp_path):
     assert csv_files.read_aliases(spark, str(tmp_path / "none")).count() == 0
     (tmp_path / "ov.csv").write_text("uf,municipality_name_clean,ibge_municipality_code\n ba , - Boninau ,42\n")
@@ -100,16 +111,16 @@ def test_curated_tables(spark, tmp_path):
 
 def test_place_reference(spark):
     payload = json.dumps([
-        {"id": 1234567, "nome": "Foo", "microrregiao": None},
-        {"id": 3550308, "nome": "Sao Paulo", "microrregiao": {"mesorregiao": {"UF": {"sigla": "SP"}}}},
-        {"id": 3550308, "nome": "Twice", "UF": {"sigla": "SP"}},
-        {"id": None, "nome": "No id", "UF": {"sigla": "SP"}}, {"nome": "No id", "UF": {"sigla": "SP"}},
-        {"id": 12, "nome": " ", "UF": {"sigla": "SP"}}, {"id": 13, "nome": "Água", "uf": {"sigla": " ba "}}, 7, None,
+        {"id": 4100001, "nome": "Serra Alta", "microrregiao": None},
+        {"id": 4200002, "nome": "Vila Nova", "microrregiao": {"mesorregiao": {"UF": {"sigla": "RS"}}}},
+        {"id": 4200002, "nome": "Vila Outra", "UF": {"sigla": "RS"}},
+        {"id": None, "nome": "Lagoa", "UF": {"sigla": "RS"}}, {"nome": "Lagoa", "UF": {"sigla": "RS"}},
+        {"id": 12, "nome": " ", "UF": {"sigla": "RS"}}, {"id": 13, "nome": "Água", "uf": {"sigla": " ba "}}, 7, None,
         {"id": 14, "nome": "N", "UF": {"sigla": 12}, "siglaUF": "mg"}])
     items = landed.place_items(spark.createDataFrame([(0, payload), (1, "[")], "seq int, payload string"))
     ref = landed.place_reference(items, "src", "t")
     assert [tuple(r) for r in ref.select("ibge_municipality_code", "municipality_name_official", "uf", "municipality_name_norm").orderBy("ibge_municipality_code").collect()] == [
-        ("0000013", "Água", "BA", "AGUA"), ("0000014", "N", "MG", "N"), ("3550308", "Sao Paulo", "SP", "SAO PAULO")]
+        ("0000013", "Água", "BA", "AGUA"), ("0000014", "N", "MG", "N"), ("4200002", "Vila Nova", "RS", "VILA NOVA")]
     s = landed.reference_stats(items, ref).first()
     assert (s.total_records, s.parsed_ok, s.skipped_missing_uf, s.rejected_id) == (10, 3, 3, 2)
 
@@ -122,6 +133,8 @@ def test_checksums_and_reports(spark, tmp_path):
     facts = provenance.file_facts(spark, str(tmp_path / "f"))
     r = facts.first()
     assert (r.sha256, r.size_bytes) == (hashlib.sha256(b"abc").hexdigest(), 3)
+    large = provenance.file_facts(spark, str(tmp_path / "f"), largest=2).first()
+    assert (large.sha256, large.size_bytes) == (None, 3)
     out = tables.write_report(spark.createDataFrame([(1, None)], "n int, s string"), str(tmp_path / "r"), "run")
     assert [spark.read.text(p).first().value for p in out] == ['{"n":1,"s":null}'] * 2
     with pytest.raises(FileNotFoundError):
@@ -133,6 +146,12 @@ def test_fallback_and_reuse(spark, tmp_path):
     assert tables.write_with_fallback(df, str(tmp_path / "a.parquet")).endswith("a.parquet")
     odd = df.withColumn("i", F.expr("make_interval(1)"))
     assert tables.write_with_fallback(odd, str(tmp_path / "b.parquet")).endswith("b.csv")
+    nested = df.withColumn("i", F.array(F.struct(F.lit(None).alias("x"))))
+    assert tables.write_with_fallback(nested, str(tmp_path / "n.parquet")).endswith("n.csv")
+    failing = df.withColumn("x", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        tables.write_with_fallback(failing, str(tmp_path / "f.parquet"))
+    assert not tables.exists(spark, str(tmp_path / "f.csv"))
     calls = []
     build = lambda: calls.append(1) or df
     total = lambda t: t.agg(F.sum("a").alias("s"))
@@ -168,7 +187,7 @@ def pair_sides(spark):
     return findings, decisions
 
 
-@pytest.mark.parametrize("skewed", [{}, {"floor": 0, "share": 0.0, "salts": 4}])
+@pytest.mark.parametrize("skewed", [{}, {"hot_left": [("m", 832)], "hot_right": [("m", 832)], "salts": 4}])
 def test_candidate_pairs(spark, skewed):
     pairs = candidates.candidate_pairs(*pair_sides(spark), window_days=90, **skewed).collect()
     got = {(r.finding_id, r.decision_id): (r.days_after, r.shared_names, r.shared_keywords, r.jurisdiction_ok) for r in pairs}
@@ -178,8 +197,15 @@ def test_candidate_pairs(spark, skewed):
 
 def test_ranked_pairs_lose_nothing(spark):
     pairs = candidates.candidate_pairs(*pair_sides(spark), window_days=90)
-    kept, rest = candidates.ranked_pairs(pairs, 1)
-    assert sorted(r.decision_id for r in kept.collect()) == ["d2", "d4", "d5"] and rest.count() == 2
+    ranked = candidates.ranked_pairs(pairs.unionByName(pairs.where("decision_id = 'd2'")), 1)
+    assert sorted(r.decision_id for r in ranked.where("kept").collect()) == ["d2", "d4", "d5"]
+    assert sorted(r.decision_id for r in ranked.where("not kept").collect()) == ["d2", "d3", "d3"]
+
+
+def test_long_tail_pairs(spark):
+    pairs = candidates.candidate_pairs(*pair_sides(spark), window_days=30, horizon_days=100)
+    assert {(r.finding_id, r.decision_id): r.temporal_class for r in pairs.collect()} == {
+        (1, "d2"): "default", (1, "d3"): "long_tail", (1, "d4"): "long_tail", (2, "d3"): "default", (2, "d4"): "long_tail", (3, "d5"): "long_tail"}
 
 
 def test_bands_and_graph(spark):
@@ -193,6 +219,9 @@ def test_bands_and_graph(spark):
     assert (got[1].best_decision_id, got[1].links, got[1].conflicting_outcomes) == ("a", 2, True)
     assert got[1].weighted_adverse == pytest.approx(0.75) and got[2].weighted_adverse == 0.0
     assert candidates.without_exclusions(links, links.where("decision_id = 'b'")).count() == 3
+    tied = spark.createDataFrame([(1, "a", 0.5, "low", "neutral"), (1, "a", 0.5, "medium", "adverse"), (1, "a", 0.5, "medium", "unknown")], links.schema)
+    for df in (tied, tied.orderBy("outcome_label"), tied.orderBy(F.desc("outcome_label"))):
+        assert [tuple(r) for r in candidates.link_edges(df).collect()] == [(1, "a", 0.5, "medium", "unknown")]
 
 
 def test_indices_and_panel(spark):
@@ -209,9 +238,9 @@ def test_indices_and_panel(spark):
     b = indices.outcome_bounds(links).first()
     assert (b.lower_bound, b.adverse_medium, b.upper_bound) == (1, 1, 2)
     places = spark.createDataFrame([("m",), ("n",)], "ibge_municipality_code string")
-    rows = indices.panel(places, 2009, 2020, indices.first_exposure(links), indices.outcome_bounds(links).select("ibge_municipality_code", "year", "upper_bound"))
+    rows = indices.panel(places, indices.first_exposure(links), indices.outcome_bounds(links).select("ibge_municipality_code", "year", "upper_bound"))
     got = {(x.ibge_municipality_code, x.year): x for x in rows.collect()}
-    assert len(got) == 24 and got["m", 2020].upper_bound == 2 and got["m", 2009].event_bin == -1 and got["m", 2020].event_bin == 3
+    assert len(got) == 22 and got["m", 2020].upper_bound == 2 and got["m", 2010].event_bin == 0 and got["m", 2020].event_bin == 3
     assert not got["n", 2020].exposed and got["n", 2020].event_time is None
 
 
@@ -223,6 +252,8 @@ def test_evaluation(spark):
     assert (r.queries, r.precision_at_k, r.recall_at_k) == (1, 1.0, 1.0)
     one = {x.label: x for x in evaluate.label_scores(df, "g", "p").collect()}[1]
     assert (one.true_positive, one.false_positive, one.false_negative, one.f1) == (1, 1, 1, 0.5)
+    given = evaluate.abstention(df.withColumns({"no": F.col("s") < 0.5, "ok": F.col("g") == F.col("p")}), "no", "ok").first()
+    assert (given.n, given.abstained, given.correct, given.abstention_rate, given.recall) == (4, 1, 2, 0.25, 0.5)
     a = evaluate.agreement(df, "g", "p").first()
     assert (a.items, a.observed, a.expected, a.kappa) == (4, 0.5, 0.5, 0.0)
     spans = spark.createDataFrame([(0, 10, 5, 20), (0, 2, 3, 4)], "a int, b int, c int, d int")

@@ -29,6 +29,14 @@ def test_query_key_folds_before_upper(spark):
     assert one(spark, "1º Ofício-MG", text.query_key) == "1O OFICIO MG"
 
 
+@pytest.mark.parametrize("raw", ["①", "㎡", "𝐀", "ｱ", "ﷺ", "가", "कु", "ß", "ǅ", "½", "ẛ̣", "e\u0301x", "plain", "é" * 50, "\u0345", "Ω", "İı"])
+def test_folding_against_the_unicode_database(spark, raw):
+    import unicodedata
+
+    want = "".join(c for c in unicodedata.normalize("NFKD", raw) if not unicodedata.combining(c))
+    assert one(spark, raw, text.fold_accents) == want
+
+
 def test_slug(spark):
     assert one(spark, "  São João / 2ª ", text.slug) == "sao_joao_2a"
     assert one(spark, "São", lambda c: text.slug(c, fold=False)) == "s_o"
