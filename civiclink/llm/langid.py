@@ -147,21 +147,19 @@ def train(
     spark = docs.sparkSession
     pick = F.pmod(F.xxhash64(*[docs[c] for c in spread_by]), F.lit(1_000_000)).alias("pick")
     rows = docs.select(docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"), pick)
-    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    rows = rows.where(F.col("lang").isNotNull())
     sizes = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = sorted(r["lang"] for r in sizes)
-    slices = max(1, -(-len(languages) // 64))
-    masks = np.zeros((slices, 1 << SLOT_BITS), np.uint64)
-    if not languages:
-        return Model([], masks)
+    rows = rows.where(F.col("text").isNotNull())
     # A share of each language, so that about sample_rows of its rows stay.
     shares = spark.createDataFrame([(r["lang"], min(1.0, sample_rows / r["count"])) for r in sizes], StructType([StructField("lang", StringType()), StructField("share", DoubleType())]))
     picked = rows.join(shares, "lang").where(F.col("pick") < F.col("share") * 1_000_000)
     counts = picked.select("text", "lang").mapInArrow(_counter, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = stored(counts.where(F.col("n") >= min_count))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    languages = sorted(r["lang"] for r in totals.select("lang").collect())
+    masks = np.zeros((max(1, -(-len(languages) // 64)), 1 << SLOT_BITS), np.uint64)
     rates = counts.join(totals, "lang").select("gram", "lang", "n", (F.col("n") / F.col("total")).alias("rate"))
     best = rates.groupBy("gram").agg(F.max("rate").alias("best"), F.sum("n").alias("all"), F.collect_list(F.struct("lang", "rate")).alias("rates"))
     owned = best.select("gram", "all", F.expr(f"transform(filter(rates, r -> r.rate >= {ratio} * best), r -> r.lang)").alias("langs"))
