@@ -26,8 +26,8 @@ class Dialect:
     encoding: str
     multiline: bool
     header: tuple[str, ...]
-    # Files of a folder by their header, when there is more than one header.
-    groups: tuple[tuple[tuple[str, ...], tuple[str, ...]], ...] = ()
+    # (header, line breaks in quotes, files) where the files of a folder differ.
+    groups: tuple[tuple[tuple[str, ...], bool, tuple[str, ...]], ...] = ()
 
 
 def sniff_delimiter(sample: str) -> str:
@@ -50,20 +50,23 @@ def detect_dialect(spark: SparkSession, path: str) -> Dialect:
     sample = "\n".join(r.value for r in short.limit(SAMPLE_LINES).collect())[:SAMPLE_CHARS]
     quotes = F.regexp_count(F.regexp_replace("value", r"\\.", ""), F.lit('"'))
     # The first conversion keeps the bytes as read, so invalid UTF-8 is still visible.
-    checks = lines.agg(
+    per_file = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("open_quote")
-    ).first()
-    encoding = "UTF-8" if checks.utf8 is not False else "ISO-8859-1"
+    )
+    odd = per_file.where(~F.col("utf8") | F.col("open_quote")).collect()
+    encoding = "UTF-8" if all(r.utf8 for r in odd) else "ISO-8859-1"
+    # A file with line breaks in quotes is read by one task; the others are still split.
+    broken = {r.file for r in odd if r.open_quote}
     delimiter = sniff_delimiter(sample)
     heads = _first_lines(spark, path, encoding)
     head = heads[0][1] if heads else ""
     if len(_cells(head, delimiter)) == 1 and ";" in sample:
         delimiter = ";"
-    groups: dict[tuple[str, ...], list[str]] = {}
+    groups: dict[tuple[tuple[str, ...], bool], list[str]] = {}
     for file, line in heads:
-        groups.setdefault(tuple(_cells(line, delimiter)), []).append(file)
-    several = tuple((h, tuple(files)) for h, files in groups.items()) if len(groups) > 1 else ()
-    return Dialect(delimiter, encoding, bool(checks.open_quote), tuple(_cells(head, delimiter)), several)
+        groups.setdefault((tuple(_cells(line, delimiter)), file in broken), []).append(file)
+    several = tuple((*kind, tuple(files)) for kind, files in groups.items()) if len(groups) > 1 else ()
+    return Dialect(delimiter, encoding, bool(broken), tuple(_cells(head, delimiter)), several)
 
 
 def _first_lines(spark: SparkSession, path: str, encoding: str) -> list[tuple[str, str]]:
@@ -82,8 +85,8 @@ def read_csv(spark: SparkSession, path: str | list[str], dialect: Dialect | None
     d = dialect or detect_dialect(spark, path)
     if d.groups:
         out = None
-        for header, files in d.groups:
-            part, _ = read_csv(spark, list(files), Dialect(d.delimiter, d.encoding, d.multiline, header))
+        for header, multiline, files in d.groups:
+            part, _ = read_csv(spark, list(files), Dialect(d.delimiter, d.encoding, multiline, header))
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         return out, d
     names = [n if n else f"unnamed_{i}" for i, n in enumerate(d.header)]

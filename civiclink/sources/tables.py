@@ -119,6 +119,7 @@ def write_report(report: DataFrame, folder: str, run_id: str) -> list[str]:
     """One-row summary as JSON text, under its run id and as the latest one."""
     text = report.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
     paths = [f"{folder}/{run_id}_report", f"{folder}/latest"]
-    for path in paths:
-        text.coalesce(1).write.mode("overwrite").text(path)
+    text.coalesce(1).write.mode("overwrite").text(paths[0])
+    # The report is computed once; the second copy is made from the first.
+    report.sparkSession.read.text(paths[0]).coalesce(1).write.mode("overwrite").text(paths[1])
     return paths

@@ -94,10 +94,11 @@ def test_csv_files_with_their_own_headers(spark, tmp_path):
     (tmp_path / "b.csv").write_text("uf;id\nCE;3\n")
     (tmp_path / "c.csv").write_text("id;uf;nota\n4;RJ;x\n")
     (tmp_path / "d.csv").write_text("id;uf\n5;MG\n")
+    (tmp_path / "e.csv").write_text('id;uf\n6;"A\nB"\n')
     df, dialect = csv_files.read_csv(spark, str(tmp_path))
-    assert len(dialect.groups) == 3
+    assert sorted((len(h), m, len(files)) for h, m, files in dialect.groups) == [(2, False, 1), (2, False, 2), (2, True, 1), (3, False, 1)]
     assert sorted(tuple(r) for r in df.select("id", "uf", F.coalesce("nota", F.lit("-"))).collect()) == [
-        ("1", "SP", "-"), ("2", "BA", "-"), ("3", "CE", "-"), ("4", "RJ", "x"), ("5", "MG", "-")]
+        ("1", "SP", "-"), ("2", "BA", "-"), ("3", "CE", "-"), ("4", "RJ", "x"), ("5", "MG", "-"), ("6", "A\nB", "-")]
 
 
 def test_curated_tables(spark, tmp_path):
