@@ -31,7 +31,7 @@ from civiclink.llm.fmindex import Index
 
 WINDOW = 10
 SHARD_BYTES = 6 << 20
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 18
 ITEM_WORDS = 1 << 14
 END = b"\n"
 
