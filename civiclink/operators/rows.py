@@ -95,12 +95,17 @@ def with_ranges(df: DataFrame, order: str, ranges: int | None = None) -> DataFra
     elif kind == "date":
         key = F.unix_date(key)
     keyed = df.withColumn("_key", key)
-    if ranges is None:
-        fewest = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranges = max(fewest, -(-keyed.count() // RANGE_ROWS))
-    probs = [i / ranges for i in range(1, ranges)]
-    found = keyed.agg(F.percentile_approx("_key", probs, 8 * ranges)).first()[0] if probs else None
-    cuts = sorted(set(found or []))
+    fewest = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def look(n: int):
+        """Row count and n - 1 cut points in one pass over the key."""
+        points = F.percentile_approx("_key", [i / n for i in range(1, n)], 8 * n) if n > 1 else F.array()
+        return keyed.agg(F.count(F.lit(1)).alias("rows"), points.alias("cuts")).first()
+
+    found = look(fewest) if fewest > 1 or ranges is None else None
+    if ranges is None and found.rows > RANGE_ROWS * fewest:
+        found = look(-(-found.rows // RANGE_ROWS))
+    cuts = sorted(set(found.cuts or [])) if found else []
     return keyed.withColumn("_range", _range_of("_key", cuts)).drop("_key")
 
 
