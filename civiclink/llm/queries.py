@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiclink.llm.common import BLANKS, read
+from civiclink.llm.common import read
 from civiclink.llm.decontaminate import contamination
 from civiclink.llm.exact import exact_duplicates
 from civiclink.llm.langid import language_table
@@ -23,6 +23,7 @@ from civiclink.sources.scratch import shared_folder
 SHARDS = 24
 RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 TOKENIZER = "byte_bpe_50k"
+MAIL = r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+"
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,18 +68,17 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four commits: all documents, the same batch once more (which changes nothing), a takedown of
-    documents labelled toxic, and new counts for documents of low quality after their white space was cleaned."""
+    """Totals after four commits: all documents, the same batch once more (which changes nothing), new
+    counts for the documents that lose a mail address, and a takedown of documents labelled toxic. Only
+    ids and counts are ever joined, texts stay in the scan."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     rollup = Rollup(spark, shared_folder(spark, "tokens"), docs.schema["doc_id"].dataType.simpleString())
     counted = lambda rows: count_tokens(rows, TOKENIZER, RANKS_FILE).unionByName(count_bytes(rows))
     rollup.commit("load", counted(docs))
     rollup.commit("load", counted(docs))
-    toxic = labels.where("toxic = 1").select("doc_id").distinct()
-    rollup.commit("takedown", deletes=toxic)
-    poor = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
-    cleaned = docs.join(poor, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", BLANKS, " "))
-    rollup.commit("cleaned", revised=counted(cleaned))
+    scrubbed = docs.where(F.col("text").rlike(MAIL)).withColumn("text", F.regexp_replace("text", MAIL, ""))
+    rollup.commit("scrubbed", revised=counted(scrubbed))
+    rollup.commit("takedown", deletes=labels.where("toxic = 1").select("doc_id").distinct())
     return rollup.totals()
 
 

@@ -1,11 +1,12 @@
 import random
+import re
 from collections import Counter
 
 import pytest
 import tiktoken
 
 from civiclink.llm import tokens
-from civiclink.llm.queries import RANKS_FILE
+from civiclink.llm.queries import MAIL, RANKS_FILE, op10_token_counts
 
 from .cases import empty, frame, odd, odd_rows, prose
 
@@ -80,6 +81,25 @@ def test_a_batch_that_was_cut_off_is_written_anew(spark, tmp_path):
     assert [(r["docs"], r["tokens"]) for r in rollup.totals().collect()] == [(1, 3)]
 
 
+def test_query_against_plain_counting(spark, tmp_path):
+    texts = [prose(i, 30) for i in range(30)] + [f"write to a.b{i}@mail{i}.example.com or {prose(i, 5)}" for i in range(12)] + [None, ""]
+    sources = [["a", "b", None][i % 3] for i in range(len(texts))]
+    docs = frame(spark, texts, source=sources, lang=["en"] * len(texts))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, i % 2, int(i % 5 == 0)) for i in range(0, 44, 2)] + [(0, 1, 1), (999, 0, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    gone = {i for i, _, toxic in labels if toxic}
+    want = Counter()
+    for i, (t, s) in enumerate(zip(texts, sources)):
+        if i not in gone:
+            t = re.sub(MAIL, "", t or "")
+            want[s, "en", "byte_bpe_50k"] += len(encoder().encode_ordinary(t))
+            want[s, "en", "utf8_bytes"] += len(t.encode())
+    got = op10_token_counts(spark, str(tmp_path)).collect()
+    assert {(r["source"], r["lang"], r["version"]): r["tokens"] for r in got} == dict(want)
+    assert sum(r["docs"] for r in got) == 2 * (len(texts) - len(gone & set(range(len(texts)))))
+
+
 def test_names_and_empty_batches(spark, tmp_path):
     rollup = tokens.Rollup(spark, str(tmp_path / "rollup"))
     with pytest.raises(ValueError):
