@@ -49,7 +49,8 @@ def with_shards(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_id
 
 
 def with_slots(rows: DataFrame, order: Sequence[str], shard_col: str = "shard", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """All columns of a stored frame and `slot`: 0, 1, 2 .. in each shard.
+    """All columns and `slot`: 0, 1, 2 .. in each shard. `rows` is read twice, so it should be a table or a
+    few expressions over one; whole rows move once, to their bucket.
 
     A shard is cut into buckets by a hash of the `order` columns; buckets are numbered one by one and
     start where the counts of the earlier ones end. No task sees more than a bucket, but
@@ -67,9 +68,9 @@ def with_slots(rows: DataFrame, order: Sequence[str], shard_col: str = "shard",
 
 
 def sharded(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_id", order: Sequence[str] | None = None, **how) -> DataFrame:
-    """All columns with `shard` and `slot`, ready to be written with partitionBy("shard")."""
-    rows = stored(with_shards(docs, weights, id_col))
-    return with_slots(rows, list(order or [id_col]), **how)
+    """All columns with `shard` and `slot`, ready to be written with partitionBy("shard"). `docs` should be
+    a table: its shards are worked out twice, which is cheaper than a copy of all texts."""
+    return with_slots(with_shards(docs, weights, id_col), list(order or [id_col]), **how)
 
 
 def shard_table(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
