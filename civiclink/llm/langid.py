@@ -40,6 +40,7 @@ MAX_LANGUAGES = 1024
 MIN_COUNT = 3
 RATIO = 0.25
 CHUNK = 1 << 18
+SLICE = 1024
 UNKNOWN = "und"
 
 
@@ -152,9 +153,10 @@ def train(
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     rows = rows.where(F.col("text").isNotNull())
-    # A share of each language, so that about sample_rows of its rows stay.
-    shares = spark.createDataFrame([(r["lang"], min(1.0, sample_rows / r["count"])) for r in sizes], StructType([StructField("lang", StringType()), StructField("share", DoubleType())]))
-    picked = rows.join(shares, "lang").where(F.col("pick") < F.col("share") * 1_000_000)
+    # A share of each language, so that about sample_rows of its rows stay. A map of at most
+    # MAX_LANGUAGES entries in the expression; texts that are not picked go nowhere.
+    shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_rows / r["count"]))]) if sizes else F.create_map().cast("map<string,double>")
+    picked = rows.where(F.col("pick") < F.try_element_at(shares, F.col("lang")) * 1_000_000)
     counts = picked.select("text", "lang").mapInArrow(_counter, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = stored(counts.where(F.col("n") >= min_count))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
@@ -197,36 +199,45 @@ def classify(texts: list[str | None], model: Model, chance: np.ndarray) -> tuple
     return names, np.where(letters, score, 0.0).tolist()
 
 
-def _predictor(shared):
+def _predictor(shared, at: int, kept: list[int]):
+    """Rows as one struct column -> the struct of the kept fields, lang_pred, score. The text is field
+    `at`; it crosses to Python once, and is taken apart a slice of rows at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         chance = model.chance()
-        for batch in batches:
-            names, scores = classify(batch.column("text").to_pylist(), model, chance)
-            columns = [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["_row", "lang_pred", "score"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                row = whole.slice(start, SLICE).column(0)
+                fields = row.flatten()
+                names, scores = classify(fields[at].cast(pa.string()).to_pylist(), model, chance)
+                some = pa.StructArray.from_arrays([fields[i] for i in kept], [row.type.field(i).name for i in kept])
+                columns = [some, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, ["_row", "lang_pred", "score"])
 
     return run
 
 
+def _asked(docs: DataFrame, model: Model, text_col: str, keep: list[str]) -> DataFrame:
+    rows = packed(docs)
+    fields = rows.schema["_row"].dataType.fields
+    kept = [docs.columns.index(c) for c in keep]
+    schema = StructType([StructField("_row", StructType([fields[i] for i in kept])), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return rows.mapInArrow(_predictor(shared, docs.columns.index(text_col), kept), schema)
+
+
 def predicted(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of `docs` (default all), lang_pred and score."""
     columns = docs.columns if keep is None else keep
-    rows = packed(docs.select(*columns, docs[text_col].alias("_text_in"))) if text_col not in columns else packed(docs.select(*columns))
-    name = text_col if text_col in columns else "_text_in"
-    rows = rows.select("_row", F.col("_row").getField(name).cast("string").alias("text"))
-    if name == "_text_in":
-        kept = F.struct(*[F.col("_row").getField(c).alias(c) for c in columns])
-        rows = rows.select(kept.alias("_row"), "text")
-    schema = StructType([StructField("_row", rows.schema["_row"].dataType), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    out = rows.mapInArrow(_predictor(docs.sparkSession.sparkContext.broadcast(model)), schema)
+    out = _asked(docs.select(*dict.fromkeys([*columns, text_col])), model, text_col, columns)
     clash = ("lang_pred", "score")
     return out.select(*[F.col("_row").getField(c).alias(c) for c in columns if c.lower() not in clash], *clash)
 
 
 def identified(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.1) -> DataFrame:
     """Rows of `docs`, all columns, whose language is known with a score of min_score or more."""
-    out = predicted(packed(docs).select("_row", F.col("_row").getField(text_col).alias("_text")), model, "_text", ["_row"])
+    out = _asked(docs, model, text_col, docs.columns)
     return unpacked(out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)), docs.columns)
 
 
