@@ -28,16 +28,16 @@ from collections.abc import Sequence
 from math import gcd
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from civiclink.llm.common import packed, stored, unpacked
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, LIMIT = 1.5, 2.0
 BLOCK_WORDS = 1 << 16
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 8192
 MAX_SOURCES = 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -103,11 +103,11 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
 
 
 def _placed(rows: DataFrame) -> DataFrame:
-    """`rows` with `at`: words before each document in the order of its source."""
-    n = max(1, rows.count() // BUCKET_ROWS)
-    bits = (n - 1).bit_length()
-    bucket = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
-    rows = rows.withColumn("bucket", bucket)
+    """`rows` with `at`: words before each document in the order of its source. `bits` of the hash are
+    the bucket, so a source has as many buckets as its own rows need."""
+    bucket = F.expr("CASE WHEN bits > 0 THEN shiftrightunsigned(h, 64 - bits) ELSE 0L END")
+    # Dealt out by both columns, so that no earlier partitioning by source alone is kept for the window.
+    rows = rows.withColumn("bucket", bucket).repartition("source", "bucket")
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = F.expr("sum(words) OVER (PARTITION BY source ORDER BY bucket) - words")
     starts = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), before.alias("start"))
@@ -127,15 +127,16 @@ def _plan(found: list[Row], weights: Sequence[float], share: float, limit: float
     out = []
     for i, r in enumerate(found):
         a, b = _step(int(quotas[i]), np.random.default_rng([seed, 7, i]))
-        out.append((r["source"], sizes[i], wanted[i], int(quotas[i]), a, b, starts[:, i].tolist()))
+        bits = max(0, -(-int(r["n"]) // BUCKET_ROWS) - 1).bit_length()
+        out.append((r["source"], sizes[i], wanted[i], int(quotas[i]), a, b, bits, starts[:, i].tolist()))
     return out
 
 
-PLAN = StructType(
-    [StructField("plan_source", StringType())]
-    + [StructField(n, t) for n, t in zip(
-        ["source_size", "target", "quota", "a", "b", "starts"], [LongType(), DoubleType(), LongType(), LongType(), LongType(), ArrayType(LongType())]
-    )]
+PLAN = pa.schema(
+    {
+        "plan_source": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "quota": pa.int64(),
+        "a": pa.int64(), "b": pa.int64(), "bits": pa.int32(), "starts": pa.list_(pa.int64()),
+    }
 )
 
 
@@ -164,11 +165,16 @@ def mixed(
     """One row per row of `docs`: doc_id, size, source_size, target, taken, copies, shards (one per
     copy), and h and k, which name the row."""
     rows = _rows(docs, id_col, text_col, source_col, seed)
-    found = rows.groupBy("source").agg(F.sum("size").alias("words")).limit(max_sources + 1).collect()
+    found = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources; group them before mixing")
-    plan = rows.sparkSession.createDataFrame(_plan(found, weights, share, limit, shards, block_words, seed), PLAN)
-    placed = _placed(rows).join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
+    # An Arrow table becomes a relation of known size, so a small plan is broadcast and rows stay where they are.
+    columns = zip(*_plan(found, weights, share, limit, shards, block_words, seed)) if found else [()] * len(PLAN)
+    table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, PLAN.types)], schema=PLAN)
+    plan = rows.sparkSession.createDataFrame(table)
+    same = F.col("source").eqNullSafe(F.col("plan_source"))
+    placed = _placed(rows.join(plan.select("plan_source", "bits"), same).drop("plan_source")).drop("bits")
+    placed = placed.join(plan.drop("bits"), same)
     times = F.ceil((F.col("target") - F.col("at") - F.col("size") / 2) / F.col("source_size"))
     copies = F.when(F.col("source_size") > 0, F.greatest(times, F.lit(0))).otherwise(0).cast("int")
     placed = placed.withColumn("copies", copies)
