@@ -164,7 +164,9 @@ def common_blocks(table: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS
     lines = table.select("row", place, F.posexplode(F.arrays_zip("hashes", "words")).alias("pos", "line"))
     lines = lines.select("row", "place", "pos", F.col("line.hashes").alias("h"), F.col("line.words").alias("n"))
     holders = lines.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("times"))
-    shared = stored(lines.join(holders.where(F.col("first") != F.col("last")).drop("last"), "h"))
+    # Stored, so that the join deals out both sides itself and can split a very common line.
+    holders = stored(holders.where(F.col("first") != F.col("last")).drop("last"))
+    shared = stored(lines.join(holders, "h"))
     few = shared.where(F.col("times") <= rare).groupBy("h").agg(F.sort_array(F.collect_set("place")).alias("p"))
     two = F.expr("explode(flatten(transform(p, (x, i) -> transform(slice(p, i + 2, size(p)), y -> struct(x.row AS earlier, y.row AS later)))))")
     many = shared.where((F.col("times") > rare) & (F.col("first") != F.col("place")))
