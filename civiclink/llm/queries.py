@@ -76,7 +76,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = lambda rows: count_tokens(rows, TOKENIZER, RANKS_FILE).unionByName(count_bytes(rows))
     rollup.commit("load", counted(docs))
     rollup.commit("load", counted(docs))
-    scrubbed = docs.where(F.col("text").rlike(MAIL)).withColumn("text", F.regexp_replace("text", MAIL, ""))
+    scrubbed = docs.where(F.col("text").contains("@") & F.col("text").rlike(MAIL)).withColumn("text", F.regexp_replace("text", MAIL, ""))
     rollup.commit("scrubbed", revised=counted(scrubbed))
     rollup.commit("takedown", deletes=labels.where("toxic = 1").select("doc_id").distinct())
     return rollup.totals()
