@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -45,26 +45,83 @@ def collapse_ws(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), f"(?U){SPACE}+", " "))
 
 
-@lru_cache(maxsize=1)
-def _marks() -> str:
-    """Character class of all combining characters, from the Unicode database."""
+def _spans(points: Iterable[int], gap: int = 1) -> str:
+    """Character class of code points; points up to `gap` apart share a range."""
     spans: list[list[int]] = []
-    for point in range(0x300, 0x110000):
-        if unicodedata.combining(chr(point)):
-            if spans and point == spans[-1][1] + 1:
-                spans[-1][1] = point
-            else:
-                spans.append([point, point])
-    return "[" + "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in spans) + "]+"
+    for point in points:
+        if spans and point - spans[-1][1] <= gap:
+            spans[-1][1] = point
+        else:
+            spans.append([point, point])
+    return "[" + "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in spans) + "]"
+
+
+@lru_cache(maxsize=1)
+def _fold_rules() -> tuple[str, str, dict[str, str], str]:
+    """Compatibility folding of the whole code space, derived from the Unicode database: one-to-one pairs
+    for translate, longer results as a map, and the class of combining characters. Hangul syllables
+    have a rule of their own."""
+    src, dst, gone, longer, marks = [], [], [], {}, []
+    for point in [*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x110000)]:
+        ch = chr(point)
+        if unicodedata.combining(ch):
+            marks.append(point)
+            continue
+        base = "".join(p for p in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(p))
+        if base == ch:
+            continue
+        if len(base) == 1:
+            src.append(ch)
+            dst.append(base)
+        elif base:
+            longer[ch] = base
+        else:
+            gone.append(ch)
+    # translate drops source characters that have no counterpart, so those go last.
+    return "".join(src + gone), "".join(dst), longer, _spans(marks)
+
+
+def replace_each(text: Column, found: Column, table: Column) -> Column:
+    """Replace every string of the array `found` in `text` by its entry in the map `table`."""
+    return F.aggregate(
+        F.array_distinct(found), text, lambda acc, hit: F.replace(acc, hit, F.element_at(table, hit))
+    )
+
+
+def _character(point: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(point.cast("long")), 8, "0")), "UTF-32")
+
+
+def _jamo(syllable: Column) -> Column:
+    """Letters of a Hangul syllable, by the arithmetic of the Unicode standard."""
+    n = F.ascii(syllable) - 0xAC00
+    tail = n % 28
+    letters = [_character(F.floor(n / 588) + 0x1100), _character(F.floor((n % 588) / 28) + 0x1161)]
+    return F.concat(*letters, F.when(tail > 0, _character(tail + 0x11A7)).otherwise(""))
 
 
 def fold_accents(c: Column | str) -> Column:
-    """Compatibility decomposition without combining characters; null becomes ''. The JVM's Unicode
-    library, which Spark ships for its collations, does the decomposition; plain ASCII is left as it is."""
+    """Accents off, compatibility forms spelled out; null becomes ''. Plain ASCII is left as it is, and
+    rare forms cost only the texts that have some."""
+    src, dst, longer, marks = _fold_rules()
+    # A class of many single characters is slow to match, so a coarse test by ranges goes first.
+    rare = "[" + "".join(re.escape(k) for k in longer) + "]"
+    # One literal, taken apart once per plan: a map of single literals takes long to plan.
+    table = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in longer.items())), F.lit("\x02"), F.lit("\x01"))
+
+    def spell_out(text: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(f"({rare})"), F.lit(1))
+        return F.when(text.rlike(_spans(map(ord, longer), 48)), replace_each(text, found, table)).otherwise(text)
+
+    def syllables(text: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(r"([\x{ac00}-\x{d7a3}])"), F.lit(1))
+        each = F.aggregate(F.array_distinct(found), text, lambda acc, hit: F.replace(acc, hit, _jamo(hit)))
+        return F.when(text.rlike(r"[\x{ac00}-\x{d7a3}]"), each).otherwise(text)
 
     def folded(text: Column) -> Column:
-        apart = F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(True))
-        return F.when(text.rlike(r"[^\x00-\x7f]"), F.regexp_replace(apart, _marks(), "")).otherwise(text)
+        spelled = let(let(text, syllables), spell_out)
+        plain = F.regexp_replace(F.translate(spelled, src, dst), f"{marks}+", "")
+        return F.when(text.rlike(r"[^\x00-\x7f]"), plain).otherwise(text)
 
     return let(F.coalesce(col(c), F.lit("")), folded)
 
