@@ -68,13 +68,13 @@ def test_named_hot_key_without_a_match_keeps_its_left_rows(spark):
 
 def test_a_key_of_few_rows_in_a_hundred_is_split(spark, tmp_path):
     """One key has 0.4 % of the rows and still is too large for a task: it is split at run time."""
-    n = 400_000
+    n = 100_000
     key = F.when(F.col("id") % 250 == 0, F.lit(-1)).otherwise(F.col("id"))
     names = spark.range(n).select("id", F.concat(F.lit("k"), key.cast("string")).alias("_name"), F.lit("SP").alias("uf"))
     names.select("id", "uf", F.col("_name").alias("municipality_name_clean")).repartition(6).write.parquet(str(tmp_path / "rows"))
     names.select("_name", F.lit("SP").alias("_uf"), F.lit("1").alias("ibge_municipality_code")).distinct().write.parquet(str(tmp_path / "names"))
     settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "2000",
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "500",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
         "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
     }
