@@ -8,8 +8,8 @@ template. Held-out examples calibrate it twice: a temperature for the probabilit
 probability at which a prediction counts, below which a paragraph is unknown. A prediction is
 confirmed if enough of a template of its family, or of the paragraph, is shared in three-word runs.
 
-The corpus gives at most about `sample_rows` documents to the training, picked by a hash; that is
-the only bound. Every paragraph of every whole text is scored. Null and empty texts have no
+The corpus gives at most about `sample_rows` documents to the training, picked by a hash, and of each a
+paragraph of SAMPLE_CHARS characters at most; there is no other bound. Every paragraph of every whole text is scored. Null and empty texts have no
 paragraphs. Repeated rows get one row each. An empty table gives an empty result. Columns other than
 id and text are not read.
 """
@@ -85,6 +85,7 @@ TEMPLATES = {
 
 OTHER = "none"
 SAMPLE_ROWS = 2000
+SAMPLE_CHARS = 4000
 VARIANTS = 60
 SIMILARITY = 0.5
 # Letters A-Z become small; letters, digits, dots, dashes and bytes beyond ASCII are parts of words.
@@ -211,7 +212,7 @@ def train(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROW
     picked = rows.where(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000)
     # A paragraph of each picked document, by hash; the hash orders them the same way every time.
     lines = F.filter(F.split("text", "\n"), lambda s: F.length(F.trim(s)) > 0)
-    picked = picked.where(F.size(lines) > 0).select("h", F.get(lines, F.pmod(F.shiftright("h", 20), F.size(lines)).cast("int")).alias("line"))
+    picked = picked.where(F.size(lines) > 0).select("h", F.substring(F.get(lines, F.pmod(F.shiftright("h", 20), F.size(lines)).cast("int")), 1, SAMPLE_CHARS).alias("line"))
     found = picked.groupBy("line").agg(F.min("h").alias("h")).orderBy("h", "line").limit(2 * sample_rows)
     texts = [r["line"].encode("utf-8", "replace").translate(CLEAN).replace(b"\n", b" ") for r in found.collect()]
     return fit_model([words_of(t)[:400] for t in texts], **how)
