@@ -3,8 +3,9 @@
 Documents are ordered by id (null ids last), repeated rows by their place in the table. Lines are compared
 without outer and with single inner white space; blank lines count for nothing. Two documents are a pair if they
 share a line. A rare line, of at most `rare` occurrences, makes pairs of all documents that have it; a more
-frequent one pairs each document with the first that has it. So the pairs grow with the lines, not
-with the square of a group, and no line is too frequent to count.
+frequent one pairs each document with the first that has it. The shortest run of lines from each line on that
+reaches min_words does the same, so a block is found even if all its lines are frequent and came up
+in different documents first. The pairs grow with the lines, not with the square of a group.
 
 Each pair is aligned by patience diff over the lines that occur in more than one document: lines that are unique on both
 sides and in common order are anchors, and the gaps between anchors are aligned the same way. A run of aligned
@@ -21,6 +22,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -44,22 +46,43 @@ def _lines(data: bytes) -> Iterator[tuple[int, int, int, int]]:
         at += len(line) + 1
 
 
-def _line_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hashes, words = [], []
-        for data in batch.column("data"):
-            lines = list(_lines(data.as_py() or b""))
-            hashes.append([h - (1 << 64) if h >> 63 else h for _, _, h, _ in lines])
-            words.append([n for *_, n in lines])
-        columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "hashes", "words"])
+def runs(hashes: np.ndarray, words: list[int], min_words: int) -> list[int]:
+    """Hash of the shortest run of lines from each line on that reaches min_words, where there is one."""
+    packed_lines, out, end, total = hashes.tobytes(), [], 0, 0
+    for start, n in enumerate(words):
+        while end < len(words) and total < min_words:
+            total += words[end]
+            end += 1
+        if total < min_words:
+            break
+        out.append(xxhash.xxh64_intdigest(packed_lines[8 * start : 8 * end]))
+        total -= n
+    return out
+
+
+def _line_lists(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, words, starts = [], [], []
+            for data in batch.column("data"):
+                lines = list(_lines(data.as_py() or b""))
+                found = np.array([h for _, _, h, _ in lines], np.uint64)
+                hashes.append(found.view(np.int64))
+                words.append([n for *_, n in lines])
+                starts.append(np.array(runs(found, words[-1], min_words), np.uint64).view(np.int64))
+            longs = pa.list_(pa.int64())
+            columns = [*batch.columns[:3], pa.array(hashes, longs), pa.array(words, pa.list_(pa.int32())), pa.array(starts, longs)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "hashes", "words", "runs"])
+
+    return run
 
 
-def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stored: row (long), doc_id, k1, k2, hashes and words of the lines that are not blank."""
+def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """Stored: row (long), doc_id, k1, k2, hashes and words of the lines that are not blank, and hashes of
+    the runs that reach min_words."""
     rows = docs.select(docs[id_col].alias("doc_id"), *row_keys(docs[id_col], docs[text_col]), docs[text_col].cast("string").cast("binary").alias("data"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    lists = rows.mapInArrow(_line_lists, f"doc_id {kind}, k1 long, k2 long, hashes array<bigint>, words array<int>")
+    lists = rows.mapInArrow(_line_lists(min_words), f"doc_id {kind}, k1 long, k2 long, hashes array<bigint>, words array<int>, runs array<bigint>")
     return stored(lists.select(F.monotonically_increasing_id().alias("row"), "*"))
 
 
@@ -159,7 +182,7 @@ def _aligner(min_words: int):
 
 
 def common_blocks(table: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
-    """row, spans: line ranges to delete, for the rows of a line table that have some."""
+    """row, spans: line ranges to delete, for the rows of a line table (of the same min_words) that have some."""
     place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row").alias("place")
     lines = table.select("row", place, F.posexplode(F.arrays_zip("hashes", "words")).alias("pos", "line"))
     lines = lines.select("row", "place", "pos", F.col("line.hashes").alias("h"), F.col("line.words").alias("n"))
@@ -170,7 +193,12 @@ def common_blocks(table: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS
     few = shared.where(F.col("times") <= rare).groupBy("h").agg(F.sort_array(F.collect_set("place")).alias("p"))
     two = F.expr("explode(flatten(transform(p, (x, i) -> transform(slice(p, i + 2, size(p)), y -> struct(x.row AS earlier, y.row AS later)))))")
     many = shared.where((F.col("times") > rare) & (F.col("first") != F.col("place")))
-    pairs = few.select(two.alias("two")).select("two.*").unionByName(many.select(F.col("first.row").alias("earlier"), F.col("row").alias("later")))
+    stretches = table.select("row", place, F.explode("runs").alias("h"))
+    begun = stretches.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    begun = stored(begun.where(F.col("first") != F.col("last")).drop("last"))
+    same = stretches.join(begun, "h").where(F.col("first") != F.col("place"))
+    with_first = lambda rows: rows.select(F.col("first.row").alias("earlier"), F.col("row").alias("later"))
+    pairs = few.select(two.alias("two")).select("two.*").unionByName(with_first(many)).unionByName(with_first(same))
     own = stored(shared.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "n"))).alias("lines")))
     # A pair can only have a block if either side has enough shared words at all.
     own = own.where(F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x["n"]) >= min_words)
@@ -183,7 +211,7 @@ def common_blocks(table: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per row of `docs`: doc_id, n_lines, lines_removed, words_removed, removed (ranges a:b
     of lines that are not blank)."""
-    table = line_table(docs, id_col, text_col)
+    table = line_table(docs, id_col, text_col, min_words)
     rows = table.join(common_blocks(table, rare, min_words), "row", "left")
     rows = rows.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>")))
     number = lambda use: F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + use(x))
@@ -215,7 +243,7 @@ def without_common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Of repeated rows (same id and text) the first keeps its text; the others become empty if
     their lines reach min_words."""
-    table = line_table(docs, id_col, text_col)
+    table = line_table(docs, id_col, text_col, min_words)
     found = table.select("row", "k1", "k2").join(common_blocks(table, rare, min_words), "row")
     times = table.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("times"))
     found = found.join(times, ["k1", "k2"]).groupBy("k1", "k2", "times").agg(F.collect_list("spans").alias("cuts"))

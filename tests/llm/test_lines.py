@@ -1,7 +1,9 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+import xxhash
 
 from civiclink.llm import lines
 
@@ -64,6 +66,26 @@ def test_frequent_lines_inside_a_block(spark):
     assert rows[41]["removed"] == "1:7" and all(rows[i]["removed"] == "" for i in range(41))
 
 
+def test_block_of_frequent_lines_first_seen_in_different_documents(spark):
+    passage = shared(6)
+    texts = [f"{prose(i, 9)}\n{passage[i % 6]}" for i in range(60)] + ["\n".join(passage), prose(900, 8) + "\n" + "\n".join(passage)]
+    rows = {r["doc_id"]: r for r in lines.line_dedup(frame(spark, texts), rare=1).collect()}
+    assert rows[61]["removed"] == "1:7" and all(rows[i]["removed"] == "" for i in range(61))
+
+
+def test_runs_are_the_shortest_that_reach_the_words():
+    r = random.Random(6)
+    for _ in range(50):
+        words = [r.randrange(1, 30) for _ in range(r.randrange(12))]
+        hashes = np.arange(1, len(words) + 1, dtype=np.uint64)
+        want = []
+        for i in range(len(words)):
+            ends = [j for j in range(i + 1, len(words) + 1) if sum(words[i:j]) >= 50]
+            if ends:
+                want.append(xxhash.xxh64_intdigest(hashes[i : ends[0]].tobytes()))
+        assert lines.runs(hashes, words, 50) == want
+
+
 def test_every_removed_line_stays_somewhere(spark):
     r = random.Random(4)
     pool = shared(30, 20)
