@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from civiclink.llm.common import packed, stored
 
 HEX_DIGITS = 13
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 8192
 
 
 def _score(key: Column, shard: int, weight: float, plain: bool) -> Column:
@@ -57,12 +57,13 @@ def with_slots(rows: DataFrame, order: Sequence[str], shard_col: str = "shard",
     for rows that agree in all `order` columns."""
     row = lambda c: F.col("_row").getField(c)
     n = max(1, rows.count() // bucket_rows)
-    parts = packed(rows).withColumn("_shard", row(shard_col)).withColumn("_bucket", F.pmod(F.xxhash64(*[row(c) for c in order]), F.lit(n)))
+    parts = packed(rows).withColumn("_shard", F.coalesce(row(shard_col), F.lit(-1))).withColumn("_bucket", F.pmod(F.xxhash64(*[row(c) for c in order]), F.lit(n)))
     counts = parts.groupBy("_shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = F.expr("sum(_n) OVER (PARTITION BY _shard ORDER BY _bucket) - _n")
     starts = counts.select(F.col("_shard").alias("_s"), F.col("_bucket").alias("_b"), before.alias("_start"))
     ranked = parts.withColumn("_sort", F.struct(*[row(c) for c in order])).withColumn("_rank", F.expr("row_number() OVER (PARTITION BY _shard, _bucket ORDER BY _sort)"))
-    out = ranked.join(starts, F.col("_shard").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
+    # The keys are those of the window, so whole rows are not dealt out again for the join.
+    out = ranked.join(starts, (F.col("_shard") == F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     slot = (F.col("_start") + F.col("_rank") - 1).cast("long").alias("slot")
     return out.select(*[row(c).alias(c) for c in rows.columns if c.lower() != "slot"], slot)
 
