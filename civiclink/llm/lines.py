@@ -10,7 +10,9 @@ in different documents first. The pairs grow with the lines, not with the square
 Each pair is aligned by patience diff over the lines that occur in more than one document: lines that are unique on both
 sides and in common order are anchors, and the gaps between anchors are aligned the same way. A run of aligned
 lines that are neighbours in both documents is a common block; from `min_words` words on it is
-deleted from the later document. Every deleted line has a copy in an earlier document, so the first one is
+deleted from the later document. A diff aligns each line once and in order, and leaves gaps without unique lines; so the
+lines of the later document that are still there are searched for every run of min_words words that the earlier
+document has anywhere, until none is left: repeated, moved and swapped passages go too. Every deleted line has a copy in an earlier document, so the first one is
 never lost.
 
 Null and empty texts have no lines. A text that loses all its lines becomes empty, its row stays. An empty table
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,7 @@ from civiclink.llm.decontaminate import _merged, row_keys
 
 RARE = 8
 MIN_WORDS = 50
+Line = tuple[int, int, int]
 
 
 def _lines(data: bytes) -> Iterator[tuple[int, int, int, int]]:
@@ -141,9 +145,8 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def blocks(earlier: list[tuple[int, int, int]], later: list[tuple[int, int, int]], min_words: int) -> list[tuple[int, int]]:
-    """Common blocks as line ranges [a, b) of the later document. Documents are lists of
-    (line position, hash, words); positions that are missing are lines nobody shares."""
+def _aligned(earlier: list[Line], later: list[Line], min_words: int) -> list[tuple[int, int]]:
+    """Blocks that one patience diff finds."""
     found, run, words = [], [], 0
 
     def close() -> None:
@@ -165,6 +168,104 @@ def blocks(earlier: list[tuple[int, int, int]], later: list[tuple[int, int, int]
     return found
 
 
+def _pieces(lines: list[Line], gone: set[int]) -> list[list[Line]]:
+    """Runs of lines that are neighbours, without the positions in `gone`."""
+    out: list[list[Line]] = []
+    last = -2
+    for line in lines:
+        if line[0] in gone:
+            continue
+        if line[0] == last + 1:
+            out[-1].append(line)
+        else:
+            out.append([line])
+        last = line[0]
+    return out
+
+
+def _run_set(piece: list[Line], min_words: int) -> set[int]:
+    return set(runs(np.array([x[1] for x in piece], np.int64), [x[2] for x in piece], min_words))
+
+
+class _Stretches:
+    """Suffix automaton of the runs of lines of some pieces; its size grows with the lines."""
+
+    def __init__(self, pieces: list[list[Line]]):
+        self.next: list[dict] = [{}]
+        self.link, self.size, self.last = [-1], [0], 0
+        for number, piece in enumerate(pieces):
+            for _, h, _ in piece:
+                self._add(h)
+            self._add(("end", number))
+
+    def _add(self, symbol) -> None:
+        now, at = len(self.next), self.last
+        self.next.append({})
+        self.link.append(0)
+        self.size.append(self.size[at] + 1)
+        while at >= 0 and symbol not in self.next[at]:
+            self.next[at][symbol] = now
+            at = self.link[at]
+        if at >= 0:
+            there = self.next[at][symbol]
+            if self.size[there] == self.size[at] + 1:
+                self.link[now] = there
+            else:
+                copy = len(self.next)
+                self.next.append(dict(self.next[there]))
+                self.link.append(self.link[there])
+                self.size.append(self.size[at] + 1)
+                while at >= 0 and self.next[at].get(symbol) == there:
+                    self.next[at][symbol] = copy
+                    at = self.link[at]
+                self.link[there] = self.link[now] = copy
+        self.last = now
+
+    def longest(self, piece: list[Line]) -> Iterator[int]:
+        """For each line, how many lines up to it are one of the runs."""
+        at = size = 0
+        for _, h, _ in piece:
+            while at and h not in self.next[at]:
+                at = self.link[at]
+                size = self.size[at]
+            if h in self.next[at]:
+                at, size = self.next[at][h], size + 1
+            yield size
+
+
+def _left(earlier: list[Line], later: list[Line], found: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
+    """All blocks among the lines of the later document outside `found`."""
+    pieces = _pieces(later, {i for a, b in found for i in range(a, b)})
+    pieces = [p for p in pieces if sum(x[2] for x in p) >= min_words]
+    if not pieces:
+        return []
+    there = _pieces(earlier, set())
+    known = set().union(*(_run_set(p, min_words) for p in there))
+    pieces = [p for p in pieces if not known.isdisjoint(_run_set(p, min_words))]
+    if not pieces:
+        return []
+    stretches, out = _Stretches(there), []
+    for piece in pieces:
+        upto = [0, *accumulate(x[2] for x in piece)]
+        for end, size in enumerate(stretches.longest(piece), 1):
+            if upto[end] - upto[end - size] >= min_words:
+                out.append((piece[end - size][0], piece[end - 1][0] + 1))
+    return out
+
+
+def blocks(earlier: list[Line], later: list[Line], min_words: int) -> list[tuple[int, int]]:
+    """Common blocks as line ranges [a, b) of the later document, in order. Documents are lists of
+    (line position, hash, words); positions that are missing are lines nobody shares."""
+    found = _aligned(earlier, later, min_words)
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found + _left(earlier, later, found, min_words)):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _aligner(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         triples = lambda lines: [(x["pos"], x["h"], x["n"]) for x in lines]

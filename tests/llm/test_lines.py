@@ -86,6 +86,34 @@ def test_runs_are_the_shortest_that_reach_the_words():
         assert lines.runs(hashes, words, 50) == want
 
 
+def test_repeated_and_moved_passages_go(spark):
+    """Passages the earlier document has elsewhere, or the later one has twice."""
+    p, q, s = shared(6), shared(5, seed=2000), shared(3, seed=3000)
+    holders = [f"{prose(i, 9)}\n{x}" for i, x in enumerate(s)]
+    for earlier, later, removed in [
+        ([s[0], *p, s[2]], [*p, s[1], *p], "0:6,7:13"),
+        (p, [*p, *p], "0:12"),
+        ([*p, *q], [*q, *p], "0:11"),
+    ]:
+        texts = [*holders, "\n".join(earlier), "\n".join(later)]
+        rows = {r["doc_id"]: r["removed"] for r in lines.line_dedup(frame(spark, texts)).collect()}
+        assert [rows[i] for i in range(5)] == ["", "", "", "", removed]
+
+
+def test_no_common_block_is_left():
+    r = random.Random(8)
+    for _ in range(300):
+        size = lambda h: 5 + 7 * h % 23
+        a, b = ([(i, h, size(h)) for i, h in enumerate(r.choices(range(6), k=r.randrange(25))) if r.random() > 0.1] for _ in range(2))
+        got = lines.blocks(a, b, 50)
+        gone = {i for x, y in got for i in range(x, y)}
+        runs = lambda doc: {tuple(x[1] for x in p[i:j]) for p in lines._pieces(doc, set()) for i in range(len(p)) for j in range(i + 1, len(p) + 1)}  # noqa: E731, B023
+        long = {x for x in runs(a) if sum(map(size, x)) >= 50}
+        assert not long & runs([x for x in b if x[0] not in gone])
+        inside = {p[k][0] for p in lines._pieces(b, set()) for i in range(len(p)) for j in range(i + 1, len(p) + 1) if tuple(x[1] for x in p[i:j]) in long for k in range(i, j)}
+        assert gone <= inside
+
+
 def test_every_removed_line_stays_somewhere(spark):
     r = random.Random(4)
     pool = shared(30, 20)
