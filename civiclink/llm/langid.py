@@ -12,8 +12,9 @@ N-grams are taken from lower-cased runs of letters with one blank at either end.
 has no letters is "und" with score 0, and so is every text under a model without training rows.
 The score is the corrected share of the winning language, 0 to 1.
 
-Training uses about `sample_rows` rows of each language at most, picked by a hash, and the model keeps
-at most `max_grams` n-grams, the most frequent ones. Rows with a null text or language teach
+Training uses about `sample_rows` rows of each language at most, picked by a hash. The model keeps every
+n-gram a language owns, however many others there are: it has SPARE slots for each n-gram of the language that owns
+most, and 2^SLOT_BITS at least. Only set slots come to the driver. Rows with a null text or language teach
 nothing. Prediction reads the text alone, and every text whole.
 """
 
@@ -35,7 +36,7 @@ SIZES = (3, 4)
 PROBES = 3
 SLOT_BITS = 20
 SAMPLE_ROWS = 4000
-MAX_GRAMS = 150_000
+SPARE = 4
 MAX_LANGUAGES = 1024
 MIN_COUNT = 3
 RATIO = 0.25
@@ -114,8 +115,13 @@ def _grams(symbols: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield h, of
 
 
-def _slots(h: np.ndarray) -> list[np.ndarray]:
-    return [(h >> np.uint64(SLOT_BITS * i)) & np.uint64((1 << SLOT_BITS) - 1) for i in range(PROBES)]
+def _step(bits: int) -> int:
+    """Distance of the parts of a hash that give its slots; they overlap where 64 bits are too few."""
+    return min(bits, (64 - bits) // (PROBES - 1))
+
+
+def _slots(h: np.ndarray, bits: int = SLOT_BITS) -> list[np.ndarray]:
+    return [(h >> np.uint64(_step(bits) * i)) & np.uint64((1 << bits) - 1) for i in range(PROBES)]
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +144,6 @@ def train(
     text_col: str = "text",
     lang_col: str = "lang",
     sample_rows: int = SAMPLE_ROWS,
-    max_grams: int = MAX_GRAMS,
     min_count: int = MIN_COUNT,
     ratio: float = RATIO,
     spread_by: Sequence[str] = ("doc_id", "text"),
@@ -161,16 +166,19 @@ def train(
     counts = stored(counts.where(F.col("n") >= min_count))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     languages = sorted(r["lang"] for r in totals.select("lang").collect())
-    masks = np.zeros((max(1, -(-len(languages) // 64)), 1 << SLOT_BITS), np.uint64)
-    rates = counts.join(totals, "lang").select("gram", "lang", "n", (F.col("n") / F.col("total")).alias("rate"))
-    best = rates.groupBy("gram").agg(F.max("rate").alias("best"), F.sum("n").alias("all"), F.collect_list(F.struct("lang", "rate")).alias("rates"))
-    owned = best.select("gram", "all", F.expr(f"transform(filter(rates, r -> r.rate >= {ratio} * best), r -> r.lang)").alias("langs"))
-    number = {name: i for i, name in enumerate(languages)}
-    for r in owned.orderBy(F.col("all").desc(), "gram").limit(max_grams).toLocalIterator():
-        slots = [int(s[0]) for s in _slots(np.array([r["gram"]], np.int64).view(np.uint64))]
-        for name in r["langs"]:
-            i = number[name]
-            masks[i >> 6, slots] |= np.uint64(1 << (i & 63))
+    rates = counts.join(totals, "lang").select("gram", "lang", (F.col("n") / F.col("total")).alias("rate"))
+    best = rates.groupBy("gram").agg(F.max("rate").alias("best"), F.collect_list(F.struct("lang", "rate")).alias("rates"))
+    owned = stored(best.select("gram", F.explode(F.expr(f"transform(filter(rates, r -> r.rate >= {ratio} * best), r -> r.lang)")).alias("lang")))
+    most = owned.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
+    bits = max(SLOT_BITS, (SPARE * most - 1).bit_length())
+    masks = np.zeros((max(1, -(-len(languages) // 64)), 1 << bits), np.uint64)
+    for part in range(len(masks)):
+        some = languages[64 * part : 64 * part + 64]
+        bit = F.create_map(*[F.lit(x) for i, name in enumerate(some) for x in (name, i)]) if some else F.create_map().cast("map<string,int>")
+        mine = owned.where(F.col("lang").isin(some)).select("gram", F.call_function("shiftleft", F.lit(1).cast("long"), F.try_element_at(bit, F.col("lang"))).alias("mask"))
+        slots = F.array(*[F.shiftrightunsigned("gram", _step(bits) * i).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(PROBES)])
+        for batch in mine.select(F.explode(slots).alias("slot"), "mask").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow().to_batches():
+            masks[part, batch.column("slot").to_numpy()] = batch.column("mask").to_numpy().view(np.uint64)
     return Model(languages, masks)
 
 
@@ -182,7 +190,7 @@ def classify(texts: list[str | None], model: Model, chance: np.ndarray) -> tuple
         letters[owner[symbols != 0]] = True
         for h, of in _grams(symbols, owner):
             total += np.bincount(of, minlength=len(texts))
-            slots = _slots(h)
+            slots = _slots(h, model.masks.shape[1].bit_length() - 1)
             for part, masks in enumerate(model.masks):
                 found = masks[slots[0]]
                 for s in slots[1:]:

@@ -88,6 +88,23 @@ def test_more_than_64_languages(spark):
     assert all(r["lang"] == r["lang_pred"] for r in rows)
 
 
+def test_rare_languages_beside_a_rich_one(spark):
+    """A language of 4000 rows with more n-grams than any fixed number of slots is made for, others of 20."""
+    r = random.Random(3)
+    words = lambda letters, n: ["".join(r.choices(letters, k=6)) for _ in range(n)]
+    docs = [(" ".join(words("abcdefghijklmnopqrstuvwxyz", 110)), "rich") for _ in range(4000)]
+    held = []
+    for i in range(30):
+        letters = [chr(0x4E00 + 40 * i + j) for j in range(40)]
+        own = words(letters, 60)
+        docs += [(" ".join(own[3 * (j % 20) : 3 * (j % 20) + 3] * 3), f"rare{i:02d}") for j in range(20)]
+        held.append((" ".join(r.sample(own, 8)), f"rare{i:02d}"))
+    model = langid.train(frame(spark, [t for t, _ in docs], lang=[x for _, x in docs]))
+    assert model.masks.shape[1] > 1 << langid.SLOT_BITS
+    names, scores = langid.classify([t for t, _ in held] + [docs[0][0]], model, model.chance())
+    assert names == [x for _, x in held] + ["rich"] and min(scores) > 0.5
+
+
 def test_odd_rows(spark, model):
     docs = odd(spark)
     got = langid.predicted(docs, model)
