@@ -1,6 +1,12 @@
 """Licence notices by a trained paragraph classifier.
 
-A paragraph is a line that is not blank. Its features are the single words and pairs of neighbouring
+A paragraph is a line that is not blank, and is scored whole. Notices wrapped over lines, or inside long lines, are found in
+windows: the lines up to one without words are joined, and overlapping windows of WINDOWS words of them are scored too. A
+window counts if it holds enough of a template; one without any run of a template never can
+and is not scored. Verdicts about the same words are one notice, of the family that shares most
+runs; it is reported at the paragraph where its words begin.
+
+The features of a paragraph or window are the single words and pairs of neighbouring
 words that occur in licence templates. A softmax regression over them, with one class per licence family
 and one for all other text, is trained on the templates (words dropped, words of the corpus
 around them, names and years changed) and on paragraphs of the corpus that share no three-word run with a
@@ -88,6 +94,8 @@ SAMPLE_ROWS = 2000
 SAMPLE_CHARS = 4000
 VARIANTS = 60
 SIMILARITY = 0.5
+# Every notice of up to 40 words is whole in a window of 48; the short ones part neighbouring notices.
+WINDOWS = (6, 12, 24, 48)
 # Letters A-Z become small; letters, digits, dots, dashes and bytes beyond ASCII are parts of words.
 CLEAN = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or 0x30 <= c <= 0x39 or c in b".-\n" or c >= 0x80 else 0x20
@@ -221,23 +229,79 @@ def train(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROW
 FOUND = "array<struct<paragraph:int,family:string,probability:double,similarity:double,confirmed:boolean>>"
 
 
+def _held(words: list[bytes], runs: set[tuple[bytes, ...]]) -> dict[int, tuple[bytes, ...]]:
+    """Runs that the words have, by position; templates of two words have one run of two."""
+    return {i: run for n in {len(run) for run in runs} for i, run in enumerate(zip(*(words[k:] for k in range(n)))) if run in runs}
+
+
+def _places(words: list[bytes], runs: set[tuple[bytes, ...]]) -> set[int]:
+    """Positions of the words that are in one of the runs."""
+    return {i + k for i, run in _held(words, runs).items() for k in range(len(run))}
+
+
+def notices(model: Model, known: set[tuple[bytes, ...]], lines: list[list[bytes]], similarity: float) -> list[dict]:
+    """Notices in lines (as words) that belong together; `known` has the runs of all templates."""
+    words = [w for line in lines for w in line]
+    line_of = [n for n, line in enumerate(lines) for _ in line]
+    sure, unsure, at = [], [], 0
+    for line in lines:
+        if verdict := model.judge(line):
+            family, p, alike = verdict
+            if alike >= similarity:
+                mine = _runs(line)
+                best = max(model.templates[family], key=lambda t: len(mine & t) / min(len(mine), len(t)))
+                sure.append((len(mine & best), p, alike, family, {at + i for i in _places(line, best) or range(len(line))}))
+            else:
+                unsure.append((p, alike, family, at, at + len(line)))
+        at += len(line)
+    hits = [(i, i + len(run)) for i, run in _held(words, known).items()]
+    for size in WINDOWS:
+        step = size // 6
+        for start in sorted({s for a, b in hits for s in range(max(0, -((size - b) // step) * step), a + 1, step)}):
+            window = words[start : start + size]
+            if not (verdict := model.judge(window)):
+                continue
+            family, p, _ = verdict
+            share, n, best = max(((len(mine) / len(t), len(mine), t) for t in model.templates[family] for mine in [set(_held(window, t).values())]), key=lambda x: x[:2])
+            if n and share >= similarity:
+                sure.append((n, p, share, family, {start + i for i in _places(window, best)}))
+        if size >= len(words):
+            break
+    groups: list[dict | None] = []
+    owner: dict[int, int] = {}
+    for _, p, alike, family, places in sorted(sure, key=lambda c: (-c[0], -c[1], min(c[4]), c[3])):
+        met = sorted({owner[i] for i in places if i in owner})
+        if any(groups[g]["family"] != family for g in met):
+            continue
+        new = {"family": family, "probability": p, "similarity": alike, "places": set(places)}
+        for g in met:
+            new["probability"], new["similarity"] = max(new["probability"], groups[g]["probability"]), max(new["similarity"], groups[g]["similarity"])
+            new["places"] |= groups[g]["places"]
+            groups[g] = None
+        owner.update(dict.fromkeys(new["places"], len(groups)))
+        groups.append(new)
+    out = [(min(g["places"]), g["family"], g["probability"], g["similarity"], True) for g in groups if g]
+    out += [(a, family, p, alike, False) for p, alike, family, a, b in unsure if not any(i in owner for i in range(a, b))]
+    return [{"paragraph": line_of[a], "family": f, "probability": p, "similarity": alike, "confirmed": ok} for a, f, p, alike, ok in sorted(out)]
+
+
 def _scanner(shared, similarity: float):
     kind = pa.list_(pa.struct({"paragraph": pa.int32(), "family": pa.string(), "probability": pa.float64(), "similarity": pa.float64(), "confirmed": pa.bool_()}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        known = set().union(*(t for texts in model.templates.values() for t in texts))
         for batch in batches:
             counts, found = [], []
             for data in batch.column("data"):
-                n, mine = 0, []
-                for line in (data.as_py() or b"").translate(CLEAN).split(b"\n"):
-                    words = words_of(line)
-                    if not words:
-                        continue
-                    if verdict := model.judge(words):
-                        family, probability, alike = verdict
-                        mine.append({"paragraph": n, "family": family, "probability": probability, "similarity": alike, "confirmed": alike >= similarity})
-                    n += 1
+                n, mine, held = 0, [], []
+                for line in [*(data.as_py() or b"").translate(CLEAN).split(b"\n"), b""]:
+                    if words := words_of(line):
+                        held.append(words)
+                    elif held:
+                        mine += [{**x, "paragraph": x["paragraph"] + n} for x in notices(model, known, held, similarity)]
+                        n += len(held)
+                        held = []
                 counts.append(n)
                 found.append(mine)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(found, kind)], ["doc_id", "n_paragraphs", "found"])

@@ -32,6 +32,22 @@ def test_notices_and_other_text(spark, model):
     assert all(rows[i]["n_license"] == 0 for i in range(len(NOTICES), len(texts)))
 
 
+def test_wrapped_notices_and_notices_inside_long_lines(spark, model):
+    bsd = "Redistribution and use in source and binary forms, with or without modification,\nare permitted provided that the following\nconditions are met:"
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    cases = [
+        ("Released under the\nMIT License.", "mit", 1),
+        ("This program is licensed under the Apache\nLicense, Version 2.0", "apache", 1),
+        (bsd, "bsd", 1),
+        (f"{prose(1, 3000)} {mit} {prose(2, 3000)}", "mit", 1),
+        (f"{prose(3, 400)} {mit} {prose(4, 400)} {apache} {prose(5, 400)}", "apache,mit", 2),
+        (f"{prose(6, 12)}\n{prose(7, 9)} Released\nunder the MIT License. {prose(8, 9)}\n{prose(9, 12)}", "mit", 1),
+    ]
+    rows = {r["doc_id"]: r for r in licenses.license_scan(frame(spark, [c[0] for c in cases]), model=model).collect()}
+    assert [(rows[i]["families"], rows[i]["n_license"]) for i in range(6)] == [c[1:] for c in cases]
+    assert rows[5]["found"][0]["paragraph"] == 1
+
+
 def test_scoring_against_plain_features(model):
     for line in [*NOTICES, prose(3, 20), ""]:
         words = licenses.words_of(line.encode().translate(licenses.CLEAN))
