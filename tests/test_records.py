@@ -142,6 +142,21 @@ def test_checksums_and_reports(spark, tmp_path):
         tables.first_existing(spark, [str(tmp_path / "no")])
 
 
+def test_files_above_a_cell_have_checksums(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(provenance, "LARGEST", 4)
+    data = {"a b%.bin": b"abc", "c.bin": b"x" * 100, "d é%20.gz": b"not packed" * 9, "e.bin": b"y" * 100}
+    (tmp_path / "f").mkdir()
+    for name, content in data.items():
+        (tmp_path / "f" / name).write_bytes(content)
+    facts = provenance.file_facts(spark, str(tmp_path / "f"))
+    assert sorted((r.sha256, r.size_bytes) for r in facts.collect()) == sorted((hashlib.sha256(x).hexdigest(), len(x)) for x in data.values())
+    wanted = facts.select(F.lit("i").alias("item_type"), F.lit("u").alias("source_url"), "local_path", F.lit("ok").alias("status"), F.lit("").alias("notes"))
+    left = provenance.file_facts(spark, str(tmp_path / "f"), largest=4)
+    assert sum(r.sha256 is None for r in provenance.manifest_rows(wanted, left, "t").collect()) == 3
+
+
 def test_fallback_and_reuse(spark, tmp_path):
     df = spark.createDataFrame([(1,)], "a int")
     assert tables.write_with_fallback(df, str(tmp_path / "a.parquet")).endswith("a.parquet")
