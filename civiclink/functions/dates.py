@@ -28,11 +28,25 @@ FORMS = [
     (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
     (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
 ]
+# ISO times without seconds, with fractions of a second, and with a zone.
+FORMS += [
+    (rf"^\d{{4}}-\d{{2}}-\d{{2}}{sep}{time}{zone}$", f"yyyy-MM-dd{mark}{time_form}{zone_form}")
+    for sep, mark in ((" ", " "), ("T", "'T'"))
+    for time, time_form in ((r"\d{2}:\d{2}", "HH:mm"), (r"\d{2}:\d{2}:\d{2}", "HH:mm:ss"), (r"\d{2}:\d{2}:\d{2}\.\d{1,9}", "HH:mm:ss.SSSSSSSSS"))
+    for zone, zone_form in (("", ""), (r"(?:Z|[+-]\d{2}:\d{2})", "XXX"), (r"[+-]\d{4}", "XX"))
+    if zone or time_form != "HH:mm:ss"
+]
+
+
+def has_form(c: Column | str) -> Column:
+    """The text has one of the forms and is a date in it."""
+    text = trim_ws(col(c).cast("string"))
+    return F.coalesce(*[F.when(text.rlike(p), F.try_to_timestamp(text, F.lit(f))) for p, f in FORMS]).isNotNull()
 
 
 def like_first(c: Column | str, first: Column) -> Column:
-    """Date texts as timestamps in the form of `first`, the first text of the column; texts of
-    any other form are null. Without a first text the form is dd/mm/yyyy."""
+    """Date texts as timestamps in the form of `first`, the first date text of the column; texts of
+    any other form are null. Without one the form is dd/mm/yyyy."""
     text, model = trim_ws(col(c).cast("string")), F.coalesce(trim_ws(first), F.lit("01/01/2000"))
     each = [F.when(model.rlike(p) & text.rlike(p), F.try_to_timestamp(text, F.lit(f))) for p, f in FORMS]
     return F.coalesce(*each)

@@ -142,6 +142,23 @@ def test_checksums_and_reports(spark, tmp_path):
         tables.first_existing(spark, [str(tmp_path / "no")])
 
 
+def test_first_date_behind_other_texts_fixes_the_form(spark):
+    from civiclink.operators import audits
+
+    for texts, want in [
+        (["", "-", "n/d", "2026-03-06", "2026-03-07", "08/03/2026"], [None, None, None, "2026-03-06 00:00:00", "2026-03-07 00:00:00", None]),
+        (["2026-13-45", "06/03/2026"], [None, "2026-03-06 00:00:00"]),
+        (["2026-03-06 10:00", "2026-03-07 11:30"], ["2026-03-06 10:00:00", "2026-03-07 11:30:00"]),
+        (["2026-03-06T10:00:01.25", "2026-03-07T11:30:02.123456"], ["2026-03-06 10:00:01", "2026-03-07 11:30:02"]),
+        (["2026-03-06T10:00:01-03:00", "2026-03-07T11:30:02Z"], ["2026-03-06 13:00:01", "2026-03-07 11:30:02"]),
+        (["2026-03-06 10:00:01.5+0200"], ["2026-03-06 08:00:01"]),
+    ]:
+        raw = spark.createDataFrame(list(enumerate(texts)), "seq int, DataPublicacao string")
+        out, _ = audits.prepare_audits(raw, "t", order="seq")
+        got = out.orderBy("seq").select(F.date_format("publication_date", "yyyy-MM-dd HH:mm:ss")).collect()
+        assert [r[0] for r in got] == want
+
+
 def test_files_above_a_cell_have_checksums(spark, tmp_path, monkeypatch):
     import hashlib
 
