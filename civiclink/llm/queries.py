@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civiclink.llm.common import read
+from civiclink.llm.crosstok import token_links
 from civiclink.llm.decontaminate import contamination
+from civiclink.llm.divergence import divergence
 from civiclink.llm.exact import exact_duplicates
 from civiclink.llm.langid import language_table
 from civiclink.llm.licenses import license_scan
 from civiclink.llm.lines import line_dedup
 from civiclink.llm.mixing import mixed
+from civiclink.llm.planes import binary_ids
 from civiclink.llm.secrets import secrets
 from civiclink.llm.sharding import shard_table
 from civiclink.llm.simhash import near_duplicates
@@ -23,6 +27,7 @@ from civiclink.sources.scratch import shared_folder
 SHARDS = 24
 RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 TOKENIZER = "byte_bpe_50k"
+END_ID = 2
 MAIL = r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+"
 
 
@@ -82,6 +87,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op11_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = shared_folder(spark, "ids")
+    return binary_ids(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), files, END_ID)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return token_links(read(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(read(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
@@ -132,12 +151,30 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   coalesce(n_generic, 0) AS n_generic, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM t LEFT JOIN g USING (doc_id)
 """
 
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN (SELECT lang, term FROM k) USING (lang, term) GROUP BY lang, source, term),
+s AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (s.total + 2 * v) AS p,
+  1 + (1000000000::HUGEINT * (k.n + 2)) // (l.total + 2 * v) AS q FROM s JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value FROM p WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_exact_dedup, op3_decontamination, op4_line_dedup, op5_language_id, op6_sharding,
-        op7_secrets, op8_licenses, op9_mixing, op10_token_counts,
+        op7_secrets, op8_licenses, op9_mixing, op10_token_counts, op11_binary_ids, op12_token_alignment, op13_source_divergence,
     )
 }
 
-ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_decontamination": OP3_SQL, "op7_secrets": OP7_SQL}
+ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_decontamination": OP3_SQL, "op7_secrets": OP7_SQL, "op13_source_divergence": OP13_SQL}
