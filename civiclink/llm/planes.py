@@ -31,11 +31,15 @@ text are encoded as the tokenizer does by itself. An empty table makes no file.
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +50,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civiclink.llm.common import stored
-from civiclink.llm.units import CUT, Units, once, slices
+from civiclink.llm.units import CUT, Units, is_letter, once, slices
 
 MAGIC = b"PLANES01"
 TAIL = "<QQQ8s"
 CHUNK = 1 << 16
 FILE_IDS = 1 << 25
 LEVEL = 3
-BATCH_CHARS = 1 << 22
+BATCH_CHARS = 1 << 20
+WRITE_ROWS = 1024
 INDEX = pa.schema({"at": pa.int64(), "n": pa.int64(), "sizes": pa.list_(pa.int32()), "crc32": pa.int64()})
 PARTS = ["doc_id", "tie", "uid", "part", "last", "n", "ids"]
 FILES = "part int, file int, path string, n_docs long, n_ids long, n_bytes long"
@@ -114,7 +119,7 @@ class Writer:
         self.n_ids += len(ids)
         self.n_docs += len(lengths)
         self.docs.append((doc_ids, lengths))
-        ids = np.concatenate([self.rest, ids]) if len(self.rest) else ids
+        ids = np.concatenate([self.rest, ids.astype("<u4")])
         cut = len(ids) - len(ids) % CHUNK
         for a in range(0, cut, CHUNK):
             self._chunk(ids[a : a + CHUNK])
@@ -191,16 +196,29 @@ class Reader:
 
 
 def _tokenizer(spec: bytes):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     return Tokenizer.from_str(spec.decode())
 
 
 def _id_units(spec: bytes) -> tuple:
-    """The tokenizer, and ids of units as bytes of unsigned 32-bit integers."""
-    tokenizer = _tokenizer(spec)
-    coded = lambda texts: [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    return coded, Units(lambda units: coded([" " + u for u in units]), coded, lambda a, b: a + b)
+    """A function from texts to ids, as bytes of unsigned 32-bit integers, and the same for units."""
+    tokenizer, said = _tokenizer(spec), json.loads(spec)
+    coded = lambda texts: [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    split = said["pre_tokenizer"] or {}
+    plain = not said["normalizer"] and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+    model, pieces = tokenizer.model, tokenizer.pre_tokenizer
+    latin = {i: pieces.pre_tokenize_str(chr(i))[0][0] for i in range(128, 256) if is_letter(chr(i))} if plain else {}
+    blank = pieces.pre_tokenize_str(" a")[0][0][0] if plain else ""
+
+    def words(units: list[str]) -> list[bytes]:
+        """A blank and letters are one piece to a byte-level splitter: the model alone encodes it."""
+        out: list = [array("I", [t.id for t in model.tokenize(blank + u.translate(latin))]).tobytes() if plain and u.isalpha() and max(u) <= "ÿ" else None for u in units]
+        rest = iter(coded([" " + u for u, ids in zip(units, out) if ids is None]))
+        return [next(rest) if ids is None else ids for ids in out]
+
+    return coded, Units(words, coded, lambda a, b: a + b)
 
 
 def encoded(docs: DataFrame, tokenizer_file: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,7 +239,7 @@ def encoded(docs: DataFrame, tokenizer_file: str, end_id: int | None = None, id_
         base = TaskContext.get().partitionId() << 40
 
         def flush(batch: pa.RecordBatch, parts: list[tuple]) -> pa.RecordBatch:
-            known = units.look_up([u for *_, some in parts for u in some])
+            known = units.look_up(chain.from_iterable(some for *_, some in parts))
             firsts = iter(coded([first for *_, first, _ in parts if first is not None]))
             ids, counts = [], []
             for _, _, last, first, some in parts:
@@ -267,14 +285,12 @@ def write_ids(parts: DataFrame, folder: str, bits: bool = False, file_ids: int =
             row = [task, made, out.path, out.n_docs, out.n_ids, out.close()]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(a, WRITE_ROWS) for b in batches for a in range(0, b.num_rows, WRITE_ROWS)):
             if out is None:
                 out = Writer(f"{folder}/ids-{task:06d}-{made:04d}-{uuid.uuid4().hex}.planes", bits, batch.schema.field("doc_id").type)
             counts, last = batch.column("n").to_numpy(), batch.column("last").to_numpy(zero_copy_only=False)
             data = b"".join(batch.column("ids").to_pylist())
-            ids = np.frombuffer(data, "<u4" if len(data) == 4 * counts.sum() else "<u2").astype("<u4")
+            ids = np.frombuffer(data, "<u4" if len(data) == 4 * counts.sum() else "<u2")
             total = np.cumsum(counts) + carried
             ends = total[last]
             out.add(ids, batch.column("doc_id").filter(pa.array(last)), np.diff(ends, prepend=0))

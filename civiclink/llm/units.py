@@ -1,27 +1,32 @@
 """Texts in units that a tokenizer encodes one by one exactly as within the text.
 
-A text is cut before each single blank between an ASCII letter, digit, dot or comma and an ASCII letter or
+A text is cut before each single blank between a Latin letter (ASCII or Latin-1), digit, dot or comma and a Latin letter or
 digit. Byte-level tokenizers that split by the usual pattern (` ?\\p{L}+| ?\\p{N}+|...`) start a token at
 such a blank, and never join a letter with a dot or comma behind it, so a unit may also be cut before the
 dots and commas at its end. Every distinct unit is encoded by the tokenizer once per worker;
-what a text needs is then a lookup. The store of units is bounded and starts anew when full; long units
-are never kept."""
+what a text needs is then a lookup. The store of units is bounded; when it is full only those just asked for stay, and
+long units are never kept."""
 
 from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from types import ModuleType
 from typing import Any
 
-CUT = re.compile(r"(?<=[A-Za-z0-9.,]) (?=[A-Za-z0-9])")
-TAIL = re.compile(r"(?<=[A-Za-z])[.,]+$")
+WORD = "A-Za-z0-9À-ÖØ-öø-ÿ"
+CUT = re.compile(f"(?<=[{WORD}.,]) (?=[{WORD}])")
 SLICE = 1 << 20
-KEPT_UNITS = 1 << 18
+KEPT_UNITS = 400_000
 KEPT_CHARS = 40
 
 
+def is_letter(c: str) -> bool:
+    """Of ASCII or Latin-1."""
+    return c.isalpha() and c <= "ÿ"
+
+
 def once(key: Any, make: Callable[[], Any]) -> Any:
     """make(), kept for the life of this Python worker: functions sent with a job are new for each task, so
     a tokenizer would otherwise be read again by every one."""
@@ -52,47 +57,41 @@ class Units:
         self.encode, self.tails, self.join, self.most, self.cut_ends = encode, tails, join, most, ends
         self.kept: dict[str, Any] = {}
         self.ends: dict[str, Any] = {}
-
-    def look_up(self, units: list[str]) -> dict[str, Any]:
-        """A dictionary that holds all `units`, and maybe more; valid until the next call."""
-        if len(self.kept) > self.most:
-            self.kept = {}
-        kept, parts, words = self.kept, {}, set()
-        for unit in set(units).difference(kept):
-            end = TAIL.search(unit) if self.cut_ends else None
-            word, tail = (unit[: end.start()], end.group()) if end else (unit, "")
-            parts[unit] = word, tail
-            if word not in kept:
-                words.add(word)
-        fresh = sorted(words)
-        long = {}
-        for word, code in zip(fresh, self.encode(fresh) if fresh else []):
-            (kept if len(word) <= KEPT_CHARS else long)[word] = code
-        out = kept
-        if parts:
-            ends = sorted({t for _, t in parts.values() if t and t not in self.ends})
-            known = dict(zip(ends, self.tails(ends) if ends else []))
-            self.ends.update({t: c for t, c in known.items() if len(t) <= 4})
-            extra = {}
-            for unit, (word, tail) in parts.items():
-                code = kept[word] if word in kept else long[word]
-                if tail:
-                    code = self.join(code, known[tail] if tail in known else self.ends[tail])
-                if len(unit) <= KEPT_CHARS:
-                    kept[unit] = code
-                else:
-                    extra[unit] = code
-            if extra:
-                out = _Both(kept, extra)
-        return out
-
-
-class _Both(dict):
-    """Two dictionaries as one, without a copy of the large one."""
-
-    def __init__(self, large: dict, small: dict):
-        super().__init__(small)
-        self.large = large
-
-    def __missing__(self, key):
-        return self.large[key]
+        self.passing: list[str] = []
+
+    def look_up(self, units: Iterable[str]) -> dict[str, Any]:
+        """A dictionary that holds all `units`, and maybe more; valid until the next call. Words stay in it, units
+        with dots and commas and long ones go."""
+        kept = self.kept
+        for unit in self.passing:
+            kept.pop(unit, None)
+        self.passing = passing = []
+        units = set(units)
+        if len(kept) > self.most:
+            self.kept = kept = {unit: kept[unit] for unit in units if unit in kept}
+        words, ended = set(), {}
+        for unit in units.difference(kept):
+            if self.cut_ends and unit[-1:] in (".", ","):
+                word = unit.rstrip(".,")
+                if is_letter(word[-1:]):
+                    ended[unit] = word
+                    if word not in kept:
+                        words.add(word)
+                    continue
+            words.add(unit)
+        if words:
+            fresh = sorted(words)
+            kept.update(zip(fresh, self.encode(fresh)))
+            passing += [w for w in fresh if len(w) > KEPT_CHARS]
+        if ended:
+            tails = {unit[len(word) :] for unit, word in ended.items()}.difference(self.ends)
+            if tails:
+                if len(self.ends) > 1024:
+                    self.ends.clear()
+                    tails = {unit[len(word) :] for unit, word in ended.items()}
+                fresh = sorted(tails)
+                self.ends.update(zip(fresh, self.tails(fresh)))
+            for unit, word in ended.items():
+                kept[unit] = self.join(kept[word], self.ends[unit[len(word) :]])
+            passing += ended
+        return kept
