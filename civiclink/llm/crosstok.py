@@ -26,9 +26,12 @@ columns are not used. Special tokens written out in a text are plain text.
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civiclink.llm.common import stored
-from civiclink.llm.units import CUT, Units, once, slices
+from civiclink.llm.units import CUT, Units, is_letter, once, slices
 
 BLANK = "▁"
 BATCH_CHARS = 1 << 20
+ROWS_AT_ONCE = 1024
 ROWS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
 
 
@@ -62,6 +66,7 @@ class Pair:
 
     @staticmethod
     def load(a_spec: bytes, b_model: bytes) -> Pair:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -80,8 +85,7 @@ class Pair:
         """Whether B always starts a token at a unit's blank, and before dots and commas behind a letter."""
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size()) if not self.b.is_control(i)]
         blank = not any(BLANK in p.lstrip(BLANK) for p in pieces)
-        letter = lambda c: c.isascii() and c.isalpha()
-        return blank, blank and not any(letter(x) and y in ".," for p in pieces for x, y in zip(p, p[1:]))
+        return blank, blank and not any(is_letter(x) and y in ".," for p in pieces for x, y in zip(p, p[1:]))
 
     def linkable(self) -> np.ndarray:
         """Every pair (id of A, id of B) that can be linked, as a * 2^32 + b, ascending."""
@@ -104,44 +108,46 @@ class Pair:
 
     def encode(self, texts: list[str]) -> list[tuple | None]:
         """(ids of A, their ends, ids of B, their ends) of each text behind a blank; None if the bytes differ.
-        Ends are byte offsets."""
+        Ends are byte offsets. In ASCII texts the spans alone say where tokens end."""
         out = []
         coded = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
+        bytes_of_a, bytes_of_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
         for text, x, y in zip(texts, coded, self.b.encode(texts, return_type="offset_mapping", num_threads=1)):
-            data = b" " + text.encode()
-            plain = len(data) == len(text) + 1
-            at = None if plain else np.cumsum([0, 1, *(len(c.encode()) for c in text)]).tolist()
-            place = (lambda k: k) if plain else at.__getitem__
-            a_ends = _ends(x.ids, [(place(s), place(e)) for s, e in x.offsets], self.a_bytes, data)
-            b_ends = _ends(y["ids"], [(place(s + 1), place(e + 1)) for s, e in y["offsets"]], self.b_bytes, data)
-            out.append(None if a_ends is None or b_ends is None else (x.ids, a_ends, y["ids"], b_ends))
+            data, a, b = b" " + text.encode(), x.ids, y["ids"]
+            if b"".join(map(bytes_of_a, a)) != data or b"".join(map(bytes_of_b, b)) != data:
+                out.append(None)
+            elif text.isascii():
+                out.append((a, [end for _, end in x.offsets], b, [end + 1 for _, end in y["offsets"]]))
+            else:
+                at = list(accumulate([1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4 for c in " " + text], initial=0))
+                a_ends = _ends(a, [(at[s], at[e]) for s, e in x.offsets], self.a_bytes)
+                out.append((a, a_ends, b, _ends(b, [(at[s + 1], at[e + 1]) for s, e in y["offsets"]], self.b_bytes)))
         return out
 
 
-def _ends(ids: list[int], spans: list[tuple[int, int]], known: list[bytes], data: bytes) -> list[int] | None:
-    """Byte offsets where tokens end. A span's end is a cut unless the next token begins before it or
-    lies in it; from the last cut on, the bytes of the tokens tell."""
+def _ends(ids: list[int], spans: list[tuple[int, int]], known: list[bytes]) -> list[int]:
+    """Byte offsets where tokens end. A span's end is a cut, unless the next token begins before it or
+    the span is empty (a byte of a character that later tokens finish); from the last cut on, the bytes of the tokens tell."""
     ends, at, last = [], 0, len(ids) - 1
     for k, i in enumerate(ids):
-        token = known[i]
-        if not data.startswith(token, at):
-            return None
-        at += len(token)
-        coarse = spans[k][1]
-        if (k == last or spans[k + 1][0] >= coarse) and spans[k][0] < coarse and at != coarse:
-            return None  # a cut that the bytes contradict
+        start, end = spans[k]
+        at = end if start < end and (k == last or spans[k + 1][0] >= end) else at + len(known[i])
         ends.append(at)
-    return ends if at == len(data) else None
+    return ends
 
 
 def groups(coded: tuple) -> list[tuple[list[int], list[int]]]:
-    """The groups of (ids of A, ends, ids of B, ends)."""
+    """The groups of (ids of A, ends, ids of B, ends); both end where the text ends."""
     a, a_ends, b, b_ends = coded
-    out, i, j = [], 0, 0
-    for end in sorted(set(a_ends).intersection(b_ends)):
-        p, q = a_ends.index(end, i) + 1, b_ends.index(end, j) + 1
-        out.append((a[i:p], b[j:q]))
-        i, j = p, q
+    if len(a) == 1 or len(b) == 1:
+        return [(a, b)]
+    out, p, q, j = [], 0, 0, 0
+    for i, end in enumerate(a_ends, 1):
+        while b_ends[j] < end:
+            j += 1
+        if b_ends[j] == end:
+            out.append((a[p:i], b[q : j + 1]))
+            p, q = i, j + 1
     return out
 
 
@@ -150,9 +156,8 @@ def _packed(coded: tuple | None) -> tuple | None:
     if coded is None:
         return None
     found = groups(coded)
-    text = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in found)
-    links = np.array([(a[-1] << 32) + b[-1] for a, b in found], np.int64).tobytes()
-    return text, links, np.array([len(coded[0]), len(coded[2]), len(found)], np.int32).tobytes()
+    text = ";".join([",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in found])
+    return text, array("q", [(a[-1] << 32) + b[-1] for a, b in found]).tobytes(), array("i", (len(coded[0]), len(coded[2]), len(found))).tobytes()
 
 
 def _joined(x: tuple | None, y: tuple | None) -> tuple | None:
@@ -185,17 +190,38 @@ def _aligner(a_spec: bytes, b_model: bytes) -> tuple:
     return Units(whole, tails, _joined), whole
 
 
-def _text(parts: list[tuple], digest, seen: list) -> bool:
-    """Add the packed groups of one slice to a document's sums; False if a unit has none."""
-    if any(p is None for p in parts):
-        return False
-    body = ";".join([p[0] for p in parts])
-    digest.update((";" if seen[3] else "").encode() + body.encode())
-    counts = np.frombuffer(b"".join([p[2] for p in parts]), np.int32).reshape(-1, 3).sum(axis=0, dtype=np.int64)
-    for k in range(3):
-        seen[k] += int(counts[k])
-    seen[3].append(np.unique(np.frombuffer(b"".join([p[1] for p in parts]), np.int64), return_counts=True))
-    return True
+class _Document:
+    """Sums of one document over its slices."""
+
+    def __init__(self, with_groups: bool):
+        self.good, self.counts, self.links, self.digest = True, np.zeros(3, np.int64), [], hashlib.sha256()
+        self.said = [] if with_groups else None
+
+    def add(self, parts: list[tuple | None]) -> None:
+        if None in parts:
+            self.good = False
+        if not self.good:
+            return
+        body = ";".join([p[0] for p in parts])
+        if self.links:
+            self.digest.update(b";")
+        self.digest.update(body.encode())
+        if self.said is not None:
+            self.said.append(body)
+        self.counts += np.frombuffer(b"".join([p[2] for p in parts]), np.int32).reshape(-1, 3).sum(axis=0, dtype=np.int64)
+        self.links.append(np.unique(np.frombuffer(b"".join([p[1] for p in parts]), np.int64), return_counts=True))
+
+    def row(self, places: np.ndarray) -> list:
+        if not self.good or not self.links:
+            return [0, 0, 0, 0, "", b"", b"", ""]
+        names, times = self.links[0]
+        if len(self.links) > 1:
+            names, where = np.unique(np.concatenate([n for n, _ in self.links]), return_inverse=True)
+            times = np.zeros(len(names), np.int64)
+            np.add.at(times, where, np.concatenate([t for _, t in self.links]))
+        n_a, n_b, n_groups = self.counts.tolist()
+        at = np.searchsorted(places, names).astype("<i4").tobytes()
+        return [n_a, n_b, n_groups, n_groups, self.digest.hexdigest(), at, times.astype("<i8").tobytes(), ";".join(self.said or ())]
 
 
 def alignment(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text", with_groups: bool = False) -> tuple[DataFrame, np.ndarray]:
@@ -210,44 +236,35 @@ def alignment(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id",
     key = ("aligner", *map(zlib.crc32, specs), *map(len, specs))
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
-    def pieces(units: Units | None, text: str) -> Iterator[list[str]]:
-        if units is None:
-            yield [text]
-        else:
-            for piece, _ in slices(text, BATCH_CHARS):
-                yield CUT.split(piece)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, whole = once(key, lambda: _aligner(*shared.value))
-        for batch in batches:
-            cells = [[] for _ in range(7 + with_groups)]
+
+        def flush(todo: list[tuple[_Document, list[str]]]) -> None:
+            if units is None:
+                for doc, some in todo:
+                    doc.add(whole(some))
+                return
+            known = units.look_up(chain.from_iterable(some for _, some in todo)).__getitem__
+            for doc, some in todo:
+                doc.add(list(map(known, some)))
+
+        for batch in (b.slice(a, ROWS_AT_ONCE) for b in batches for a in range(0, b.num_rows, ROWS_AT_ONCE)):
+            found, todo, size = [], [], 0
             for text in batch.column("text"):
                 text = text.as_py()
-                seen, digest, said = [0, 0, 0, []], hashlib.sha256(), []
-                good = bool(text)
-                for some in pieces(units, text) if good else ():
-                    known = dict(zip(some, whole(some))) if units is None else units.look_up(some)
-                    parts = [known[u] for u in some]
-                    if not _text(parts, digest, seen):
-                        good = False
-                        break
-                    if with_groups:
-                        said.append(";".join(p[0] for p in parts))
-                if good:
-                    names, times = seen[3][0]
-                    if len(seen[3]) > 1:
-                        names, where = np.unique(np.concatenate([n for n, _ in seen[3]]), return_inverse=True)
-                        times = np.bincount(where, np.concatenate([t for _, t in seen[3]])).astype(np.int64)
-                    at = np.searchsorted(places.value, names).astype("<i4").tobytes()
-                    row = [seen[0], seen[1], seen[2], seen[2], digest.hexdigest(), at, times.astype("<i8").tobytes()]
-                else:
-                    row = [0, 0, 0, 0, "", b"", b""]
-                for cell, x in zip(cells, row + [";".join(said) if good else ""] * with_groups):
-                    cell.append(x)
+                found.append(doc := _Document(with_groups))
+                for piece, _ in slices(text, BATCH_CHARS) if text and units else [(text, True)] if text else ():
+                    todo.append((doc, CUT.split(piece) if units else [piece]))
+                    size += len(piece)
+                    if size > BATCH_CHARS:
+                        flush(todo)
+                        todo, size = [], 0
+            flush(todo)
+            cells = list(zip(*[doc.row(places.value) for doc in found]))
             kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary(), pa.string()]
-            names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times", "groups"]
+            names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times", "groups"][: 8 + with_groups]
             columns = [batch.column(0), *(pa.array(c, t) for c, t in zip(cells, kinds))]
-            yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
+            yield pa.RecordBatch.from_arrays(columns[: len(names)], names)
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {id_type}, {ROWS}" + ", groups string" * with_groups), pairs
