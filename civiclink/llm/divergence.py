@@ -128,6 +128,7 @@ def audit(docs: DataFrame, min_docs: int = 10, text_col: str = "text", lang_col:
     kept = stored(kept)
     sizes = kept.groupBy("lang", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BUCKET)).cast("long").alias("buckets"))
     laid = kept.join(sizes, ["lang", "band"]).withColumn("bucket", F.pmod(F.xxhash64("term"), "buckets"))
+    laid = laid.repartition("lang", "band", "bucket")  # the join would leave all of a band in one task
     place = F.expr("row_number() OVER (PARTITION BY lang, band, bucket ORDER BY lang_n DESC, term) - 1").cast("int")
     laid = laid.withColumn("place", place).withColumn("word", F.col("place").bitwiseAND(F.lit(~63)))
     laid = laid.withColumn("bit", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63))))
