@@ -1,8 +1,10 @@
 """Clusters of the link graph, alike names, versioned landing and keyed deltas."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from civiclink.operators import candidates, clusters, namejoin
+from civiclink.operators import candidates, clusters, namejoin, quantiles
 from civiclink.plans import provenance, views  # noqa: F401
 from civiclink.plans.outcomes import _GRADED, _graded
 from civiclink.plans.registry import query, view
@@ -166,3 +168,20 @@ def _(t):
     table.upsert("errors", new.where("item_type = 'error'"))
     table.upsert("errors", new.where("item_type = 'error'"))
     return table.read()
+
+
+# Score sketches per court level and month, merged into years; their quantiles are held against exact ranks.
+@query(
+    "score_quantiles",
+    """SELECT court_level, year(decision_date) AS year, count(*) AS n, min(score) AS low, max(score) AS high, round(avg(score), 9) AS mean, true AS within_bound FROM {links} GROUP BY 1, 2""",
+)
+def _(t):
+    links = _graded(t).withColumns({"year": F.year("decision_date").cast("long"), "month": F.month("decision_date")})
+    months = quantiles.sketches(links, ["court_level", "year", "month"], "score")
+    years = quantiles.quantiles(quantiles.merged(months, ["court_level", "year"]))
+    names = {f"q{round(100 * r):02d}": r for r in quantiles.RANKS}
+    one = years.select(F.col("court_level").alias("c"), F.col("year").alias("y"), *names)
+    met = links.join(one, (F.col("court_level") == F.col("c")) & (F.col("year") == F.col("y")))
+    held = [(F.avg((F.col("score") < F.col(q)).cast("int")) <= r + 0.01) & (F.avg((F.col("score") <= F.col(q)).cast("int")) >= r - 0.01) for q, r in names.items()]
+    checked = met.groupBy("court_level", "year").agg(reduce(lambda a, b: a & b, held).alias("within_bound"))
+    return years.join(checked, ["court_level", "year"]).select("court_level", "year", "n", "low", "high", F.round("mean", 9).alias("mean"), "within_bound")
