@@ -11,7 +11,7 @@ their ends follow from the bytes each token stands for. A text counts only if th
 are a blank and the text; else it has no tokens, nor has a null or empty text.
 
 Texts are aligned in units (units.py), distinct ones once per worker. Both tokenizers start a token at a unit's
-blank if no piece of B has a blank behind another character, and end one before dots and commas if no
+blank if no piece of B has a blank behind another character, and end one before marks such as dots if no
 piece has a letter before them; both is checked on the vocabulary, and whole texts are aligned where it fails.
 
 Linked tokens end in the same bytes, so one is a suffix of the other: the pairs that can ever be linked follow from the two
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civiclink.llm.common import stored
-from civiclink.llm.units import CUT, Units, is_letter, once, slices
+from civiclink.llm.units import CUT, ENDS, Units, is_letter, once, slices
 
 BLANK = "▁"
 BATCH_CHARS = 1 << 20
@@ -82,10 +82,10 @@ class Pair:
         return Pair(a, b, a_bytes, b_bytes)
 
     def cuts(self) -> tuple[bool, bool]:
-        """Whether B always starts a token at a unit's blank, and before dots and commas behind a letter."""
+        """Whether B always starts a token at a unit's blank, and before the marks of ENDS behind a letter."""
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size()) if not self.b.is_control(i)]
         blank = not any(BLANK in p.lstrip(BLANK) for p in pieces)
-        return blank, blank and not any(is_letter(x) and y in ".," for p in pieces for x, y in zip(p, p[1:]))
+        return blank, blank and not any(is_letter(x) and y in ENDS for p in pieces for x, y in zip(p, p[1:]))
 
     def linkable(self) -> np.ndarray:
         """Every pair (id of A, id of B) that can be linked, as a * 2^32 + b, ascending."""
@@ -173,7 +173,7 @@ def _aligner(a_spec: bytes, b_model: bytes) -> tuple:
     whole = lambda texts: [_packed(c) for c in pair.encode(texts)]
 
     def tails(ends: list[str]) -> list[tuple | None]:
-        """Tokens of dots and commas, as they stand behind a letter."""
+        """Tokens of marks, as they stand behind a letter."""
         out = []
         for (a, x, b, y), end in zip(pair.encode(["a" + e for e in ends]), ends):
             start = len(b" a")

@@ -1,9 +1,9 @@
 """Texts in units that a tokenizer encodes one by one exactly as within the text.
 
-A text is cut before each single blank between a Latin letter (ASCII or Latin-1), digit, dot or comma and a Latin letter or
+A text is cut before each single blank that stands behind anything but white space and before a Latin letter (ASCII or Latin-1) or
 digit. Byte-level tokenizers that split by the usual pattern (` ?\\p{L}+| ?\\p{N}+|...`) start a token at
-such a blank, and never join a letter with a dot or comma behind it, so a unit may also be cut before the
-dots and commas at its end. Every distinct unit is encoded by the tokenizer once per worker;
+such a blank, and never join a letter with a mark of ENDS behind it, so a unit may also be cut before the
+marks at its end. Every distinct unit is encoded by the tokenizer once per worker;
 what a text needs is then a lookup. The store of units is bounded; when it is full only those just asked for stay, and
 long units are never kept."""
 
@@ -16,7 +16,8 @@ from types import ModuleType
 from typing import Any
 
 WORD = "A-Za-z0-9À-ÖØ-öø-ÿ"
-CUT = re.compile(f"(?<=[{WORD}.,]) (?=[{WORD}])")
+CUT = re.compile(rf"(?<=\S) (?=[{WORD}])")
+ENDS = ".,!?;:#&%$*|"
 SLICE = 1 << 20
 KEPT_UNITS = 400_000
 KEPT_CHARS = 40
@@ -51,7 +52,7 @@ def slices(text: str, size: int = SLICE) -> Iterator[tuple[str, bool]]:
 
 class Units:
     """Encodings of units. `encode(list of units)` gives an encoding for each, as it stands behind a blank;
-    `tails` gives those of dots and commas behind a letter; `join` puts the two together."""
+    `tails` gives those of marks behind a letter; `join` puts the two together."""
 
     def __init__(self, encode: Callable[[list[str]], list], tails: Callable[[list[str]], list], join: Callable[[Any, Any], Any], most: int = KEPT_UNITS, ends: bool = True):
         self.encode, self.tails, self.join, self.most, self.cut_ends = encode, tails, join, most, ends
@@ -61,7 +62,7 @@ class Units:
 
     def look_up(self, units: Iterable[str]) -> dict[str, Any]:
         """A dictionary that holds all `units`, and maybe more; valid until the next call. Words stay in it, units
-        with dots and commas and long ones go."""
+        that end in marks and long ones go."""
         kept = self.kept
         for unit in self.passing:
             kept.pop(unit, None)
@@ -71,8 +72,8 @@ class Units:
             self.kept = kept = {unit: kept[unit] for unit in units if unit in kept}
         words, ended = set(), {}
         for unit in units.difference(kept):
-            if self.cut_ends and unit[-1:] in (".", ","):
-                word = unit.rstrip(".,")
+            if self.cut_ends and unit[-1:] in ENDS:
+                word = unit.rstrip(ENDS)
                 if is_letter(word[-1:]):
                     ended[unit] = word
                     if word not in kept:
