@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civiclink.llm.common import stored
-from civiclink.llm.units import CUT, ENDS, Units, is_letter, once, slices
+from civiclink.llm.units import ENDS, Units, cut, is_letter, no_collection, once, slices
 
 BLANK = "▁"
 BATCH_CHARS = 1 << 20
@@ -244,7 +244,8 @@ def alignment(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id",
                 for doc, some in todo:
                     doc.add(whole(some))
                 return
-            known = units.look_up(chain.from_iterable(some for _, some in todo)).__getitem__
+            with no_collection():
+                known = units.look_up(chain.from_iterable(some for _, some in todo)).__getitem__
             for doc, some in todo:
                 doc.add(list(map(known, some)))
 
@@ -254,7 +255,7 @@ def alignment(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id",
                 text = text.as_py()
                 found.append(doc := _Document(with_groups))
                 for piece, _ in slices(text, BATCH_CHARS) if text and units else [(text, True)] if text else ():
-                    todo.append((doc, CUT.split(piece) if units else [piece]))
+                    todo.append((doc, cut(piece) if units else [piece]))
                     size += len(piece)
                     if size > BATCH_CHARS:
                         flush(todo)

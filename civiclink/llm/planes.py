@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -50,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civiclink.llm.common import stored
-from civiclink.llm.units import CUT, Units, is_letter, once, slices
+from civiclink.llm.units import OTHER_BLANK, Units, cut, is_letter, no_collection, once, slices
 
 MAGIC = b"PLANES01"
 TAIL = "<QQQ8s"
@@ -61,6 +62,8 @@ BATCH_CHARS = 1 << 20
 WRITE_ROWS = 1024
 INDEX = pa.schema({"at": pa.int64(), "n": pa.int64(), "sizes": pa.list_(pa.int32()), "crc32": pa.int64()})
 PARTS = ["doc_id", "tie", "uid", "part", "last", "n", "ids"]
+# A line break beside other white space or at the end.
+OTHER_BREAK = re.compile(r"\n(?:(?=\s|\Z)|(?<=\s\n))")
 FILES = "part int, file int, path string, n_docs long, n_ids long, n_bytes long"
 
 
@@ -203,7 +206,9 @@ def _tokenizer(spec: bytes):
 
 
 def _id_units(spec: bytes) -> tuple:
-    """A function from texts to ids, as bytes of unsigned 32-bit integers, and the same for units."""
+    """A function from texts to ids, as bytes of unsigned 32-bit integers, the same for units, and a function that cuts
+    a text into units. A byte-level splitter takes a line break between other characters for a piece of its own, so
+    there units begin with line breaks too, which stand behind no blank."""
     tokenizer, said = _tokenizer(spec), json.loads(spec)
     coded = lambda texts: [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     split = said["pre_tokenizer"] or {}
@@ -211,14 +216,32 @@ def _id_units(spec: bytes) -> tuple:
     model, pieces = tokenizer.model, tokenizer.pre_tokenizer
     latin = {i: pieces.pre_tokenize_str(chr(i))[0][0] for i in range(128, 256) if is_letter(chr(i))} if plain else {}
     blank = pieces.pre_tokenize_str(" a")[0][0][0] if plain else ""
+    (line_break,) = coded(["\n"])
 
-    def words(units: list[str]) -> list[bytes]:
-        """A blank and letters are one piece to a byte-level splitter: the model alone encodes it."""
-        out: list = [array("I", [t.id for t in model.tokenize(blank + u.translate(latin))]).tobytes() if plain and u.isalpha() and max(u) <= "ÿ" else None for u in units]
-        rest = iter(coded([" " + u for u, ids in zip(units, out) if ids is None]))
-        return [next(rest) if ids is None else ids for ids in out]
+    def lines_cut(text: str) -> list[str]:
+        if text[:1].isspace() or OTHER_BLANK.search(text) or OTHER_BREAK.search(text):
+            return cut(text)
+        return text.replace("\n", " \n").split(" ")
 
-    return coded, Units(words, coded, lambda a, b: a + b)
+    def words(units: list[str]) -> list[bytes]:
+        """A blank and letters, or a blank and digits, are one piece to a byte-level splitter: the model alone encodes it."""
+        if not plain:
+            return coded([" " + u for u in units])
+        tokenize, out, rest = model.tokenize, [], []
+        for i, u in enumerate(units):
+            before, ids = blank, b""
+            if u[:1] == "\n":
+                before, ids, u = "", line_break, u[1:]
+            if u.isascii() and u.isalnum() and (u.isalpha() or u.isdigit()) or u.isalpha() and max(u) <= "ÿ":
+                out.append(ids + array("I", [t.id for t in tokenize(before + (u if u.isascii() else u.translate(latin)))]).tobytes())
+            else:
+                out.append(b"")
+                rest.append(i)
+        for i, ids in zip(rest, coded([units[i] if units[i][:1] == "\n" else " " + units[i] for i in rest])):
+            out[i] = ids
+        return out
+
+    return coded, Units(words, coded, lambda a, b: a + b), lines_cut if plain else cut
 
 
 def encoded(docs: DataFrame, tokenizer_file: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,12 +258,13 @@ def encoded(docs: DataFrame, tokenizer_file: str, end_id: int | None = None, id_
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coded, units = once(key, lambda: _id_units(shared.value))
+        coded, units, cut_up = once(key, lambda: _id_units(shared.value))
         base = TaskContext.get().partitionId() << 40
 
         def flush(batch: pa.RecordBatch, parts: list[tuple]) -> pa.RecordBatch:
-            known = units.look_up(chain.from_iterable(some for *_, some in parts))
-            firsts = iter(coded([first for *_, first, _ in parts if first is not None]))
+            with no_collection():
+                known = units.look_up(chain.from_iterable(some for *_, some in parts))
+                firsts = iter(coded([first for *_, first, _ in parts if first is not None]))
             ids, counts = [], []
             for _, _, last, first, some in parts:
                 data = (b"" if first is None else next(firsts)) + b"".join(map(known.__getitem__, some)) + (end if last else b"")
@@ -255,7 +279,7 @@ def encoded(docs: DataFrame, tokenizer_file: str, end_id: int | None = None, id_
             parts, size = [], 0
             for i, text in enumerate(batch.column("text")):
                 for part, (piece, last) in enumerate(slices(text.as_py())):
-                    some = CUT.split(piece)
+                    some = cut_up(piece)
                     # Only the first unit of a text stands behind nothing; further slices begin behind a blank.
                     parts.append((i, part, last, None if part else some.pop(0), some))
                     size += len(piece)

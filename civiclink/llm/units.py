@@ -1,22 +1,27 @@
 """Texts in units that a tokenizer encodes one by one exactly as within the text.
 
-A text is cut before each single blank that stands behind anything but white space and before a Latin letter (ASCII or Latin-1) or
-digit. Byte-level tokenizers that split by the usual pattern (` ?\\p{L}+| ?\\p{N}+|...`) start a token at
+A text is cut before each single blank that stands behind anything but white space and before a Latin letter (ASCII or Latin-1),
+a digit or an ASCII mark. Byte-level tokenizers that split by the usual pattern (` ?\\p{L}+| ?\\p{N}+|...`) start a token at
 such a blank, and never join a letter with a mark of ENDS behind it, so a unit may also be cut before the
 marks at its end. Every distinct unit is encoded by the tokenizer once per worker;
-what a text needs is then a lookup. The store of units is bounded; when it is full only those just asked for stay, and
-long units are never kept."""
+what a text needs is then a lookup. The store of units is bounded; when it is full units that end in marks go (they are
+put together again from word and marks), then all but those just asked for, and long units are never kept."""
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from itertools import filterfalse
 from types import ModuleType
 from typing import Any
 
-WORD = "A-Za-z0-9À-ÖØ-öø-ÿ"
+WORD = "!-~À-ÖØ-öø-ÿ"
 CUT = re.compile(rf"(?<=\S) (?=[{WORD}])")
+# A blank where CUT does not cut, but for one that begins the text.
+OTHER_BLANK = re.compile(rf" (?:(?![{WORD}])|(?<=\s ))")
 ENDS = ".,!?;:#&%$*|"
 SLICE = 1 << 20
 KEPT_UNITS = 400_000
@@ -37,6 +42,19 @@ def once(key: Any, make: Callable[[], Any]) -> Any:
     return kept[key]
 
 
+@contextmanager
+def no_collection() -> Iterator[None]:
+    """Without garbage collection for a while: it would walk the whole store of units again and again, and nothing
+    here makes cycles."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def slices(text: str, size: int = SLICE) -> Iterator[tuple[str, bool]]:
     """A long text in slices of about `size` characters that end where units end, and whether each is the last.
     The blank between two slices goes to neither."""
@@ -50,6 +68,11 @@ def slices(text: str, size: int = SLICE) -> Iterator[tuple[str, bool]]:
     yield text[start:], True
 
 
+def cut(text: str) -> list[str]:
+    """CUT.split(text); where every blank is a cut, without the pattern."""
+    return CUT.split(text) if text[:1] == " " or OTHER_BLANK.search(text) else text.split(" ")
+
+
 class Units:
     """Encodings of units. `encode(list of units)` gives an encoding for each, as it stands behind a blank;
     `tails` gives those of marks behind a letter; `join` puts the two together."""
@@ -59,19 +82,23 @@ class Units:
         self.kept: dict[str, Any] = {}
         self.ends: dict[str, Any] = {}
         self.passing: list[str] = []
+        self.tailed: list[str] = []
 
     def look_up(self, units: Iterable[str]) -> dict[str, Any]:
-        """A dictionary that holds all `units`, and maybe more; valid until the next call. Words stay in it, units
-        that end in marks and long ones go."""
+        """A dictionary that holds all `units`, and maybe more; valid until the next call. Long units go then."""
         kept = self.kept
         for unit in self.passing:
             kept.pop(unit, None)
         self.passing = passing = []
-        units = set(units)
         if len(kept) > self.most:
-            self.kept = kept = {unit: kept[unit] for unit in units if unit in kept}
+            for unit in self.tailed:
+                kept.pop(unit, None)
+            self.tailed = []
+            if len(kept) > self.most * 3 // 4:
+                units = set(units)
+                self.kept = kept = {unit: kept[unit] for unit in units if unit in kept}
         words, ended = set(), {}
-        for unit in units.difference(kept):
+        for unit in set(filterfalse(kept.__contains__, units)):
             if self.cut_ends and unit[-1:] in ENDS:
                 word = unit.rstrip(ENDS)
                 if is_letter(word[-1:]):
@@ -94,5 +121,5 @@ class Units:
                 self.ends.update(zip(fresh, self.tails(fresh)))
             for unit, word in ended.items():
                 kept[unit] = self.join(kept[word], self.ends[unit[len(word) :]])
-            passing += ended
+                (passing if len(unit) > KEPT_CHARS else self.tailed).append(unit)
         return kept

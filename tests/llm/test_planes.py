@@ -105,6 +105,25 @@ def test_many_files_and_whole_ids(spark, tmp_path):
     assert [x["ids"] for x in got] == [c.tolist() for c in coded(texts)]
 
 
+def test_units_give_what_whole_texts_give():
+    tokenizer = Tokenizer.from_file(FILE)
+    whole, units, cut = planes._id_units(open(FILE, "rb").read())
+    units.most = 50
+    r = random.Random(8)
+    glue = ["a", "Éa", "ab", " ", " ", " ", "\n", "\n", "\t", "\r", "1", "23", "'s", "'", ".", "|", "|?", "ſ", "²", "ª", "漢", "\u0308", "\u00a0", "\x85", "<|endoftext|>"]
+    texts = [*["".join(r.choices(glue, k=r.randrange(1, 12))) for _ in range(4000)], "", "a" * 50 + ".\nB c\nd. 12 ee."]
+    plain = 0
+    for a in range(0, len(texts), 40):
+        some = [cut(t) for t in texts[a : a + 40]]
+        plain += sum(any(u[:1] == "\n" for u in x[1:]) for x in some)
+        firsts = whole([x[0] for x in some])
+        known = units.look_up([u for x in some for u in x[1:]])
+        for text, x, first in zip(texts[a:], some, firsts):
+            got = np.frombuffer(first + b"".join(known[u] for u in x[1:]), "<u4").tolist()
+            assert got == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    assert plain > 100
+
+
 def test_slices_of_a_long_text_are_one_document(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(planes, "BATCH_CHARS", 3000)
     from civiclink.llm import units
