@@ -3,6 +3,10 @@
 The steps run once per distinct (state, name), not once per row, and the answer is joined back
 to the rows, so a name that fills a third of the table costs as much as a rare one.
 
+`match_places` and `review_candidates` store the reference columns in use, the distinct names with their
+lookups and the two sides of the fuzzy step in the shared folder, each once, when they are called. So rows are read
+twice (for their names, and for the answer), the reference once, and no step plans another one again.
+
 Tables:
   rows       uf, municipality_name_clean, any other columns
   reference  ibge_municipality_code, municipality_name_official, uf, municipality_name_norm, ref_pos
@@ -22,10 +26,12 @@ from civiclink.functions.similarity import NameBlock
 from civiclink.functions.text import join_notes, match_key, pad_code, trim_ws, upper_key
 from civiclink.operators.rows import top_per_key
 from civiclink.operators.skew import key_counts
+from civiclink.sources.scratch import cut_lineage
 
 STRICT_DEFAULT = 92.0
 RELAXED_SCORE, RELAXED_MARGIN, RELAXED_EDITS = 85.0, 10.0, 2
 SUGGESTIONS = 5
+REFERENCE = ["ibge_municipality_code", "municipality_name_official", "uf", "municipality_name_norm", "ref_pos"]
 # Reference names and open names of one scoring cell.
 BLOCK_NAMES, CELL_NAMES = 4096, 512
 
@@ -173,7 +179,7 @@ def fuzzy_candidates(names: DataFrame, reference: DataFrame) -> DataFrame:
     open names and BLOCK_NAMES reference names, and only five rows per name leave it.
     """
     parts = lambda n, size: F.greatest(F.ceil(n / size), F.lit(1)).cast("long")
-    opened = names.select("uf", "name_norm").distinct()
+    opened = cut_lineage(names.select("uf", "name_norm").distinct())
     places = top_per_key(reference, ["uf", "municipality_name_norm"], [F.col("ref_pos")], SUGGESTIONS, "_place")
     blocks = (
         places.groupBy("uf", F.col("municipality_name_norm").alias("candidate"))
@@ -183,6 +189,8 @@ def fuzzy_candidates(names: DataFrame, reference: DataFrame) -> DataFrame:
         )
         .select("uf", "candidate", "_f.code", F.col("_f.municipality_name_official").alias("official"), "positions")
     )
+    # Both sides are read twice, for their sizes and for their rows.
+    blocks = cut_lineage(blocks)
     salts = opened.groupBy("uf").agg(parts(F.count(F.lit(1)), CELL_NAMES).alias("_salts"))
     chunks = blocks.groupBy("uf").agg(parts(F.count(F.lit(1)), BLOCK_NAMES).alias("_chunks"))
     sizes = salts.join(chunks, "uf")
@@ -257,7 +265,8 @@ def _resolve_names(
     overrides: DataFrame | None,
 ) -> DataFrame:
     """Answers per name, with the fuzzy candidates of open names in `hits`."""
-    looked_up = lookup_ladder(rows, reference, aliases, overrides)
+    reference = cut_lineage(reference.select(*REFERENCE))
+    looked_up = cut_lineage(lookup_ladder(rows, reference, aliases, overrides))
     open_names = looked_up.where(F.col("match_method").isNull()).select(F.col("_uf").alias("uf"), "name_norm")
     decided = _decided(fuzzy_candidates(open_names, reference), threshold).select(
         F.col("uf").alias("_uf"),

@@ -158,8 +158,11 @@ def _(t):
         F.expr("' ' || lower(substr(c_mktsegment, 1, 2)) || CASE WHEN o_orderkey % 2 = 0 THEN ';ba' ELSE '' END").alias("UFs"),
         F.expr("'  ' || c_name || '   á '").alias("Municipios"), F.col("o_orderstatus").alias("EdicaoProgramaSorteioFEF"),
     )
-    out, _ = audits.prepare_audits(raw, "2026-01-01T00:00:00Z")
-    out = number_rows(out.withColumn("_order", F.col("id_da_tarefa").cast("long")), "_order")
+    out, _ = audits.prepare_audits(raw, "2026-01-01T00:00:00Z", order="idtarefa")
+    # Rows are numbered by their keys alone, so what the numbers need is not folded again.
+    landed = o.join(c.select("c_custkey"), o.o_custkey == F.col("c_custkey"), "left_semi")
+    numbered = number_rows(landed.select(F.col("o_orderkey").alias("idtarefa")), "idtarefa")
+    out = out.join(numbered, "idtarefa")
     return out.select(
         "id_da_tarefa", "titulo_do_relatorio", F.date_format("publication_date", "yyyy-MM-dd").alias("day"), "uf",
         "municipality_name_raw", "municipality_name_norm", "pulled_at_utc", "source_columns_original",
