@@ -104,6 +104,8 @@ def fold_accents(c: Column | str) -> Column:
     """Accents off, compatibility forms spelled out; null becomes ''. Plain ASCII is left as it is, and
     rare forms cost only the texts that have some."""
     src, dst, longer, marks = _fold_rules()
+    # Letters of Latin-1 alone, by far the most frequent case, need the short table only.
+    near = {a: b for a, b in zip(src, dst) if "À" <= a <= "ÿ"}
     # A class of many single characters is slow to match, so a coarse test by ranges goes first.
     rare = "[" + "".join(re.escape(k) for k in longer) + "]"
     # One literal, taken apart once per plan: a map of single literals takes long to plan.
@@ -121,7 +123,9 @@ def fold_accents(c: Column | str) -> Column:
     def folded(text: Column) -> Column:
         spelled = let(let(text, syllables), spell_out)
         plain = F.regexp_replace(F.translate(spelled, src, dst), f"{marks}+", "")
-        return F.when(text.rlike(r"[^\x00-\x7f]"), plain).otherwise(text)
+        latin = F.translate(text, "".join(near), "".join(near.values()))
+        other = text.rlike(r"[^\x00-\x7f\x{c0}-\x{ff}]")
+        return F.when(other, plain).when(text.rlike(r"[^\x00-\x7f]"), latin).otherwise(text)
 
     return let(F.coalesce(col(c), F.lit("")), folded)
 

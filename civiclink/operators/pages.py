@@ -108,14 +108,13 @@ def resource_links(pages: DataFrame, key: str, url: str = "url", html: str = "ht
 
 
 def _first_each(links: Column) -> Column:
-    """First of the structs with each `link`."""
-    return let(
-        links,
-        lambda all_: let(
-            F.transform(all_, lambda x: x["link"]),
-            lambda names: F.filter(all_, lambda x, i: F.array_position(names, x["link"]) == i + 1),
-        ),
-    )
+    """First of the structs with each `link`, in their order. Equal links are found by sorting, so a page
+    with very many links costs little more for each."""
+    tagged = F.transform(links, lambda x, i: F.struct(x["link"].alias("link"), i.alias("at"), x.alias("row")))
+    ordered = F.array_sort(F.filter(tagged, lambda x: x["link"].isNotNull()))
+    firsts = let(ordered, lambda all_: F.filter(all_, lambda x, i: (i == 0) | (F.get(all_, i - 1)["link"] != x["link"])))
+    in_place = F.array_sort(F.transform(firsts, lambda x: F.struct(x["at"].alias("at"), x["row"].alias("row"))))
+    return F.transform(in_place, lambda x: x["row"])
 
 
 def _resources(html: Column | str, url: Column | str) -> Column:

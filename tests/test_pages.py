@@ -198,3 +198,14 @@ def test_legacy_pages_searched_once_per_place_do_not_multiply(spark):
     twice = src.withColumns({"municipality_name": F.lit("Um"), "uf": F.lit("ce")}).unionByName(src.withColumns({"municipality_name": F.lit("Dois"), "uf": F.lit("um")}))
     rows = reports.candidates_from_pages(twice, "page_id", "auditoria", "t").collect()
     assert sorted(r.municipality_name for r in rows) == ["Dois", "Um"]
+
+
+def test_a_page_with_very_many_links_keeps_the_first_of_each(spark):
+    n = 30_000
+    hrefs = [f"/d/{i % 20_000}.pdf" for i in range(n)]
+    html = "<html>" + "".join(f'<a href="{h}">x</a>' for h in hrefs) + "</html>"
+    df = spark.createDataFrame([(1, "http://h.example/p", html), (2, "http://h.example/p", "<html></html>"), (3, None, None)], "k int, url string, html string")
+    got = pages.pdf_links(df, "k").where("k = 1").orderBy("phase", "pos").collect()
+    assert [(r.phase, r.pos) for r in got] == [(0, i) for i in range(20_000)]
+    assert [r.link for r in got] == [f"http://h.example/d/{i}.pdf" for i in range(20_000)]
+    assert pages.resource_links(df, "k").where("k = 1").count() == 20_000
