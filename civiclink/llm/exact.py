@@ -6,10 +6,15 @@ and passes straight through; only rows whose slots were all hit twice or more ar
 SHA-256 of their text and grouped. The filter has no false negatives, and a false positive is a
 group of one, so the result is exact at any fill.
 
-Hashes are spread over generations of at most `generation_rows` rows, each with a filter of its
-own of `slots_per_row` slots per row: that bounds the broadcast filter (16 MB at the default) for
+Hashes are spread over generations of about `generation_rows` rows, each with a filter of its
+own of `slots_per_row` slots per row: that bounds the broadcast filter (128 MB at the default) for
 any number of rows. Within a filter the slots of a row lie in one block, so tasks build and merge
-filters block by block.
+filters block by block; a task that has few hashes of a block ships the hashes instead of its bits.
+
+With more than one generation the hashes, not the texts, are written into one folder per
+generation, without a shuffle, by as many tasks as there are generations. All filters are then built in one pass, and
+each generation asks its own filter over its own folder; its broadcast is released before the next.
+So every hash is read three times, whatever the number of generations.
 
 Null text counts as empty. Of equal texts the smallest id stays, a null id only if there is no
 other; of repeated rows with that id one stays. An empty table gives an empty result. Columns
@@ -26,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civiclink.llm.common import BLANKS, packed, stored, text_or_empty, unpacked
+from civiclink.sources.scratch import shared_folder
 
 PROBES = 4
 BLOCK_SLOTS = 1 << 16
-GENERATION_ROWS = 1 << 23
+GENERATION_ROWS = 1 << 26
 SLOTS_PER_ROW = 16
 
 
@@ -48,40 +54,67 @@ def _slots(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return block, np.stack([(mixed >> np.uint64(16 * i)) & np.uint64(BLOCK_SLOTS - 1) for i in range(PROBES)], axis=1)
 
 
+PARTIAL = "gen long, block long, few binary, once binary, twice binary"
+
+
+def _bits(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Filter bits of a block: slots hit once or more, slots hit twice or more."""
+    times = np.bincount(slots.astype(np.int64).ravel(), minlength=BLOCK_SLOTS)
+    return np.packbits(times >= 1), np.packbits(times >= 2)
+
+
 def _counted(blocks: int):
-    """Hashes -> partial filters (block, once, twice), one row per block that a task touched."""
+    """Rows (gen, h) -> partial filters, one row per block of a generation that a task touched:
+    its few hashes (one that is there again twice), or its bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b.column(0).to_numpy() for b in batches if b.num_rows]
+        parts = [(b.column("gen").to_numpy(), b.column("h").to_numpy()) for b in batches if b.num_rows]
         if not parts:
             return
-        block, slots = _slots(np.concatenate(parts), blocks)
-        order = np.argsort(block, kind="stable")
-        block, slots = block[order], slots[order]
-        names, starts = np.unique(block, return_index=True)
-        for name, a, b in zip(names, starts, [*starts[1:], len(block)]):
-            times = np.bincount(slots[a:b].astype(np.int64).ravel(), minlength=BLOCK_SLOTS)
-            bits = [np.packbits(times >= n).tobytes() for n in (1, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *(pa.array([x], pa.binary()) for x in bits)], ["block", "once", "twice"])
+        gens, hashes = (np.concatenate(x) for x in zip(*parts))
+        for gen in np.unique(gens):
+            h, times = np.unique(hashes[gens == gen], return_counts=True)
+            h = np.concatenate([h, h[times > 1]])
+            block = _slots(h, blocks)[0]
+            order = np.argsort(block, kind="stable")
+            h, block = h[order], block[order]
+            names, starts = np.unique(block, return_index=True)
+            for name, a, b in zip(names, starts, [*starts[1:], len(block)]):
+                mine = h[a:b]
+                sparse = mine.nbytes < BLOCK_SLOTS // 4
+                held = [mine.tobytes(), None, None] if sparse else [None, *(x.tobytes() for x in _bits(_slots(mine, blocks)[1]))]
+                columns = [pa.array([gen], pa.int64()), pa.array([name], pa.int64()), *(pa.array([x], pa.binary()) for x in held)]
+                yield pa.RecordBatch.from_arrays(columns, ["gen", "block", "few", "once", "twice"])
 
     return run
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial filters sorted by block -> one row (block, twice) per block."""
-    name, once, twice = None, None, None
-    out = lambda: pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([twice.tobytes()], pa.binary())], ["block", "twice"])
-    for batch in batches:
-        for block, o, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            o, t = np.frombuffer(o, np.uint8), np.frombuffer(t, np.uint8)
-            if block == name:
-                once, twice = once | o, twice | t | (once & o)
-            else:
-                if name is not None:
-                    yield out()
-                name, once, twice = block, o, t
-    if name is not None:
-        yield out()
+def _merged(blocks: int):
+    """Partial filters sorted by generation and block -> one row (gen, block, twice) per block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, once, twice = None, None, None
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array([name[0]], pa.int64()), pa.array([name[1]], pa.int64()), pa.array([twice.tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["gen", "block", "twice"])
+
+        for batch in batches:
+            for gen, block, few, o, t in zip(*(batch.column(i) for i in range(5))):
+                if few.is_valid:
+                    o, t = _bits(_slots(np.frombuffer(few.as_py(), np.int64), blocks)[1])
+                else:
+                    o, t = np.frombuffer(o.as_py(), np.uint8), np.frombuffer(t.as_py(), np.uint8)
+                if (gen.as_py(), block.as_py()) == name:
+                    once, twice = once | o, twice | t | (once & o)
+                else:
+                    if name is not None:
+                        yield out()
+                    name, once, twice = (gen.as_py(), block.as_py()), o, t
+        if name is not None:
+            yield out()
+
+    return run
 
 
 def _suspected(blocks: int, shared):
@@ -98,26 +131,45 @@ def _suspected(blocks: int, shared):
     return run
 
 
+def _filters(rows: DataFrame, blocks: int) -> DataFrame:
+    """gen, block, twice: the filters of all generations of `rows` (gen, h), in one pass over them."""
+    partial = rows.select("gen", "h").mapInArrow(_counted(blocks), PARTIAL)
+    dealt = partial.repartition("gen", "block").sortWithinPartitions("gen", "block")
+    return dealt.mapInArrow(_merged(blocks), "gen long, block long, twice binary")
+
+
+def _asked(rows: DataFrame, filters: DataFrame, blocks: int, path: str) -> None:
+    """Write the rows of one generation to `path` with `again`. The filter of that generation comes
+    to the driver and goes out again, and is released behind the write."""
+    size = BLOCK_SLOTS // 8
+    bits = bytearray(blocks * size)
+    for block, twice in filters.select("block", "twice").toLocalIterator():
+        bits[block * size : (block + 1) * size] = twice
+    shared = rows.sparkSession.sparkContext.broadcast(bytes(bits))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    rows.mapInArrow(_suspected(blocks, shared), f"{kinds}, again boolean").write.parquet(path)
+    shared.destroy()
+
+
 def possibly_repeated(rows: DataFrame, generation_rows: int = GENERATION_ROWS, slots_per_row: int = SLOTS_PER_ROW) -> DataFrame:
-    """`rows` (a stored frame with a column h) with `again`; false only for hashes that occur once."""
-    spark = rows.sparkSession
-    generations = max(1, -(-rows.count() // generation_rows))
-    rows = stored(rows.withColumn("gen", F.pmod(F.shiftrightunsigned("h", 40), F.lit(generations)))) if generations > 1 else rows.withColumn("gen", F.lit(0).cast("long"))
-    out = None
-    for gen in range(generations):
-        part = rows.where(F.col("gen") == gen)
-        blocks = max(1, -(-part.count() * slots_per_row // BLOCK_SLOTS))
-        partial = part.select("h").mapInArrow(_counted(blocks), "block long, once binary, twice binary")
-        whole = partial.repartition("block").sortWithinPartitions("block").mapInArrow(_merged, "block long, twice binary")
-        # At most generation_rows * slots_per_row bits come to the driver and go out again.
-        bits = bytearray(blocks * BLOCK_SLOTS // 8)
-        for block, twice in whole.collect():
-            bits[block * BLOCK_SLOTS // 8 : (block + 1) * BLOCK_SLOTS // 8] = twice
-        shared = spark.sparkContext.broadcast(bytes(bits))
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema.fields)
-        asked = part.mapInArrow(_suspected(blocks, shared), f"{kinds}, again boolean")
-        out = asked if out is None else out.unionByName(asked)
-    return out.drop("gen")
+    """`rows` (a stored frame with a column h) with `again`, stored; false only for hashes that occur once."""
+    spark, count, columns = rows.sparkSession, rows.count(), rows.columns
+    generations = max(1, -(-count // generation_rows))
+    blocks = max(1, -(-(-(-count // generations) * slots_per_row) // BLOCK_SLOTS))
+    asked = shared_folder(spark, "asked")
+    if generations == 1:
+        _asked(rows, stored(_filters(rows.withColumn("gen", F.lit(0).cast("long")), blocks)), blocks, asked)
+        return spark.read.parquet(asked)
+    laid, built = shared_folder(spark, "generations"), shared_folder(spark, "filters")
+    gen = F.pmod(F.shiftrightunsigned("h", 40), F.lit(generations)).alias("gen")
+    rows.select(*columns, gen).coalesce(generations).write.partitionBy("gen").parquet(laid)
+    layout = spark.read.schema(f"{rows.schema.toDDL()}, gen long").parquet(laid)
+    _filters(layout, blocks).write.partitionBy("gen").parquet(built)
+    # One small number per generation is on the driver.
+    for (one,) in spark.read.parquet(built).select(F.col("gen").cast("long")).distinct().collect():
+        part = spark.read.schema(rows.schema).parquet(f"{laid}/gen={one}")
+        _asked(part, spark.read.parquet(f"{built}/gen={one}"), blocks, f"{asked}/gen={one}")
+    return spark.read.parquet(asked).select(*columns, "again")
 
 
 def exact_duplicates(
@@ -128,7 +180,7 @@ def exact_duplicates(
     slots_per_row: int = SLOTS_PER_ROW,
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = stored(possibly_repeated(stored(hashed(docs, id_col, text_col)), generation_rows, slots_per_row))
+    rows = possibly_repeated(stored(hashed(docs, id_col, text_col)), generation_rows, slots_per_row)
     alone = rows.where(~F.col("again")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256")
     )
