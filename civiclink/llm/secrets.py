@@ -11,7 +11,8 @@ distinct repositories and owners. A value of at least `copied_owners` owners and
 character or more is live-looking; the rest is weak. Base spans always stay; generic spans are added
 where they are live-looking and owned by one owner alone.
 
-Positions count code points. Values never leave the scan, only hashes do. The count of distinct owners first
+Positions count code points; they are running sums of the lengths of matches and gaps, and crossings with base spans are found
+by halving, so the work grows with the matches of a text times their logarithm. Values never leave the scan, only hashes do. The count of distinct owners first
 drops repeated (hash, repository, owner) rows in the map tasks, so a value that a third of all
 rows share costs its distinct owners only.
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civiclink.llm.common import stored, text_or_empty
+from civiclink.llm.common import below, bound, halvings, running, stored, text_or_empty
 
 # The base patterns.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -39,31 +40,23 @@ COPIED_OWNERS, COPIED_REPOS, LIVE_ENTROPY = 3, 3, 3.0
 EMPTY = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 
 
-def _bound(value: Column, use) -> Column:
-    """use(value) with `value` computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def matches(text: Column, pattern: str, kind: int, value_group: int = 0, least: int = 0) -> Column:
     """Leftmost non-overlapping matches as structs (start, kind, end, value). The text between the
     matches and the matches themselves give the positions."""
 
     def positions(both: Column) -> Column:
-        gaps, found = both["gaps"], both["found"]
-        start = lambda done: F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0).cast("long"))
+        size = lambda i: F.length(F.get(both["gaps"], i)) + F.length(F.get(both["found"], i))
+        ends = running(F.transform(both["found"], lambda m, i: size(i).cast("long")), lambda a, b: a + b)
 
-        def add(done: Column, i: Column) -> Column:
-            at = start(done) + F.length(F.get(gaps, i))
-            match = F.get(found, i)
-            value = F.regexp_extract(match, pattern, value_group) if value_group else match
-            one = F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + F.length(match)).alias("end"), value.alias("value"))
-            return F.concat(done, F.array(one.cast(EMPTY.removeprefix("array<").removesuffix(">"))))
+        def span(m: Column, i: Column, end: Column) -> Column:
+            value = F.regexp_extract(m, pattern, value_group) if value_group else m
+            one = F.struct((end - F.length(m)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value"))
+            return one.cast(EMPTY.removeprefix("array<").removesuffix(">"))
 
-        none = F.array().cast(EMPTY)
-        return F.when(F.size(found) == 0, none).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), none, add))
+        return bound(ends, lambda e: F.transform(both["found"], lambda m, i: span(m, i, F.get(e, i))))
 
     both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-    found = F.when(text.rlike(pattern), _bound(both, positions)).otherwise(F.array().cast(EMPTY))
+    found = F.when(text.rlike(pattern), bound(both, positions)).otherwise(F.array().cast(EMPTY))
     return F.filter(found, lambda m: F.length(m["value"]) >= least) if least else found
 
 
@@ -79,7 +72,7 @@ def entropy(value: Column) -> Column:
         )
         return F.log2(n) - total / n
 
-    return _bound(F.split(value, ""), of)
+    return bound(F.split(value, ""), of)
 
 
 def _scanned(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str) -> DataFrame:
@@ -94,11 +87,18 @@ def _scanned(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_c
     base = F.concat(matches(text, ASSIGN, 0, 2, ASSIGN_LENGTH), matches(text, ACCESS, 1), matches(text, HEX, 2))
     rows = rows.withColumn("base", base).withColumn("more", matches(text, GENERIC, 3))
 
-    def new(m: Column) -> Column:
-        crossed = F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-        return m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]") & ~crossed
+    def new(all_: Column) -> Column:
+        def free(m: Column) -> Column:
+            # Base spans that begin before the end of m all end before m begins: none crosses it.
+            begun = below(all_["starts"], all_["steps"], m["end"])
+            over = below(all_["ends"], all_["steps"], m["start"] + 1)
+            return m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]") & (begun == over)
+
+        return F.filter(all_["more"], free)
 
-    spans = F.array_sort(F.concat("base", F.filter("more", new)))
+    sides = [F.array_sort(f"base.{side}").alias(f"{side}s") for side in ("start", "end")]
+    found = bound(F.struct("more", *sides, halvings(F.col("base")).alias("steps")), new)
+    spans = F.array_sort(F.concat("base", F.when(F.size("more") > 0, found).otherwise(F.col("more"))))
     judged = F.transform(
         spans,
         lambda m: F.struct(m["start"], m["kind"], m["end"], F.sha2(m["value"].cast("binary"), 256).alias("hash"), entropy(m["value"]).alias("entropy")),

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -111,3 +112,26 @@ def test_odd_rows(spark):
 
 def test_empty_table(spark):
     assert sc.secrets(empty(spark)).count() == 0
+
+
+def masked(text):
+    """`generic` by a mask of covered characters, as it asks every base span for every run."""
+    covered = bytearray(len(text))
+    for a, _, b, _ in base(text):
+        covered[a:b] = b"x" * (b - a)
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(covered[m.start() : m.end()]):
+            yield (m.start(), 3, m.end(), m[0])
+
+
+def test_text_with_very_many_matches(spark, monkeypatch):
+    monkeypatch.setitem(globals(), "generic", masked)
+    r = random.Random(5)
+    parts = []
+    for i in range(100_000):
+        word = "".join(r.choice("0123456789abcdef") for _ in range(r.randrange(14, 22)))
+        parts.append([word, f"{word}XyZ{word}", word.upper() + "q" * 8][i % 3])
+    texts = [" ".join(parts), "é " + ",".join(parts[:7]), "password = " + parts[0] + "-abcdefghijkl"]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    got = sc.secrets(frame(spark, texts, source=["s"] * len(texts))).select(*COLUMNS).collect()
+    assert sorted(tuple(x) for x in got) == sorted(plain(rows))
