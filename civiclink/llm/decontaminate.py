@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from civiclink.llm.common import packed, stored, unpacked
+from civiclink.llm.common import bound, packed, running, stored, unpacked
 from civiclink.llm.fmindex import Index
 
 WINDOW = 10
@@ -250,16 +250,22 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, blo
 
 
 def _merged(spans: Column) -> Column:
-    """Sorted spans with overlapping and touching ones joined."""
-    empty = F.array().cast("array<struct<a:bigint,b:bigint>>")
+    """Spans sorted, with overlapping and touching ones joined: a span begins a new one if it begins
+    behind the greatest end before it."""
 
-    def add(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        longer = F.struct(last["a"].alias("a"), F.greatest(last["b"], s["b"]).alias("b"))
-        joins = (F.size(done) > 0) & (s["a"] <= F.try_element_at(done, F.lit(-1))["b"])
-        return F.when(joins, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(s)))
+    def join(both: Column) -> Column:
+        ends, sorted_ = both["ends"], both["spans"]
+        first = lambda s, i: (i == 0) | (s["a"] > F.get(ends, i - 1))
+        begins = F.filter(F.transform(sorted_, lambda s, i: F.when(first(s, i), i)), lambda i: i.isNotNull())
 
-    merged = F.aggregate(F.array_sort(spans), empty, lambda done, s: add(done, s))
+        def whole(i: Column, n: Column, all_: Column) -> Column:
+            last = F.coalesce(F.get(all_, n + 1), F.size(ends)) - 1
+            return F.struct(F.get(sorted_, i)["a"].alias("a"), F.get(ends, last).alias("b"))
+
+        return bound(begins, lambda all_: F.transform(all_, lambda i, n: whole(i, n, all_)))
+
+    ordered = lambda s: F.struct(s.alias("spans"), running(F.transform(s, lambda x: x["b"]), F.greatest).alias("ends"))
+    merged = bound(F.array_sort(spans), lambda s: bound(ordered(s), join))
     return F.when(F.size(spans) <= 1, spans).otherwise(merged)
 
 

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from civiclink.llm import decontaminate as dc
@@ -108,3 +109,17 @@ def test_empty_tables(spark):
     assert dc.contamination(odd(spark), nothing).where("contaminated").count() == 0
     assert dc.contamination(odd(spark), nothing).count() == len(odd_rows())
     assert dc.decontaminated(empty(spark), nothing).count() == 0
+
+
+def test_very_many_spans_are_merged(spark):
+    r = random.Random(3)
+    lists = [[(a, a + r.randrange(1, 12)) for a in (r.randrange(10 * n) for _ in range(n))] for n in (100_000, 2, 3, 40, 1)] + [[(0, 9), (1, 2), (9, 10), (11, 12)], []]
+    rows = spark.createDataFrame([(i, [{"a": a, "b": b} for a, b in x]) for i, x in enumerate(lists)], "i int, spans array<struct<a:bigint,b:bigint>>")
+    for i, got in rows.select("i", dc._merged(F.col("spans")).alias("spans")).collect():
+        want = []
+        for a, b in sorted(lists[i]):
+            if want and a <= want[-1][1]:
+                want[-1][1] = max(want[-1][1], b)
+            else:
+                want.append([a, b])
+        assert [list(s) for s in got] == want
