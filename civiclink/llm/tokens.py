@@ -8,6 +8,9 @@ of its totals is there. So a batch that was cut off is written anew as a whole,
 is committed again changes nothing. All totals are sums over committed batches; documents
 are never counted again.
 
+The entries of a batch lie in BUCKETS folders by a hash of the document id. A delete or revision reads only
+the buckets of its documents, and sums only their entries, however long the history is.
+
 Null text has no tokens. Null source and null language are groups of their own; a null document id can be
 deleted and revised like any other. Repeated inserted rows count each; a delete takes all of
 them. Deletes and revisions of unknown documents take nothing away. An empty batch commits nothing but its name.
@@ -23,7 +26,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civiclink.llm.common import stored
@@ -33,6 +36,7 @@ KEYS = ["source", "lang", "version"]
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SLICE = 1 << 20
 CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+BUCKETS = 256  # fixed for the life of a rollup
 ENTRY = "doc_id {kind}, source string, lang string, version string, docs long, tokens long"
 
 
@@ -98,7 +102,7 @@ class Rollup:
 
     def __init__(self, spark: SparkSession, path: str, id_type: str = "bigint"):
         self.spark, self.path = spark, path.rstrip("/")
-        self.entry = ENTRY.format(kind=id_type)
+        self.kind, self.entry = id_type, ENTRY.format(kind=id_type)
 
     def _folder(self, part: str, batch: str) -> str:
         return f"{self.path}/{part}/batch={batch}"
@@ -121,13 +125,28 @@ class Rollup:
 
     def _read(self, part: str, schema: str) -> DataFrame:
         paths = [self._folder(part, b) for b in self.batches()]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{part}").parquet(*paths).drop("batch")
 
     def net(self) -> DataFrame:
         """What the committed entries say about each document and version."""
         rows = self._read("entries", self.entry).groupBy("doc_id", *KEYS)
         return rows.agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs != 0 OR tokens != 0")
 
+    def _bucket(self, name: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(name).cast(self.kind)), F.lit(BUCKETS)).cast("int")
+
+    def _said(self, names: DataFrame) -> DataFrame:
+        """What the committed entries say about the documents in `names` (gone_id, of). Only the buckets
+        of those documents are read, and only their entries are summed."""
+        names = stored(names.distinct().withColumnsRenamed({"doc_id": "gone_id"}))
+        buckets = [r[0] for r in names.select(self._bucket("gone_id")).distinct().collect()]  # BUCKETS numbers at most
+        rows = self._read("entries", f"{self.entry}, bucket int").where(F.col("bucket").isin(buckets))
+        of = F.col("of").isNull() | (F.col("of") == F.col("version"))
+        rows = rows.join(names, F.col("doc_id").eqNullSafe(F.col("gone_id")) & of, "left_semi").groupBy("doc_id", *KEYS)
+        return rows.agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs != 0 OR tokens != 0")
+
     def commit(self, batch: str, inserts: DataFrame | None = None, deletes: DataFrame | None = None, revised: DataFrame | None = None) -> bool:
         """Write one batch; False if it was committed before. inserts and revised have doc_id,
         source, lang, version and tokens, deletes has doc_id. A document is in one of the three only."""
@@ -148,13 +167,14 @@ class Rollup:
             parts.append(added(revised))
             gone.append(revised.select("doc_id", F.col("version").alias("of")))
         for names in gone:
-            names = names.distinct().withColumnsRenamed({"doc_id": "gone_id"})
-            old = self.net().join(names, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("of").isNull() | (F.col("of") == F.col("version"))), "left_semi")
+            old = self._said(names)
             parts.append(old.select("doc_id", *KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")))
         entries = parts[0]
         for part in parts[1:]:
             entries = entries.unionByName(part)
-        entries.select(*columns).write.mode("overwrite").parquet(self._folder("entries", batch))
+        # A bucket with a document of very many rows is split again by the rebalancing.
+        laid = entries.select(*columns, self._bucket("doc_id").alias("bucket")).hint("rebalance", "bucket")
+        laid.write.mode("overwrite").partitionBy("bucket").parquet(self._folder("entries", batch))
         entries = self.spark.read.schema(self.entry).parquet(self._folder("entries", batch))
         sums = entries.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         sums.write.mode("overwrite").parquet(self._folder("totals", batch))

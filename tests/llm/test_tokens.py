@@ -5,6 +5,8 @@ from collections import Counter
 import pytest
 import tiktoken
 
+from pyspark.sql import functions as F
+
 from civiclink.llm import tokens
 from civiclink.llm.queries import MAIL, RANKS_FILE, op10_token_counts
 
@@ -108,3 +110,17 @@ def test_names_and_empty_batches(spark, tmp_path):
     assert tokens.count_tokens(empty(spark), "v", RANKS_FILE).count() == 0
     assert rollup.commit("docs", tokens.count_bytes(frame(spark, ["abc", None])))
     assert [(r["docs"], r["tokens"]) for r in rollup.totals().collect()] == [(2, 3)]
+
+
+def test_a_revision_reads_only_its_buckets(spark, tmp_path):
+    rollup = tokens.Rollup(spark, str(tmp_path / "rollup"))
+    for k in range(3):
+        rollup.commit(f"b{k}", spark.range(1000 * k, 1000 * k + 1000).selectExpr("id doc_id", "'a' source", "'en' lang", "'v' version", "2L tokens"))
+    change = spark.createDataFrame([(5, "a", "en", "v", 7), (2500, "a", "en", "v", 1)], COUNTS)
+    buckets = {x[0] for x in change.select(rollup._bucket("doc_id")).collect()}
+    said = rollup._said(change.select("doc_id", F.col("version").alias("of")))
+    plan = said._jdf.queryExecution().executedPlan().toString()
+    assert all(re.search(rf"PartitionFilters: \[[^\]]*bucket[^\]]*\b{b}\b", plan) for b in buckets)
+    assert sorted(x["doc_id"] for x in said.collect()) == [5, 2500]
+    assert rollup.commit("change", revised=change)
+    assert [tuple(x) for x in rollup.totals().select("docs", "tokens").collect()] == [(3000, 6004)]
