@@ -10,9 +10,9 @@ one table per segment, looks up the small Hamming ball around its own segment va
 complete distance decides. Of two values that differ, only the smaller one looks up the larger, which
 halves the look-ups and misses nothing. Work starts from distinct fingerprints: copies cost nothing.
 
-A table entry with more than `crowd` fingerprints is looked up by part of the remaining bits as
+A table entry in which more than `crowd` fingerprints may meet, those that look it up included, is looked up by part of the remaining bits as
 well (a second index inside the entry). With two segments an entry of the second index fixes 48
-bits, so at most 65,536 fingerprints can share it, whatever the size of the corpus. Inside an
+bits, so at most 65,536 fingerprints are at home in it, and at most those of its ball visit it, whatever the size of the corpus. Inside an
 entry fingerprints are joined into groups one by one, and each group leaves one row per member:
 pairs are never listed.
 
@@ -225,12 +225,21 @@ def _linker(distance: int):
     return run
 
 
+def _crowded(rows: DataFrame, segments: int, distance: int, crowd: int) -> DataFrame:
+    """seg, value of every entry that more than `crowd` rows may meet in, visitors included. An entry is at
+    home to one value and visited from at most all of its ball; if neither its own fingerprints nor
+    those of any value in the ball are more than their share of `crowd`, it is not crowded."""
+    balls = [_ball(width, radius) for _, width, radius in _cuts(64, segments, distance)]
+    share = crowd // (1 + max(map(len, balls)))
+    many = rows.where("home").groupBy("seg", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share)
+    around = F.coalesce(*(F.when(F.col("seg") == seg, _upward(F.col("value"), ball)) for seg, ball in enumerate(balls)))
+    return many.select("seg", F.explode(F.concat(F.array("value"), around)).alias("value")).distinct()
+
+
 def links(prints: DataFrame, distance: int = 3, segments: int = 2, crowd: int = CROWD) -> DataFrame:
     """u, v (v < u): enough links between the distinct fingerprints `fp` to connect every component."""
     rows = _indexed(prints.select("fp"), segments, distance)
-    crowded = stored(
-        rows.where("home").groupBy("seg", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("seg", "value")
-    )
+    crowded = stored(_crowded(rows, segments, distance, crowd))
     rows = _split_crowds(rows, crowded, segments, distance)
     keys = ["seg", "value", "sub", "subvalue"]
     rows = rows.repartition(*keys).sortWithinPartitions(*keys, F.col("home").desc())

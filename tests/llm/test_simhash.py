@@ -155,3 +155,22 @@ def test_copies_and_hot_group(spark):
 def test_popcount_of_negative_numbers():
     a = np.array([-1], np.int64)
     assert np.bitwise_count(a.view(np.uint64))[0] == 64
+
+
+def test_few_rows_beside_a_crowded_neighbour_are_crowded_too(spark):
+    r = random.Random(9)
+    low, near = 0x10, 0x11  # the smaller segment value looks up the larger one
+    values = [low | (r.getrandbits(32) << 32) for _ in range(300)] + [near | (r.getrandbits(32) << 32) for _ in range(3)]
+    values += [values[0] ^ 1, values[1] ^ (1 << 40) ^ 1, values[-1] ^ (3 << 50)]
+    prints = spark.createDataFrame([(signed(v),) for v in values], "fp long")
+    rows = simhash._indexed(prints, 2, 3)
+    crowded = {tuple(x) for x in simhash._crowded(rows, 2, 3, 200).collect()}
+    assert {(0, low), (0, near)} <= crowded
+    split = simhash._split_crowds(rows, simhash._crowded(rows, 2, 3, 200), 2, 3)
+    most = split.groupBy("seg", "value", "sub", "subvalue").count().agg({"count": "max"}).first()[0]
+    assert most <= 200
+    want = plain_components(values, 3)
+    got = joined([tuple(x) for x in simhash.links(prints, 3, 2, 200).collect()])
+    for i, v in enumerate(values):
+        mine = [signed(values[k]) for k in range(len(values)) if want[k] == want[i]]
+        assert got.get(signed(v), signed(v)) == min(mine)
