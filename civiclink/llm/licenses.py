@@ -223,7 +223,7 @@ def train(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROW
     picked = picked.where(F.size(lines) > 0).select("h", F.substring(F.get(lines, F.pmod(F.shiftright("h", 20), F.size(lines)).cast("int")), 1, SAMPLE_CHARS).alias("line"))
     found = picked.groupBy("line").agg(F.min("h").alias("h")).orderBy("h", "line").limit(2 * sample_rows)
     texts = [r["line"].encode("utf-8", "replace").translate(CLEAN).replace(b"\n", b" ") for r in found.collect()]
-    return fit_model([words_of(t)[:400] for t in texts], **how)
+    return fit_model([words_of(t) for t in texts], **how)
 
 
 FOUND = "array<struct<paragraph:int,family:string,probability:double,similarity:double,confirmed:boolean>>"
