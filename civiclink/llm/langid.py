@@ -14,7 +14,7 @@ The score is the corrected share of the winning language, 0 to 1.
 
 Training uses about `sample_rows` rows of each language at most, picked by a hash. The model keeps every
 n-gram a language owns, however many others there are: it has SPARE slots for each n-gram of the language that owns
-most, and 2^SLOT_BITS at least. Only set slots come to the driver. Rows with a null text or language teach
+most, and 2^SLOT_BITS at least. Only set slots come to the driver. More than MAX_LANGUAGES languages raise ValueError. Rows with a null text or language teach
 nothing. Prediction reads the text alone, and every text whole.
 """
 
