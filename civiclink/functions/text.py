@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Whitespace as Python's str.strip and \s see it: Unicode spaces plus the four separators.
@@ -30,6 +30,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def bound(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """The frame with a column computed once per row. A row of its own generator is a step that no filter or
+    projection is copied across, and other than in `let` the expression is compiled."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def text_map(pairs: dict[str, str]) -> Column:
     """Constant map, passed to the JVM as one expression."""
     quoted = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -106,8 +112,8 @@ def fold_accents(c: Column | str) -> Column:
     src, dst, longer, marks = _fold_rules()
     # Letters of Latin-1 alone, by far the most frequent case, need the short table only.
     near = {a: b for a, b in zip(src, dst) if "À" <= a <= "ÿ"}
-    # A class of many single characters is slow to match, so a coarse test by ranges goes first.
-    rare = "[" + "".join(re.escape(k) for k in longer) + "]"
+    # A class is matched span by span, so it is written in spans, a coarse test goes first and ASCII is told apart before.
+    rare = r"(?=[^\x00-\x7f])" + _spans(sorted(map(ord, longer)))
     # One literal, taken apart once per plan: a map of single literals takes long to plan.
     table = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in longer.items())), F.lit("\x02"), F.lit("\x01"))
 
@@ -122,7 +128,7 @@ def fold_accents(c: Column | str) -> Column:
 
     def folded(text: Column) -> Column:
         spelled = let(let(text, syllables), spell_out)
-        plain = F.regexp_replace(F.translate(spelled, src, dst), f"{marks}+", "")
+        plain = F.regexp_replace(F.translate(spelled, src, dst), rf"(?:(?=[^\x00-\x7f]){marks})+", "")
         latin = F.translate(text, "".join(near), "".join(near.values()))
         other = text.rlike(r"[^\x00-\x7f\x{c0}-\x{ff}]")
         return F.when(other, plain).when(text.rlike(r"[^\x00-\x7f]"), latin).otherwise(text)
