@@ -7,12 +7,13 @@ wrong type apart from a missing value.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civiclink.functions.text import let
+from civiclink.functions.text import bound, let
 
 
 @dataclass(frozen=True)
@@ -104,15 +105,15 @@ def _pick(fields: tuple[Field, ...], kind: str) -> list[Field]:
     return [f for f in fields if (f.kind == "evidence") == (kind == "evidence")]
 
 
-def _facts(v: Column, fields: list[Field]) -> Column:
-    """JSON kind and text of every field as one struct: k_x, t_x."""
-    raw = F.struct(*[_raw(v, f.name).alias(f.name) for f in fields])
-    return let(
-        raw,
-        lambda r: F.struct(
-            *[F.schema_of_variant(r[f.name]).alias(f"k_{f.name}") for f in fields],
-            *[_text(r[f.name]).alias(f"t_{f.name}") for f in fields],
-        ),
+def _raw_fields(v: Column, fields: Iterable[Field]) -> Column:
+    return F.struct(*[_raw(v, f.name).alias(f.name) for f in fields])
+
+
+def _facts(raw: Column, fields: list[Field]) -> Column:
+    """JSON kind and text of every raw field as one struct: k_x, t_x."""
+    return F.struct(
+        *[F.schema_of_variant(raw[f.name]).alias(f"k_{f.name}") for f in fields],
+        *[_text(raw[f.name]).alias(f"t_{f.name}") for f in fields],
     )
 
 
@@ -130,46 +131,36 @@ def _typed(facts: Column, f: Field) -> Column:
     return value.try_cast(_SPARK_TYPES[f.kind]).alias(f.name)
 
 
-def _examined(record: Column, fields: tuple[Field, ...]) -> Column:
-    """struct(errors, record) of a parsed record."""
-    spans = _scalars(CONTRACTS["EvidenceSpan"])
-    scalars, has_list = _scalars(fields), len(_scalars(fields)) < len(fields)
-    listed = _raw(record, EVIDENCE.name)
-    parts = [_facts(record, scalars).alias("facts")]
-    if has_list:
-        members = F.try_variant_get(listed, "$", "array<variant>")
-        parts += [listed.isNotNull().alias("given"), F.transform(members, lambda s: _facts(s, spans)).alias("spans")]
-
-    def outcome(x: Column) -> Column:
-        codes = _codes(x["facts"], scalars)
-        typed = [_typed(x["facts"], f) for f in scalars]
-        if has_list:
-            broken = F.exists(x["spans"], lambda s: F.coalesce(*_codes(s, spans)).isNotNull())
-            # A list may be left out, but it may not be null.
-            codes.append(F.when(x["given"] & x["spans"].isNull(), F.lit("evidence:type")))
-            codes.append(F.when(broken, F.lit("evidence:invalid_span")))
-            good = F.transform(x["spans"], lambda s: F.struct(*[_typed(s, f) for f in spans]))
-            typed.append(F.coalesce(good, F.array().cast(f"array<{SPAN_TYPE}>")).alias(EVIDENCE.name))
-        return F.struct(F.array_compact(F.array(*codes)).alias("errors"), F.struct(*typed).alias("record"))
-
-    return let(F.struct(*parts), outcome)
-
-
 def check(df: DataFrame, contract: str, payload: str = "payload") -> DataFrame:
-    """Add _errors, the reason codes of each record, and _record, its typed fields."""
+    """Add _errors, the reason codes of each record, and _record, its typed fields.
+
+    Parsed record, raw fields and facts are bound one after the other, so a payload is parsed once however many
+    rules and filters use it, and the rules are compiled expressions."""
     fields = CONTRACTS[contract]
-    is_object = F.ltrim(payload).startswith("{")
-
-    def outcome(p: Column) -> Column:
-        whole = F.when(p.isNull(), F.array(F.lit("record:not_json"))).when(
-            ~is_object, F.array(F.lit("record:not_an_object"))
-        )
-        return let(
-            _examined(p, fields), lambda x: F.struct(F.coalesce(whole, x["errors"]).alias("errors"), x["record"].alias("record"))
-        )
-
-    out = df.withColumn("_c", let(F.try_parse_json(payload), outcome))
-    return out.withColumns({"_errors": F.col("_c.errors"), "_record": F.col("_c.record")}).drop("_c")
+    scalars, spans = _scalars(fields), _scalars(CONTRACTS["EvidenceSpan"])
+    has_list = len(scalars) < len(fields)
+    out = bound(df, "_parsed", F.try_parse_json(payload))
+    out = bound(out, "_raw", _raw_fields(F.col("_parsed"), fields))
+    facts = [_facts(F.col("_raw"), scalars).alias("scalars")]
+    if has_list:
+        listed = F.col("_raw")[EVIDENCE.name]
+        members = F.try_variant_get(listed, "$", "array<variant>")
+        each = F.transform(members, lambda s: let(_raw_fields(s, spans), lambda r: _facts(r, spans)))
+        facts += [listed.isNotNull().alias("given"), each.alias("spans")]
+    out = bound(out, "_facts", F.struct(*facts))
+    x = F.col("_facts")
+    codes, typed = _codes(x["scalars"], scalars), [_typed(x["scalars"], f) for f in scalars]
+    if has_list:
+        broken = F.exists(x["spans"], lambda s: F.coalesce(*_codes(s, spans)).isNotNull())
+        # A list may be left out, but it may not be null.
+        codes.append(F.when(x["given"] & x["spans"].isNull(), F.lit("evidence:type")))
+        codes.append(F.when(broken, F.lit("evidence:invalid_span")))
+        good = F.transform(x["spans"], lambda s: F.struct(*[_typed(s, f) for f in spans]))
+        typed.append(F.coalesce(good, F.array().cast(f"array<{SPAN_TYPE}>")).alias(EVIDENCE.name))
+    not_json = F.when(F.col("_parsed").isNull(), F.array(F.lit("record:not_json")))
+    whole = not_json.when(~F.ltrim(payload).startswith("{"), F.array(F.lit("record:not_an_object")))
+    out = bound(out, "_errors", F.coalesce(whole, F.array_compact(F.array(*codes))))
+    return out.withColumn("_record", F.struct(*typed)).drop("_parsed", "_raw", "_facts")
 
 
 def valid_records(checked: DataFrame, contract: str, keep: list[str]) -> DataFrame:

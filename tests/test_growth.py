@@ -3,12 +3,22 @@
 from pyspark.sql import functions as F
 
 from civiclink.functions import text
+from civiclink.operators import contracts
 
 
 def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_payload_is_parsed_once(spark):
+    df = spark.createDataFrame([(1, '{"decision_id": "d"}'), (2, None), (3, "[]"), (4, "{")], "k int, payload string")
+    retry = contracts.retry_list(contracts.check(df, "DecisionOutcome"), ["k"])
+    assert _plan(retry).lower().count("parse_json") + _plan(retry).count("parseJson") == 1
+    reasons = {r.k: r.reasons for r in retry.collect()}
+    assert reasons[2] == reasons[4] == "record:not_json" and reasons[3] == "record:not_an_object"
+    assert reasons[1].startswith("case_id:missing,court:missing")
+
+
 def test_rare_forms_are_found_by_spans(spark):
     odd = "ﬁ Ⅷ ½ ㌔ 한글 ﷺ ä́ x Ω é"
     rows = spark.createDataFrame([(odd,), ("plain",), (None,)], "t string").select(text.fold_accents("t").alias("f"))
