@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from civiclink.functions.text import query_key
+from civiclink.functions.text import let, query_key
 
 # Words that say what kind of body or person is named, not which one.
 LEGAL_FORMS = ["LTDA", "LIMITADA", "SA", "ME", "MEI", "EPP", "EIRELI", "CIA", "INC", "LLC", "CORP", "LTD", "GMBH"]
@@ -19,8 +19,8 @@ def entity_words(c: Column | str) -> Column:
     key = F.regexp_replace(query_key(c), r"\bS A\b", "SA")
     words = F.array_sort(F.array_distinct(F.filter(F.split(key, " "), lambda w: w != "")))
     drop = F.array(*[F.lit(w) for w in LEGAL_FORMS + HONORIFICS + PARTICLES])
-    kept = F.array_except(words, drop)
-    return F.when(F.size(kept) > 0, kept).otherwise(words)
+    either = lambda w: let(F.array_except(w, drop), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(w))
+    return let(words, either)
 
 
 def entity_key(c: Column | str) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from civiclink.functions import text
-from civiclink.operators import contracts
+from civiclink.operators import contracts, namejoin
 
 
 def _plan(df):
@@ -19,6 +19,26 @@ def test_payload_is_parsed_once(spark):
     assert reasons[1].startswith("case_id:missing,court:missing")
 
 
+def test_positions_drop_no_pair(spark):
+    words = [list(w) for w in ("abcde", "abcdf", "bcdef", "ab", "abc", "a", "vwxyz", "vwxab", "cdefg")]
+    sets = spark.createDataFrame([(" ".join(w), w) for w in words], "key string, words array<string>")
+    for limit in (0.3, 0.5, 0.6, 0.8, 1.0):
+        found = {(r.left_key, r.right_key, r.shared) for r in namejoin.similar_sets(sets, sets, limit).collect()}
+        plain = {(" ".join(x), " ".join(y), len({*x} & {*y})) for x in words for y in words if len({*x} & {*y}) >= limit * len({*x} | {*y}) - 1e-9}
+        assert found == plain
+
+
+def test_name_lists_with_nulls_and_repeats(spark):
+    kind = "k int, names array<string>"
+    f = spark.createDataFrame([(1, ["Casa Azul LTDA"]), (2, None), (3, [None, ""]), (1, ["Casa Azul LTDA"])], kind)
+    d = spark.createDataFrame([(1, ["azul casa", None, "AZUL  CASA"]), (2, []), (3, None)], kind)
+    x, y = namejoin.with_similar_names(f, d, 0.5)
+    assert sorted((r.k, r.names) for r in x.collect()) == [(1, ["AZUL CASA"]), (1, ["AZUL CASA"]), (2, []), (3, [])]
+    assert sorted((r.k, r.names) for r in y.collect()) == [(1, ["AZUL CASA"]), (2, []), (3, [])]
+    # Words are taken from the stored distinct lists, not from the rows.
+    assert "regexp_replace" not in _plan(y)
+
+
 def test_rare_forms_are_found_by_spans(spark):
     odd = "ﬁ Ⅷ ½ ㌔ 한글 ﷺ ä́ x Ω é"
     rows = spark.createDataFrame([(odd,), ("plain",), (None,)], "t string").select(text.fold_accents("t").alias("f"))
