@@ -1,9 +1,11 @@
 """Steps whose cost must not grow faster than their input: what is evaluated, joined and shuffled how often."""
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from civiclink.functions import text
-from civiclink.operators import contracts, namejoin
+from civiclink.operators import candidates, contracts, namejoin
 
 
 def _plan(df):
@@ -19,6 +21,21 @@ def test_payload_is_parsed_once(spark):
     assert reasons[1].startswith("case_id:missing,court:missing")
 
 
+def test_finding_meets_two_cells(spark):
+    f = spark.createDataFrame([(1, "p", "A", date(2024, 3, 1))], "finding_id int, ibge_municipality_code string, uf string, publication_date date")
+    days = [date(2024, 2, 29), date(2024, 3, 1), date(2024, 4, 10), date(2024, 5, 29), date(2024, 5, 30)]
+    d = spark.createDataFrame([(str(i), "p", "A", x) for i, x in enumerate(days)], "decision_id string, ibge_municipality_code string, uf string, decision_date date")
+    pairs = candidates.pairs_in_window(f, d, 90)
+    assert sorted(r.decision_id for r in pairs.collect()) == ["1", "2", "3"]
+    seen = []
+    whole, candidates.salted_join = candidates.salted_join, lambda left, right, *a, **k: seen.append(left.count()) or whole(left, right, *a, **k)
+    try:
+        candidates.pairs_in_window(f, d, 90)
+    finally:
+        candidates.salted_join = whole
+    assert seen[0] <= 2
+
+
 def test_positions_drop_no_pair(spark):
     words = [list(w) for w in ("abcde", "abcdf", "bcdef", "ab", "abc", "a", "vwxyz", "vwxab", "cdefg")]
     sets = spark.createDataFrame([(" ".join(w), w) for w in words], "key string, words array<string>")
