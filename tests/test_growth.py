@@ -4,7 +4,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from civiclink.functions import text
+from civiclink.functions import jsonx, text
 from civiclink.operators import candidates, contracts, namejoin
 
 
@@ -69,3 +69,13 @@ def test_rare_forms_are_found_by_spans(spark):
     every = "".join(longer)
     whole = spark.range(1).select(text.fold_accents(F.lit(every)).alias("f")).first().f
     assert whole == "".join(c for c in unicodedata.normalize("NFKD", every) if not unicodedata.combining(c))
+
+
+def test_kind_is_read_from_the_outermost_level(spark):
+    texts = ["{}", '{"a": {"b": [1]}}', "[]", "[{}]", "null", '"x"', "1", "true", "2.5", "{", None]
+    v = F.try_parse_json("t")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", jsonx.is_object(v).alias("o"), jsonx.is_array(v).alias("a"))
+    assert "schema" not in _plan(rows).lower()
+    for r in rows.collect():
+        known = r.t not in ("{", None)
+        assert (r.o, r.a) == ((r.t.startswith("{"), r.t.startswith("[")) if known else (None, None))
