@@ -36,8 +36,8 @@ def pairs_in_window(findings: DataFrame, decisions: DataFrame, window_days: int
     left = findings.withColumnsRenamed({"uf": "finding_uf", "names": "finding_names", "keywords": "finding_keywords"})
     left = left.withColumn("_bucket", F.explode(F.sequence(first, last)))
     right = decisions.withColumnsRenamed({"uf": "decision_uf", "names": "decision_names", "keywords": "decision_keywords"})
-    right = right.withColumn("_bucket", bucket(day("decision_date")))
-    met = salted_join(left, right, [PLACE, "_bucket"], F.col("finding_id"), **skew)
+    cell = {"_bucket": bucket(day("decision_date"))}
+    met = salted_join(left, right, [PLACE, "_bucket"], F.col("finding_id"), right_keys=cell, **skew)
     days = F.datediff("decision_date", "publication_date")
     return met.where((days >= 0) & (days < window_days)).drop("_bucket").withColumn("days_after", days)
 

@@ -22,13 +22,25 @@ def _weight(column: str, weights: dict[str, float]) -> Column:
     return F.coalesce(F.element_at(table, F.col(column)), F.lit(0.0))
 
 
+def weighed(df: DataFrame) -> DataFrame:
+    """With `severity`, `adverse` and `intensity` beside the texts they follow from, as far as `df` has those. Findings
+    and decisions that are weighed before they are paired are shuffled without the texts."""
+    made = {
+        "severity": (("severity_level",), lambda: _weight("severity_level", SEVERITY)),
+        "adverse": (("outcome_label",), lambda: F.col("outcome_label") == "adverse"),
+        "intensity": (("outcome_label", "legal_stage"), lambda: _weight("outcome_label", OUTCOME) * _weight("legal_stage", STAGE)),
+    }
+    return df.withColumns({c: value() for c, (needs, value) in made.items() if c not in df.columns and {*needs} <= {*df.columns}})
+
+
 def enforcement_indices(links: DataFrame, years: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
-    """Indices per place and decision year, optionally split by further columns.
+    """Indices per place and decision year, optionally split by further columns. Links need not be weighed before.
 
     Two steps: links collapse to findings first, then findings to places, so a place with a
     third of all links is already reduced when it reaches one task.
     """
-    adverse = F.col("outcome_label") == "adverse"
+    links = weighed(links)
+    adverse = F.col("adverse")
     days = F.datediff("decision_date", "publication_date")
     in_time = F.col("decision_date") <= F.add_months("publication_date", 12 * years)
     keys = [PLACE, "year", *by]
@@ -39,9 +51,9 @@ def enforcement_indices(links: DataFrame, years: int = 3, by: tuple[str, ...] =
             F.count(F.lit(1)).alias("_links"),
             F.count_if(adverse).alias("_adverse"),
             F.max((adverse & in_time).cast("int")).alias("_any"),
-            F.sum(F.when(adverse, _weight("severity_level", SEVERITY)).otherwise(0.0)).alias("_severity"),
+            F.sum(F.when(adverse, F.col("severity")).otherwise(0.0)).alias("_severity"),
             F.min(F.when(adverse, days)).alias("_first"),
-            F.sum(_weight("outcome_label", OUTCOME) * _weight("legal_stage", STAGE)).alias("_intensity"),
+            F.sum("intensity").alias("_intensity"),
         )
     )
     return per_finding.groupBy(*keys).agg(

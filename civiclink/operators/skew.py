@@ -32,16 +32,24 @@ def salted_join(
     hot_left: Iterable[tuple] = (),
     hot_right: Iterable[tuple] = (),
     salts: int = SALTS,
+    right_keys: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Equi-join (`inner` or `left`). `spread_by` identifies a left row, such as its id."""
+    """Equi-join (`inner` or `left`). `spread_by` identifies a left row, such as its id. `right_keys` are keys that
+    the right side works out from its columns; they are not shuffled with its rows unless keys are hot."""
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
     flags: dict[tuple, list[bool]] = {}
     for side, found in enumerate((hot_left, hot_right)):
         for key in found:
             flags.setdefault(tuple(key), [False, False])[side] = True
-    if not flags:
+    if not flags and not right_keys:
         return left.join(right, keys, how)
+    if not flags:
+        own_name = {k: f"_right_{k}" for k in keys if k not in right_keys}
+        same = [F.col(k) == (F.col(own_name[k]) if k in own_name else right_keys[k]) for k in keys]
+        left = left.select(*keys, *[c for c in left.columns if c not in keys])
+        return left.join(right.withColumnsRenamed(own_name), same, how).drop(*own_name.values())
+    right = right.withColumns(right_keys or {})
     schema = StructType([*(left.schema[k] for k in keys), StructField("_hot_l", BooleanType()), StructField("_hot_r", BooleanType())])
     marks = left.sparkSession.createDataFrame([(*k, *f) for k, f in flags.items()], schema)
     own = lambda hot, row: F.when(hot, F.pmod(F.xxhash64(row), F.lit(salts)).cast("int")).otherwise(0)

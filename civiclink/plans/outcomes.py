@@ -69,7 +69,7 @@ def _sides(t):
 
 
 def _links(t):
-    pairs = candidates.candidate_pairs(*_sides(t), window_days=90)
+    pairs = candidates.candidate_pairs(*map(indices.weighed, _sides(t)), window_days=90)
     return pairs.withColumn("score", (F.col("finding_id") % 50 + F.col("quantity")).cast("double") / 100)
 
 
@@ -248,7 +248,7 @@ _PANEL = f"""(SELECT c.code AS ibge_municipality_code, y.year, first_exposure, c
 
 def _panel(t):
     places = t("customer").select(F.lpad(F.col("c_custkey").cast("string"), 7, "0").alias("ibge_municipality_code"), F.col("c_acctbal").alias("balance"))
-    adverse = F.count_if(F.col("outcome_label") == "adverse").alias("adverse_count")
+    adverse = F.count_if("adverse").alias("adverse_count")
     outcomes = _links(t).groupBy("ibge_municipality_code", F.year("decision_date").alias("year")).agg(adverse)
     return indices.panel(places, indices.first_exposure(t("findings")), outcomes, places)
 

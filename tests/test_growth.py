@@ -5,7 +5,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from civiclink.functions import jsonx, text
-from civiclink.operators import candidates, contracts, namejoin
+from civiclink.operators import candidates, contracts, indices, namejoin, skew
 
 
 def _plan(df):
@@ -36,6 +36,43 @@ def test_finding_meets_two_cells(spark):
     assert seen[0] <= 2
 
 
+def _sides(spark):
+    f = [(i, "p" if i % 3 else None, "A", date(2023, 11, 1 + i), ("low", "high", None)[i % 3]) for i in range(20)]
+    d = [(str(i % 40), "p", "A", date(2023 + i % 2, 1 + i % 12, 20), ("adverse", "neutral", None)[i % 3], ("final", "appeal", None, "other")[i % 4]) for i in range(60)]
+    return (
+        spark.createDataFrame(f, "finding_id int, ibge_municipality_code string, uf string, publication_date date, severity_level string"),
+        spark.createDataFrame(d, "decision_id string, ibge_municipality_code string, uf string, decision_date date, outcome_label string, legal_stage string"),
+    )
+
+
+def _join_outputs(df):
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    return [side.output().mkString(" ") for side in (plan.left(), plan.right())]
+
+
+def test_sides_are_paired_without_texts_and_buckets(spark):
+    f, d = _sides(spark)
+    want = indices.enforcement_indices(candidates.pairs_in_window(f, d, 90))
+    got = indices.enforcement_indices(candidates.pairs_in_window(indices.weighed(f), indices.weighed(d), 90))
+    assert got.columns == want.columns and got.count() and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    left, right = _join_outputs(got)
+    assert "severity_level" not in left and "adverse" in right
+    assert not any(c in right for c in ("outcome_label", "legal_stage", "_bucket"))
+
+
+def test_worked_out_keys_join_like_columns(spark):
+    left = spark.createDataFrame([(i, f"k{i % 3}" if i % 7 else None, i % 5) for i in range(40)], "i int, k string, b int")
+    right = spark.createDataFrame([(f"k{n % 3}" if n % 5 else None, n) for n in range(30)], "k string, r int")
+    for how in ("inner", "left"):
+        want = left.join(right.withColumn("b", F.col("r") % 4), ["k", "b"], how)
+        for hot in ([], [("k1", 1)]):
+            got = skew.salted_join(left, right, ["k", "b"], F.col("i"), how, hot_left=hot, right_keys={"b": F.col("r") % 4})
+            assert sorted(got.columns) == sorted(want.columns)
+            assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
 def test_positions_drop_no_pair(spark):
     words = [list(w) for w in ("abcde", "abcdf", "bcdef", "ab", "abc", "a", "vwxyz", "vwxab", "cdefg")]
     sets = spark.createDataFrame([(" ".join(w), w) for w in words], "key string, words array<string>")
