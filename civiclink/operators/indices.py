@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civiclink.sources.scratch import cut_lineage
+
 PLACE = "ibge_municipality_code"
 # Default weights; pass others where a protocol fixes them.
 SEVERITY = {"low": 1.0, "medium": 2.0, "high": 3.0}
@@ -95,7 +97,9 @@ def first_exposure(findings: DataFrame) -> DataFrame:
 
 def panel(places: DataFrame, exposure: DataFrame, outcomes: DataFrame, controls: DataFrame | None = None, span: int = 3) -> DataFrame:
     """Every place in every year with exposure, event time, outcomes (0 where none) and controls. The
-    years run from the first to the last one of the outcomes and first exposures."""
+    years run from the first to the last one of the outcomes and first exposures. Both are used twice and
+    stored when the panel is called, so that links are paired once."""
+    exposure, outcomes = cut_lineage(exposure), cut_lineage(outcomes)
     seen = outcomes.select("year").unionByName(exposure.select(F.col("first_exposure").alias("year")))
     bounds = {"_lo": seen.agg(F.min("year")).scalar(), "_hi": seen.agg(F.max("year")).scalar()}
     grid = places.select(PLACE).distinct().withColumns(bounds).withColumn("year", F.explode(F.sequence("_lo", "_hi")))

@@ -62,6 +62,16 @@ def test_sides_are_paired_without_texts_and_buckets(spark):
     assert not any(c in right for c in ("outcome_label", "legal_stage", "_bucket"))
 
 
+def test_panel_works_out_outcomes_once(spark):
+    outcomes = spark.range(12).groupBy(F.concat(F.lit("p"), (F.col("id") % 2).cast("string")).alias("ibge_municipality_code"), (F.col("id") % 3 + 2001).cast("int").alias("year"))
+    exposure = spark.createDataFrame([("p0", 2000)], "ibge_municipality_code string, first_exposure int")
+    places = spark.createDataFrame([("p0",), ("p1",), ("p2",)], "ibge_municipality_code string")
+    out = indices.panel(places, exposure, outcomes.agg(F.count(F.lit(1)).alias("n")))
+    assert "Range (" not in _plan(out)
+    rows = {(r.ibge_municipality_code, r.year): (r.n, r.event_time) for r in out.collect()}
+    assert len(rows) == 12 and rows["p0", 2000] == (0, 0) and rows["p1", 2002] == (2, None) and rows["p2", 2003] == (0, None)
+
+
 def test_worked_out_keys_join_like_columns(spark):
     left = spark.createDataFrame([(i, f"k{i % 3}" if i % 7 else None, i % 5) for i in range(40)], "i int, k string, b int")
     right = spark.createDataFrame([(f"k{n % 3}" if n % 5 else None, n) for n in range(30)], "k string, r int")
