@@ -40,7 +40,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -263,11 +262,11 @@ def encoded(docs: DataFrame, tokenizer_file: str, end_id: int | None = None, id_
 
         def flush(batch: pa.RecordBatch, parts: list[tuple]) -> pa.RecordBatch:
             with no_collection():
-                known = units.look_up(chain.from_iterable(some for *_, some in parts))
+                known = iter(units.encodings([some for *_, some in parts]))
                 firsts = iter(coded([first for *_, first, _ in parts if first is not None]))
             ids, counts = [], []
-            for _, _, last, first, some in parts:
-                data = (b"" if first is None else next(firsts)) + b"".join(map(known.__getitem__, some)) + (end if last else b"")
+            for _, _, last, first, _ in parts:
+                data = (b"" if first is None else next(firsts)) + b"".join(next(known)) + (end if last else b"")
                 counts.append(len(data) >> 2)
                 ids.append(np.frombuffer(data, "<u4").astype(kind).tobytes())
             at = pa.array([p[0] for p in parts], pa.int64())

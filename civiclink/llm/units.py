@@ -14,7 +14,7 @@ import re
 import sys
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
-from itertools import filterfalse
+from itertools import chain, filterfalse
 from types import ModuleType
 from typing import Any
 
@@ -86,19 +86,42 @@ class Units:
 
     def look_up(self, units: Iterable[str]) -> dict[str, Any]:
         """A dictionary that holds all `units`, and maybe more; valid until the next call. Long units go then."""
+        units = self._room(units)
+        self._learn(set(filterfalse(self.kept.__contains__, units)))
+        return self.kept
+
+    def encodings(self, lists: list[list[str]]) -> list[list]:
+        """The encodings of each list of units. What is known already is looked up once only."""
+        self._room(chain.from_iterable(lists))
+        find = self.kept.get
+        found = [list(map(find, units)) for units in lists]
+        gaps = [[i for i, x in enumerate(some) if x is None] for some in found]
+        self._learn({units[i] for units, open_at in zip(lists, gaps) for i in open_at})
+        for units, some, open_at in zip(lists, found, gaps):
+            for i in open_at:
+                some[i] = find(units[i])
+        return found
+
+    def _room(self, units: Iterable[str]) -> Iterable[str]:
+        """Forgets units if need be; gives `units` back."""
         kept = self.kept
         for unit in self.passing:
             kept.pop(unit, None)
-        self.passing = passing = []
+        self.passing = []
         if len(kept) > self.most:
             for unit in self.tailed:
                 kept.pop(unit, None)
             self.tailed = []
             if len(kept) > self.most * 3 // 4:
                 units = set(units)
-                self.kept = kept = {unit: kept[unit] for unit in units if unit in kept}
+                self.kept = {unit: kept[unit] for unit in units if unit in kept}
+        return units
+
+    def _learn(self, units: set[str]) -> None:
+        """Encodes units that are not kept."""
+        kept, passing = self.kept, self.passing
         words, ended = set(), {}
-        for unit in set(filterfalse(kept.__contains__, units)):
+        for unit in units:
             if self.cut_ends and unit[-1:] in ENDS:
                 word = unit.rstrip(ENDS)
                 if is_letter(word[-1:]):
@@ -122,4 +145,3 @@ class Units:
             for unit, word in ended.items():
                 kept[unit] = self.join(kept[word], self.ends[unit[len(word) :]])
                 (passing if len(unit) > KEPT_CHARS else self.tailed).append(unit)
-        return kept

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from civiclink.llm import planes
+from civiclink.llm import planes, units
 from civiclink.llm.queries import END_ID, op11_binary_ids
 
 from .cases import empty, frame, odd, odd_rows, prose
@@ -149,3 +149,29 @@ def test_empty_tables_and_the_query(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = op11_binary_ids(spark, str(tmp_path)).orderBy("doc_id").collect()
     assert [tuple(x) for x in got] == brute([(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").collect()])
+
+
+class _Counting(dict):
+    asked = 0
+
+    def get(self, *a):
+        self.asked += 1
+        return super().get(*a)
+
+    def __contains__(self, key):
+        self.asked += 1
+        return super().__contains__(key)
+
+
+def test_known_units_are_looked_up_once():
+    rows = [["a,", "b", "ccc", "b", "x" * 50], [], ["b", "d.", "a,", "e", "x" * 50], ["ccc", "f", "a"]]
+    code = lambda texts: [f"<{t}>" for t in texts]
+    for most in (1, 3, 100):
+        found = units.Units(code, code, lambda a, b: a + b, most)
+        for some in (rows, rows[::-1], rows):
+            known = units.Units(code, code, lambda a, b: a + b).look_up(u for r in some for u in r)
+            assert found.encodings(some) == [[known[u] for u in r] for r in some]
+    found = units.Units(code, code, lambda a, b: a + b)
+    found.encodings([["a", "b"]])
+    found.kept = _Counting(found.kept)
+    assert found.encodings([["a", "b", "a"]]) == [["<a>", "<b>", "<a>"]] and found.kept.asked == 3
