@@ -33,7 +33,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -43,6 +42,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
@@ -50,19 +50,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civiclink.llm.common import stored
-from civiclink.llm.units import OTHER_BLANK, Units, cut, is_letter, no_collection, once, slices
+from civiclink.llm.units import SLICE, Units, cut, cut_all, cut_lines, is_letter, numbered, once, slices
 
 MAGIC = b"PLANES01"
 TAIL = "<QQQ8s"
 CHUNK = 1 << 16
 FILE_IDS = 1 << 25
 LEVEL = 3
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 23
+CODED_CHARS = 1 << 20
 WRITE_ROWS = 1024
 INDEX = pa.schema({"at": pa.int64(), "n": pa.int64(), "sizes": pa.list_(pa.int32()), "crc32": pa.int64()})
 PARTS = ["doc_id", "tie", "uid", "part", "last", "n", "ids"]
-# A line break beside other white space or at the end.
-OTHER_BREAK = re.compile(r"\n(?:(?=\s|\Z)|(?<=\s\n))")
 FILES = "part int, file int, path string, n_docs long, n_ids long, n_bytes long"
 
 
@@ -209,7 +208,17 @@ def _id_units(spec: bytes) -> tuple:
     a text into units. A byte-level splitter takes a line break between other characters for a piece of its own, so
     there units begin with line breaks too, which stand behind no blank."""
     tokenizer, said = _tokenizer(spec), json.loads(spec)
-    coded = lambda texts: [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def coded(texts: list[str]) -> list[bytes]:
+        """Some texts at a time, for the library's encodings take far more room than ids."""
+        out, a, size = [], 0, 0
+        for b, text in enumerate(texts, 1):
+            size += len(text)
+            if size > CODED_CHARS or b == len(texts):
+                out += [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False)]
+                a, size = b, 0
+        return out
+
     split = said["pre_tokenizer"] or {}
     plain = not said["normalizer"] and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
     model, pieces = tokenizer.model, tokenizer.pre_tokenizer
@@ -217,11 +226,6 @@ def _id_units(spec: bytes) -> tuple:
     blank = pieces.pre_tokenize_str(" a")[0][0][0] if plain else ""
     (line_break,) = coded(["\n"])
 
-    def lines_cut(text: str) -> list[str]:
-        if text[:1].isspace() or OTHER_BLANK.search(text) or OTHER_BREAK.search(text):
-            return cut(text)
-        return text.replace("\n", " \n").split(" ")
-
     def words(units: list[str]) -> list[bytes]:
         """A blank and letters, or a blank and digits, are one piece to a byte-level splitter: the model alone encodes it."""
         if not plain:
@@ -240,7 +244,26 @@ def _id_units(spec: bytes) -> tuple:
             out[i] = ids
         return out
 
-    return coded, Units(words, coded, lambda a, b: a + b), lines_cut if plain else cut
+    return coded, Units(words, coded, lambda a, b: a + b, ends=False), cut_lines if plain else cut
+
+
+def _pieces(column: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts, long ones in slices, in arrays of about BATCH_CHARS bytes: the texts, and for each its row, the number of the
+    slice, and whether it is the last."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy().astype(np.int64))
+    a = 0
+    while a < len(ends):
+        done = int(ends[a - 1]) if a else 0
+        if ends[a] - done > SLICE:
+            for part, (piece, last) in enumerate(slices(column[a].as_py())):
+                yield pa.array([piece], column.type), np.array([a]), np.array([part]), np.array([last])
+            a += 1
+            continue
+        b = max(a + 1, int(np.searchsorted(ends, done + BATCH_CHARS, "right")))
+        long_ones = np.flatnonzero(np.diff(ends[a:b], prepend=done) > SLICE)
+        b = a + int(long_ones[0]) if len(long_ones) else b
+        yield column.slice(a, b - a), np.arange(a, b), np.zeros(b - a, np.int64), np.ones(b - a, bool)
+        a = b
 
 
 def encoded(docs: DataFrame, tokenizer_file: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,33 +283,31 @@ def encoded(docs: DataFrame, tokenizer_file: str, end_id: int | None = None, id_
         coded, units, cut_up = once(key, lambda: _id_units(shared.value))
         base = TaskContext.get().partitionId() << 40
 
-        def flush(batch: pa.RecordBatch, parts: list[tuple]) -> pa.RecordBatch:
-            with no_collection():
-                known = iter(units.encodings([some for *_, some in parts]))
-                firsts = iter(coded([first for *_, first, _ in parts if first is not None]))
-            ids, counts = [], []
-            for _, _, last, first, _ in parts:
-                data = (b"" if first is None else next(firsts)) + b"".join(next(known)) + (end if last else b"")
-                counts.append(len(data) >> 2)
-                ids.append(np.frombuffer(data, "<u4").astype(kind).tobytes())
-            at = pa.array([p[0] for p in parts], pa.int64())
-            uids, numbers = pa.array([base + p[0] for p in parts], pa.int64()), pa.array([p[1] for p in parts], pa.int32())
-            columns = [batch.column(0).take(at), batch.column(1).take(at), uids, numbers, pa.array([p[2] for p in parts], pa.bool_())]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], PARTS)
+        def ids_of(texts: pa.Array, part: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+            """Numbers of ids, and ids, of slices of texts."""
+            listed = cut_all(texts, lines=cut_up is cut_lines)
+            bounds = listed.offsets.to_numpy().astype(np.int64)
+            # Only the first unit of a text stands behind nothing; further slices begin behind a blank.
+            first = np.zeros(len(listed.values), bool)
+            first[bounds[:-1][part == 0]] = True
+            others, known = numbered(listed.values.filter(pa.array(~first)), units, coded)
+            starts = coded(listed.values.filter(pa.array(first)).to_pylist())
+            places = np.empty(len(first), np.int64)
+            places[~first] = others
+            places[first] = np.arange(len(known), len(known) + len(starts))
+            places = np.insert(places, bounds[1:][last], len(known) + len(starts))
+            bounds[1:] += np.cumsum(last)
+            found = pa.concat_arrays([known, pa.array([*starts, end], pa.large_binary())]).take(pa.array(places))
+            at = np.frombuffer(found.buffers()[1], np.int64)[: len(found) + 1][bounds] >> 2
+            data = np.frombuffer(found.buffers()[2] or b"", "<u4", at[-1]).astype(kind)
+            offsets = (at * data.itemsize).astype(np.int32)
+            return np.diff(at), pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
         for batch in batches:
-            parts, size = [], 0
-            for i, text in enumerate(batch.column("text")):
-                for part, (piece, last) in enumerate(slices(text.as_py())):
-                    some = cut_up(piece)
-                    # Only the first unit of a text stands behind nothing; further slices begin behind a blank.
-                    parts.append((i, part, last, None if part else some.pop(0), some))
-                    size += len(piece)
-                    if size > BATCH_CHARS:
-                        yield flush(batch, parts)
-                        parts, size = [], 0
-            if parts:
-                yield flush(batch, parts)
+            for texts, row, part, last in _pieces(batch.column("text")):
+                counts, ids = ids_of(texts, part, last)
+                at, uids, numbers, counts = pa.array(row), pa.array(base + row), pa.array(part, pa.int32()), pa.array(counts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), uids, numbers, pa.array(last), counts, ids], PARTS)
             base += batch.num_rows
 
     id_type = rows.schema["doc_id"].dataType.simpleString()

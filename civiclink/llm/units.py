@@ -4,7 +4,7 @@ A text is cut before each single blank that stands behind anything but white spa
 a digit or an ASCII mark. Byte-level tokenizers that split by the usual pattern (` ?\\p{L}+| ?\\p{N}+|...`) start a token at
 such a blank, and never join a letter with a mark of ENDS behind it, so a unit may also be cut before the
 marks at its end. Every distinct unit is encoded by the tokenizer once per worker;
-what a text needs is then a lookup. The store of units is bounded; when it is full units that end in marks go (they are
+what a text needs is then a lookup. `cut_all` and `numbered` do this for whole Arrow arrays, where Python sees each distinct word of an array once. The store of units is bounded; when it is full units that end in marks go (they are
 put together again from word and marks), then all but those just asked for, and long units are never kept."""
 
 from __future__ import annotations
@@ -18,11 +18,23 @@ from itertools import chain, filterfalse
 from types import ModuleType
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 WORD = "!-~À-ÖØ-öø-ÿ"
 CUT = re.compile(rf"(?<=\S) (?=[{WORD}])")
 # A blank where CUT does not cut, but for one that begins the text.
 OTHER_BLANK = re.compile(rf" (?:(?![{WORD}])|(?<=\s ))")
+# A line break beside other white space or at the end.
+OTHER_BREAK = re.compile(r"\n(?:(?=\s|\Z)|(?<=\s\n))")
 ENDS = ".,!?;:#&%$*|"
+# What Python's \s matches, and letters as of is_letter, in classes of Arrow's patterns.
+SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
+# Texts in which not every blank is a cut; the second is for line breaks as well.
+ODD_BLANKS = rf"^ |[{SPACES}] | [^{WORD}]| $"
+ODD_BREAKS = rf"^[{SPACES}]|[{SPACES}][ \n]|\n[{SPACES}]|\n$| [^{WORD}]| $"
 SLICE = 1 << 20
 KEPT_UNITS = 400_000
 KEPT_CHARS = 40
@@ -73,6 +85,42 @@ def cut(text: str) -> list[str]:
     return CUT.split(text) if text[:1] == " " or OTHER_BLANK.search(text) else text.split(" ")
 
 
+def cut_lines(text: str) -> list[str]:
+    """`cut`, and units begin with line breaks too if each of these stands between other characters."""
+    if text[:1].isspace() or OTHER_BLANK.search(text) or OTHER_BREAK.search(text):
+        return cut(text)
+    return text.replace("\n", " \n").split(" ")
+
+
+def cut_all(texts: pa.Array, lines: bool = False) -> pa.Array:
+    """`cut`, or with `lines` `cut_lines`, of every text."""
+    split = lambda some: pc.split_pattern(pc.replace_substring(some, "\n", " \n") if lines else some, " ")
+    odd = pc.match_substring_regex(texts, ODD_BREAKS if lines else ODD_BLANKS).to_numpy(zero_copy_only=False)
+    if not odd.any():
+        return split(texts)
+    # An array for each text: Python holds the units of one only.
+    found = [pa.array([cut(text)], pa.list_(texts.type)) for text in texts.filter(pa.array(odd)).to_pylist()]
+    order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+    return pa.concat_arrays([split(texts.filter(pa.array(~odd))), *found]).take(pa.array(np.argsort(order)))
+
+
+def numbered(values: pa.Array, units: Units, tails: Callable[[list[str]], list[bytes]]) -> tuple[pa.Array, pa.Array]:
+    """Units as places in the second array, which has the encodings (bytes) of the distinct ones. Marks of ENDS behind a
+    letter at the end of a unit are encoded by `tails`, so `units` sees words without them."""
+    coded = values.dictionary_encode()
+    whole = coded.dictionary
+    words = pc.utf8_rtrim(whole, characters=ENDS)
+    ended = pc.and_(pc.match_substring_regex(words, f"[{LETTERS}]$"), pc.less(pc.binary_length(words), pc.binary_length(whole)))
+    words = pc.if_else(ended, words, whole).dictionary_encode()
+    with no_collection():
+        (known,) = units.encodings([words.dictionary.to_numpy(zero_copy_only=False).tolist()])
+        known = pa.array(known, pa.large_binary()).take(words.indices)
+        marks = pc.replace_substring_regex(whole.filter(ended), f"(?s)^.*[{LETTERS}]", "").dictionary_encode()
+        behind = pa.array(tails(marks.dictionary.to_pylist()), pa.large_binary()).take(marks.indices)
+    joined = pc.binary_join_element_wise(known.filter(ended), behind, pa.scalar(b"", pa.large_binary()))
+    return coded.indices, pc.replace_with_mask(known, ended, joined)
+
+
 class Units:
     """Encodings of units. `encode(list of units)` gives an encoding for each, as it stands behind a blank;
     `tails` gives those of marks behind a letter; `join` puts the two together."""
@@ -120,9 +168,14 @@ class Units:
     def _learn(self, units: set[str]) -> None:
         """Encodes units that are not kept."""
         kept, passing = self.kept, self.passing
+        if not self.cut_ends:
+            fresh = list(units)
+            kept.update(zip(fresh, self.encode(fresh)))
+            passing += [u for u in fresh if len(u) > KEPT_CHARS]
+            return
         words, ended = set(), {}
         for unit in units:
-            if self.cut_ends and unit[-1:] in ENDS:
+            if unit[-1:] in ENDS:
                 word = unit.rstrip(ENDS)
                 if is_letter(word[-1:]):
                     ended[unit] = word

@@ -175,3 +175,63 @@ def test_known_units_are_looked_up_once():
     found.encodings([["a", "b"]])
     found.kept = _Counting(found.kept)
     assert found.encodings([["a", "b", "a"]]) == [["<a>", "<b>", "<a>"]] and found.kept.asked == 3
+
+
+GLUE = ["a", "Éa", "ab", " ", " ", " ", "\n", "\n", "\t", "\r", "1", "23", ".", ",!", "|", "ª", "漢", " ", "\x85", "\x1c", " ", "﻿"]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_texts_of_an_array_are_cut_and_encoded_as_one_by_one(seed):
+    import pyarrow as pa
+
+    r = random.Random(seed)
+    texts = ["", " ", "\n", "a\n", "a\n\nb", "a \nb", "plain\nlines, of words.\nend", *["".join(r.choices(GLUE, k=r.randrange(12))) for _ in range(3000)]]
+    if seed == 0:
+        texts = [t for t in texts if not t[:1].isspace() and not units.OTHER_BLANK.search(t) and not units.OTHER_BREAK.search(t)]
+    assert units.cut_all(pa.array(texts)).to_pylist() == [units.cut(t) for t in texts]
+    assert units.cut_all(pa.array(texts), lines=True).to_pylist() == [units.cut_lines(t) for t in texts]
+    assert units.cut_all(pa.array([], pa.string())).to_pylist() == []
+    some = [u for t in texts for u in units.cut_lines(t)[1:]]
+    whole, known, _ = planes._id_units(open(FILE, "rb").read())
+    at, coded_units = units.numbered(pa.array(some, pa.string()), known, whole)
+    want = whole([u if u[:1] == "\n" else " " + u for u in some])
+    assert coded_units.take(at).to_pylist() == want
+    assert all(len(x) == 0 for x in units.numbered(pa.array([], pa.string()), known, whole))
+
+
+def test_an_array_asks_for_each_word_once():
+    import pyarrow as pa
+
+    asked = []
+
+    def code(some):
+        asked.extend(some)
+        return [f"<{t}>".encode() for t in some]
+
+    store = units.Units(code, code, lambda a, b: a + b, ends=False)
+    store.kept = _Counting()
+    at, found = units.numbered(pa.array(["a", "a,", "b.", "a", "b", "12.", "a,"] * 50), store, lambda marks: [f"[{m}]".encode() for m in marks])
+    assert found.take(at).to_pylist()[:7] == [b"<a>", b"<a>[,]", b"<b>[.]", b"<a>", b"<b>", b"<12.>", b"<a>[,]"]
+    assert sorted(asked) == ["12.", "a", "b"] and store.kept.asked <= 6
+
+
+def test_pieces_of_a_column(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(planes, "BATCH_CHARS", 20)
+    monkeypatch.setattr(planes, "SLICE", 30)
+    texts = ["", "a b", "c" * 19, "é" * 14, "x y " * 12, "d" * 40, "", "e"]
+    got = [(t, i, p, last) for some in planes._pieces(pa.array(texts)) for t, i, p, last in zip(some[0].to_pylist(), *(x.tolist() for x in some[1:]))]
+    assert [i for _, i, _, _ in got] == sorted(i for _, i, _, _ in got)
+    for i, text in enumerate(texts):
+        mine = [x for x in got if x[1] == i]
+        assert " ".join(x[0] for x in mine) == text
+        assert [x[2] for x in mine] == list(range(len(mine))) and [x[3] for x in mine] == [False] * (len(mine) - 1) + [True]
+    assert len(list(planes._pieces(pa.array(texts)))) >= 5 and list(planes._pieces(pa.array([], pa.string()))) == []
+
+
+def test_long_lists_are_encoded_in_bounded_calls(monkeypatch):
+    monkeypatch.setattr(planes, "CODED_CHARS", 10)
+    whole, _, _ = planes._id_units(open(FILE, "rb").read())
+    texts = ["", "слово и дело", "a", "b", "", "漢字 " * 20, "end", ""]
+    assert [np.frombuffer(x, "<u4").tolist() + [END_ID] for x in whole(texts)] == [x.tolist() for x in coded(texts)] and whole([]) == []
