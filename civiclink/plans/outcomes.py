@@ -68,11 +68,15 @@ def _sides(t):
     return f, d.drop("name_1", "keyword_1")
 
 
-def _links(t):
-    pairs = candidates.candidate_pairs(*map(indices.weighed, _sides(t)), window_days=90)
+def _scored(findings, decisions):
+    pairs = candidates.candidate_pairs(findings, decisions, window_days=90)
     return pairs.withColumn("score", (F.col("finding_id") % 50 + F.col("quantity")).cast("double") / 100)
 
 
+def _links(t):
+    return _scored(*map(indices.weighed, _sides(t)))
+
+
 _PAIR = "finding_id, decision_id, ibge_municipality_code, CAST(days_after AS BIGINT) AS days_after, shared_names, shared_keywords, jurisdiction_ok"
 
 
@@ -128,8 +132,12 @@ _GRADED = """(SELECT *, CASE b WHEN 'high' THEN CASE WHEN jurisdiction_ok THEN '
   FROM (SELECT *, CASE WHEN score >= 0.85 AND shared_names > 0 THEN 'high' WHEN score >= 0.65 THEN 'medium' ELSE 'low' END AS b FROM {links}))"""
 
 
+def _banded(links):
+    return candidates.graded_links(links.withColumn("core_evidence", F.col("shared_names") > 0))
+
+
 def _graded(t):
-    return candidates.graded_links(_links(t).withColumn("core_evidence", F.col("shared_names") > 0))
+    return _banded(_links(t))
 
 
 @query("link_bands", f"SELECT finding_id, decision_id, score, b AS band_before_conflict, band FROM {_GRADED}")

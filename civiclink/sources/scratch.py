@@ -19,8 +19,20 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store a frame that several results reuse; a lost executor costs nothing but a re-read."""
-    path = shared_folder(df.sparkSession, "stage")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut_lineage(df: DataFrame, keep_shuffles: bool = True) -> DataFrame:
+    """Store a frame that several results reuse; a lost executor costs nothing but a re-read. Shuffle files stay on
+    disk until the driver collects garbage; without `keep_shuffles` those of this step go as soon as it is stored."""
+    spark = df.sparkSession
+    path = shared_folder(spark, "stage")
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    try:
+        if not keep_shuffles:
+            spark.conf.set(_DROP_SHUFFLES, "true")
+        df.write.parquet(path)
+    finally:
+        if not keep_shuffles:
+            spark.conf.set(_DROP_SHUFFLES, before)
+    return spark.read.parquet(path)

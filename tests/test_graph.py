@@ -1,12 +1,17 @@
 import itertools
 import os
 import random
+import re
+import time
+from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from civiclink.functions.names import entity_key, entity_words
-from civiclink.operators import clusters, namejoin
+from civiclink.operators import candidates, clusters, namejoin
+from civiclink.plans import ORACLES, QUERIES
 from civiclink.sources.keyed import KeyedTable
 from civiclink.sources.landing import LandingStore
 
@@ -71,6 +76,80 @@ def test_clusters_flag_conflicts(spark):
     assert clusters.cluster_summary(clusters.link_clusters(spark.createDataFrame([], EDGES))).count() == 0
 
 
+def _shuffle_files(spark):
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = [local.getAllFiles().apply(i).getName() for i in range(local.getAllFiles().size())]
+    return {n for n in names if re.match(r"shuffle_.*\.data$", n)}
+
+
+def _orders(spark, folder):
+    """Tables in which most findings share decisions with others and some values are null."""
+    r, day = random.Random(4), datetime(2024, 1, 1)
+    orders = [(i, r.randrange(4), r.choice("FOP"), day + timedelta(days=r.randrange(400)), f"{i % 5 + 1}-X") for i in range(40)]
+    lines = [(r.randrange(40), r.randrange(9), r.randrange(3), i, float(r.randrange(1, 51)), r.random() / 10, r.random() / 12, r.choice("RAN"), r.choice("FO"), day + timedelta(days=r.randrange(450))) for i in range(300)]
+    orders += [(None, 1, "F", day, "1-X"), (77, None, "F", day, "1-X")]
+    lines += [(3, None, 1, 1, 50.0, 0.0, 0.0, "R", "F", day + timedelta(days=200)), (3, 1, 1, 1, None, 0.0, 0.0, "R", "F", day + timedelta(days=200))]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame(
+        lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ).write.parquet(f"{folder}/lineitem.parquet")
+
+
+@pytest.mark.parametrize("name", ["outcome_clusters"])
+def test_links_are_paired_before_and_leave_no_shuffles(spark, tmp_path, name):
+    _orders(spark, tmp_path)
+    before = _shuffle_files(spark)
+    df = QUERIES[name](spark, str(tmp_path))
+    for _ in range(50):
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.2)  # they are removed in the background
+    assert not left
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_orderkey" not in plan
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(ORACLES[name])
+    names = [d[0] for d in want.description]
+    rows = sorted(map(repr, (tuple(r) for r in df.select(*names).collect())))
+    assert len(rows) > 5 and rows == sorted(map(repr, want.fetchall()))
+
+
+def test_strong_edges_are_the_edges_above_low(spark):
+    r = random.Random(5)
+    scores = [None, 0.1, 0.64, 0.65, 0.7, 0.85, 0.9]
+    f = spark.createDataFrame([(i % 12 if i % 7 else None, r.choice(scores)) for i in range(30)], "finding_id long, x double")
+    d = [(f"d{r.randrange(15)}" if i % 9 else None, r.choice(scores), r.choice([True, False, None]), r.choice(["adverse", "neutral", None])) for i in range(60)]
+    d = spark.createDataFrame(d, "decision_id string, y double, jurisdiction_ok boolean, outcome_label string")
+
+    def grade(findings, decisions):
+        pairs = findings.join(decisions, F.col("x") >= F.col("y") - 0.06, "left").withColumn("score", F.when(F.col("y") > 0.1, F.least("x", "y")))
+        return candidates.graded_links(pairs.withColumn("core_evidence", F.col("y") > 0.8))
+
+    want = candidates.link_edges(grade(f, d)).where("band != 'low'")
+    got = candidates.strong_edges(f, d, grade, slices=3)
+    assert got.columns == want.columns and got.count() > 20
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_clusters_meet_through_findings_and_edges_without_an_end(spark):
+    rows = [(5, "x"), (2, "x"), (2, "y"), (7, "y"), (7, None), (8, None), (None, "x"), (9, "z"), (10, "a"), (9, "a")]
+    edges = spark.createDataFrame([(f, d, 0.9, "high", "adverse") for f, d in rows], EDGES)
+    got = clusters.link_clusters(edges)
+    assert sorted((r["finding_id"], r["decision_id"] or "", r["cluster_id"]) for r in got.collect()) == [
+        (2, "x", 2), (2, "y", 2), (5, "x", 2), (7, "", 2), (7, "y", 2), (9, "a", 9), (9, "z", 9), (10, "a", 9)
+    ]
+    assert {r["cluster_id"]: (r["findings"], r["decisions"], r["links"]) for r in clusters.cluster_summary(got).collect()} == {2: (3, 2, 5), 9: (2, 2, 3)}
+    seen = []
+    whole, clusters.components = clusters.components, lambda pairs: seen.append(pairs) or whole(pairs)
+    try:
+        clusters.link_clusters(edges)
+    finally:
+        clusters.components = whole
+    assert dict(seen[0].dtypes) == {"a": "bigint", "b": "bigint"} and seen[0].count() <= edges.count()
+
+
 def test_entity_words(spark):
     cases = {
         "Construtora São João Ltda.": "CONSTRUTORA JOAO SAO", "SAO JOAO CONSTRUTORA S/A": "CONSTRUTORA JOAO SAO", "Dr. João da Silva e Silva": "JOAO SILVA",
