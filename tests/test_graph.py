@@ -95,7 +95,7 @@ def _orders(spark, folder):
     ).write.parquet(f"{folder}/lineitem.parquet")
 
 
-@pytest.mark.parametrize("name", ["outcome_clusters"])
+@pytest.mark.parametrize("name", ["outcome_clusters", "outcome_cluster_summary"])
 def test_links_are_paired_before_and_leave_no_shuffles(spark, tmp_path, name):
     _orders(spark, tmp_path)
     before = _shuffle_files(spark)
